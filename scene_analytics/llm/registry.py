@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, pieces
 
 QUERIES = {
+    "op6_pieces": pieces.op6_pieces,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
 ORACLES = {
