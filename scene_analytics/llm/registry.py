@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import line_dedup, pieces
+from . import line_dedup, pieces, simhash
 
 QUERIES = {
+    "op5_simhash": simhash.op5_simhash,
     "op6_pieces": pieces.op6_pieces,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
