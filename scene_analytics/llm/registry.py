@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, pieces, simhash
+from . import brown_lm, line_dedup, pieces, simhash
 
 QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_pieces": pieces.op6_pieces,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op10_brown_lm": brown_lm.op10_brown_lm,
 }
 ORACLES = {
     "op8_line_dedup": line_dedup.ORACLE_SQL,
