@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import brown_lm, line_dedup, pieces, simhash
+from . import brown_lm, line_dedup, pieces, pii, simhash
 
 QUERIES = {
+    "op3_pii": pii.op3_pii,
     "op5_simhash": simhash.op5_simhash,
     "op6_pieces": pieces.op6_pieces,
     "op8_line_dedup": line_dedup.op8_line_dedup,
