@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import brown_lm, line_dedup, pieces, pii, simhash
+from . import ball_tree, brown_lm, line_dedup, pieces, pii, simhash
 
 QUERIES = {
+    "op1_ball_tree": ball_tree.op1_ball_tree,
     "op3_pii": pii.op3_pii,
     "op5_simhash": simhash.op5_simhash,
     "op6_pieces": pieces.op6_pieces,
@@ -12,5 +13,6 @@ QUERIES = {
     "op10_brown_lm": brown_lm.op10_brown_lm,
 }
 ORACLES = {
+    "op1_ball_tree": ball_tree.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
 }
