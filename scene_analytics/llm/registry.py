@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ball_tree, brown_lm, compression_quality, line_dedup, pieces, pii, simhash
+from . import ball_tree, brown_lm, compression_quality, decontaminate, line_dedup, pieces, pii, simhash
 
 QUERIES = {
     "op1_ball_tree": ball_tree.op1_ball_tree,
     "op3_pii": pii.op3_pii,
     "op5_simhash": simhash.op5_simhash,
     "op6_pieces": pieces.op6_pieces,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_compression_quality": compression_quality.op9_compression_quality,
     "op10_brown_lm": brown_lm.op10_brown_lm,
