@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ball_tree, brown_lm, compression_quality, decontaminate, line_dedup, pieces, pii, simhash
+from . import ball_tree, brown_lm, compression_quality, decontaminate, line_dedup, pieces, pii, simhash, url_filter
 
 QUERIES = {
     "op1_ball_tree": ball_tree.op1_ball_tree,
     "op3_pii": pii.op3_pii,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_simhash": simhash.op5_simhash,
     "op6_pieces": pieces.op6_pieces,
     "op7_decontaminate": decontaminate.op7_decontaminate,
