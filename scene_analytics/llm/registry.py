@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ball_tree, brown_lm, compression_quality, decontaminate, line_dedup, pieces, pii, simhash, url_filter
+from . import ball_tree, brown_lm, compression_quality, decontaminate, line_dedup, pieces, pii, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_ball_tree": ball_tree.op1_ball_tree,
+    "op2_secrets": secrets.op2_secrets,
     "op3_pii": pii.op3_pii,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_simhash": simhash.op5_simhash,
