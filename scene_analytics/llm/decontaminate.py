@@ -20,7 +20,7 @@ BLOCK = 16
 RANK, OVERSAMPLE, POWER = 96, 16, 2
 #: Terms found in more than this share of the corpus's passages don't count, save the rarest ones of each item.
 COMMON, RAREST = 0.05, 8
-COSINE = 0.35
+COSINE = 0.6
 #: An item is found where its words' longest common subsequence with the place reaches SURE of them, or LIKELY with the answer.
 SURE, LIKELY, ANSWER_WORDS, MIN_WORDS = 0.8, 0.6, 4, 5
 #: Items searched for in one pass over the documents; more items make more passes.
@@ -66,6 +66,12 @@ class Items:
     basis: np.ndarray  # terms x rank, weighted; zero rows for terms that don't count
     latent: np.ndarray  # items x rank, unit length
 
+    def __post_init__(self) -> None:
+        self.members = np.zeros((len(self.texts), len(self.terms)), bool)
+        for i, t in enumerate(self.texts):
+            self.members[i, t] = True
+        self.distinct = [len(set(t)) for t in self.texts]
+
 
 def document_frequency(docs: DataFrame, terms: dict[bytes, int], text: str) -> tuple[np.ndarray, int]:
     """In how many passages of BLOCK words each term is found, over all documents, and how many passages there are."""
@@ -199,11 +205,23 @@ def search(items: Items, texts: list[bytes], chunk: int = 4096) -> list[list[dic
             doc = int(np.searchsorted(starts, at, side="right")) - 1
             near.setdefault((doc, int(i)), []).append((float(cosine[w, i]), (at - int(starts[doc])) * BLOCK))
     for (doc, i), places in near.items():
-        t, best = items.texts[i], None
+        t, best, n = items.texts[i], None, len(items.texts[i])
+        held, spare = items.members[i], n - items.distinct[i]
+
+        def may_reach(lo: int, hi: int) -> bool:
+            """No common subsequence is longer than the item's terms that are there at all, and the item's repeats."""
+            x = ids[doc][max(0, lo) : hi]
+            return held[np.unique(x[x >= 0])].sum() + spare >= LIKELY * n
+
+        at_all = sorted(at for _, at in places)
+        if len(places) > 1 and at_all[-1] - at_all[0] <= 8 * BLOCK and not may_reach(at_all[0] - n, at_all[-1] + 2 * BLOCK + n):
+            continue
         for cosine, at in sorted(places, reverse=True):
-            lo = max(0, at - len(t))
-            region = ids[doc][lo : at + 2 * BLOCK + len(t)].tolist()
-            share = lcs(t, region) / len(t)
+            lo, hi = max(0, at - n), at + 2 * BLOCK + n
+            if not may_reach(lo, hi):
+                continue
+            region = ids[doc][lo:hi].tolist()
+            share = lcs(t, region) / n
             if share >= SURE or share >= LIKELY and contains(region, items.answers[i]):
                 best = {"item_id": items.ids[i], "similarity": share, "cosine": cosine, "word": at}
                 break

@@ -31,7 +31,8 @@ def test_svd_is_that_of_the_matrix(spark):
 
 def planted():
     rng = random.Random(1)
-    vocabulary = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("n", "st", "r", "é")]
+    vocabulary = [f"{a}{b}{c}{d}" for a in "bdfgklmprt" for b in "aeiou" for c in ("n", "st", "r", "é", "lm") for d in "abcdefghij"]
+    rng.shuffle(vocabulary)
     weights = [1 / (i + 3) for i in range(len(vocabulary))]
     text = lambda n: " ".join(rng.choices(vocabulary, weights, k=n))
     items = [(i, text(rng.randrange(14, 60))) for i in range(60)] + [(60, None), (61, "too short"), (62, "")]
