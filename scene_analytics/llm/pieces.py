@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import struct
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +21,11 @@ from .common import split_batches, table, utf8
 MODEL = "piece_bpe_32k.model"
 MARK = "▁".encode()  # what stands for a space inside pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Chunks kept with their pieces, for each worker; the store is emptied when full. Longer chunks are not kept.
-KEPT_CHUNKS, KEPT_BYTES = 300_000, 64
+#: Chunks kept with their pieces, for each worker, in each of two stores: a full one replaces the older. Longer chunks aren't kept.
+KEPT_CHUNKS, KEPT_BYTES = 250_000, 64
+#: Up to so many characters the pairs of a chunk are looked through each time; longer chunks use a heap.
+SHORT = 48
+NEVER = np.iinfo(np.int32).max
 
 
 # --- the model file: protocol buffers, read by their public wire format -------------------------------------------------------
@@ -202,6 +206,89 @@ class Encoding:
     ends: np.ndarray
 
 
+class _Together:
+    """Merges many short chunks at once: a row of symbols for each, every step merges each row's best pair, leftmost if equal."""
+
+    def __init__(self, enc: PieceEncoder) -> None:
+        identity, order = enc.identity, enc.order
+        self.symbols = dict(identity)
+        for p in identity:  # single characters of pieces are symbols, too, be they pieces or not
+            for c in p:
+                self.symbols.setdefault(c, len(enc.model.pieces) + len(self.symbols))
+        self.known = len(enc.model.pieces)
+        n = self.base = max(self.symbols.values(), default=0) + 1
+        self.of = np.full(0x110000, -1, np.int32)
+        for c, i in self.symbols.items():
+            if len(c) == 1:
+                self.of[ord(c)] = i
+        self.size = np.zeros(n, np.uint32)
+        for p, i in self.symbols.items():
+            self.size[i] = len(p.encode())
+        ranked = {x: r for r, x in enumerate(sorted(set(order.values())))}
+        pairs = [(self.symbols[p[:k]] * n + self.symbols[p[k:]], i, ranked[order[p]]) for p, i in identity.items() for k in range(1, len(p)) if p[:k] in self.symbols and p[k:] in self.symbols]
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        size = 1 << self.bits
+        self.key, self.to, self.rank = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int32)
+        for key, to, rank in pairs:
+            at = self._slot(key)
+            while self.key[at] >= 0:
+                at = (at + 1) % size
+            self.key[at], self.to[at], self.rank[at] = key, to, rank
+
+    def _slot(self, key):
+        return (key * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - self.bits)
+
+    def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and symbol of each pair's merge; NEVER where there is none."""
+        key = np.where((a < 0) | (b < 0), -2, a.astype(np.int64) * self.base + b)
+        rank, to = np.full(len(key), NEVER, np.int32), np.full(len(key), -1, np.int32)
+        todo = np.flatnonzero(key >= 0)
+        at = self._slot(key[todo])
+        while len(todo):
+            held = self.key[at]
+            hit = held == key[todo]
+            rank[todo[hit]], to[todo[hit]] = self.rank[at[hit]], self.to[at[hit]]
+            on = ~hit & (held >= 0)
+            todo, at = todo[on], (at[on] + 1) % len(self.key)
+        return rank, to
+
+    def __call__(self, texts: list[str]) -> list[tuple[list[int], bytes] | None]:
+        """Ids and sizes of each text, as PieceEncoder._merge gives them; None where a character is in no piece."""
+        m, width = len(texts), max(map(len, texts))
+        length = np.fromiter(map(len, texts), np.int64, m)
+        inside = np.arange(width) < length[:, None]
+        s = np.full((m, width + 1), -1, np.int32)
+        s[:, :-1][inside] = self.of[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)]
+        whole = ((s[:, :-1] >= 0) | ~inside).all(axis=1)
+        right = np.broadcast_to(np.arange(1, width + 2, dtype=np.int32), s.shape).copy()
+        left = right - 2
+        rank, to = (x.reshape(m, width) for x in self._look(s[:, :-1].ravel(), s[:, 1:].ravel()))
+        alive, row = inside.copy(), np.arange(m)
+        while len(row):
+            i = rank[row].argmin(axis=1)
+            go = rank[row, i] < NEVER
+            row, i = row[go], i[go]
+            if not len(row):
+                break
+            j = right[row, i]
+            s[row, i] = to[row, i]
+            alive[row, j] = False
+            rank[row, j] = NEVER
+            k = right[row, j]
+            right[row, i] = k
+            inner = k <= width
+            left[row[inner], k[inner]] = i[inner]
+            rank[row, i], to[row, i] = self._look(s[row, i], s[row, np.minimum(k, width)])
+            h = left[row, i]
+            back = h >= 0
+            r, h, i = row[back], h[back], i[back]
+            rank[r, h], to[r, h] = self._look(s[r, h], s[r, i])
+        got = s[:, :-1][alive]
+        ids, sizes, ends = got.tolist(), self.size[got].tobytes(), np.cumsum(alive.sum(axis=1)).tolist()
+        whole &= np.where(alive, s[:, :-1] < self.known, True).all(axis=1)
+        return [(ids[a:b], sizes[4 * a : 4 * b]) if ok else None for a, b, ok in zip([0, *ends[:-1]], ends, whole.tolist(), strict=True)]
+
+
 class PieceEncoder:
     """Encodes and decodes as the public library does, and knows where each piece came from."""
 
@@ -210,26 +297,65 @@ class PieceEncoder:
         self.normalise = Normaliser(m)
         if USER in m.kinds or UNUSED in m.kinds:
             raise ValueError("user-defined and unused pieces are not supported")
-        self.rank = {p: (-s, i) for i, (p, s, k) in enumerate(zip(m.pieces, m.scores, m.kinds, strict=True)) if k == NORMAL}
+        self.identity = {p.decode(): i for i, (p, k) in enumerate(zip(m.pieces, m.kinds, strict=True)) if k == NORMAL}
+        self.order = {p: -m.scores[i] for p, i in self.identity.items()}
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(m.pieces, m.kinds, strict=True)) if k == BYTE}
         self.value = {i: b for b, i in self.bytes.items()}
         self.unknown = m.kinds.index(UNKNOWN)
         self.end = m.pieces.index(b"</s>")
         #: No piece goes on from another character to a mark: chunks that start at such marks don't depend on each other.
-        self.apart = not any(MARK in p.lstrip(MARK) for p in (q.replace(MARK * 2, MARK) for q in self.rank))
-        self.kept: dict[bytes, tuple] = {}
-
-    def _merge(self, chunk: bytes) -> tuple:
-        """The ids of a chunk, and the normalised bytes that each of them covers."""
-        part: list[bytes | None] = [c.encode() for c in chunk.decode("utf-8", "replace")]
-        rank, n = self.rank, len(part)
+        self.apart = not any(MARK.decode() in p.lstrip(MARK.decode()) for p in self.identity)
+        self.lines_apart = not any("\n" in p for p in self.identity) and bool(self.bytes)
+        self.surface = [b"" if k == CONTROL else m.unk_surface.encode() if k == UNKNOWN else bytes([self.value[i]]) if k == BYTE else p.replace(MARK, b" ") for i, (p, k) in enumerate(zip(m.pieces, m.kinds, strict=True))]
+        self.decimal = [str(i) for i in range(len(m.pieces))]
+        self.together = _Together(self)
+        self.young: dict[bytes, tuple] = {}
+        self.old: dict[bytes, tuple] = {}
+
+    def _merge(self, chunk: bytes) -> tuple[list[int], bytes]:
+        """The ids of a chunk, and the normalised bytes that each of them covers, as 4-byte numbers."""
+        part = list(chunk.decode("utf-8", "replace"))
+        part = self._merge_short(part) if len(part) <= SHORT else self._merge_long(part)
+        ids, sizes, identity = [], array("I"), self.identity
+        for p in part:
+            n = len(p.encode())
+            if (i := identity.get(p)) is not None:
+                ids.append(i)
+                sizes.append(n)
+            elif self.bytes:
+                ids += [self.bytes[b] for b in p.encode()]
+                sizes.extend([1] * n)
+            elif ids and ids[-1] == self.unknown:
+                sizes[-1] += n
+            else:
+                ids.append(self.unknown)
+                sizes.append(n)
+        return ids, sizes.tobytes()
+
+    def _merge_short(self, part: list[str]) -> list[str]:
+        """Best pair first, the leftmost among equals, by looking at all pairs."""
+        get, never = self.order.get, np.inf
+        order = [get(a + b, never) for a, b in zip(part, part[1:], strict=False)]
+        while order and (best := min(order)) is not never:
+            i = order.index(best)
+            part[i] += part.pop(i + 1)
+            order.pop(i)
+            if i:
+                order[i - 1] = get(part[i - 1] + part[i], never)
+            if i < len(order):
+                order[i] = get(part[i] + part[i + 1], never)
+        return part
+
+    def _merge_long(self, part: list[str | None]) -> list[str]:
+        """The same with a heap of pairs, for long chunks."""
+        get, n = self.order.get, len(part)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list = []
 
         def offer(a: int, b: int) -> None:
             joined = part[a] + part[b]
-            if (r := rank.get(joined)) is not None:
-                heapq.heappush(heap, (r[0], a, b, len(joined)))
+            if (r := get(joined)) is not None:
+                heapq.heappush(heap, (r, a, b, len(joined)))
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -245,26 +371,20 @@ class PieceEncoder:
                 offer(a, right[a])
             if left[a] >= 0:
                 offer(left[a], a)
-        ids, sizes = [], []
-        for p in part:
-            if p is None:
-                continue
-            if (r := rank.get(p)) is not None:
-                ids.append(r[1])
-                sizes.append(len(p))
-            elif self.bytes:
-                ids += [self.bytes[b] for b in p]
-                sizes += [1] * len(p)
-            elif ids and ids[-1] == self.unknown and not MARK == p:
-                sizes[-1] += len(p)
-            else:
-                ids.append(self.unknown)
-                sizes.append(len(p))
-        return ids, sizes
+        return [p for p in part if p is not None]
 
     def _chunks(self, norm: bytes) -> list[bytes]:
         if not self.apart:
             return [norm]
+        if self.lines_apart and b"\n" in norm:  # a line end is in no piece; its byte piece stands alone
+            chunks = []
+            for line in norm.split(b"\n"):
+                chunks += self._words(line)
+                chunks.append(b"\n")
+            return chunks[:-1]
+        return self._words(norm)
+
+    def _words(self, norm: bytes) -> list[bytes]:
         # A chunk is a run of marks with what follows it. Splitting leaves an empty word between two marks of a run.
         words = norm.split(MARK)
         chunks, marks = ([words[0]] if words[0] else []), 0
@@ -275,36 +395,69 @@ class PieceEncoder:
                 marks = 0
         return chunks + ([MARK * marks] if marks else [])
 
+    def _prepare(self, chunks: set[bytes]) -> dict[bytes, tuple]:
+        """All of `chunks` with their pieces, from the stores or merged now."""
+        if len(self.young) >= KEPT_CHUNKS:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        got = {}
+        for c in chunks:
+            if (x := young.get(c)) is None:
+                if (x := old.get(c)) is None:
+                    new.append(c)
+                    continue
+                young[c] = x
+            got[c] = x
+        short = {c: t for c in new if len(c) <= 3 * SHORT and len(t := c.decode("utf-8", "replace")) <= SHORT}
+        for limit in (SHORT // 4, SHORT):
+            batch = [c for c, t in short.items() if limit // 4 < len(t) <= limit or limit == SHORT // 4 >= len(t)]
+            for a in range(0, len(batch), 2_000):
+                some = batch[a : a + 2_000]
+                for c, x in zip(some, self.together([short[c] for c in some]), strict=True):
+                    if x is not None:
+                        got[c] = x
+        for c in new:
+            if c not in got:
+                got[c] = self._merge(c)
+            if len(c) <= KEPT_BYTES:
+                young[c] = got[c]
+        return got
+
     def encode(self, data: bytes, add_end: bool = True) -> Encoding:
-        norm, place = self.normalise(data)
-        kept, ids, sizes = self.kept, [], []
-        for chunk in self._chunks(norm):
-            if (got := kept.get(chunk)) is None:
-                got = self._merge(chunk)
-                if len(chunk) <= KEPT_BYTES:
-                    if len(kept) >= KEPT_CHUNKS:
-                        kept.clear()
-                    kept[chunk] = got
-            ids += got[0]
-            sizes += got[1]
-        edges = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])
-        starts, ends = place[edges[:-1]], place[edges[1:]]
-        if add_end:
-            ids = [*ids, self.end]
-            starts, ends = np.append(starts, len(data)), np.append(ends, len(data))
-        return Encoding(ids, starts, ends)
+        return self.encode_all([data], add_end)[0]
+
+    def encode_all(self, texts: list[bytes], add_end: bool = True) -> list[Encoding]:
+        """Each text's encoding; unseen chunks of all texts are merged together."""
+        normal = [self.normalise(data) for data in texts]
+        split = [self._chunks(norm) for norm, _ in normal]
+        got = self._prepare(set().union(*split))
+        out = []
+        for data, chunks, (_, place) in zip(texts, split, normal, strict=True):
+            pairs = [got[c] for c in chunks]
+            ids: list[int] = []
+            for x in pairs:
+                ids += x[0]
+            edges = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join([x[1] for x in pairs]), np.uint32), dtype=np.int64)])
+            starts, ends = place[edges[:-1]], place[edges[1:]]
+            if add_end:
+                ids.append(self.end)
+                starts, ends = np.append(starts, len(data)), np.append(ends, len(data))
+            out.append(Encoding(ids, starts, ends))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: marks are spaces, the first piece loses the added one, byte pieces are joined to characters."""
         m, out, first = self.model, [], True
         pieces, kinds, value = m.pieces, m.kinds, self.value
-        if BYTE not in kinds or not any(i in value for i in ids):
-            body = [i for i in ids if kinds[i] != CONTROL]
-            if self.unknown not in body:
-                joined = b"".join([pieces[i] for i in body])
-                if m.dummy_prefix and joined.startswith(MARK):
-                    joined = joined[len(MARK) :]
-                return joined.replace(MARK, b" ").decode()
+        surface = self.surface
+        joined = b"".join([surface[i] for i in ids])
+        try:  # whole characters all through: byte pieces then make whole characters among themselves, too
+            text = joined.decode()
+        except UnicodeDecodeError:
+            pass
+        else:
+            head = next((i for i in ids if kinds[i] != CONTROL), None)
+            return text[1:] if head is not None and kinds[head] == NORMAL and (m.dummy_prefix or m.strip_spaces) and pieces[head].startswith(MARK) else text
         run = bytearray()
         for i in [*ids, None]:
             if i is not None and i in value:
@@ -393,17 +546,16 @@ def encode_documents(docs: DataFrame, model: str | None = None, outputs: tuple[s
 
     def run(batches):
         enc = encoder(model or model_path())
-        for batch in split_batches(batches, at):
+        for batch in split_batches(batches, at, 4 << 20):
             got: dict[str, list] = {c: [] for c in outputs}
-            for data in utf8(batch.column(at)):
-                e = enc.encode(data)
+            for e in enc.encode_all(utf8(batch.column(at))):
                 made = {"ids": e.ids, "starts": e.starts, "ends": e.ends, "n_tokens": len(e.ids)}
                 if "decoded" in got or "decoded_sha256" in got:
                     made["decoded"] = enc.decode(e.ids)
                 if "decoded_sha256" in got:
                     made["decoded_sha256"] = hashlib.sha256(made["decoded"].encode()).hexdigest()
                 if "ids_sha256" in got:
-                    made["ids_sha256"] = hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest()
+                    made["ids_sha256"] = hashlib.sha256(" ".join([enc.decimal[i] for i in e.ids]).encode()).hexdigest()
                 if "spans_sha256" in got:
                     made["spans_sha256"] = hashlib.sha256(np.stack([e.starts, e.ends]).astype("<i8").tobytes()).hexdigest()
                 for c, values in got.items():
