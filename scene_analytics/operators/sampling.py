@@ -40,9 +40,9 @@ def pad_frames(frames: DataFrame, count: int, clip: str = "clip") -> DataFrame:
     """Each clip's distinct sampled rows, then its last one again until there are `count`; adds slot from 0."""
     order = F.row_number().over(W.partitionBy(clip).orderBy("frame_idx")) - 1
     slots = frames.dropDuplicates([clip, "frame_idx"]).withColumn("slot", order).where(F.col("slot") < count)
-    last = F.col("slot") == F.max("slot").over(W.partitionBy(clip))
-    fill = F.when(last, F.sequence(F.col("slot"), F.lit(count - 1))).otherwise(F.array(F.col("slot").cast("int")))
-    return slots.withColumn("slot", F.explode(fill))
+    slots = slots.withColumn("__last", F.max("slot").over(W.partitionBy(clip)))
+    fill = F.when(F.col("slot") == F.col("__last"), F.sequence(F.col("slot"), F.lit(count - 1))).otherwise(F.array(F.col("slot").cast("int")))
+    return slots.withColumn("slot", F.explode(fill)).drop("__last")
 
 
 def strided(frames: DataFrame, step: int = 1, stop_at_failure: bool = True, failed: str = "failed") -> DataFrame:

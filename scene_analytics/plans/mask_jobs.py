@@ -41,5 +41,7 @@ def batch(pixels: DataFrame, cameras: DataFrame, whole: DataFrame | None = None,
     """Masks of all configured cameras of `pixels` in one plan, and the camera ids that aren't configured."""
     unknown = pixels.select("camera_id").distinct().join(cameras, "camera_id", "left_anti")
     known = pixels.join(F.broadcast(cameras.select("camera_id")), "camera_id", "left_semi")
+    if known.limit(1).isEmpty():
+        return {}, unknown
     t, r = settings(whole, threshold)
     return masks.generate(known, cameras, include_vignetting, t, r), unknown
