@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize_table, split_batches, table, utf8
+from .common import arrow_map, materialize_table, split_batches, table, utf8
 
 #: Words that every worker knows; words whose classes are found by exchange; their classes; sweeps at most.
 KNOWN_WORDS, CLUSTERED_WORDS, CLASSES, SWEEPS = 300_000, 1024, 40, 12
@@ -58,7 +58,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         if counts:
             yield out()
 
-    found = docs.select(text).mapInArrow(run, "word binary, form int, n long")
+    found = arrow_map(docs.select(text), run, "word binary, form int, n long")
     return found.groupBy("word").agg(F.first("form").alias("form"), F.sum("n").alias("n"))
 
 
@@ -103,7 +103,7 @@ def symbol_bigrams(docs: DataFrame, words: list[bytes], text: str = "text") -> n
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
 
-    got = docs.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    got = arrow_map(docs.select(text), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     matrix = np.zeros(size * size, np.int64)
     matrix[got["cell"].to_numpy()] = got["n"].to_numpy()
     known.unpersist()
@@ -250,7 +250,7 @@ def score(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str = "te
             for s in range(0, whole.num_rows, 50_000):
                 yield whole.slice(s, 50_000)
 
-    parts = inputs.mapInArrow(run, f"doc_id {id_type}, mark long, whole int, n_tokens long, n_known long, base double, cls double, word binary, tf long")
+    parts = arrow_map(inputs, run, f"doc_id {id_type}, mark long, whole int, n_tokens long, n_known long, base double, cls double, word binary, tf long")
     n = F.coalesce(F.col("n"), F.lit(0))
     logs = F.col("tf") * F.log10(n + SMOOTH)
     summed = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -84,3 +85,28 @@ def materialize_table(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Texts are long: an Arrow batch holds few rows, and few bytes where the engine can be told so.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches that leave a worker's memory alone; smaller settings of the session stay."""
+    conf = df.sparkSession.conf
+    for key, most in BATCH.items():
+        try:
+            now = int(re.sub("[^0-9-]", "", str(conf.get(key))) or 0)
+        except Exception:  # noqa: BLE001 - a version without this setting
+            continue
+        if not 0 < now <= most:
+            conf.set(key, most)
+    return df.mapInArrow(run, schema)
+
+
+def carried(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """The columns `keep` and, unless it is one of them, `text` behind them as __text; and the place of the text."""
+    columns = [docs[f"`{c}`"] for c in keep]
+    if text in keep:
+        return docs.select(*columns), keep.index(text)
+    return docs.select(*columns, docs[text].alias("__text")), len(keep)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, split_batches, table, utf8
+from .common import arrow_map, carried, materialize, small, split_batches, table, utf8
 
 #: The fit's bounds: labelled texts of each class that are looked at, the bytes of a text that may be one of them, the bytes of a
 #: dictionary. What a dictionary doesn't take, calibrates.
@@ -121,17 +121,16 @@ def score_documents(docs: DataFrame, scorer: CompressionScorer, text: str = "tex
     import pyarrow as pa
 
     keep = [c for c in (keep if keep is not None else docs.columns) if c != name]
-    inputs = docs.select(*[f"`{c}`" for c in keep], docs[text].alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[:-1]] + [f"`{name}` double"])
-    at = len(keep)
+    inputs, at = carried(docs, keep, text)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[: len(keep)]] + [f"`{name}` double"])
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # a few times DICTIONARY_BYTES
 
     def run(batches):
         s = shared.value
         for batch in split_batches(batches, at):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array([s.score(x) for x in utf8(batch.column(at))], pa.float64())], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([s.score(x) for x in utf8(batch.column(at))], pa.float64())], names=[*keep, name])
 
-    return inputs.mapInArrow(run, schema)
+    return arrow_map(inputs, run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

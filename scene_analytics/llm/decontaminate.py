@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, split_batches, table, utf8
+from .common import arrow_map, carried, materialize, split_batches, table, utf8
 
 #: Words of half a window; windows overlap by half.
 BLOCK = 16
@@ -97,7 +97,7 @@ def document_frequency(docs: DataFrame, terms: dict[bytes, int], text: str) -> t
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(count[found], pa.int64())], names=["term", "n"])
 
     count = np.zeros(len(terms) + 1, np.int64)
-    for r in docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in arrow_map(docs.select(text), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         count[r["term"]] = r["n"]
     return count[:-1], int(count[-1])
 
@@ -247,18 +247,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     dealt = items.withColumn("__pass", F.pmod(F.xxhash64(item_id, item_text), F.lit(passes)))
     kind = items.schema[item_id].dataType.simpleString()
     leak = f"struct<item_id:{kind},similarity:double,cosine:double,word:long>"
-    out = docs.select(*[f"`{c}`" for c in keep], docs[text].alias("__text"), F.array().cast(f"array<{leak}>").alias("leaks"))
-    at = len(keep)
+    inputs, at = carried(docs, keep, text)
+    out = inputs.withColumn("leaks", F.array().cast(f"array<{leak}>"))
+    last = len(inputs.columns)
     for p in range(passes):
         shared = spark.sparkContext.broadcast(prepare(docs, dealt.where(F.col("__pass") == p).drop("__pass"), text, item_id, item_text, answer))
 
-        def run(batches, shared=shared):
+        def run(batches, shared=shared, out_names=tuple(out.columns)):
             for batch in split_batches(batches, at, 2 << 20):
                 got = search(shared.value, utf8(batch.column(at)))
-                leaks = pa.array([old + new for old, new in zip(batch.column(at + 1).to_pylist(), got, strict=True)], batch.column(at + 1).type)
-                yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], leaks], names=[*keep, "__text", "leaks"])
+                leaks = pa.array([old + new for old, new in zip(batch.column(last).to_pylist(), got, strict=True)], batch.column(last).type)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:last], leaks], names=list(out_names))
 
-        out = out.mapInArrow(run, out.schema)
+        out = arrow_map(out, run, out.schema)
     return out.drop("__text")
 
 

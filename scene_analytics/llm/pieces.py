@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import split_batches, table, utf8
+from .common import arrow_map, carried, split_batches, table, utf8
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁".encode()  # what stands for a space inside pieces
@@ -540,9 +540,8 @@ def encode_documents(docs: DataFrame, model: str | None = None, outputs: tuple[s
     kinds = {"ids": "array<int>", "starts": "array<long>", "ends": "array<long>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "spans_sha256": "string"}
     arrow = {"ids": pa.list_(pa.int32()), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "n_tokens": pa.int64()}
     keep = [c for c in (keep if keep is not None else docs.columns) if c not in outputs]
-    inputs = docs.select(*[f"`{c}`" for c in keep], docs[text].alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[:-1]] + [f"`{c}` {kinds[c]}" for c in outputs])
-    at = len(keep)
+    inputs, at = carried(docs, keep, text)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[: len(keep)]] + [f"`{c}` {kinds[c]}" for c in outputs])
 
     def run(batches):
         enc = encoder(model or model_path())
@@ -560,9 +559,9 @@ def encode_documents(docs: DataFrame, model: str | None = None, outputs: tuple[s
                     made["spans_sha256"] = hashlib.sha256(np.stack([e.starts, e.ends]).astype("<i8").tobytes()).hexdigest()
                 for c, values in got.items():
                     values.append(made[c])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *[pa.array(got[c], arrow.get(c, pa.string())) for c in outputs]], names=[*keep, *outputs])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(got[c], arrow.get(c, pa.string())) for c in outputs]], names=[*keep, *outputs])
 
-    return inputs.mapInArrow(run, schema)
+    return arrow_map(inputs, run, schema)
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import split_batches, table
+from .common import arrow_map, carried, split_batches, table
 
 #: Kinds in the order in which they are listed; the first four are the base kinds.
 BASE = ("email", "ip", "card", "phone")
@@ -146,9 +146,8 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...
     import pyarrow as pa
 
     keep = tuple(c for c in keep if c != "spans")
-    inputs = docs.select(*[f"`{c}`" for c in keep], docs[text].alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[:-1]] + ["spans array<struct<kind:string,start:long,end:long>>"])
-    at = len(keep)
+    inputs, at = carried(docs, list(keep), text)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[: len(keep)]] + ["spans array<struct<kind:string,start:long,end:long>>"])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
@@ -157,9 +156,9 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...
         scan = _SCANNER[0].scan
         for batch in split_batches(batches, at):
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(x or "")] for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(spans, kind)], names=[*keep, "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(spans, kind)], names=[*keep, "spans"])
 
-    return inputs.mapInArrow(run, schema)
+    return arrow_map(inputs, run, schema)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

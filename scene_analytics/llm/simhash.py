@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, split_batches, table, utf8
+from .common import arrow_map, carried, materialize, small, split_batches, table, utf8
 from .components import connected_components
 
 WORDS, MAX_BITS, SEED = 3, 3, 42
@@ -52,16 +52,15 @@ def add_fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, na
     import pyarrow as pa
 
     keep = [c for c in (keep if keep is not None else docs.columns) if c != name]
-    inputs = docs.select(*[f"`{c}`" for c in keep], docs[text].alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[:-1]] + [f"`{name}` long"])
-    at = len(keep)
+    inputs, at = carried(docs, keep, text)
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[: len(keep)]] + [f"`{name}` long"])
 
     def run(batches):
         for batch in split_batches(batches, at):
             fps = np.array([fingerprint(x, words) for x in utf8(batch.column(at))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(fps, pa.int64())], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(fps, pa.int64())], names=[*keep, name])
 
-    return inputs.mapInArrow(run, schema)
+    return arrow_map(inputs, run, schema)
 
 
 def spanning_links(fps: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:

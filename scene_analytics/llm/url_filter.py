@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .brown_lm import frequent_words
-from .common import ascii_lower, materialize_table, split_batches, table, utf8
+from .common import arrow_map, ascii_lower, materialize_table, split_batches, table, utf8
 
 #: (host, path, allow or block): a rule fits its host and all subdomains if the URL's path starts with the rule's.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -86,7 +86,7 @@ def page_word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
         if counts:
             yield out()
 
-    found = pages.select(html).mapInArrow(run, "word binary, form int, n long").where(F.octet_length("word") <= LONGEST)
+    found = arrow_map(pages.select(html), run, "word binary, form int, n long").where(F.octet_length("word") <= LONGEST)
     return found.groupBy("word").agg(F.first("form").alias("form"), F.sum("n").alias("n"))
 
 
