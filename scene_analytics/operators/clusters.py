@@ -69,22 +69,27 @@ def edge_cases(dists: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> Data
 
 def voids(dists: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
     """Clusters that aren't micro ones and whose density is under the percentile over all clusters."""
-    dense = densities(dists).join(sizes(dists), "cluster_id")
-    limit = dense.agg(F.percentile("density", cfg.low_density_percentile / 100).alias("limit"))
-    return dense.crossJoin(F.broadcast(limit)).where((F.col("density") < F.col("limit")) & (F.col("size") >= cfg.micro_cluster_threshold)).select("cluster_id", "size", "density")
+    low = (F.col("density") < F.col("limit")) & (F.col("size") >= cfg.micro_cluster_threshold)
+    return _statistics(dists, cfg).where(low).select("cluster_id", "size", "density")
+
+
+def _statistics(dists: DataFrame, cfg: AnalysisConfig) -> DataFrame:
+    """(cluster_id, size, density, best, limit) from one aggregation of the distances; a row for each cluster."""
+    stats = dists.groupBy("cluster_id").agg(F.count("*").alias("size"), (1 / (F.avg("dist") + EPS)).alias("density"), F.min(F.struct("dist", "vec_id")).alias("best"))
+    return stats.crossJoin(F.broadcast(stats.agg(F.percentile("density", cfg.low_density_percentile / 100).alias("limit"))))
 
 
 def cluster_info(df: DataFrame, cfg: AnalysisConfig = AnalysisConfig(), paths: DataFrame | None = None) -> DataFrame:
     """A row for each cluster with all of the above. `paths` (vec_id, path): the representative's path, null without one."""
     centres = centroids(df)
-    dists = distances(df, centres)
-    low = voids(dists, cfg).select("cluster_id", F.lit(True).alias("low"))
-    info = sizes(df).join(centres, "cluster_id").join(densities(dists), "cluster_id").join(representatives(dists), "cluster_id").join(low, "cluster_id", "left")
+    micro = F.col("size") < cfg.micro_cluster_threshold
+    info = _statistics(distances(df, centres), cfg).join(centres, "cluster_id").withColumn("representative_idx", F.col("best.vec_id"))
     if paths is None:
         info = info.withColumn("representative_path", F.lit(None).cast("string"))
     else:
         info = info.join(paths.select(F.col("vec_id").alias("representative_idx"), F.col("path").alias("representative_path")), "representative_idx", "left")
-    return info.select("cluster_id", "size", "centroid", "density", "representative_idx", "representative_path", (F.col("size") < cfg.micro_cluster_threshold).alias("is_micro_cluster"), F.coalesce("low", F.lit(False)).alias("is_low_density"))
+    low = ~micro & (F.col("density") < F.col("limit"))
+    return info.select("cluster_id", "size", "centroid", "density", "representative_idx", "representative_path", micro.alias("is_micro_cluster"), low.alias("is_low_density"))
 
 
 def summary(df: DataFrame, cfg: AnalysisConfig = AnalysisConfig()) -> DataFrame:
