@@ -577,3 +577,92 @@ def edit_history(spark, sf_dir):
     log = embeddings(spark, sf_dir).select((F.col("vec_id") % 20).alias("mask_id"), F.col("vec_id").alias("seq"), F.lit("brush").alias("op"), *[F.col("label").alias(c) for c in ("x1", "y1", "x2", "y2", "size")])
     undo = log.groupBy("mask_id").agg((F.max("seq") + 1).alias("seq")).select("mask_id", "seq", F.lit("undo").alias("op"), *[F.lit(0).alias(c) for c in ("x1", "y1", "x2", "y2", "size")])
     return edits.cursor(log.unionByName(undo))
+
+
+# --- further operators --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_CAMS} SELECT camera_id FROM c WHERE type = 'narrow'")
+def narrow_cameras(spark, sf_dir):
+    return cams.narrow(camera_table(spark)).select("camera_id")
+
+
+@query(f"WITH {_CAMS} SELECT camera_id, has_vignetting AS wanted FROM c")
+def vignetting_wanted(spark, sf_dir):
+    return cams.vignetting_wanted(camera_table(spark), False)
+
+
+@query(f"WITH {P_SQL} SELECT camera_id, y, x, floor(255 / (1 + exp((variance - 50) / (50e0 / 3))))::INT AS confidence FROM va")
+def confidence_levels(spark, sf_dir):
+    return masks.export_levels(temporal.confidence(_var(spark)), "confidence")
+
+
+_CLOSE, _CLOSED = _morph_sql("em", "de", 11, "rect")
+
+
+@query(f"""WITH {R_SQL}, em AS (SELECT camera_id, y, x, CASE WHEN (y < 9 OR y >= {H - 9} OR x < 9 OR x >= {W_ - 9}) AND brightness < centre * 0.6e0 THEN 255 ELSE 0 END AS mask FROM va JOIN mi USING (camera_id)),
+{_CLOSE} SELECT * FROM {_CLOSED}""")
+def edge_mask_closed(spark, sf_dir):
+    return vignetting.edge_mask(_bright(spark), margin=9)
+
+
+@query(f"WITH {P_SQL} SELECT camera_id, (y // 2)::INT AS y, (x // 2)::INT AS x, round(avg(light), 6) AS v FROM li WHERE frame_idx = 0 GROUP BY ALL")
+def resized_half(spark, sf_dir):
+    first = pixels(spark).where("frame_idx = 0").select("camera_id", "y", "x", color.lightness(F.col("b"), F.col("g"), F.col("r")).cast("double").alias("v"))
+    return rounded(filters.resize(first, 0.5, ["camera_id"]), "v")
+
+
+FRAME_FILE = "'/d/s' || (vec_id % 9) || CASE WHEN vec_id % 2 = 0 THEN '/CMR_GT_Frame/' ELSE '/other/' END || vec_id || CASE WHEN vec_id % 5 = 0 THEN '.JPG' ELSE '.jpg' END"
+
+
+@query(f"SELECT DISTINCT regexp_extract({FRAME_FILE}, '^(.*/CMR_GT_Frame)/', 1) AS frame_dir FROM embeddings WHERE vec_id % 2 = 0")
+def frame_folders(spark, sf_dir):
+    from .sources import frames
+
+    return frames.discover_frame_folders(embeddings(spark, sf_dir).select(F.expr(FRAME_FILE).alias("path")))
+
+
+@query(f"""WITH f AS (SELECT {FRAME_FILE} AS path, vec_id % 5 > 0 AS low FROM embeddings), g AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS frame_dir, path, low FROM f),
+b AS (SELECT *, bool_or(low) OVER (PARTITION BY frame_dir) AS has FROM g)
+SELECT frame_dir, (row_number() OVER (PARTITION BY frame_dir ORDER BY path) - 1)::INT AS frame_idx, path FROM b WHERE low = has""")
+def frame_folder_images(spark, sf_dir):
+    from .sources import frames
+
+    return frames.frame_folder_images(embeddings(spark, sf_dir).select(F.expr(FRAME_FILE).alias("path")))
+
+
+@query(f"""WITH {Q_SQL}, l AS (SELECT 0 AS part, s.cluster_id::BIGINT AS at, 'Cluster ' || s.cluster_id || ': ' || s.size || ' rows' || CASE WHEN s.size < 3 THEN ' [MICRO]' ELSE '' END || CASE WHEN vo.cluster_id IS NOT NULL THEN ' [VOID]' ELSE '' END AS line FROM s LEFT JOIN vo USING (cluster_id)
+UNION ALL (SELECT 1, vec_id, 'Edge case ' || vec_id || ' in cluster ' || cluster_id FROM ec ORDER BY vec_id LIMIT 20)
+UNION ALL SELECT 2, 0, '... and ' || (count(*) - 20) || ' more' FROM ec HAVING count(*) > 20) SELECT * FROM l""")
+def report_lines(spark, sf_dir):
+    df = embeddings(spark, sf_dir)
+    return captions.report(clusters.cluster_info(df), clusters.edge_cases(clusters.distances(df)))
+
+
+@query("SELECT 'm' AS mask_id, (range // 20)::INT AS y, (range % 20)::INT AS x, CASE WHEN (x - 7) * (x - 7) + (y - 5) * (y - 5) <= 4 THEN 0 WHEN (x - 5) * (x - 5) + (y - 5) * (y - 5) <= 9 THEN 255 ELSE 0 END AS mask FROM range(400)")
+def edited_mask(spark, sf_dir):
+    blank = spark.range(400).selectExpr("'m' AS mask_id", "CAST(floor(id / 20e0) AS INT) AS y", "CAST(id % 20 AS INT) AS x", "0 AS mask")
+    log = spark.createDataFrame([("m", 1, "brush", 5, 5, 5, 5, 6), ("m", 2, "eraser", 7, 5, 7, 5, 4), ("m", 3, "brush", 0, 0, 19, 19, 9), ("m", 4, "undo", 0, 0, 0, 0, 0)], "mask_id string, seq int, op string, x1 int, y1 int, x2 int, y2 int, size int")
+    return edits.apply_edits(blank, edits.live_edits(log))
+
+
+@query("SELECT 'c' || (vec_id % 10) AS clip, least(i.range, n - 1)::INT AS frame_idx, i.range::INT AS slot FROM (SELECT vec_id, (vec_id % 4 + 1) AS n FROM embeddings WHERE vec_id < 10), range(6) i")
+def padded_clips(spark, sf_dir):
+    clips = embeddings(spark, sf_dir).where("vec_id < 10").select(F.concat(F.lit("c"), (F.col("vec_id") % 10).cast("string")).alias("clip"), F.explode(F.sequence(F.lit(0), (F.col("vec_id") % 4).cast("int"))).alias("frame_idx"))
+    return sampling.pad_frames(clips, 6)
+
+
+@query()
+def random_frames(spark, sf_dir):
+    rows = embeddings(spark, sf_dir).select(F.col("label").alias("clip"), F.col("vec_id").alias("frame_idx"))
+    return sampling.random_frames(rows, 5, seed=42)
+
+
+@query()
+def vignetting_mask(spark, sf_dir):
+    return vignetting.detect(pixels(spark))[0]
+
+
+@query()
+def adaptive_mask(spark, sf_dir):
+    return temporal.adaptive_static_mask(_var(spark), temporal.TemporalConfig(block_size=16))
