@@ -2,7 +2,7 @@
 
 The text is normalised by taking, at each place, the longest prefix found in the model's compiled character map; every byte of
 the normalised text keeps the original offset it came from. Byte-pair merging then runs on chunks between which no piece of the
-vocabulary can reach, so a chunk that was merged before is not merged again. Each piece is projected to its original byte span.
+vocabulary can reach, each different chunk of a batch once. Each piece is projected to its original byte span.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import struct
-from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +21,8 @@ from .common import arrow_map, carried, split_batches, table, utf8
 MODEL = "piece_bpe_32k.model"
 MARK = "▁".encode()  # what stands for a space inside pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Chunks kept with their pieces, for each worker, in each of two stores: a full one replaces the older. Longer chunks aren't kept.
-KEPT_CHUNKS, KEPT_BYTES = 250_000, 64
-#: Up to so many characters the pairs of a chunk are looked through each time; longer chunks use a heap.
-SHORT = 48
+#: Chunks of up to so many characters are merged together, in tables of these widths and so many rows; longer ones by a heap.
+WIDTHS, ROWS = (8, 12, 20, 48), 4096
 NEVER = np.iinfo(np.int32).max
 
 
@@ -252,8 +250,8 @@ class _Together:
             todo, at = todo[on], (at[on] + 1) % len(self.key)
         return rank, to
 
-    def __call__(self, texts: list[str]) -> list[tuple[list[int], bytes] | None]:
-        """Ids and sizes of each text, as PieceEncoder._merge gives them; None where a character is in no piece."""
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and sizes of all texts in a row, how many each text has, and whether it is settled: all its characters are in pieces."""
         m, width = len(texts), max(map(len, texts))
         length = np.fromiter(map(len, texts), np.int64, m)
         inside = np.arange(width) < length[:, None]
@@ -283,10 +281,9 @@ class _Together:
             back = h >= 0
             r, h, i = row[back], h[back], i[back]
             rank[r, h], to[r, h] = self._look(s[r, h], s[r, i])
-        got = s[:, :-1][alive]
-        ids, sizes, ends = got.tolist(), self.size[got].tobytes(), np.cumsum(alive.sum(axis=1)).tolist()
         whole &= np.where(alive, s[:, :-1] < self.known, True).all(axis=1)
-        return [(ids[a:b], sizes[4 * a : 4 * b]) if ok else None for a, b, ok in zip([0, *ends[:-1]], ends, whole.tolist(), strict=True)]
+        ids = s[:, :-1][alive]
+        return ids, self.size[ids], alive.sum(axis=1), whole
 
 
 class PieceEncoder:
@@ -309,45 +306,27 @@ class PieceEncoder:
         self.surface = [b"" if k == CONTROL else m.unk_surface.encode() if k == UNKNOWN else bytes([self.value[i]]) if k == BYTE else p.replace(MARK, b" ") for i, (p, k) in enumerate(zip(m.pieces, m.kinds, strict=True))]
         self.decimal = [str(i) for i in range(len(m.pieces))]
         self.together = _Together(self)
-        self.young: dict[bytes, tuple] = {}
-        self.old: dict[bytes, tuple] = {}
-
-    def _merge(self, chunk: bytes) -> tuple[list[int], bytes]:
-        """The ids of a chunk, and the normalised bytes that each of them covers, as 4-byte numbers."""
-        part = list(chunk.decode("utf-8", "replace"))
-        part = self._merge_short(part) if len(part) <= SHORT else self._merge_long(part)
-        ids, sizes, identity = [], array("I"), self.identity
-        for p in part:
+
+    def _merge(self, text: str) -> tuple[list[int], list[int]]:
+        """The ids of a chunk, and how many normalised bytes each of them covers."""
+        ids, sizes, identity = [], [], self.identity
+        for p in self._merge_long(list(text)):
             n = len(p.encode())
             if (i := identity.get(p)) is not None:
                 ids.append(i)
                 sizes.append(n)
             elif self.bytes:
                 ids += [self.bytes[b] for b in p.encode()]
-                sizes.extend([1] * n)
+                sizes += [1] * n
             elif ids and ids[-1] == self.unknown:
                 sizes[-1] += n
             else:
                 ids.append(self.unknown)
                 sizes.append(n)
-        return ids, sizes.tobytes()
-
-    def _merge_short(self, part: list[str]) -> list[str]:
-        """Best pair first, the leftmost among equals, by looking at all pairs."""
-        get, never = self.order.get, np.inf
-        order = [get(a + b, never) for a, b in zip(part, part[1:], strict=False)]
-        while order and (best := min(order)) is not never:
-            i = order.index(best)
-            part[i] += part.pop(i + 1)
-            order.pop(i)
-            if i:
-                order[i - 1] = get(part[i - 1] + part[i], never)
-            if i < len(order):
-                order[i] = get(part[i] + part[i + 1], never)
-        return part
+        return ids, sizes
 
     def _merge_long(self, part: list[str | None]) -> list[str]:
-        """The same with a heap of pairs, for long chunks."""
+        """Best pair first, the leftmost among equals, with a heap: for long chunks and those with characters in no piece."""
         get, n = self.order.get, len(part)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap: list = []
@@ -395,54 +374,55 @@ class PieceEncoder:
                 marks = 0
         return chunks + ([MARK * marks] if marks else [])
 
-    def _prepare(self, chunks: set[bytes]) -> dict[bytes, tuple]:
-        """All of `chunks` with their pieces, from the stores or merged now."""
-        if len(self.young) >= KEPT_CHUNKS:
-            self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        got = {}
-        for c in chunks:
-            if (x := young.get(c)) is None:
-                if (x := old.get(c)) is None:
-                    new.append(c)
+    def _merge_all(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and sizes of all chunks in some order, and where those of each chunk start and how many there are."""
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        start, count = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
+        ids, sizes, total = [], [], 0
+        settled = np.zeros(len(chunks), bool)
+        for lo, hi in zip((0, *WIDTHS), WIDTHS, strict=False):
+            some = np.flatnonzero((length > lo) & (length <= hi))
+            for at in np.split(some, range(ROWS, len(some), ROWS)):
+                if not len(at):
                     continue
-                young[c] = x
-            got[c] = x
-        short = {c: t for c in new if len(c) <= 3 * SHORT and len(t := c.decode("utf-8", "replace")) <= SHORT}
-        for limit in (SHORT // 4, SHORT):
-            batch = [c for c, t in short.items() if limit // 4 < len(t) <= limit or limit == SHORT // 4 >= len(t)]
-            for a in range(0, len(batch), 2_000):
-                some = batch[a : a + 2_000]
-                for c, x in zip(some, self.together([short[c] for c in some]), strict=True):
-                    if x is not None:
-                        got[c] = x
-        for c in new:
-            if c not in got:
-                got[c] = self._merge(c)
-            if len(c) <= KEPT_BYTES:
-                young[c] = got[c]
-        return got
+                i, z, n, whole = self.together([texts[k] for k in at.tolist()])
+                start[at], count[at], settled[at] = total + np.cumsum(n) - n, n, whole
+                ids.append(i)
+                sizes.append(z)
+                total += len(i)
+        for k in np.flatnonzero(~settled).tolist():
+            i, z = self._merge(texts[k])
+            start[k], count[k] = total, len(i)
+            ids.append(np.array(i, np.int32))
+            sizes.append(np.array(z, np.uint32))
+            total += len(i)
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.concatenate([np.zeros(0, np.uint32), *sizes]), start, count
 
     def encode(self, data: bytes, add_end: bool = True) -> Encoding:
         return self.encode_all([data], add_end)[0]
 
     def encode_all(self, texts: list[bytes], add_end: bool = True) -> list[Encoding]:
-        """Each text's encoding; unseen chunks of all texts are merged together."""
+        """Each text's encoding; the different chunks of all texts are merged once and together."""
         normal = [self.normalise(data) for data in texts]
         split = [self._chunks(norm) for norm, _ in normal]
-        got = self._prepare(set().union(*split))
+        chunks = list(set().union(*split))
+        ids, sizes, start, count = self._merge_all(chunks)
+        index = dict(zip(chunks, range(len(chunks)), strict=True))
+        at = np.fromiter(map(index.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        n = count[at]
+        ends = np.cumsum(n)
+        take = np.repeat(start[at] - ends + n, n) + np.arange(int(n.sum()))
+        ids, sizes = ids[take], sizes[take]
+        cut = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])].tolist()
         out = []
-        for data, chunks, (_, place) in zip(texts, split, normal, strict=True):
-            pairs = [got[c] for c in chunks]
-            ids: list[int] = []
-            for x in pairs:
-                ids += x[0]
-            edges = np.concatenate([[0], np.cumsum(np.frombuffer(b"".join([x[1] for x in pairs]), np.uint32), dtype=np.int64)])
-            starts, ends = place[edges[:-1]], place[edges[1:]]
+        for data, a, b, (_, place) in zip(texts, cut, cut[1:], normal, strict=False):
+            edges = np.concatenate([[0], np.cumsum(sizes[a:b], dtype=np.int64)])
+            starts, stops, own = place[edges[:-1]], place[edges[1:]], ids[a:b].tolist()
             if add_end:
-                ids.append(self.end)
-                starts, ends = np.append(starts, len(data)), np.append(ends, len(data))
-            out.append(Encoding(ids, starts, ends))
+                own.append(self.end)
+                starts, stops = np.append(starts, len(data)), np.append(stops, len(data))
+            out.append(Encoding(own, starts, stops))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -545,7 +525,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, outputs: tuple[s
 
     def run(batches):
         enc = encoder(model or model_path())
-        for batch in split_batches(batches, at, 4 << 20):
+        for batch in split_batches(batches, at):
             got: dict[str, list] = {c: [] for c in outputs}
             for e in enc.encode_all(utf8(batch.column(at))):
                 made = {"ids": e.ids, "starts": e.starts, "ends": e.ends, "n_tokens": len(e.ids)}
