@@ -35,7 +35,7 @@ def features(token: Column, before: Column, after: Column, path: Column) -> dict
     parts = F.split(F.lower(token), "[^a-z]+")
     known = F.array(*[F.lit(w) for w in DICTIONARY])
     covered = F.aggregate(F.filter(parts, lambda p: F.array_contains(known, p)), F.lit(0), lambda s, p: s + F.length(p))
-    vowels_after = F.regexp_count(F.lower(token), F.lit("[bcdfghjklmnpqrstvwxyz][aeiou]"))
+    syllables = F.regexp_count(F.lower(token), F.lit("[bcdfghjklmnpqrstvwxyz][aeiou]"))
     near = F.regexp_extract(before, r"((?:\S+\s*){0,3})$", 1)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return {
@@ -44,7 +44,7 @@ def features(token: Column, before: Column, after: Column, path: Column) -> dict
         "uppers": share("[^A-Z]"),
         "marks": share("[A-Za-z0-9]"),
         "runs": F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) / n,
-        "pairs": vowels_after / n,
+        "pairs": syllables / n,
         "distinct": F.size(F.array_distinct(F.split(token, ""))) / n,
         "words": covered / n,
         "slashes": F.length(F.regexp_replace(token, "[^/]", "")).cast("double"),

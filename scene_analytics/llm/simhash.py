@@ -111,7 +111,7 @@ def link_fingerprints(fps: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
 
         def links(key, part, fp):
             cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1
-            starts = np.concatenate([[0], cut, ]).astype(np.int64)
+            starts = np.concatenate([[0], cut]).astype(np.int64)
             sizes = np.diff(np.concatenate([starts, [len(key)]]))
             out = []
             two = starts[sizes == 2]  # most lists that hold a pair hold just one

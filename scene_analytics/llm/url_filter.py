@@ -21,8 +21,8 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 MAX_RULES = 1000
 #: Page words that segmentation knows at most; a longer word than this is never one.
 KNOWN_WORDS, LONGEST = 50_000, 24
-#: Splitting: log10 chance of an unknown stretch, before and for each character. Deciding: the odds from which a URL is blocked.
-UNKNOWN, UNKNOWN_CHAR = -3.0, -1.0
+#: Splitting: log10 chance of an unknown stretch, and of each of its characters. Deciding: the log odds over which a URL is blocked.
+UNKNOWN, UNKNOWN_CHAR = -3.0, -2.0
 BLOCK_ODDS = 0.0
 #: Host names seen lately whose words a worker keeps.
 KEPT_HOSTS = 50_000
@@ -97,7 +97,7 @@ class UrlModel:
         total = sum(counts.values())
         labelled = [(text.split(), y) for text, y in examples]
         known = Counter(w for words, _ in labelled for w in words)
-        # Example words count like words met once for each example and a thousandth of a percent of all.
+        # Words of examples count as if the pages had them, too: a hundred-thousandth of all words for each example.
         share = {w: counts.get(w, 0) + n * max(1.0, total / 1e5) for w, n in known.items()}
         weight = {**counts, **share}
         whole = sum(weight.values()) or 1
@@ -111,28 +111,24 @@ class UrlModel:
         self.prior = math.log((docs[1] + 1) / (docs[0] + 1)) if labelled else 0.0
 
     def segment(self, name: str) -> list[str]:
-        """The likeliest words of a run of letters; ties go to fewer, earlier longer words."""
+        """The likeliest words of a run of letters; ties go to longer last words."""
         n = len(name)
-        best: list[tuple[float, int, int]] = [(0.0, 0, 0)] + [(-math.inf, 0, 0)] * n
+        best, came = [0.0] + [-math.inf] * n, [0] * (n + 1)
         for end in range(1, n + 1):
             for start in range(max(0, end - self.width), end):
                 w = name[start:end]
-                p = self.log.get(w)
-                if p is None:
-                    p = UNKNOWN + UNKNOWN_CHAR * len(w) * 2
-                p += best[start][0]
-                if p > best[end][0]:
-                    best[end] = (p, start, 0)
+                p = best[start] + self.log.get(w, UNKNOWN + UNKNOWN_CHAR * len(w))
+                if p > best[end]:
+                    best[end], came[end] = p, start
         words, end = [], n
         while end:
-            start = best[end][1]
-            words.append(name[start:end])
-            end = start
+            words.append(name[came[end] : end])
+            end = came[end]
         return words[::-1]
 
     def words(self, text: str) -> list[str]:
         """Words of a host or path: runs of letters split; digits and marks separate."""
-        return [w for run in re.findall("[a-z]+", text) for w in self.segment(run[:4096]) + (self.segment(run[4096:]) if len(run) > 4096 else [])]
+        return [w for run in re.findall("[a-z]+", text) for w in self.segment(run)]
 
     def score(self, words: list[str]) -> float:
         """Log odds of block; words without an example say nothing."""
@@ -149,7 +145,7 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url", keep
     """The columns `keep` of `pages` and host, path, rule, verdict (allow or block), words and odds, for every row.
 
     A null url and one without :// have empty host and path, no rule and no words. Rows are independent: repeats and ties need no
-    care, empty tables give empty ones, kept columns named like an output are replaced. Long names are split whole, in stretches.
+    care, empty tables give empty ones, kept columns named like an output are replaced. Long names are split whole.
     """
     import pyarrow as pa
 
