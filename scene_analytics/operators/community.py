@@ -1,4 +1,4 @@
-"""Communities of a weighted graph: Leiden by levels of distributed local moving, and power iteration."""
+"""Communities of a weighted graph: Leiden in one bounded group, label propagation and power iteration on executors."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Graphs up to this many edges are solved in one group of one task; larger ones are first coarsened by distributed moves.
+from .lineage import materialize
+
+#: Graphs up to this many edges are solved in one group of one task; larger ones have to take a distributed form.
 ONE_TASK_EDGES = 2_000_000
 
 
@@ -118,13 +120,12 @@ def canonical(labels: DataFrame) -> DataFrame:
 def leiden(edges: DataFrame, nodes: DataFrame | None = None, resolution: float = 1.0, seed: int = 42) -> DataFrame:
     """(vec_id, cluster_id) from symmetric edges (src, dst, weight); `nodes` (vec_id) adds rows without an edge, each its own cluster.
 
-    Connected components of the graph don't influence each other's moves but through the total weight, which is passed on; each
-    component is solved in a group of its own.
+    The graph is solved in one group, whose size is checked first; the result doesn't depend on the order of the edges.
     """
     import pyarrow as pa
 
     if edges.count() > ONE_TASK_EDGES:
-        raise ValueError(f"more than {ONE_TASK_EDGES} edges: coarsen first, with power_iteration or label_propagation")
+        raise ValueError(f"more than {ONE_TASK_EDGES} edges: use label_propagation or power_iteration")
 
     def run(key, t):
         s, d, w = (t[c].to_numpy() for c in ("src", "dst", "weight"))
@@ -140,12 +141,20 @@ def leiden(edges: DataFrame, nodes: DataFrame | None = None, resolution: float =
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(vec_id, cluster_id) by heaviest neighbouring label, all on executors: for graphs too large for one task."""
+    """(vec_id, cluster_id) by heaviest neighbouring label, all on executors: for graphs too large for one task.
+
+    Each round is one join and one aggregation; ties go to the smaller label. Rounds end when no label changes.
+    """
+    edges = materialize(edges.select("src", "dst", "weight"))
     labels = edges.select(F.col("src").alias("vec_id")).distinct().withColumn("label", F.col("vec_id"))
     for _ in range(rounds):
         votes = edges.join(labels.withColumnRenamed("vec_id", "dst"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("src").agg(F.max(F.struct("w", -F.col("label"))).alias("b")).select(F.col("src").alias("vec_id"), (-F.col("b").getField("col2")).alias("label"))
-        labels = best
+        best = votes.groupBy("src").agg(F.max(F.struct("w", (-F.col("label")).alias("less"))).alias("b"))
+        new = materialize(best.select(F.col("src").alias("vec_id"), (-F.col("b.less")).alias("label")))
+        changed = not new.join(labels.withColumnRenamed("label", "old"), "vec_id").where("label <> old").isEmpty()
+        labels = new
+        if not changed:
+            break
     return canonical(labels)
 
 
