@@ -19,8 +19,9 @@ from .common import arrow_map, carried, materialize, split_batches, table, utf8
 BLOCK = 16
 RANK, OVERSAMPLE, POWER = 96, 16, 2
 #: Terms found in more than this share of the corpus's passages don't count, save the rarest ones of each item.
-COMMON, RAREST = 0.05, 8
-COSINE = 0.6
+COMMON, RAREST = 0.01, 8
+#: Windows with fewer words that count aren't compared; of the others, what reaches the cosine is checked.
+LEAST_WORDS, COSINE = 3, 0.65
 #: An item is found where its words' longest common subsequence with the place reaches SURE of them, or LIKELY with the answer.
 SURE, LIKELY, ANSWER_WORDS, MIN_WORDS = 0.8, 0.6, 4, 5
 #: Items searched for in one pass over the documents; more items make more passes.
@@ -193,12 +194,14 @@ def search(items: Items, texts: list[bytes], chunk: int = 4096) -> list[list[dic
         b = min(n_blocks, a + chunk)
         lo, hi = np.searchsorted(block, [a, b + 1])
         sums = np.zeros((b + 1 - a, items.basis.shape[1]), np.float32)
+        hits = np.bincount(block[lo:hi] - a, minlength=b + 1 - a)
         if hi > lo:
             at, first = np.unique(block[lo:hi], return_index=True)
             sums[at - a] = np.add.reduceat(items.basis[term[lo:hi]], first, axis=0)
         window = sums[:-1] + np.where(last[a:b, None], 0, sums[1:])
         size = np.sqrt(np.einsum("ij,ij->i", window, window))
-        live = np.flatnonzero(size > 1e-6)
+        held = hits[:-1] + np.where(last[a:b], 0, hits[1:])
+        live = np.flatnonzero((size > 1e-6) & (held >= LEAST_WORDS))
         cosine = (window[live] / size[live, None]) @ items.latent.T
         for w, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
             at = a + int(live[w])
