@@ -63,12 +63,19 @@ class BallTree:
 
 def _scores(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Exact inner products of whole numbers as int64; beyond the doubles' range by Python's own numbers."""
+    # Products of doubles are exact as long as no sum leaves their whole numbers.
     if queries.shape[1] * np.abs(queries).max(initial=0) * np.abs(points).max(initial=0) < EXACT:
         return (queries @ points.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
     return (whole(queries) @ whole(points).T).astype(np.int64)
 
 
+def _narrow(points: np.ndarray) -> str:
+    """The smallest kind that holds the whole numbers, for what is shuffled."""
+    most = np.abs(points).max(initial=0)
+    return "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
+
+
 def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, vec_id, score) of each query's k best rows in the tree that score `floor` or more, ties to smaller ids.
 
@@ -154,9 +161,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHAR
         def pack(key, t):
             t = t.sort_by("vec_id")
             points = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), f"{name}_part": pa.array([key[1].as_py()], pa.int32()), f"{name}_ids": [t["vec_id"].to_numpy().tobytes()], f"{name}_points": [points.tobytes()]})
+            points = points.astype(_narrow(points))
+            return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), f"{name}_part": pa.array([key[1].as_py()], pa.int32()), f"{name}_ids": [t["vec_id"].to_numpy().tobytes()], f"{name}_kind": [points.dtype.str], f"{name}_points": [points.tobytes()]})
 
-        return materialize_table(dealt.groupBy("dim", "part").applyInArrow(pack, f"dim int, {name}_part int, {name}_ids binary, {name}_points binary")), counts
+        return materialize_table(dealt.groupBy("dim", "part").applyInArrow(pack, f"dim int, {name}_part int, {name}_ids binary, {name}_kind string, {name}_points binary")), counts
 
     shards, s_counts = packed(vectors, shard_rows, "s")
     blocks, q_counts = packed(queries, block_rows, "q")
@@ -173,11 +181,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHAR
             for batch in batches:
                 for row in batch.to_pylist():
                     ids = np.frombuffer(row["s_ids"], np.int64)
-                    points = np.frombuffer(row["s_points"], np.float64).reshape(len(ids), row["dim"])
+                    points = np.frombuffer(row["s_points"], row["s_kind"]).astype(np.float64).reshape(len(ids), row["dim"])
                     if of != (row["dim"], row["s_part"]):
                         tree, of = BallTree(points), (row["dim"], row["s_part"])
                     q_ids = np.frombuffer(row["q_ids"], np.int64)
-                    q = np.frombuffer(row["q_points"], np.float64).reshape(len(q_ids), row["dim"])
+                    q = np.frombuffer(row["q_points"], row["q_kind"]).astype(np.float64).reshape(len(q_ids), row["dim"])
                     floor = np.full(len(q_ids), -np.inf)
                     for f in row.get("floors") or ():
                         floor[f["at"]] = f["score"]
