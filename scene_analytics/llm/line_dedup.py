@@ -47,10 +47,15 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
     )
     same = rows["__id"].eqNullSafe(dropped["__did"]) & (rows["__t1"] == dropped["__d1"]) & (rows["__t2"] == dropped["__d2"])
     lines = F.split(raw, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    cleaned = F.when(F.col("__gone").isNull(), raw).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    new = {text: cleaned, "n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")}
-    new["n_dropped"] = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(F.size("__gone").cast("long"))
+
+    def rest(split):
+        kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
+
+    # The lines are bound to a variable, so that a text is split once and not for each of its lines.
+    cleaned = F.when(F.col("__gone").isNull(), raw).otherwise(F.get(F.transform(F.array(lines), rest), F.lit(0)))
+    n_dropped = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone"))
+    new = {text: cleaned, "n_lines": F.size(lines).cast("long"), "n_dropped": n_dropped.cast("long")}
     others = [F.col(f"__row.`{c}`").alias(c) if c != text else new[text].alias(text) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     return rows.join(dropped, same, "left").select(*others, *[new[c].alias(c) for c in ("n_lines", "n_dropped")])
 
