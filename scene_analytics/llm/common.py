@@ -54,7 +54,7 @@ def hash128(c: Column, name: str) -> list[Column]:
     return [F.xxhash64(c).alias(f"{name}1"), F.xxhash64(F.lit(1), c).alias(f"{name}2")]
 
 
-def split_batches(batches, column: int, max_bytes: int = 8 << 20):
+def split_batches(batches, column: int, max_bytes: int = 4 << 20):
     """Arrow batches cut so that the texts in one piece stay near `max_bytes`; a single longer text is a piece of its own."""
     import numpy as np
     import pyarrow as pa
@@ -101,7 +101,24 @@ def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
             continue
         if not 0 < now <= most:
             conf.set(key, most)
-    return df.mapInArrow(run, schema)
+
+    def tidied(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(tidied, schema)
+
+
+def release() -> None:
+    """Hand what a task has freed back to the machine: workers are used again and would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 def carried(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
