@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are TF-IDF vectors over the benchmark's terms, weighted by how many passages of the corpus hold them. A distributed
-randomised SVD of the benchmark's passages gives a latent space; windows of every document are projected into it and compared with
-the items by cosine. What is near enough is settled by the longest common subsequence of words and a check of the item's answer.
+randomised SVD of the benchmark's passages gives a latent space. An exact bound leaves out windows of
+a document that cannot hold an item; the others are projected into the space and taken by falling cosine with the item, whatever it
+is. The longest common subsequence of words and a check of the item's answer settle them.
 """
 
 from __future__ import annotations
@@ -18,13 +19,11 @@ from .common import arrow_map, carried, materialize, split_batches, table, utf8
 #: Words of half a window; windows overlap by half.
 BLOCK = 16
 RANK, OVERSAMPLE, POWER = 96, 16, 2
-#: Terms found in more than this share of the corpus's passages don't count, save the rarest ones of each item.
-COMMON, RAREST = 0.01, 8
-#: Windows with fewer words that count aren't compared; of the others, what reaches the cosine is checked.
-LEAST_WORDS, COSINE = 3, 0.65
+#: Terms found in more than this share of the corpus's passages don't count for the cosine, save the rarest ones of each item.
+COMMON, RAREST = 0.05, 8
 #: An item is found where its words' longest common subsequence with the place reaches SURE of them, or LIKELY with the answer.
 SURE, LIKELY, ANSWER_WORDS, MIN_WORDS = 0.8, 0.6, 4, 5
-#: Items searched for in one pass over the documents; more items make more passes.
+#: Items searched for in one pass over the documents, about; more items make more passes.
 ITEMS = 1024
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -66,12 +65,14 @@ class Items:
     answers: list[list[int]]
     basis: np.ndarray  # terms x rank, weighted; zero rows for terms that don't count
     latent: np.ndarray  # items x rank, unit length
+    counted: np.ndarray  # terms x items, 0 or 1: terms of the item whose words are counted; all its others are taken for found
+    need: np.ndarray  # of each item: counted words that a place must hold to be LIKELY
 
     def __post_init__(self) -> None:
-        self.members = np.zeros((len(self.texts), len(self.terms)), bool)
-        for i, t in enumerate(self.texts):
-            self.members[i, t] = True
-        self.distinct = [len(set(t)) for t in self.texts]
+        self.members = [frozenset(t) for t in self.texts]
+        # Eight items' counts side by side in a number: a block's are at most BLOCK.
+        self.packed = np.pad(self.counted, ((0, 0), (0, -len(self.texts) % 8))).view(np.uint64)
+        self.reach = np.array([-(-len(t) // BLOCK) for t in self.texts], np.int64)
 
 
 def document_frequency(docs: DataFrame, terms: dict[bytes, int], text: str) -> tuple[np.ndarray, int]:
@@ -127,12 +128,14 @@ def randomised_svd(passages: DataFrame, n_terms: int, rank: int = RANK, seed: in
                     y = w @ q[t]
                     for i, x in zip(t, w, strict=True):
                         total[i] = total.get(i, 0) + x * y
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["term", "v"])
-
-        sums = F.array(*[F.sum(F.get("v", F.lit(i))) for i in range(q.shape[1])]).alias("v")
-        gram = np.zeros_like(q)
-        for r in passages.mapInArrow(run, "term int, v array<double>").groupBy("term").agg(sums).collect():
-            gram[r["term"]] = r["v"]
+            at = np.arange(q.shape[1])
+            for i, v in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array(i * len(at) + at, pa.int64()), pa.array(v, pa.float64())], names=["cell", "v"])
+
+        got = passages.mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
+        gram = np.zeros(q.size)
+        gram[got["cell"].to_numpy()] = got["v"].to_numpy()
+        gram = gram.reshape(q.shape)
         if step < POWER:
             q = gram
     if not n_terms:
@@ -141,8 +144,27 @@ def randomised_svd(passages: DataFrame, n_terms: int, rank: int = RANK, seed: in
     return q @ vectors
 
 
+def bounds(texts: list[list[int]], share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items.counted and Items.need; `share`: of the corpus's passages, those that hold a term.
+
+    No common subsequence is longer than the words of the counted terms at a place and all words of the item's other terms. This
+    holds for any choice; counted are the rarest terms, as many as make it least likely (Chernoff) that a place reaches the need.
+    """
+    counted, need = np.zeros((len(share), len(texts)), np.uint8), np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        blocks, least = 2 + 2 * -(-len(t) // BLOCK), int(np.ceil(LIKELY * len(t) - 1e-9))
+        order = sorted(set(t), key=lambda x: (share[x], x))
+        needs = least - len(t) + np.cumsum([t.count(x) for x in order])
+        expected = np.maximum(np.cumsum(share[order]) * blocks, 1e-9)
+        safe = np.maximum(needs, 1)
+        chance = np.where((needs >= 1) & (needs > expected), safe * np.log(safe / expected) - safe + expected, -1.0)
+        chosen = int(np.argmax(chance)) if chance.max() > 0 else len(order) - 1
+        counted[order[: chosen + 1], i], need[i] = 1, needs[chosen]
+    return counted, need
+
+
 def prepare(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, answer: str | None) -> Items:
-    """The space for at most ITEMS items; statistics come from all of `docs`."""
+    """The space for the items of a pass; statistics come from all of `docs`."""
     rows = items.collect()
     split = [words((r[item_text] or "").encode()) for r in rows]
     used = [i for i, w in enumerate(split) if len(w) >= MIN_WORDS]
@@ -165,7 +187,7 @@ def prepare(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_tex
     basis = randomised_svd(spark.createDataFrame(passages, "term array<int>, weight array<double>"), len(terms)) * idf[:, None]
     latent = np.array([sum((basis[x] for x in t), np.zeros(basis.shape[1])) for t in texts]).reshape(len(texts), basis.shape[1])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Items([rows[i][item_id] for i in used], terms, texts, answers, basis.astype(np.float32), latent.astype(np.float32))
+    return Items([rows[i][item_id] for i in used], terms, texts, answers, basis.astype(np.float32), latent.astype(np.float32), *bounds(texts, df / max(total, 1)))
 
 
 def search(items: Items, texts: list[bytes], chunk: int = 4096) -> list[list[dict]]:
@@ -182,48 +204,70 @@ def search(items: Items, texts: list[bytes], chunk: int = 4096) -> list[list[dic
     if not n_blocks or not items.texts:
         return found
     term, block = np.concatenate(ids), np.concatenate(blocks)
-    counts = np.abs(items.basis).max(axis=1) > 0
-    keep = term >= 0
-    keep[keep] = counts[term[keep]]
-    term, block = term[keep], block[keep]
+    term, block = term[term >= 0], block[term >= 0]
+    counts = items.counted.any(axis=1)[term]
+    c_term, c_block = term[counts], block[counts]
     starts = np.array(starts)
     last = np.zeros(n_blocks, bool)
     last[[s + -(-len(x) // BLOCK) - 1 for s, x in zip(starts, ids, strict=True) if len(x)]] = True
     near: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    lists: dict[int, list[int]] = {}
+    halo = int(items.reach.max()) + 2
     for a in range(0, n_blocks, chunk):
         b = min(n_blocks, a + chunk)
-        lo, hi = np.searchsorted(block, [a, b + 1])
+        # A place may hold an item if the blocks that its region touches have the words; those of a neighbouring text do no harm.
+        a0, b0 = max(0, a - halo), min(n_blocks, b + halo)
+        lo, hi = np.searchsorted(c_block, [a0, b0])
+        if hi == lo:
+            continue
+        held = np.zeros((b0 - a0 + 1, len(items.texts)), np.int32)
+        at, first = np.unique(c_block[lo:hi], return_index=True)
+        held[at - a0 + 1] = np.add.reduceat(items.packed[c_term[lo:hi]], first, axis=0).view(np.uint8)[:, : len(items.texts)]
+        held = np.cumsum(held, axis=0, dtype=np.int32)
+        possible = np.zeros((b - a, len(items.texts)), bool)
+        for r in np.unique(items.reach):
+            own, w = np.flatnonzero(items.reach == r), np.arange(a, b)
+            mine = np.ascontiguousarray(held[:, own])
+            possible[:, own] = mine[np.minimum(w + 2 + r, b0) - a0] - mine[np.maximum(w - r, a0) - a0] >= items.need[own]
+        at_window, at_item = np.nonzero(possible)
+        if not len(at_window):
+            continue
+        live, row = np.unique(at_window, return_inverse=True)
         sums = np.zeros((b + 1 - a, items.basis.shape[1]), np.float32)
-        hits = np.bincount(block[lo:hi] - a, minlength=b + 1 - a)
-        if hi > lo:
-            at, first = np.unique(block[lo:hi], return_index=True)
-            sums[at - a] = np.add.reduceat(items.basis[term[lo:hi]], first, axis=0)
-        window = sums[:-1] + np.where(last[a:b, None], 0, sums[1:])
-        size = np.sqrt(np.einsum("ij,ij->i", window, window))
-        held = hits[:-1] + np.where(last[a:b], 0, hits[1:])
-        live = np.flatnonzero((size > 1e-6) & (held >= LEAST_WORDS))
-        cosine = (window[live] / size[live, None]) @ items.latent.T
-        for w, i in zip(*np.nonzero(cosine >= COSINE), strict=True):
-            at = a + int(live[w])
-            doc = int(np.searchsorted(starts, at, side="right")) - 1
-            near.setdefault((doc, int(i)), []).append((float(cosine[w, i]), (at - int(starts[doc])) * BLOCK))
+        wanted = np.zeros(b + 1 - a, bool)
+        wanted[live] = wanted[live + 1] = True
+        lo, hi = np.searchsorted(block, [a, b + 1])
+        mine = wanted[block[lo:hi] - a]
+        if mine.any():
+            at, first = np.unique(block[lo:hi][mine], return_index=True)
+            sums[at - a] = np.add.reduceat(items.basis[term[lo:hi][mine]], first, axis=0)
+        window = sums[live] + np.where(last[a + live][:, None], 0, sums[live + 1])
+        size = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-6)
+        cosines = np.einsum("ij,ij->i", window[row], items.latent[at_item]) / size[row] if len(row) < 20_000 else ((window / size[:, None]) @ items.latent.T)[row, at_item]
+        docs_at = np.searchsorted(starts, a + at_window, side="right") - 1
+        for doc, i, cosine, at in zip(docs_at.tolist(), at_item.tolist(), cosines.tolist(), ((a + at_window - starts[docs_at]) * BLOCK).tolist(), strict=True):
+            near.setdefault((doc, i), []).append((cosine, at))
     for (doc, i), places in near.items():
         t, best, n = items.texts[i], None, len(items.texts[i])
-        held, spare = items.members[i], n - items.distinct[i]
+        held, spare = items.members[i], n - len(items.members[i])
+        mine = lists[doc] if doc in lists else lists.setdefault(doc, ids[doc].tolist())
 
         def may_reach(lo: int, hi: int) -> bool:
             """No common subsequence is longer than the item's terms that are there at all, and the item's repeats."""
-            x = ids[doc][max(0, lo) : hi]
-            return held[np.unique(x[x >= 0])].sum() + spare >= LIKELY * n
-
-        at_all = sorted(at for _, at in places)
-        if len(places) > 1 and at_all[-1] - at_all[0] <= 8 * BLOCK and not may_reach(at_all[0] - n, at_all[-1] + 2 * BLOCK + n):
-            continue
+            return len(held.intersection(mine[max(0, lo) : hi])) + spare >= LIKELY * n
+
+        # Neighbouring places are first looked at together.
+        runs: list[list[tuple[float, int]]] = []
+        for place in sorted(places, key=lambda p: p[1]):
+            if not runs or place[1] - runs[-1][0][1] > 4 * BLOCK:
+                runs.append([])
+            runs[-1].append(place)
+        places = [p for run in runs if len(run) == 1 or may_reach(run[0][1] - n, run[-1][1] + 2 * BLOCK + n) for p in run]
         for cosine, at in sorted(places, reverse=True):
             lo, hi = max(0, at - n), at + 2 * BLOCK + n
             if not may_reach(lo, hi):
                 continue
-            region = ids[doc][lo:hi].tolist()
+            region = mine[lo:hi]
             share = lcs(t, region) / n
             if share >= SURE or share >= LIKELY and contains(region, items.answers[i]):
                 best = {"item_id": items.ids[i], "similarity": share, "cosine": cosine, "word": at}

@@ -89,3 +89,36 @@ def test_passes_and_empty_tables(spark, monkeypatch):
     assert got >= truth
     assert dc.find_leaks(a.limit(0), b).count() == 0
     assert dc.find_leaks(a, b.limit(0)).where(F.size("leaks") > 0).count() == 0
+
+
+def test_short_items_among_common_words_are_found(spark):
+    rng = random.Random(4)
+    vocabulary = [f"{a}{b}" for a in "bdfgklmprtvz" for b in ("an", "el", "ist", "or", "um", "ek", "as", "ip", "ot", "un")]
+    weights = [1 / (i + 1) for i in range(len(vocabulary))]
+    text = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [(i, text(rng.randrange(6, 16))) for i in range(60)]
+    docs, truth = [], set()
+    for d in range(180):
+        w, body = list(items[d % 60][1]), text(150)
+        for _ in range(d // 60 * len(w) // 6):  # up to a third replaced, the answer stays
+            w[rng.randrange(len(w) - 4)] = "other"
+        at = rng.randrange(150)
+        body[at:at] = w
+        docs.append((d, " ".join(body)))
+        if dc.lcs(items[d % 60][1], w) >= dc.LIKELY * len(w):
+            truth.add((d, d % 60))
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    found = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), table)
+    assert truth <= {(r.doc_id, r.i) for r in found.select("doc_id", F.explode("leaks.item_id").alias("i")).collect()}
+
+
+def test_bounds_hold_for_any_place():
+    rng = random.Random(6)
+    share = np.array([1 / (i + 1) for i in range(40)])
+    texts = [rng.choices(range(40), share, k=rng.randrange(5, 40)) for _ in range(60)]
+    counted, need = dc.bounds(texts, share)
+    assert (need >= 1).all()
+    for _ in range(2000):
+        i, place = rng.randrange(60), rng.choices(range(40), k=rng.randrange(60))
+        if dc.lcs(texts[i], place) >= dc.LIKELY * len(texts[i]):
+            assert counted[place, i].sum(dtype=int) >= need[i]
