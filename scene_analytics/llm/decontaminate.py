@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are TF-IDF vectors over the benchmark's terms, weighted by how many passages of the corpus hold them. A distributed
-randomised SVD of the benchmark's passages gives a latent space. An exact bound leaves out windows of
+randomised SVD of the benchmark's passages gives a latent space with a dimension for each item. An exact bound leaves out windows of
 a document that cannot hold an item; the others are projected into the space and taken by falling cosine with the item, whatever it
 is. The longest common subsequence of words and a check of the item's answer settle them.
 """
@@ -18,13 +18,13 @@ from .common import arrow_map, carried, materialize, split_batches, table, utf8
 
 #: Words of half a window; windows overlap by half.
 BLOCK = 16
-RANK, OVERSAMPLE, POWER = 96, 16, 2
+OVERSAMPLE, POWER = 16, 2
 #: Terms found in more than this share of the corpus's passages don't count for the cosine, save the rarest ones of each item.
 COMMON, RAREST = 0.05, 8
 #: An item is found where its words' longest common subsequence with the place reaches SURE of them, or LIKELY with the answer.
 SURE, LIKELY, ANSWER_WORDS, MIN_WORDS = 0.8, 0.6, 4, 5
-#: Items searched for in one pass over the documents, about; more items make more passes.
-ITEMS = 1024
+#: Items searched for in one pass over the documents, about, and so the rank of its space; more items make more passes.
+ITEMS = 256
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -104,7 +104,7 @@ def document_frequency(docs: DataFrame, terms: dict[bytes, int], text: str) -> t
     return count[:-1], int(count[-1])
 
 
-def randomised_svd(passages: DataFrame, n_terms: int, rank: int = RANK, seed: int = 7) -> np.ndarray:
+def randomised_svd(passages: DataFrame, n_terms: int, rank: int, seed: int = 7) -> np.ndarray:
     """The leading right singular vectors (terms x rank) of the matrix whose rows are `passages` (term array<int>, weight array<double>).
 
     Each round multiplies by the matrix and its transpose where the rows are, and sums the partial products by term.
@@ -184,7 +184,7 @@ def prepare(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_tex
     rarest = [(sorted(set(t)), t) for t in texts]
     passages = [([x for x in s if idf[x]], [float(idf[x] * t.count(x)) for x in s if idf[x]]) for s, t in rarest]
     spark = docs.sparkSession
-    basis = randomised_svd(spark.createDataFrame(passages, "term array<int>, weight array<double>"), len(terms)) * idf[:, None]
+    basis = randomised_svd(spark.createDataFrame(passages, "term array<int>, weight array<double>"), len(terms), max(1, len(texts))) * idf[:, None]
     latent = np.array([sum((basis[x] for x in t), np.zeros(basis.shape[1])) for t in texts]).reshape(len(texts), basis.shape[1])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     return Items([rows[i][item_id] for i in used], terms, texts, answers, basis.astype(np.float32), latent.astype(np.float32), *bounds(texts, df / max(total, 1)))

@@ -122,3 +122,12 @@ def test_bounds_hold_for_any_place():
         i, place = rng.randrange(60), rng.choices(range(40), k=rng.randrange(60))
         if dc.lcs(texts[i], place) >= dc.LIKELY * len(texts[i]):
             assert counted[place, i].sum(dtype=int) >= need[i]
+
+
+def test_space_holds_every_item_of_a_pass(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    items = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(900)], k=rng.choice([8, 60])))) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string")
+    space = dc.prepare(docs, spark.createDataFrame(items, "item_id long, text string"), "text", "item_id", "text", None)
+    assert np.linalg.matrix_rank(space.latent, tol=1e-3) == 200
