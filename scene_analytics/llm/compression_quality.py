@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, carried, materialize, small, split_batches, table, utf8
 
-#: The fit's bounds: labelled texts of each class that are looked at, the bytes of a text that may be one of them, the bytes of a
-#: dictionary. What a dictionary doesn't take, calibrates.
-FIT_TEXTS, FIT_TEXT_BYTES, DICTIONARY_BYTES = 2000, 4096, 700_000
+#: The fit's bounds: labelled texts of each class that are looked at, of any length, and the bytes of a dictionary. What a
+#: dictionary doesn't take, calibrates.
+FIT_TEXTS, DICTIONARY_BYTES = 2000, 700_000
 LEVEL, THRESHOLD = 9, 0.7
 #: Added to a text's size, so that a few bytes don't decide.
 PAD = 32
@@ -72,36 +72,46 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float,
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id") -> CompressionScorer:
     """A scorer fitted on at most FIT_TEXTS texts of each class, those whose ids have the smallest hashes.
 
-    Rows without a text, an id or a label of 0 or 1 teach nothing, nor do texts over FIT_TEXT_BYTES. An id with several rows or
+    Rows without a text, an id or a label of 0 or 1 teach nothing. An id with several rows or
     labels counts each pair. If a class has no text its dictionary is empty; without any, every score is one half.
     """
     marked = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label"))
-    sized = docs.where(F.octet_length(text).between(1, FIT_TEXT_BYTES)).select(F.col(doc_id).alias("__id"))
+    sized = docs.where(F.octet_length(text) > 0).select(F.col(doc_id).alias("__id"), F.octet_length(text).alias("__size"))
     usable = materialize(marked.join(sized, "__id").distinct())
     draw = F.xxhash64(F.col("__id").cast("string"))
     chosen = None
     for y in (0, 1):
-        part = usable.where(F.col("__label") == y).orderBy(draw, "__id").limit(FIT_TEXTS)
+        part = usable.where(F.col("__label") == y).orderBy(draw, "__id", "__size").limit(FIT_TEXTS)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.where(F.octet_length(text).between(1, FIT_TEXT_BYTES)).join(small(materialize(chosen)), docs[doc_id] == F.col("__id"))
-    got = rows.select("__label", draw.alias("__draw"), F.col(text).alias("__text")).toArrow().sort_by([("__draw", "ascending")])
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for y, t in zip(got["__label"].to_pylist(), got["__text"].to_pylist(), strict=True):
-        if len(texts[y]) < FIT_TEXTS:
-            texts[y].append(t.encode())
+    chosen = materialize(chosen.withColumn("__draw", draw))
+    got = sorted(chosen.collect(), key=lambda r: (r["__draw"], str(r["__id"]), r["__size"]))
     # Both dictionaries are of one size, at most two thirds of what the smaller class has; the rest fits the curve.
-    size = min(DICTIONARY_BYTES, *(2 * sum(map(len, t)) // 3 for t in texts.values()))
-    kept, rest = [], []
+    size = min(DICTIONARY_BYTES, *(2 * sum(r["__size"] for r in got if r["__label"] == y) // 3 for y in (0, 1)))
+    picked = []
     for y in (0, 1):
-        n = total = 0
-        while n < len(texts[y]) and total < size:
-            total += len(texts[y][n])
-            n += 1
-        kept.append(b"\n".join(texts[y][:n]))
-        rest.append(texts[y][n:])
-    scorer = CompressionScorer(kept[1], kept[0])
-    x = np.array([scorer.feature(t) for y in (0, 1) for t in rest[y]])
-    y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
+        total = 0
+        for r in (r for r in got if r["__label"] == y):
+            if total >= size:
+                break
+            picked.append((r["__id"], y, r["__size"], size - total))
+            total += r["__size"]
+    keys = ["__id", "__label", "__size"]
+    taken = docs.sparkSession.createDataFrame(picked, chosen.select(*keys).withColumn("__room", F.lit(0)).schema)
+    full = docs.where(F.octet_length(text) > 0).withColumn("__size", F.octet_length(text)).withColumn("__key", F.col(doc_id))
+
+    def texts_of(part: DataFrame) -> DataFrame:
+        return full.select("__key", "__size", F.col(text).alias("__text")).join(small(part), (F.col("__key") == part["__id"]) & (full["__size"] == part["__size"])).drop(full["__size"])
+
+    # A longer text's beginning fills what room is left.
+    words = texts_of(taken).select("__label", draw.alias("__draw"), F.expr("left(__text, __room)").alias("__text")).toArrow().sort_by([("__draw", "ascending")])
+    kept: list[list[bytes]] = [[], []]
+    for y, t in zip(words["__label"].to_pylist(), words["__text"].to_pylist(), strict=True):
+        kept[y].append(t.encode())
+    scorer = CompressionScorer(*(b"\n".join(kept[y])[: DICTIONARY_BYTES + FIT_TEXTS] for y in (1, 0)))
+    # Texts that calibrate stay where they are, however long; their features come.
+    rest = texts_of(materialize(chosen.join(taken, keys, "left_anti").select(*keys)))
+    rated = score_documents(rest, scorer, text="__text", keep=("__label",), name="__x", feature=True).toArrow()
+    x, y = rated["__x"].to_numpy(), rated["__label"].to_numpy().astype(float)
     if len(x):
         scorer.slope, scorer.offset = fit_logistic(x, y)
     else:
@@ -113,8 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     return scorer
 
 
-def score_documents(docs: DataFrame, scorer: CompressionScorer, text: str = "text", keep: tuple[str, ...] | None = None, name: str = "score") -> DataFrame:
-    """The columns `keep` (default: all) of `docs` and `name` double in 0..1; higher: label 1 is likelier.
+def score_documents(docs: DataFrame, scorer: CompressionScorer, text: str = "text", keep: tuple[str, ...] | None = None, name: str = "score", feature: bool = False) -> DataFrame:
+    """The columns `keep` (default: all) of `docs` and `name` double in 0..1; higher: label 1 is likelier. With `feature` it is the feature.
 
     Null texts are scored as empty ones. Texts are compressed whole. Nothing but the text is looked at; equal texts score alike.
     """
@@ -128,7 +138,7 @@ def score_documents(docs: DataFrame, scorer: CompressionScorer, text: str = "tex
     def run(batches):
         s = shared.value
         for batch in split_batches(batches, at):
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([s.score(x) for x in utf8(batch.column(at))], pa.float64())], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([(s.feature if feature else s.score)(x) for x in utf8(batch.column(at))], pa.float64())], names=[*keep, name])
 
     return arrow_map(inputs, run, schema)
 

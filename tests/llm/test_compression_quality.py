@@ -44,3 +44,13 @@ def test_without_labels_or_rows(spark):
     assert cq.score_documents(docs.limit(0), scorer).count() == 0
     one = cq.train(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
     assert 0 < cq.score_documents(docs, one).first().score < 1
+
+
+def test_long_texts_teach(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    docs = [(i, " ".join(x.upper() if i % 2 else x for x in rng.choices(words, k=900))) for i in range(60)]
+    labels = [(i, 1 - i % 2) for i in range(60)]
+    scorer = cq.train(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert scorer.good and scorer.bad and scorer.slope > 0
+    assert all((scorer.score(t.encode()) >= 0.7) == (i % 2 == 0) for i, t in docs)
