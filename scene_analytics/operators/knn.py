@@ -76,7 +76,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def top_k_lsh(df: DataFrame, k: int = 15, bucket: float = 1.0, tables: int = 8, reach: float = 1.2, seed: int = 42) -> DataFrame:
-    """Approximate top_k by random projections; neighbours farther than `reach` on the unit sphere aren't looked for."""
+    """Approximate top_k by random projections; rows with fewer than k neighbours within `reach` on the unit sphere get theirs from top_k."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -86,4 +86,7 @@ def top_k_lsh(df: DataFrame, k: int = 15, bucket: float = 1.0, tables: int = 8,
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)
     pairs = model.approxSimilarityJoin(unit, unit, reach, "d").select(F.col("datasetA.vec_id").alias("src"), F.col("datasetB.vec_id").alias("dst"), (F.col("d") * F.col("d") / 2).alias("distance"))
     rank = F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))
-    return pairs.where("src <> dst").withColumn("rank", rank).where(F.col("rank") <= k)
+    found = pairs.where("src <> dst").withColumn("rank", rank).where(F.col("rank") <= k)
+    full = found.where(F.col("rank") == k).select("src")
+    exact = top_k(df, k).join(full, "src", "left_anti").select(*found.columns)
+    return found.join(full, "src", "left_semi").select(*found.columns).unionByName(exact)
