@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 #: Runs of 16 or more key characters with a digit among them, or what follows a named assignment.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,512}(?![A-Za-z0-9+/_-])|(?<=(?:password|passwd|secret|token|api_key|apikey)[=:])[^\s\"']{8,64})"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}+(?![A-Za-z0-9+/_-])|(?<=(?:password|passwd|secret|token|api_key|apikey)[=:])[^\s\"']{8,}+)"
 CUES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api|key|auth|bearer|credential|private|access)"
 HARMLESS = r"(?i)(sha(1|256)?|md5|hash|commit|digest|checksum|uuid|guid|order|invoice|card|phone|isbn|version|build|file|image|example|sample|dummy)"
 TEST_PATH = r"(?i)(test|example|sample|mock|fixture|doc|demo)"

@@ -42,3 +42,10 @@ def test_query(spark, tmp_path):
 
 def test_empty(spark, model):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
+
+
+def test_long_candidates_are_whole(spark):
+    long, value = "a1" * 300, "b!7" * 50
+    docs = spark.createDataFrame([(1, f"key {long} end"), (2, f"password={value} end")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.token, r.start, r.end) for r in secrets.candidates(docs).collect())
+    assert got == [(1, long, 4, 604), (2, value, 9, 159)]
