@@ -17,25 +17,25 @@ MIN_DOCS, MIN_CHARS = 10, 1
 def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs` with `text` cleaned, and `n_lines` (before dropping) and `n_dropped` (long).
 
-    A document is a row. A null text is an empty one: one empty line. A row with null or repeated ids keeps its own result, rows
-    that are alike in id and text get the same one. Lines are compared without outer ASCII white space and with A-Z lower-cased;
-    a line repeated inside one document counts once. Other columns pass unchanged, except columns named n_lines and n_dropped,
-    which are replaced. An empty table gives an empty table. Only hashes, positions and counts of lines are shuffled before the
-    one join that brings the dropped positions to the texts; no step gathers the documents of a line.
+    A line counts the distinct ids of the documents that hold it: rows that share an id count once, rows without an id each for
+    themselves. Each row keeps its own result; rows that are alike in id and text get the same one. A null text is an empty one:
+    one empty line. Lines are compared without outer ASCII white space and with A-Z lower-cased. Other columns pass unchanged,
+    except columns named n_lines and n_dropped, which are replaced. An empty table gives an empty table. Only hashes, positions
+    and counts of lines are shuffled before the one join that brings the dropped positions to the texts; no step gathers the
+    documents of a line.
     """
     raw = F.coalesce(F.col(f"__row.{text}"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     rows = rows.select("__row", F.col(f"__row.{doc_id}").alias("__id"), *hash128(raw, "__t"))
     keys = F.transform(F.split(ascii_lower(raw), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)))
     long_enough = F.length("__key") >= min_chars
-    hot = (
-        rows.select(F.explode(F.array_distinct(keys)).alias("__key"))
-        .where(long_enough)
-        .groupBy(*hash128(F.col("__key"), "__h"))
-        .agg(F.count("*").alias("__n"))
-        .where(F.col("__n") >= min_docs)
-        .select("__h1", "__h2")
-    )
+    held = rows.select("__id", F.explode(F.array_distinct(keys)).alias("__key")).where(long_enough).select("__id", *hash128(F.col("__key"), "__h"))
+    # Where an id has several rows its lines are made distinct; all others are so already and need no shuffle for it.
+    repeated = materialize(rows.where("__id is not null").groupBy("__id").agg(F.count("*").alias("__n")).where("__n > 1").select("__id"))
+    if not repeated.isEmpty():
+        repeated = small(repeated)
+        held = held.join(repeated, "__id", "left_anti").unionByName(held.distinct().join(repeated, "__id", "left_semi"))
+    hot = held.groupBy("__h1", "__h2").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_docs).select("__h1", "__h2")
     hot = small(materialize(hot))
     dropped = (
         rows.select("__id", "__t1", "__t2", F.posexplode(keys).alias("__pos", "__key"))
@@ -61,6 +61,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; edge cases as in `drop_repeated_lines`."""
     kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -68,14 +69,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL = f"""
-WITH l AS (
-  SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos,
-         unnest(string_split(coalesce(text, ''), chr(10))) AS line
-  FROM documents),
-k AS (SELECT doc_id, pos, line, translate(trim(line, {_WS}), '{UPPER}', '{LOWER}') AS key FROM l),
-hot AS (SELECT key FROM k WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCS})
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hot.key IS NOT NULL) AS n_dropped,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT rid, doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line
+  FROM d),
+k AS (SELECT rid, doc_id, pos, line, translate(trim(line, {_WS}), '{UPPER}', '{LOWER}') AS key FROM l),
+hot AS (
+  SELECT key FROM k WHERE length(key) >= {MIN_CHARS}
+  GROUP BY key HAVING count(DISTINCT coalesce(doc_id::VARCHAR, 'row ' || rid)) >= {MIN_DOCS})
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hot.key IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hot.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN hot ON k.key = hot.key
-GROUP BY doc_id
+GROUP BY rid
 """

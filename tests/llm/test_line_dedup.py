@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from scene_analytics.llm import line_dedup
@@ -14,6 +15,7 @@ def key(line):
 
 
 def brute(texts, min_docs=10, min_chars=1):
+    """Texts of documents of their own."""
     count = Counter(k for t in texts for k in {key(x) for x in (t or "").split("\n")})
     out = []
     for t in texts:
@@ -46,10 +48,18 @@ def test_brute_force(spark):
         assert sorted(map(tuple, found.collect()), key=str) == sorted(brute(texts, *limits), key=str)
 
 
-def test_repeated_ids_with_other_texts_and_empty_table(spark):
-    docs = spark.createDataFrame([(1, "a\nb")] * 10 + [(1, "a\nc")], "doc_id long, text string")
+def test_documents_are_distinct_ids(spark, tmp_path):
+    """Ten rows of one document hold a line once; the SQL agrees, with null ids and repeated ones."""
+    rows = [(1, "a\nb")] * 10 + [(1, "a\nc")] + [(i, "b\nd") for i in range(2, 10)] + [(None, "d\ne")] * 10 + [(20, None), (20, "D \n"), (21, "")]
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame(rows, schema)
     got = Counter(tuple(r) for r in line_dedup.drop_repeated_lines(docs).collect())
-    assert got == {(1, "", 2, 2): 10, (1, "c", 2, 1): 1}
+    assert got[(1, "a\nb", 2, 0)] == 10 and got[(1, "a\nc", 2, 0)] == 1 and got[(2, "b", 2, 1)] == 1 and got[(None, "", 2, 2)] == 10 and got[(20, "", 2, 1)] == 1
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = db.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({line_dedup.ORACLE_SQL})").fetchall()
+    assert sorted(map(tuple, line_dedup.op8_line_dedup(spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
     assert line_dedup.drop_repeated_lines(docs.limit(0)).count() == 0
 
 
