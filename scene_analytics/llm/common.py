@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scene_analytics.operators.lineage import ensure_checkpoint_dir, materialize
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The white space of the contracts: [\x20\x09-\x0D].
@@ -21,25 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; only a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="checkpoint-")
-    sc.setCheckpointDir(shared)
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once, keep in reliable shared storage, cut the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` marked for broadcast if it has at most `limit` rows, else unchanged. `df` should be materialised."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
@@ -84,7 +66,18 @@ def materialize_table(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def remove_table(df: DataFrame) -> None:
+    """Delete what `materialize_table` wrote for `df`; nothing that is still to be computed may read it. Other tables stay."""
+    path = getattr(df, "_stored_at", None)
+    if path is not None:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 #: Texts are long: an Arrow batch holds few rows, and few bytes where the engine can be told so.
@@ -121,9 +114,23 @@ def release() -> None:
         trim(0)
 
 
+def fresh(name: str, taken) -> str:
+    """`name`, with underscores behind it until no column of `taken` is called so, in whatever case."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(columns, replaced) -> list[str]:
+    """The columns whose names, in whatever case, are none of the `replaced` ones."""
+    gone = {c.lower() for c in replaced}
+    return [c for c in columns if c.lower() not in gone]
+
+
 def carried(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
-    """The columns `keep` and, unless it is one of them, `text` behind them as __text; and the place of the text."""
+    """The columns `keep` and, unless it is one of them, `text` behind them under a name of its own; and the place of the text."""
     columns = [docs[f"`{c}`"] for c in keep]
     if text in keep:
         return docs.select(*columns), keep.index(text)
-    return docs.select(*columns, docs[text].alias("__text")), len(keep)
+    return docs.select(*columns, docs[f"`{text}`"].alias(fresh("__text", keep))), len(keep)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, carried, materialize, small, split_batches, table, utf8
+from .common import arrow_map, carried, materialize, small, split_batches, table, utf8, without
 
 #: The fit's bounds: labelled texts of each class that are looked at, of any length, and the bytes of a dictionary. What a
 #: dictionary doesn't take, calibrates.
@@ -97,10 +97,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
             total += r["__size"]
     keys = ["__id", "__label", "__size"]
     taken = docs.sparkSession.createDataFrame(picked, chosen.select(*keys).withColumn("__room", F.lit(0)).schema)
-    full = docs.where(F.octet_length(text) > 0).withColumn("__size", F.octet_length(text)).withColumn("__key", F.col(doc_id))
+    full = docs.where(F.octet_length(text) > 0).select(F.col(doc_id).alias("__key"), F.octet_length(text).alias("__size"), F.col(text).alias("__text"))
 
     def texts_of(part: DataFrame) -> DataFrame:
-        return full.select("__key", "__size", F.col(text).alias("__text")).join(small(part), (F.col("__key") == part["__id"]) & (full["__size"] == part["__size"])).drop(full["__size"])
+        return full.join(small(part), (F.col("__key") == part["__id"]) & (full["__size"] == part["__size"])).drop(full["__size"])
 
     # A longer text's beginning fills what room is left.
     words = texts_of(taken).select("__label", draw.alias("__draw"), F.expr("left(__text, __room)").alias("__text")).toArrow().sort_by([("__draw", "ascending")])
@@ -126,11 +126,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 def score_documents(docs: DataFrame, scorer: CompressionScorer, text: str = "text", keep: tuple[str, ...] | None = None, name: str = "score", feature: bool = False) -> DataFrame:
     """The columns `keep` (default: all) of `docs` and `name` double in 0..1; higher: label 1 is likelier. With `feature` it is the feature.
 
-    Null texts are scored as empty ones. Texts are compressed whole. Nothing but the text is looked at; equal texts score alike.
+    Null texts are scored as empty ones. Texts are compressed whole. Nothing but the text is looked at; equal texts score alike,
+    rows with null or repeated ids too. A kept column called `name`, in whatever case, is replaced; an empty table gives an empty one.
     """
     import pyarrow as pa
 
-    keep = [c for c in (keep if keep is not None else docs.columns) if c != name]
+    keep = without(keep if keep is not None else docs.columns, [name])
     inputs, at = carried(docs, keep, text)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[: len(keep)]] + [f"`{name}` double"])
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # a few times DICTIONARY_BYTES
@@ -153,6 +154,7 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> CompressionSco
 
 
 def op9_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; edge cases as in `train` and `score_documents`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs, trained(spark, docs, sf_dir), keep=("doc_id",))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

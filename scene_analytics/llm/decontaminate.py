@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, carried, materialize, split_batches, table, utf8
+from .common import arrow_map, carried, fresh, materialize, split_batches, table, utf8
 
 #: Words of half a window; windows overlap by half.
 BLOCK = 16
@@ -277,16 +277,16 @@ def search(items: Items, texts: list[bytes], chunk: int = 4096) -> list[list[dic
     return found
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The columns `keep` (default: all) of `docs` and leaks: a list of (item_id, similarity, cosine, word), empty for clean rows.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, keep: tuple[str, ...] | None = None, name: str = "leaks") -> DataFrame:
+    """The columns `keep` (default: all) of `docs` and `name`: a list of (item_id, similarity, cosine, word), empty for clean rows.
 
     Null texts are empty; items without MIN_WORDS words, null ones too, are in no text. Without an `answer` column an item's last
     ANSWER_WORDS words are its answer. Repeated rows repeat, repeated items are each found. Texts are searched whole. A kept
-    column named leaks is replaced. Empty tables of either kind find nothing.
+    column called `name`, in whatever case, is replaced. Empty tables of either kind find nothing.
     """
     import pyarrow as pa
 
-    keep = [c for c in (keep if keep is not None else docs.columns) if c != "leaks"]
+    keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() != name.lower()]
     spark = docs.sparkSession
     columns = [F.col(item_id), F.col(item_text)] + ([F.col(answer)] if answer else [])
     items = materialize(benchmark.select(*columns))
@@ -295,7 +295,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     kind = items.schema[item_id].dataType.simpleString()
     leak = f"struct<item_id:{kind},similarity:double,cosine:double,word:long>"
     inputs, at = carried(docs, keep, text)
-    out = inputs.withColumn("leaks", F.array().cast(f"array<{leak}>"))
+    out = inputs.withColumn(name, F.array().cast(f"array<{leak}>"))
     last = len(inputs.columns)
     for p in range(passes):
         shared = spark.sparkContext.broadcast(prepare(docs, dealt.where(F.col("__pass") == p).drop("__pass"), text, item_id, item_text, answer))
@@ -307,17 +307,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
                 yield pa.RecordBatch.from_arrays([*batch.columns[:last], leaks], names=list(out_names))
 
         out = arrow_map(out, run, out.schema)
-    return out.drop("__text")
+    return out.select(*[f"`{c}`" for c in keep], name)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` in which no benchmark item is found."""
-    named = docs if "leaks" not in docs.columns else docs.withColumnRenamed("leaks", "__leaks")
-    clean = find_leaks(named, benchmark, text).where(F.size("leaks") == 0).drop("leaks")
-    return clean if named is docs else clean.withColumnRenamed("__leaks", "leaks")
+    """The rows of `docs` in which no benchmark item is found, with all their columns, whatever their names; else as `find_leaks`."""
+    name = fresh("leaks", docs.columns)
+    return find_leaks(docs, benchmark, text, name=name).where(F.size(name) == 0).drop(name)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document and each benchmark item found in it."""
+    """A row for each document and each benchmark item found in it; edge cases as in `find_leaks`."""
     found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep=("doc_id",))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", F.round("leak.similarity", 6).alias("similarity"), "leak.word")

@@ -9,18 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, ascii_lower, hash128, materialize, small, table
+from .common import LOWER, SPACE, UPPER, ascii_lower, hash128, materialize, small, table, without
 
 MIN_DOCS, MIN_CHARS = 10, 1
 
 
-def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs` with `text` cleaned, and `n_lines` (before dropping) and `n_dropped` (long).
+def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, text: str = "text", doc_id: str = "doc_id", counts: bool = True) -> DataFrame:
+    """The rows of `docs` with `text` cleaned, and with `counts` also `n_lines` (before dropping) and `n_dropped` (long).
 
     A line counts the distinct ids of the documents that hold it: rows that share an id count once, rows without an id each for
     themselves. Each row keeps its own result; rows that are alike in id and text get the same one. A null text is an empty one:
     one empty line. Lines are compared without outer ASCII white space and with A-Z lower-cased. Other columns pass unchanged,
-    except columns named n_lines and n_dropped, which are replaced. An empty table gives an empty table. Only hashes, positions
+    whatever their names; only `counts` replace columns called n_lines and n_dropped. An empty table gives an empty table. Only hashes, positions
     and counts of lines are shuffled before the one join that brings the dropped positions to the texts; no step gathers the
     documents of a line.
     """
@@ -56,8 +56,9 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: in
     cleaned = F.when(F.col("__gone").isNull(), raw).otherwise(F.get(F.transform(F.array(lines), rest), F.lit(0)))
     n_dropped = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone"))
     new = {text: cleaned, "n_lines": F.size(lines).cast("long"), "n_dropped": n_dropped.cast("long")}
-    others = [F.col(f"__row.`{c}`").alias(c) if c != text else new[text].alias(text) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    return rows.join(dropped, same, "left").select(*others, *[new[c].alias(c) for c in ("n_lines", "n_dropped")])
+    added = ["n_lines", "n_dropped"] if counts else []
+    others = [F.col(f"__row.`{c}`").alias(c) if c != text else new[text].alias(text) for c in without(docs.columns, added)]
+    return rows.join(dropped, same, "left").select(*others, *[new[c].alias(c) for c in added])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, carried, split_batches, table, utf8
+from .common import arrow_map, carried, split_batches, table, utf8, without
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁".encode()  # what stands for a space inside pieces
@@ -519,7 +519,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, outputs: tuple[s
 
     kinds = {"ids": "array<int>", "starts": "array<long>", "ends": "array<long>", "decoded": "string", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string", "spans_sha256": "string"}
     arrow = {"ids": pa.list_(pa.int32()), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "n_tokens": pa.int64()}
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in outputs]
+    keep = without(keep if keep is not None else docs.columns, outputs)
     inputs, at = carried(docs, keep, text)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inputs.schema.fields[: len(keep)]] + [f"`{c}` {kinds[c]}" for c in outputs])
 

@@ -56,7 +56,7 @@ def test_pipeline_is_brute_force(spark, tmp_path):
     clean = ["\n".join(x for x in (d[1] or "").split("\n") if not key(x) or count[key(x)] < 10) for d in rows]
     rows = [(d[0], t, d[2], d[3], len(t)) for d, t in zip(rows, clean, strict=True)]
 
-    least = brute_components([d[0] for d in rows], [brute_fingerprint(d[1]) for d in rows])
+    least = brute_components([d[0] for d in rows], [brute_fingerprint(d[1], corpus_pipeline.NEAR_WORDS) for d in rows], corpus_pipeline.NEAR_BITS)
     rows = [d for d, c in zip(rows, least, strict=True) if d[0] == c]
     leaks = {d for d, _ in brute_leaks(items, [d[:3] for d in rows])}
     assert leaks
@@ -71,15 +71,40 @@ def test_pipeline_is_brute_force(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
-def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, leaks string, n_lines int, fp long, __note string"
+CLASHING = ("leaks", "leaks_", "n_lines", "N_Dropped", "fp", "id", "row_fp", "component_id", "__row", "__id", "__key", "__text", "__text_", "__size", "__score", "score", "c0", "ids", "spans", "u", "root")
+
+
+def test_stages_keep_all_columns_and_take_empty_tables(spark, tmp_path):
+    docs, labels, items = corpus()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in CLASHING)
+    full = spark.createDataFrame([(*d, *(d[0] * 100 + i for i in range(len(CLASHING)))) for d in docs[:120] + docs[-3:]], schema)
+    for docs in (full, full.limit(0)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            rows = (docs := stage(spark, docs, str(tmp_path))).collect()
+            docs = spark.createDataFrame(rows, docs.schema)
+            if k < 4:
+                assert docs.schema.simpleString() == full.schema.simpleString(), name
+            assert all(r[c] == r.doc_id * 100 + i for r in rows for i, c in enumerate(CLASHING) if not (k == 4 and c in docs.columns[-4:])), name
+        assert bool(rows) == (docs.limit(1).count() == 1)
+
+
+def test_stages_without_labels_and_benchmark(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for rows in ([], [(1, "a text of some words", "en", "s", 20, "x", 3, 7, "n")]):
-        docs = spark.createDataFrame(rows, schema)
-        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:]):
-            docs = stage(spark, docs, str(tmp_path))
-            assert docs.count() == len(rows)
-            if k < 3:
-                assert set(docs.columns) == {*docs.columns} and docs.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = spark.createDataFrame([(1, "a text of some words", "en", "s", 20)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [stage(spark, docs, str(tmp_path)).count() for _, stage in corpus_pipeline.STAGES] == [0, 1, 1, 1, 1]
     assert decontaminate.MIN_WORDS == 5
+
+
+def test_run_leaves_one_table(spark, tmp_path):
+    from scene_analytics.llm import common
+
+    df = common.materialize_table(spark.range(3))
+    common.remove_table(spark.range(3))
+    assert df.count() == 3
+    common.remove_table(df)
+    import os
+
+    assert not os.path.exists(df._stored_at.removeprefix("file:"))

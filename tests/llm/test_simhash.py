@@ -8,11 +8,11 @@ from scene_analytics.llm import simhash
 from scene_analytics.llm.components import connected_components
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, words=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:
         return 0
-    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    s = [" ".join(w[i : i + words]) for i in range(len(w) - words + 1)] or [" ".join(w)]
     h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in s]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
@@ -56,10 +56,26 @@ def test_fingerprint():
         assert simhash.fingerprint((t or "").encode()) == brute_fingerprint(t)
 
 
-def test_triples_reach_every_five_positions():
+def test_triples_reach_every_guaranteed_set_of_positions():
     from itertools import combinations
 
-    assert all(any(set(t) <= set(five) for t in simhash.triples()) for five in combinations(range(8), 5))
+    for bits in range(6):
+        assert all(any(set(t) <= set(same) for t in simhash.triples(bits)) for same in combinations(range(8), 8 - bits))
+
+
+def test_count_filter_rejects_before_bits_are_counted():
+    """Pairs that share three positional bytes meet in a list; those with fewer than five in all are never verified."""
+    rng = random.Random(7)
+    a = rng.getrandbits(64)
+    met = [a ^ sum(rng.randrange(1, 256) << 8 * p for p in rng.sample(range(3, 8), rng.randrange(1, 6))) for _ in range(400)]
+    met += [a ^ sum(1 << p for p in rng.sample(range(64), rng.randrange(1, 4))) for _ in range(50)]
+    differing = np.array([a ^ x for x in met], np.uint64)
+    kept = simhash.tally(differing, 3)
+    shared = [sum(d >> 8 * p & 255 == 0 for p in range(8)) for d in differing.tolist()]
+    assert kept.tolist() == [i for i, n in enumerate(shared) if n >= 5] and 0 < len(kept) < len(met) - 100
+    bits = [d.bit_count() for d in differing.tolist()]
+    assert simhash.verified(differing, 3).tolist() == [i for i, n in enumerate(bits) if 0 < n <= 3]
+    assert len(simhash.verified(differing, 3)) < len(kept)
 
 
 def test_query_is_brute_force(spark, tmp_path):
@@ -79,11 +95,11 @@ def test_many_close_fingerprints_in_blocks(spark):
     fps = list({b ^ sum(1 << p for p in rng.sample(range(64), rng.randrange(4))) for b in base for _ in range(150)})
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    for list_rows in (16_384, 20):
-        links = simhash.link_fingerprints(df, list_rows).collect()
-        assert all(bin((r.u ^ r.v) & (2**64 - 1)).count("1") <= 3 for r in links)
+    for list_rows, bits in ((16_384, 3), (20, 3), (16_384, 5), (20, 5)):
+        links = simhash.link_fingerprints(df, list_rows, bits).collect()
+        assert all(bin((r.u ^ r.v) & (2**64 - 1)).count("1") <= bits for r in links)
         got = {r.node: r.root for r in connected_components(spark.createDataFrame([(r.u, r.v) for r in links], "u long, v long")).collect()}
-        want = brute_components(signed, fps)
+        want = brute_components(signed, fps, bits)
         assert [got.get(s, s) for s in signed] == want
 
 
