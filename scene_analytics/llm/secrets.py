@@ -34,7 +34,7 @@ CONFIG_PATH = r"(?i)(\.env|\.ya?ml|\.properties|\.ini|\.toml|\.tfvars|config|set
 #: English words of identifiers, known beside the corpus's own.
 WORDS = ("the", "and", "for", "with", "this", "that", "user", "name", "file", "path", "data", "test", "example", "sample", "value", "index", "page", "home", "http", "https", "www", "com", "org", "html", "image", "photo", "list", "item", "version", "build", "release", "config", "default", "number", "order", "invoice", "report", "chapter", "section", "article", "product", "customer", "address", "street", "project", "module", "class", "method", "function", "variable", "january", "february", "march", "april", "june", "july", "august", "september", "october", "november", "december", "monday", "friday", "north", "south", "update", "create", "delete", "select", "table", "column", "row", "field", "string", "type", "size", "width", "height", "long", "short", "first", "last", "next")
 #: The corpus's words that the dictionary takes at most, by falling count, and how often one is found at least.
-MOST_WORDS, LEAST_COUNT, BUCKETS = 20_000, 5, 1 << 15
+MOST_WORDS, LEAST_COUNT = 20_000, 5
 TREES, DEPTH, SEED, KEEP_FROM, TRAINING_ROWS = 40, 9, 11, 0.5, 6000
 #: Candidates of a text whose ends are added up at a time.
 RUN = 256
@@ -66,45 +66,58 @@ class Lexicon:
             for a, b in zip(w, w[1:], strict=False):
                 pairs[(ord(a) - 97) * 26 + ord(b) - 97] += n
         sums = [sum(pairs[26 * a : 26 * a + 26]) for a in range(26)]
-        return Lexicon(tuple(sorted(counts)), tuple(math.log10(n / sums[i // 26]) for i, n in enumerate(pairs)))
-
-    def knows(self, buckets: list[list[str]]) -> Column:
-        return F.from_json(F.lit(json.dumps(buckets)), "array<array<string>>")
+        return Lexicon(tuple(sorted(counts)), tuple(round(math.log10(n / sums[i // 26]), 3) for i, n in enumerate(pairs)))
 
     def letter_steps(self) -> Column:
         return F.from_json(F.lit(json.dumps(self.steps)), "array<double>")
 
+    def cover(self, rows: DataFrame) -> DataFrame:
+        """`rows` with covered: the letters of `token` in parts of four or more that are words; known words are broadcast, as they are few."""
+        rows = materialize(rows.withColumn("place", F.monotonically_increasing_id()))
+        part = F.explode(F.split(F.lower(F.regexp_replace("token", "([a-z])([A-Z])", "$1 $2")), "[^a-z]+"))
+        known = F.broadcast(rows.sparkSession.createDataFrame([(w,) for w in self.words], "word string"))
+        found = rows.select("place", part.alias("word")).where(F.length("word") >= 4).join(known, "word")
+        covered = found.groupBy("place").agg(F.sum(F.length("word")).alias("covered"))
+        return rows.join(covered, "place", "left").drop("place").withColumn("covered", F.coalesce("covered", F.lit(0)))
+
 
 def dictionary(docs: DataFrame, text: str = "text", most: int = MOST_WORDS, least: int = LEAST_COUNT) -> Lexicon:
-    """The `most` most frequent words a-z of three letters or more that all of `docs` holds `least` times, and WORDS, once each.
+    """At most `most` of the most frequent words a-z of three letters or more that all of `docs` holds `least` times, and WORDS.
 
-    A-Z count as a-z; ties go to the word that sorts first. Null texts have none; an empty table leaves WORDS.
+    A-Z count as a-z; words whose counts are nearly alike are taken together or not at all. Null texts have none; an empty table
+    leaves WORDS.
     """
     each = docs.select(F.explode(F.split(F.translate(text, LOWER.upper(), LOWER), "[^a-z]+")).alias("word")).where(F.length("word") >= 3)
-    counts = each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    top = counts.orderBy(F.desc("n"), "word").limit(most).collect()
+    counts = materialize(each.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+    # From a histogram of a few hundred buckets: the least count of which no more than `most` words are. No task sorts them all.
+    bucket = F.floor(F.log2("n") * 16).cast("int")
+    total, lowest = 0, None
+    for b, n in sorted(((r["b"], r["count"]) for r in counts.groupBy(bucket.alias("b")).count().collect()), reverse=True):
+        if total + n > most:
+            break
+        total, lowest = total + n, b
+    top = [] if lowest is None else counts.where(bucket >= lowest).collect()
     return Lexicon.of(dict.fromkeys(WORDS, 1) | {r["word"]: r["n"] for r in top})
 
 
-def features(token: Column, before: Column, after: Column, path: Column, lexicon: Lexicon, spark: SparkSession) -> dict[str, Column]:
-    """The columns of FEATURES. `before`, `after`: the words around the candidate."""
+def _bound(value: Column, use) -> Column:
+    """use(value) with `value` computed once: a lambda would compute it again for each entry it looks at."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def features(lexicon: Lexicon) -> dict[str, Column]:
+    """FEATURES of rows (token, before, after, path, covered); before, after: the words around the candidate."""
+    token = F.col("token")
+    before, after, path = (F.coalesce(c, F.lit("")) for c in ("before", "after", "path"))
     n = F.greatest(F.length(token), F.lit(1))
     share = lambda pattern: F.length(F.regexp_replace(token, pattern, "")) / n
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[^A-Za-z0-9]", "-"), "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
-    parts = F.split(F.lower(F.regexp_replace(token, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
-    # Words are looked up in buckets by hash: one constant, one step for each word.
-    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
-    listed = spark.createDataFrame([(w,) for w in lexicon.words], "word string")
-    for r in listed.select("word", F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("b")).collect():
-        buckets[r["b"]].append(r["word"])
-    known = lexicon.knows(buckets)
-    covered = F.aggregate(parts, F.lit(0), lambda s, p: s + F.when((F.length(p) >= 4) & F.array_contains(F.get(known, F.pmod(F.xxhash64(p), F.lit(BUCKETS)).cast("int")), p), F.length(p)).otherwise(0))
     syllables = F.regexp_count(F.lower(token), F.lit("[bcdfghjklmnpqrstvwxyz][aeiou]"))
     codes = F.transform(F.regexp_extract_all(F.lower(token), F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c) - 97)  # never inside a lambda
     letter = lambda c: (c >= 0) & (c < 26)
     steps = lexicon.letter_steps()
     chances = F.filter(F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: F.when(letter(a) & letter(b), F.get(steps, a * 26 + b))), lambda x: x.isNotNull())
-    usual = F.aggregate(chances, F.lit(0.0), lambda s, x: s + x) / F.size(chances)
+    usual = _bound(chances, lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)).otherwise(F.lit(-math.log10(26))))
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return {
         "length": F.log2(n),
@@ -116,8 +129,8 @@ def features(token: Column, before: Column, after: Column, path: Column, lexicon
         "prefix": flag(token.rlike("^(AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk_live_|sk-|xox[abprs]-|AIza|eyJ)")),
         "changes": F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) / n,
         "pairs": syllables / n,
-        "likelihood": F.when(F.size(chances) > 0, usual).otherwise(F.lit(-math.log10(26))),
-        "words": covered / n,
+        "likelihood": usual,
+        "words": F.col("covered") / n,
         "testing": flag(path.rlike(TEST_PATH)),
         "configured": flag(path.rlike(CONFIG_PATH)),
         "depth": F.least(F.regexp_count(path, F.lit("/")), F.lit(8)).cast("double"),
@@ -214,35 +227,25 @@ class Forest:
 
     def scored(self, rows: DataFrame) -> DataFrame:
         """`rows` (token, before, after, path and others) with score: the share of the forest for a secret."""
-        f = _features(rows, self.lexicon)
-        taken = rows.select("*", *[f[k].alias(f"f_{k}") for k in self.features])
+        f = features(self.lexicon)
+        taken = self.lexicon.cover(rows).select("*", *[f[k].alias(f"f_{k}") for k in self.features])
         ready = VectorAssembler(inputCols=[f"f_{k}" for k in self.features], outputCol="features").transform(taken)
         return self.model.transform(ready).withColumn("score", vector_to_array("probability")[1]).select(*rows.columns, "score")
 
 
-def _features(rows: DataFrame, lexicon: Lexicon) -> dict[str, Column]:
-    text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return features(F.col("token"), text("before"), text("after"), text("path"), lexicon, rows.sparkSession)
-
-
 def train(findings: DataFrame, lexicon: Lexicon, use: tuple[str, ...] = FEATURES) -> Forest:
     """A forest fitted to (token, before, after, path, label 0 or 1); rows without a token or label teach nothing.
 
     Both labels have to be there. Fit on findings that people labelled, or on `labelled_findings`; at most some ten thousands.
     """
-    rows = findings.where("token is not null and label in (0, 1)")
-    f = _features(rows, lexicon)
+    rows = lexicon.cover(findings.where("token is not null and label in (0, 1)"))
+    f = features(lexicon)
     data = rows.select(*[f[k].alias(k) for k in use], F.col("label").cast("double").alias("label"))
     data = materialize(VectorAssembler(inputCols=list(use), outputCol="features").transform(data).select("features", "label"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", subsamplingRate=0.8, minInstancesPerNode=2)
     return Forest(forest.fit(data), lexicon, tuple(use))
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value) with `value` computed once: a lambda would compute it again for each entry it looks at."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _running(lengths: Column) -> Column:
     """Running sums of an array, in runs of RUN, so that no long array is copied for each of its entries."""
 
