@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import zlib
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,6 +37,8 @@ WORDS = ("the", "and", "for", "with", "this", "that", "user", "name", "file", "p
 #: The corpus's words that the dictionary takes at most, by falling count, and how often one is found at least.
 MOST_WORDS, LEAST_COUNT = 20_000, 5
 TREES, DEPTH, SEED, KEEP_FROM, TRAINING_ROWS = 40, 9, 11, 0.5, 6000
+#: Of labelled findings: the words that their names are made of at most, and the random numbers of each.
+NAME_WORDS, DRAWS = 300, 61
 #: Candidates of a text whose ends are added up at a time.
 RUN = 256
 
@@ -153,17 +156,18 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, words: tup
     both stand in the same forms, beside the same words and in the same paths, so no single feature tells them apart.
     """
     i = F.col("id")
-    pick = lambda k, n: F.pmod(F.xxhash64(i, F.lit(k)), F.lit(n)).cast("int")
-    of = lambda k, *c: F.get(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in c]), pick(k, len(c)))
-    listed = F.from_json(F.lit(json.dumps(list(words))), "array<string>")
-    word = lambda k: F.get(listed, pick(k, len(words)))
+    words = tuple(sorted(words, key=lambda w: (zlib.crc32(w.encode()), w))[:NAME_WORDS])
+    listed = F.from_json(F.lit(json.dumps(words)), "array<string>")
     long = lambda k: F.concat(*[F.sha2(F.concat_ws(":", i, F.lit(k + j)), 512) for j in range(10)])
     mixed, base64 = (F.regexp_replace(F.base64(F.unhex(long(k))), marks, "") for k, marks in ((100, r"[+/=\s]"), (200, r"[=\s]")))
-    # Random characters are made once for each row.
-    numbers = materialize(spark.range(0, rows, 1, 4).select("id", long(0).alias("hexa"), mixed.alias("mixed"), base64.alias("base64")))
-    hexa, mixed, base64 = F.col("hexa"), F.col("mixed"), F.col("base64")
-    digits = F.translate(hexa, "abcdef", "012345")
-    upper = F.translate(F.upper(mixed), "0189", "ABCD")
+    # What is random is drawn once for each row, so that later expressions stay small.
+    draws = lambda n: F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda j: F.pmod(F.xxhash64(i, j), F.lit(n)).cast("int"))
+    numbers = spark.range(0, rows, 1, 4).select("id", long(0).alias("hexa"), mixed.alias("mixed"), base64.alias("base64"), draws(1 << 30).alias("draws"), F.transform(draws(len(words)), lambda j: F.get(listed, j)).alias("words"))
+    numbers = materialize(numbers.withColumn("digits", F.translate("hexa", "abcdef", "012345")).withColumn("upper", F.translate(F.upper("mixed"), "0189", "ABCD")))
+    pick = lambda k, n: F.get("draws", F.lit(k)) % n
+    of = lambda k, *c: F.get(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in c]), pick(k, len(c)))
+    word = lambda k: F.get("words", F.lit(k))
+    hexa, mixed, base64, digits, upper = (F.col(c) for c in ("hexa", "mixed", "base64", "digits", "upper"))
     cut = lambda s, k, *n: F.left(s, of(k, *n))
     title = lambda k: F.initcap(word(k))
     provider = of(10, F.concat(F.lit("AKIA"), F.left(upper, F.lit(16))), F.concat(F.lit("ghp_"), F.left(mixed, F.lit(36))), F.concat(F.lit("sk_live_"), F.left(mixed, F.lit(24))), F.concat(F.lit("xoxb-"), F.left(digits, F.lit(11)), F.lit("-"), F.left(mixed, F.lit(24))), F.concat(F.lit("AIza"), F.left(mixed, F.lit(35))))
@@ -171,8 +175,10 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, words: tup
     base_key = cut(mixed, 12, 16, 20, 24, 32, 40, 64, 88, 120, 516, 850)
     base64_key = F.concat(cut(base64, 13, 22, 43, 64, 86, 342), of(14, "", "", "=", "=="))
     password = of(15, F.concat(title(16), title(17), F.left(digits, F.lit(3)), of(18, "!", "?", "#", "")), F.concat(F.left(mixed, F.lit(5)), of(19, "$", "!", "%", "&"), F.substring(mixed, 8, 6)), cut(mixed, 20, 10, 12, 14), F.concat(word(21), of(22, "-", "_", "."), word(23), of(24, "-", "_", "."), word(25), F.left(digits, F.lit(2))))
-    secret_form = of(26, provider, hex_key, base_key, base64_key)
     name = of(27, F.concat_ws("_", word(28), word(29), word(30), F.left(digits, F.lit(2))), F.concat_ws("-", word(28), word(29), word(30), F.left(digits, F.lit(4))), F.concat(word(28), title(29), title(30), title(31), F.left(digits, F.lit(1))), F.concat(word(28), word(29), word(30), word(31), F.left(digits, F.lit(4))))
+    forms = materialize(numbers.select("*", provider.alias("provider"), hex_key.alias("hex_key"), base_key.alias("base_key"), base64_key.alias("base64_key"), password.alias("password"), name.alias("name")))
+    provider, hex_key, base_key, base64_key, password, name = (F.col(c) for c in ("provider", "hex_key", "base_key", "base64_key", "password", "name"))
+    secret_form = of(26, provider, hex_key, base_key, base64_key)
     kinds = {
         1: [secret_form, secret_form, hex_key, base_key, base64_key, password, password, provider],
         0: [
@@ -199,6 +205,8 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, words: tup
     before_other = F.when(draw < 12, told).when(draw < 55, plain).otherwise(harmless)
     before = F.when(label == 1, F.when(fits[1].isin(5, 6), told).otherwise(before_secret)).otherwise(F.when(fits[0] == 9, F.when(draw < 60, told).otherwise(plain)).otherwise(before_other))
     filler = F.when(pick(7, 5) > 0, F.concat(word(52), F.lit(" "), word(53), F.lit(" "))).otherwise(F.lit(""))
+    token = F.when(label == 1, tokens[1]).otherwise(tokens[0])
+    made = materialize(forms.select("draws", "words", label.alias("label"), token.alias("token"), F.when(label == 0, fits[0]).alias("other"), F.concat(filler, before).alias("before")))
     neutral = F.concat(F.lit("src"), pick(54, 40).cast("string"))
     folder = F.concat(word(55), F.lit("/"), word(56))
     configured = of(57, F.concat(F.lit("config/"), word(58), F.lit(".yaml")), F.concat(word(58), F.lit("/.env")), F.concat(F.lit("deploy/"), word(58), F.lit("/settings.ini")))
@@ -206,10 +214,9 @@ def labelled_findings(spark: SparkSession, rows: int = TRAINING_ROWS, words: tup
     place = pick(8, 100)
     path_secret = F.when(place < 45, neutral).when(place < 70, F.concat(folder, F.lit(".py"))).when(place < 95, configured).otherwise(tested)
     path_other = F.when(place < 45, neutral).when(place < 75, F.concat(folder, F.lit(".py"))).when(place < 82, configured).otherwise(tested)
-    path = F.when(label == 1, path_secret).when(fits[0] == 9, tested).otherwise(path_other)
-    after = F.when(before.rlike("[\"']$"), F.concat(F.right(before, F.lit(1)), F.lit(" "), word(60))).otherwise(F.concat(F.lit(" "), word(60)))
-    token = F.when(label == 1, tokens[1]).otherwise(tokens[0])
-    return numbers.select(token.alias("token"), F.concat(filler, before).alias("before"), after.alias("after"), path.alias("path"), label.alias("label"))
+    path = F.when(F.col("label") == 1, path_secret).when(F.col("other") == 9, tested).otherwise(path_other)
+    after = F.when(F.col("before").rlike("[\"']$"), F.concat(F.right("before", F.lit(1)), F.lit(" "), word(60))).otherwise(F.concat(F.lit(" "), word(60)))
+    return made.select("token", "before", after.alias("after"), path.alias("path"), "label")
 
 
 @dataclass(frozen=True)

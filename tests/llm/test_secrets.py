@@ -101,7 +101,7 @@ def test_forest_on_findings_written_by_hand(spark, forest):
 
 def test_without_a_family_the_forest_is_worse(spark, forest):
     """Accuracy on findings that no forest has seen, with all features and without path and neighbours, or without the token's own."""
-    unseen = secrets.labelled_findings(spark, 2 * secrets.TRAINING_ROWS, forest.lexicon.words)
+    unseen = secrets.labelled_findings(spark, 3 * secrets.TRAINING_ROWS, forest.lexicon.words)
     unseen = unseen.where(F.col("token").isNotNull()).exceptAll(secrets.labelled_findings(spark, secrets.TRAINING_ROWS, forest.lexicon.words)).cache()
     findings = secrets.labelled_findings(spark, words=forest.lexicon.words)
 
