@@ -56,20 +56,23 @@ FEATURES = tuple(f for family in FAMILIES.values() for f in family)
 
 @dataclass(frozen=True)
 class Lexicon:
-    """A dictionary of words and the base-10 logarithms of the chances of its letter transitions (26 x 26)."""
+    """A dictionary of words, as a table (word), too, and the base-10 logarithms of its letter transitions' chances (26 x 26)."""
 
     words: tuple[str, ...]
     steps: tuple[float, ...]
+    known: DataFrame
 
     @staticmethod
-    def of(counts: dict[str, int]) -> Lexicon:
+    def of(spark: SparkSession, counts: dict[str, int]) -> Lexicon:
         """Letter transitions are those of the words, as often as `counts` says, each seen once more than it is."""
         pairs = [1.0] * 676
         for w, n in counts.items():
             for a, b in zip(w, w[1:], strict=False):
                 pairs[(ord(a) - 97) * 26 + ord(b) - 97] += n
         sums = [sum(pairs[26 * a : 26 * a + 26]) for a in range(26)]
-        return Lexicon(tuple(sorted(counts)), tuple(round(math.log10(n / sums[i // 26]), 3) for i, n in enumerate(pairs)))
+        words = tuple(sorted(counts))
+        known = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(words)), "array<string>")).alias("word"))
+        return Lexicon(words, tuple(round(math.log10(n / sums[i // 26]), 3) for i, n in enumerate(pairs)), materialize(known))
 
     def letter_steps(self) -> Column:
         return F.from_json(F.lit(json.dumps(self.steps)), "array<double>")
@@ -78,8 +81,7 @@ class Lexicon:
         """`rows` with covered: the letters of `token` in parts of four or more that are words; known words are broadcast, as they are few."""
         rows = materialize(rows.withColumn("place", F.monotonically_increasing_id()))
         part = F.explode(F.split(F.lower(F.regexp_replace("token", "([a-z])([A-Z])", "$1 $2")), "[^a-z]+"))
-        known = F.broadcast(rows.sparkSession.createDataFrame([(w,) for w in self.words], "word string"))
-        found = rows.select("place", part.alias("word")).where(F.length("word") >= 4).join(known, "word")
+        found = rows.select("place", part.alias("word")).where(F.length("word") >= 4).join(F.broadcast(self.known), "word")
         covered = found.groupBy("place").agg(F.sum(F.length("word")).alias("covered"))
         return rows.join(covered, "place", "left").drop("place").withColumn("covered", F.coalesce("covered", F.lit(0)))
 
@@ -100,7 +102,7 @@ def dictionary(docs: DataFrame, text: str = "text", most: int = MOST_WORDS, leas
             break
         total, lowest = total + n, b
     top = [] if lowest is None else counts.where(bucket >= lowest).collect()
-    return Lexicon.of(dict.fromkeys(WORDS, 1) | {r["word"]: r["n"] for r in top})
+    return Lexicon.of(docs.sparkSession, dict.fromkeys(WORDS, 1) | {r["word"]: r["n"] for r in top})
 
 
 def _bound(value: Column, use) -> Column:

@@ -132,5 +132,13 @@ def test_query(spark, tmp_path):
     assert got == sorted([(1, 4, 24, "cloud_key"), (1, 4, 24, "cloud_key"), (2, 14, 54, "token"), (3, 13, 31, "password"), (None, 2, 22, "cloud_key")], key=str)
 
 
+def test_no_python_on_the_way(spark, tmp_path):
+    spark.createDataFrame([(1, "a token = 'f3ef4d6b2755a36d7d9c25bd72c4d5aa'", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = secrets.op2_secrets(spark, str(tmp_path))
+    assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+    source = open(secrets.__file__).read()
+    assert "createDataFrame" not in source and ".rdd" not in source and "udf(" not in source
+
+
 def test_empty(spark, forest):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string"), forest).count() == 0
