@@ -1,7 +1,7 @@
 """URL filtering: rules first, then a naive Bayes score of segmented host and path words.
 
 Host names run words together. A unigram Viterbi search splits them, with word counts of the crawled pages themselves; multinomial
-naive Bayes, trained on labelled example URLs, scores the words of host and path.
+naive Bayes, trained on labelled URLs, scores the words of host and path.
 """
 
 from __future__ import annotations
@@ -14,37 +14,78 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .brown_lm import frequent_words
-from .common import arrow_map, ascii_lower, materialize_table, split_batches, table, utf8
+from .common import arrow_map, ascii_lower, materialize_table, split_batches, table, utf8, without
 
 #: (host, path, allow or block): a rule fits its host and all subdomains if the URL's path starts with the rule's.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 MAX_RULES = 1000
-#: Page words that segmentation knows at most; a longer word than this is never one.
-KNOWN_WORDS, LONGEST = 50_000, 24
+#: Page words that the unigram model takes at most, by falling count: its vocabulary, which every worker holds.
+KNOWN_WORDS = 300_000
 #: Splitting: log10 chance of an unknown stretch, and of each of its characters. Deciding: the log odds over which a URL is blocked.
 UNKNOWN, UNKNOWN_CHAR = -3.0, -2.0
 BLOCK_ODDS = 0.0
 #: Host names seen lately whose words a worker keeps.
 KEPT_HOSTS = 50_000
 
-#: Labelled examples: words of URLs that were blocked (1) or allowed (0).
-EXAMPLES = (
-    *((x, 1) for x in (
-        "casino win slots", "online casino bonus", "free bets", "sports bet odds", "poker jackpot win", "lottery winner prize", "roulette spin win",
-        "cheap pills", "buy viagra online", "pharmacy discount pills", "diet pills fast", "payday loan cash", "fast cash loans", "cheap replica watches",
-        "adult x", "adult video", "porn tube", "xxx cams", "sex chat", "nude girls", "hot escorts", "erotic live",
-        "spam farm", "link farm", "seo spam links", "ads track", "ad tracker click", "popup ads banner", "click track redirect", "malware download crack",
-        "warez crack keygen", "free download serial keys", "torrent pirate movies", "phishing login verify", "win free prize", "crypto doubler profit",
-    )),
-    *((x, 0) for x in (
-        "news world today", "local news weather", "weather forecast city", "university library research", "school science project", "history museum archive",
-        "health clinic advice", "hospital patient care", "garden plants tips", "cooking recipes kitchen", "travel guide hotel", "train travel times",
-        "music band concert", "book review author", "film review cinema", "art gallery photo", "sports club results", "football team match", "chess club",
-        "software docs manual", "python code tutorial", "open source project", "linux kernel docs", "data science blog", "personal blog notes", "company about contact",
-        "shop furniture home", "bike repair shop", "car parts dealer", "city council services", "tax office forms", "law firm office", "charity help people",
-        "forum questions answers", "wiki page article", "product support help",
-    )),
-)
+#: Labelled example URLs: those that were blocked, then those that were allowed.
+BLOCKED = """
+http://www.casinowinbonus.com/slots/free-spins http://bestcasinoonline.net/casino-bonus/play http://m.luckyslots.example.org/win/jackpot/12
+https://royalcasino.club/roulette-win.html http://blog.casinotips.net/poker-casino/win-big http://pokerjackpot.info/free/poker-chips
+http://freebetsdaily.com/free-bets/odds https://www.sportsbetodds.net/bets/football http://betwinonline.org/sports-betting/bonus
+http://m.freebet.co/bets/today https://topbookmaker.bet/odds/free-bet http://lotterywinner.info/claim/prize-winner
+http://winprizenow.com/lottery/claim-prize http://freeprizes.example.net/win/free-iphone http://luckydraw.win/prize/spin
+http://cheappillsonline.com/buy-pills/cheap http://www.pharmacydiscount.biz/pills/no-prescription http://buyviagra.example.com/viagra/cheap-pills
+https://dietpillsfast.net/diet-pills/buy http://medsforless.org/cheap-meds/pharmacy http://blog.cheapmeds.info/pills/order
+http://paydayloanscash.com/fast-loans/apply http://fastcashloan.net/payday-loan/cash-now https://quickloans.example.org/loans/cash
+http://cheapreplicawatches.com/replica/watches http://replicabags.shop/cheap-replica/bags http://fakewatches.net/buy/replica-rolex
+http://adultvideos.xxx/adult/video/88 http://www.xxxcams.net/cams/live-sex http://sexchatlive.com/sex-chat/adult
+http://porntube.example.net/porn/videos http://m.adultx.org/x/nude http://hotgirlsnude.com/girls/nude-pics
+https://eroticlive.net/erotic/cams http://escortsnear.me/hot-escorts/city http://adultdating.biz/adult/dating-x
+http://spamfarm.example.com/spam/links http://linkfarm.info/buy-links/seo http://seospamtools.net/spam/mailer
+http://bulkmailspam.com/farm/spam-list http://cheapbacklinks.biz/seo/link-farm http://articlespinner.net/spam/seo-farm
+http://adstrack.example.org/ads/track?id=4 http://clicktracker.net/track/click http://adsserver.biz/ads/banner
+http://popupads.com/popup/ads-track http://trackads.info/track/redirect https://bannerads.click/ads/click-track
+http://malwaredownload.ru/crack/keygen http://freecracks.net/crack/serial-keys http://warezdownload.org/warez/full-crack
+http://torrentmovies.to/torrent/free-movies http://pirategames.net/torrent/crack http://keygenfree.info/keygen/download
+http://loginverify.example.com/phishing/account-verify http://secureverifylogin.net/bank/login-verify http://account-update.info/verify/login
+http://cryptodoubler.biz/double/bitcoin-profit http://bitcoinprofitfast.com/crypto/profit http://earnfastmoney.net/easy-money/profit
+http://getrichquick.info/money/fast-profit http://workhomecash.com/easy-cash/earn http://freecryptogiveaway.org/giveaway/bitcoin
+http://hotsinglesnear.com/singles/hot-chat http://miraclediet.net/diet/lose-weight-fast http://weightlosspills.org/pills/diet
+http://buyfollowers.biz/cheap-followers/buy http://fakediploma.net/buy-diploma/cheap http://essaycheap.com/buy-essay/fast
+http://onlineslots.casino/slots/win-bonus http://blackjackwin.net/blackjack/casino http://bingobonus.co.uk/bingo/free-bonus
+http://spinwin.example.org/spin/win-slots http://jackpotcity.bet/jackpot/slots http://horsebets.info/bets/horse-odds
+"""
+ALLOWED = """
+http://www.worldnewstoday.com/news/world http://localnews.example.org/city/news-today https://dailynews.net/news/politics/2024
+http://cityweather.org/weather/forecast http://weatherforecast.net/forecast/today https://m.weathermap.info/weather/map
+http://universitylibrary.edu/library/research http://www.stateuniversity.edu/research/papers http://openlibrary.example.net/books/history
+http://schoolscience.org/science/projects https://scienceforkids.net/school/science http://highschool.example.com/students/calendar
+http://historymuseum.org/museum/exhibits http://www.artmuseum.net/art/gallery http://cityarchive.info/archive/photos
+http://healthclinic.com/health/advice http://www.familydoctor.org/patients/care http://hospitalcare.example.net/hospital/visits
+http://gardenplants.net/garden/tips https://homegarden.info/plants/flowers http://blog.vegetablegarden.com/garden/soil
+http://cookingrecipes.com/recipes/soup http://kitchenrecipes.net/cooking/bread http://www.familycooking.org/recipes/dinner
+http://travelguide.com/travel/hotels http://traintravel.example.org/train/times http://cityhotels.net/hotel/rooms
+https://walkingroutes.info/travel/mountains http://airportguide.net/flights/arrivals http://islandtravel.com/guide/beaches
+http://musicband.net/music/concerts http://concerthall.org/tickets/concert http://jazzmusic.example.com/music/albums
+http://bookreviews.org/books/review http://authorinterviews.net/author/books http://poetrycorner.info/poems/spring
+http://filmreview.com/film/cinema http://citycinema.net/cinema/times http://filmfestival.org/festival/program
+http://footballclub.com/football/team http://chessclub.net/chess/results http://www.sportsresults.org/results/league
+http://runningclub.info/running/marathon http://tennisschool.example.net/tennis/lessons http://swimmingpool.org/swimming/times
+http://softwaredocs.com/docs/manual http://pythoncode.org/python/tutorial http://linuxkernel.net/kernel/docs
+https://datascienceblog.com/data/science http://opensourceproject.org/code/project http://www.codelibrary.net/code/docs
+http://personalblog.example.com/blog/notes http://photoblog.net/blog/photos http://familyblog.info/blog/about
+http://companysite.com/about/contact http://lawfirm.net/law/office http://accountingoffice.org/services/contact
+http://furnitureshop.com/shop/tables http://bikerepair.net/bike/repair http://carparts.info/cars/parts
+http://citycouncil.org/council/services http://taxoffice.net/tax/forms http://www.publicservices.info/forms/housing
+http://charityhelp.org/help/people http://animalrescue.net/animals/adopt http://foodbank.example.org/food/volunteers
+http://forumquestions.com/questions/answers http://wikiarticles.org/wiki/article http://dictionarywords.net/words/language
+http://productsupport.com/support/help http://printermanual.net/manual/support http://phonesupport.info/help/phone
+http://birdwatching.org/birds/forest http://mountainphotos.net/photos/mountains http://riverfishing.com/fishing/rivers
+http://languageschool.net/language/courses http://mathlessons.org/math/lessons http://teacherresources.info/school/lessons
+http://economicsreview.com/economy/review http://financenews.net/markets/news http://businessdaily.org/business/report
+http://www.govservices.org/public/records http://villagehall.net/events/calendar http://theatreplays.com/theatre/program
+"""
+LABELLED_URLS = tuple((url, y) for y, listed in ((1, BLOCKED), (0, ALLOWED)) for url in listed.split())
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -66,60 +107,92 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return (F.lit(None).cast("string"),) * 2 if rule is None else (rule, verdict)
 
 
+_TAG = re.compile(rb"<(?:(script|style)\b)?", re.I)
+_WORD = re.compile(r"[^\W\d_]+")
+_PIECE = re.compile(r"[^\W\d_]+|[0-9]+")
+
+
+def visible(html: bytes) -> bytes:
+    """What is outside tags, scripts and styles, in one walk: an unclosed tag, script or style reaches to the end."""
+    out, at = [], 0
+    while (m := _TAG.search(html, at)) is not None:
+        out.append(html[at : m.start()])
+        end = html.find(b">", m.end())
+        if end >= 0 and m[1]:
+            close = re.compile(b"</" + m[1] + rb"\s*>", re.I).search(html, end)
+            end = close.end() - 1 if close else -1
+        if end < 0:
+            return b" ".join(out)
+        at = end + 1
+    out.append(html[at:])
+    return b" ".join(out)
+
+
 def page_word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(word binary, form int, n long): runs of a-z in the visible part of all pages, A-Z lower-cased."""
+    """(word binary, form int, n long): runs of letters of any script in the visible part of all pages, lower-cased."""
     import pyarrow as pa
 
     def run(batches):
         counts: Counter = Counter()
 
         def out():
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array([0] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "form", "n"])
+            batch = pa.RecordBatch.from_arrays([pa.array([w.encode() for w in counts], pa.binary()), pa.array([0] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "form", "n"])
             counts.clear()
             return batch
 
         for batch in split_batches(batches, 0):
             for data in utf8(batch.column(0)):
-                counts.update(re.findall(rb"(?<![a-z\x80-\xff])[a-z]+(?![a-z\x80-\xff])", re.sub(rb"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", b" ", data).lower()))
+                counts.update(_WORD.findall(visible(data).decode("utf-8", "replace").lower()))
             if len(counts) >= 200_000:
                 yield out()
         if counts:
             yield out()
 
-    found = arrow_map(pages.select(html), run, "word binary, form int, n long").where(F.octet_length("word") <= LONGEST)
+    found = arrow_map(pages.select(html), run, "word binary, form int, n long")
     return found.groupBy("word").agg(F.first("form").alias("form"), F.sum("n").alias("n"))
 
 
+def host_and_path(url: str) -> tuple[str, str]:
+    """As `url_parts`, for one URL."""
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url)
+    return (m[1], m[2]) if m else ("", "")
+
+
 class UrlModel:
-    """Splits run-together names and scores words."""
+    """Splits run-together names and scores their words by multinomial naive Bayes."""
 
-    def __init__(self, counts: dict[str, int], examples=EXAMPLES) -> None:
+    def __init__(self, counts: dict[str, int], labelled=LABELLED_URLS) -> None:
         total = sum(counts.values())
-        labelled = [(text.split(), y) for text, y in examples]
-        known = Counter(w for words, _ in labelled for w in words)
-        # Words of examples count as if the pages had them, too: a hundred-thousandth of all words for each example.
-        share = {w: counts.get(w, 0) + n * max(1.0, total / 1e5) for w, n in known.items()}
-        weight = {**counts, **share}
+        urls = [(*host_and_path(url.lower()), y) for url, y in labelled]
+        # Words that marks set apart in the paths of labelled URLs count as if the pages had them, too: each time like a
+        # hundred-thousandth of all words. Only then can the run-together names of their hosts be split.
+        apart = Counter(w for _, path, _ in urls for w in _WORD.findall(path))
+        weight = {**counts, **{w: counts.get(w, 0) + n * max(1.0, total / 1e5) for w, n in apart.items()}}
         whole = sum(weight.values()) or 1
         self.log = {w: math.log10(n / whole) for w, n in weight.items()}
-        self.width = max([1, *map(len, self.log)])
-        by = [Counter(w for words, y in labelled if y == c for w in words) for c in (0, 1)]
-        size = len(known)
+        self.lengths = sorted({len(w) for w in self.log}, reverse=True)
+        by = [Counter(w for host, path, y in urls if y == c for w in self.words(host) + self.words(path)) for c in (0, 1)]
+        known = set(by[0]) | set(by[1])
         sums = [sum(c.values()) for c in by]
-        self.odds = {w: math.log((by[1][w] + 1) / (sums[1] + size)) - math.log((by[0][w] + 1) / (sums[0] + size)) for w in known}
-        docs = [sum(y == c for _, y in labelled) for c in (0, 1)]
-        self.prior = math.log((docs[1] + 1) / (docs[0] + 1)) if labelled else 0.0
+        self.odds = {w: math.log((by[1][w] + 1) / (sums[1] + len(known))) - math.log((by[0][w] + 1) / (sums[0] + len(known))) for w in known}
+        urls_of = [sum(y == c for _, _, y in urls) for c in (0, 1)]
+        self.prior = math.log((urls_of[1] + 1) / (urls_of[0] + 1))
 
     def segment(self, name: str) -> list[str]:
-        """The likeliest words of a run of letters; ties go to longer last words."""
+        """The likeliest words of a run of letters; ties go to longer last words. A stretch is known or not, however long."""
         n = len(name)
         best, came = [0.0] + [-math.inf] * n, [0] * (n + 1)
+        unknown, since = -math.inf, 0  # the best unknown stretch that ends here, and where it starts
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.width), end):
-                w = name[start:end]
-                p = best[start] + self.log.get(w, UNKNOWN + UNKNOWN_CHAR * len(w))
-                if p > best[end]:
-                    best[end], came[end] = p, start
+            if unknown < best[end - 1] + UNKNOWN:
+                unknown, since = best[end - 1] + UNKNOWN, end - 1
+            unknown += UNKNOWN_CHAR
+            best[end], came[end] = unknown, since
+            for length in self.lengths:
+                if length <= end:
+                    p = self.log.get(name[end - length : end])
+                    if p is not None and best[end - length] + p > best[end]:
+                        best[end], came[end] = best[end - length] + p, end - length
         words, end = [], n
         while end:
             words.append(name[came[end] : end])
@@ -127,18 +200,21 @@ class UrlModel:
         return words[::-1]
 
     def words(self, text: str) -> list[str]:
-        """Words of a host or path: runs of letters split; digits and marks separate."""
-        return [w for run in re.findall("[a-z]+", text) for w in self.segment(run)]
+        """Words of a host or path: runs of letters of any script are split, runs of digits stay, marks only separate."""
+        return [w for run in _PIECE.findall(text) for w in ([run] if run[0].isdigit() else self.segment(run))]
 
     def score(self, words: list[str]) -> float:
-        """Log odds of block; words without an example say nothing."""
+        """Log odds of block; words that no labelled URL has say nothing."""
         return self.prior + sum(self.odds.get(w, 0.0) for w in words)
 
 
-def train(pages: DataFrame, html: str = "html", examples=EXAMPLES) -> UrlModel:
-    """Word counts come from all pages; at most KNOWN_WORDS of the most frequent are kept. An empty table leaves the examples."""
+def train(pages: DataFrame, html: str = "html", labelled=LABELLED_URLS) -> UrlModel:
+    """Word counts come from all pages; the vocabulary is the KNOWN_WORDS most frequent. An empty table leaves the labelled URLs.
+
+    `labelled`: (url, 1 for block or 0) pairs; without any, no URL is blocked but by rules.
+    """
     words, n = frequent_words(materialize_table(page_word_counts(pages, html)), KNOWN_WORDS)
-    return UrlModel({w.decode(): int(c) for w, c in zip(words, n, strict=True)}, examples)
+    return UrlModel({w.decode(): int(c) for w, c in zip(words, n, strict=True)}, labelled)
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -150,7 +226,7 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url", keep
     import pyarrow as pa
 
     new = ("host", "path", "rule", "verdict", "words", "odds")
-    keep = tuple(c for c in keep if c not in new)
+    keep = without(keep, new)
     host, path = url_parts(F.col(url))
     parts = pages.select(*[f"`{c}`" for c in keep], host.alias("host"), path.alias("path"))
     shared = pages.sparkSession.sparkContext.broadcast(model)
@@ -174,12 +250,13 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url", keep
                 odds.append(m.score(w))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array(odds, pa.float64())], names=[*keep, "host", "path", "words", "odds"])
 
-    scored = parts.mapInArrow(run, schema)
+    scored = arrow_map(parts, run, schema)
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("odds") > BLOCK_ODDS, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(*[f"`{c}`" for c in keep], "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "words", "odds")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of pages; edge cases as in `judge`."""
     pages = table(spark, sf_dir, "pages")
     return judge(pages, train(pages)).select("page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"), F.round("odds", 9).alias("odds"))

@@ -1,5 +1,9 @@
 import itertools
+import math
 import re
+import time
+import zlib
+from collections import Counter
 
 from scene_analytics.llm import url_filter as uf
 
@@ -13,10 +17,58 @@ def brute(url):
     return host, path, max(fits)[1:] if fits else (None, None)
 
 
+def brute_odds(labelled, split, words):
+    """Multinomial naive Bayes, add-one smoothed, by its definition."""
+    seen = {0: [], 1: []}
+    urls = Counter(y for _, y in labelled)
+    for url, y in labelled:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url.lower())
+        seen[y] += split(m[1]) + split(m[2])
+    size = len({*seen[0], *seen[1]})
+    odds = math.log((urls[1] + 1) / (urls[0] + 1))
+    for w in words:
+        if w in seen[0] or w in seen[1]:
+            odds += math.log((seen[1].count(w) + 1) / (len(seen[1]) + size)) - math.log((seen[0].count(w) + 1) / (len(seen[0]) + size))
+    return odds
+
+
+def test_held_out_accuracy(spark):
+    """Each of four parts of the labelled URLs is judged by a model of the other three."""
+    part = lambda url: zlib.crc32(url.encode()) % 4
+    right = {0: [], 1: []}
+    for k in range(4):
+        model = uf.UrlModel({}, [x for x in uf.LABELLED_URLS if part(x[0]) != k])
+        for url, y in uf.LABELLED_URLS:
+            if part(url) == k:
+                host, path = uf.host_and_path(url)
+                right[y].append((model.score(model.words(host) + model.words(path)) > uf.BLOCK_ODDS) == (y == 1))
+    shares = {y: sum(x) / len(x) for y, x in right.items()}
+    assert len(set(uf.LABELLED_URLS)) == len(uf.LABELLED_URLS) == sum(map(len, right.values()))
+    assert shares[0] > 0.75 and shares[1] > 0.75, shares
+
+
+def test_visible_text_in_one_walk():
+    cases = {b"a<b>c</b>d": b"a c d", b"x<script>var t='</p>';</script>y": b"x y", b"<STYLE a=1>p{}</style >z": b" z", b"a<script>b": b"a", b"a<b": b"a", b"a < b > c": b"a   c", b"<scripted>a</scripted>": b" a ", b"": b""}
+    assert {k: uf.visible(k) for k in cases} == cases
+    for page in (b"<script" * 200_000, b"<" * 1_000_000, b"<script>" * 200_000, b"a<b>" * 200_000 + b"<style>"):
+        began = time.perf_counter()
+        uf.visible(page)
+        assert time.perf_counter() - began < 5
+
+
+def test_words_of_any_script_and_length(spark):
+    long = "pneumono" * 5
+    pages = spark.createDataFrame([(f"<p>новости города {long} новости города</p>" * 3,), (None,)], "html string")
+    model = uf.train(pages)
+    assert model.words("новостигорода-24.example.org") == ["новости", "города", "24", "example", "org"] and model.words(long * 2) == [long, long]
+    assert uf.UrlModel({}, ()).score(["casino"]) == 0
+
+
 def test_query(spark, tmp_path):
     pages = [(i, u, "<html><style>casino{}</style><p>The city and the weather, the Free bets of the city</p>", 1) for i, u in enumerate(URLS)] + [(None, URLS[6], None, 1), (3, URLS[6], "", 1)]
     spark.createDataFrame(pages, "page_id long, url string, html string, words int").write.parquet(f"{tmp_path}/pages.parquet")
     got = uf.op4_url_filter(spark, str(tmp_path)).collect()
+    model = uf.train(spark.read.parquet(f"{tmp_path}/pages.parquet"))
     assert len(got) == len(pages)
     by = {r.page_id: r for r in got if r.page_id != 3}
     for i, u in enumerate(URLS):
@@ -24,6 +76,9 @@ def test_query(spark, tmp_path):
             host, path, (rule, verdict) = brute(u)
             assert (by[i].host, by[i].path, by[i].rule) == (host, path, rule)
             assert by[i].verdict == (verdict or ("block" if by[i].odds > 0 else "allow"))
+            words = (by[i].words or "").split(" ") if by[i].words else []
+            assert abs(by[i].odds - brute_odds(uf.LABELLED_URLS, model.words, words)) < 1e-6
+            assert "".join(words) == "".join(re.findall(r"[^\W\d_]+|[0-9]+", host + "/" + path.lower()))
     assert [by[i].verdict for i in (16, 19, 20, 21, 22)] == ["block", "block", "block", "allow", "block"]
     assert by[16].words.split()[:2] == ["casino", "win"] and by[21].words.split()[:2] == ["city", "weather"]
     assert uf.judge(spark.createDataFrame([], "page_id long, url string"), uf.UrlModel({})).count() == 0
