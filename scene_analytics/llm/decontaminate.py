@@ -21,10 +21,11 @@ BLOCK = 16
 OVERSAMPLE, POWER = 16, 2
 #: Terms found in more than this share of the corpus's passages don't count for the cosine, save the rarest ones of each item.
 COMMON, RAREST = 0.05, 8
-#: An item is found where its words' longest common subsequence with the place reaches SURE of them, or LIKELY with the answer.
+#: An item is found where its words' longest common subsequence with the place reaches SURE of them, or LIKELY with the answer; one
+#: of fewer than MIN_WORDS words where all of them stand together.
 SURE, LIKELY, ANSWER_WORDS, MIN_WORDS = 0.8, 0.6, 4, 5
-#: Items searched for in one pass over the documents, about, and so the rank of its space; more items make more passes.
-ITEMS = 256
+#: Items of one space, about, and so its rank; spaces whose words are counted, and which are searched, in one pass over the documents.
+ITEMS, SPACES = 256, 16
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -73,6 +74,12 @@ class Items:
         # Eight items' counts side by side in a number: a block's are at most BLOCK.
         self.packed = np.pad(self.counted, ((0, 0), (0, -len(self.texts) % 8))).view(np.uint64)
         self.reach = np.array([-(-len(t) // BLOCK) for t in self.texts], np.int64)
+        self.least = [least_words(len(t)) for t in self.texts]
+
+
+def least_words(n: int) -> int:
+    """How many words of an item of `n` words a place must hold at least, in their order."""
+    return n if n < MIN_WORDS else int(np.ceil(LIKELY * n - 1e-9))
 
 
 def document_frequency(docs: DataFrame, terms: dict[bytes, int], text: str) -> tuple[np.ndarray, int]:
@@ -152,7 +159,7 @@ def bounds(texts: list[list[int]], share: np.ndarray) -> tuple[np.ndarray, np.nd
     """
     counted, need = np.zeros((len(share), len(texts)), np.uint8), np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
-        blocks, least = 2 + 2 * -(-len(t) // BLOCK), int(np.ceil(LIKELY * len(t) - 1e-9))
+        blocks, least = 2 + 2 * -(-len(t) // BLOCK), least_words(len(t))
         order = sorted(set(t), key=lambda x: (share[x], x))
         needs = least - len(t) + np.cumsum([t.count(x) for x in order])
         expected = np.maximum(np.cumsum(share[order]) * blocks, 1e-9)
@@ -163,18 +170,28 @@ def bounds(texts: list[list[int]], share: np.ndarray) -> tuple[np.ndarray, np.nd
     return counted, need
 
 
-def prepare(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, answer: str | None) -> Items:
-    """The space for the items of a pass; statistics come from all of `docs`."""
-    rows = items.collect()
+def prepare(docs: DataFrame, rows: list, text: str, item_id: str, item_text: str, answer: str | None) -> list[Items]:
+    """The spaces of about ITEMS of the benchmark's `rows` each; their terms are counted in one pass over all of `docs`."""
     split = [words((r[item_text] or "").encode()) for r in rows]
-    used = [i for i, w in enumerate(split) if len(w) >= MIN_WORDS]
-    terms: dict[bytes, int] = {}
-    texts = [[terms.setdefault(w, len(terms)) for w in split[i]] for i in used]
-    answers = []
-    for i, t in zip(used, texts, strict=True):
-        own = [terms.setdefault(w, len(terms)) for w in words((rows[i][answer] or "").encode())] if answer else []
-        answers.append(own or t[-ANSWER_WORDS:])
-    df, total = document_frequency(docs, terms, text)
+    own = [words((r[answer] or "").encode()) if answer else [] for r in rows]
+    used = [i for i, w in enumerate(split) if w]
+    vocabulary: dict[bytes, int] = {}
+    for i in used:
+        for w in split[i] + own[i]:
+            vocabulary.setdefault(w, len(vocabulary))
+    df, total = document_frequency(docs, vocabulary, text)
+    spaces = []
+    for part in np.array_split(np.array(used, np.int64), max(1, -(-len(used) // ITEMS))) if used else []:
+        terms: dict[bytes, int] = {}
+        texts = [[terms.setdefault(w, len(terms)) for w in split[i]] for i in part]
+        answers = [[terms.setdefault(w, len(terms)) for w in own[i]] or t[-ANSWER_WORDS:] for i, t in zip(part, texts, strict=True)]
+        at = np.fromiter((vocabulary[w] for w in terms), np.int64, len(terms))
+        spaces.append(space(docs.sparkSession, [rows[i][item_id] for i in part], terms, texts, answers, df[at], total))
+    return spaces
+
+
+def space(spark: SparkSession, ids: list, terms: dict[bytes, int], texts: list[list[int]], answers: list[list[int]], df: np.ndarray, total: int) -> Items:
+    """The latent space of some items; `df` of `total` passages of the corpus hold each term."""
     idf = np.log((1 + total) / (1 + df)) + 1e-3
     counts = np.zeros(len(terms), bool)
     counts[df <= COMMON * max(total, 1)] = True
@@ -183,11 +200,10 @@ def prepare(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_tex
     idf[~counts] = 0
     rarest = [(sorted(set(t)), t) for t in texts]
     passages = [([x for x in s if idf[x]], [float(idf[x] * t.count(x)) for x in s if idf[x]]) for s, t in rarest]
-    spark = docs.sparkSession
     basis = randomised_svd(spark.createDataFrame(passages, "term array<int>, weight array<double>"), len(terms), max(1, len(texts))) * idf[:, None]
     latent = np.array([sum((basis[x] for x in t), np.zeros(basis.shape[1])) for t in texts]).reshape(len(texts), basis.shape[1])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Items([rows[i][item_id] for i in used], terms, texts, answers, basis.astype(np.float32), latent.astype(np.float32), *bounds(texts, df / max(total, 1)))
+    return Items(ids, terms, texts, answers, basis.astype(np.float32), latent.astype(np.float32), *bounds(texts, df / max(total, 1)))
 
 
 def search(items: Items, texts: list[bytes], chunk: int = 4096) -> list[list[dict]]:
@@ -248,13 +264,13 @@ def search(items: Items, texts: list[bytes], chunk: int = 4096) -> list[list[dic
         for doc, i, cosine, at in zip(docs_at.tolist(), at_item.tolist(), cosines.tolist(), ((a + at_window - starts[docs_at]) * BLOCK).tolist(), strict=True):
             near.setdefault((doc, i), []).append((cosine, at))
     for (doc, i), places in near.items():
-        t, best, n = items.texts[i], None, len(items.texts[i])
+        t, best, n, least = items.texts[i], None, len(items.texts[i]), items.least[i]
         held, spare = items.members[i], n - len(items.members[i])
         mine = lists[doc] if doc in lists else lists.setdefault(doc, ids[doc].tolist())
 
         def may_reach(lo: int, hi: int) -> bool:
             """No common subsequence is longer than the item's terms that are there at all, and the item's repeats."""
-            return len(held.intersection(mine[max(0, lo) : hi])) + spare >= LIKELY * n
+            return len(held.intersection(mine[max(0, lo) : hi])) + spare >= least
 
         # Neighbouring places are first looked at together.
         runs: list[list[tuple[float, int]]] = []
@@ -269,7 +285,7 @@ def search(items: Items, texts: list[bytes], chunk: int = 4096) -> list[list[dic
                 continue
             region = mine[lo:hi]
             share = lcs(t, region) / n
-            if share >= SURE or share >= LIKELY and contains(region, items.answers[i]):
+            if (contains(region, t) if n < MIN_WORDS else share >= SURE or share >= LIKELY and contains(region, items.answers[i])):
                 best = {"item_id": items.ids[i], "similarity": share, "cosine": cosine, "word": at}
                 break
         if best:
@@ -280,7 +296,8 @@ def search(items: Items, texts: list[bytes], chunk: int = 4096) -> list[list[dic
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = None, keep: tuple[str, ...] | None = None, name: str = "leaks") -> DataFrame:
     """The columns `keep` (default: all) of `docs` and `name`: a list of (item_id, similarity, cosine, word), empty for clean rows.
 
-    Null texts are empty; items without MIN_WORDS words, null ones too, are in no text. Without an `answer` column an item's last
+    Null texts are empty; items without words, null ones too, are in no text; items of fewer than MIN_WORDS words are found where
+    all of them stand together. Without an `answer` column an item's last
     ANSWER_WORDS words are its answer. Repeated rows repeat, repeated items are each found. Texts are searched whole. A kept
     column called `name`, in whatever case, is replaced. Empty tables of either kind find nothing.
     """
@@ -290,21 +307,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     spark = docs.sparkSession
     columns = [F.col(item_id), F.col(item_text)] + ([F.col(answer)] if answer else [])
     items = materialize(benchmark.select(*columns))
-    passes = max(1, -(-items.count() // ITEMS))
-    dealt = items.withColumn("__pass", F.pmod(F.xxhash64(item_id, item_text), F.lit(passes)))
+    passes = max(1, -(-items.count() // (ITEMS * SPACES)))
+    dealt = items.select("*", F.pmod(F.xxhash64(item_id, item_text), F.lit(passes)).alias("__pass"))
     kind = items.schema[item_id].dataType.simpleString()
     leak = f"struct<item_id:{kind},similarity:double,cosine:double,word:long>"
     inputs, at = carried(docs, keep, text)
     out = inputs.withColumn(name, F.array().cast(f"array<{leak}>"))
     last = len(inputs.columns)
     for p in range(passes):
-        shared = spark.sparkContext.broadcast(prepare(docs, dealt.where(F.col("__pass") == p).drop("__pass"), text, item_id, item_text, answer))
+        shared = spark.sparkContext.broadcast(prepare(docs, dealt.where(F.col("__pass") == p).collect(), text, item_id, item_text, answer))
 
         def run(batches, shared=shared, out_names=tuple(out.columns)):
             for batch in split_batches(batches, at, 2 << 20):
-                got = search(shared.value, utf8(batch.column(at)))
-                leaks = pa.array([old + new for old, new in zip(batch.column(last).to_pylist(), got, strict=True)], batch.column(last).type)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:last], leaks], names=list(out_names))
+                texts = utf8(batch.column(at))
+                leaks = batch.column(last).to_pylist()
+                for items in shared.value:
+                    leaks = [old + new for old, new in zip(leaks, search(items, texts), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(leaks, batch.column(last).type)], names=list(out_names))
 
         out = arrow_map(out, run, out.schema)
     return out.select(*[f"`{c}`" for c in keep], name)

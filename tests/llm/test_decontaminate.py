@@ -60,7 +60,7 @@ def brute(items, docs):
     for d, t, _ in docs:
         w = dc.words((t or "").encode())
         for i, x in split.items():
-            if len(x) >= dc.MIN_WORDS and any(dc.lcs(x, w[a : a + 2 * len(x)]) >= dc.SURE * len(x) for a in range(0, max(1, len(w)), max(1, len(x) // 4))):
+            if 0 < len(x) < dc.MIN_WORDS and dc.contains(w, x) or len(x) >= dc.MIN_WORDS and any(dc.lcs(x, w[a : a + 2 * len(x)]) >= dc.SURE * len(x) for a in range(0, max(1, len(w)), max(1, len(x) // 4))):
                 out.add((d, i))
     return out
 
@@ -74,7 +74,7 @@ def test_query_finds_what_brute_force_finds(spark, tmp_path):
     want = brute(items, docs[:300])
     assert truth <= want | truth and set(rows) >= truth | {(902, 3)}
     extra = {r for r in rows if r[0] is not None and r[0] < 900} - want - truth
-    assert not extra and len(want - set(rows)) <= 0.1 * len(want)
+    assert not extra and not want - set(rows)
     assert rows.count((0, 0)) == 2 and rows.count((None, 0)) == 1
     table = spark.createDataFrame(docs, "doc_id long, text string, leaks string")
     clean = dc.drop_leaks(table, spark.createDataFrame(items, "item_id long, text string"))
@@ -84,7 +84,8 @@ def test_query_finds_what_brute_force_finds(spark, tmp_path):
 def test_passes_and_empty_tables(spark, monkeypatch):
     items, docs, truth = planted()
     a, b = spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(dc, "ITEMS", 25)
+    monkeypatch.setattr(dc, "ITEMS", 9)
+    monkeypatch.setattr(dc, "SPACES", 3)
     got = {(r.doc_id, r.i) for r in dc.find_leaks(a, b).select("doc_id", F.explode("leaks.item_id").alias("i")).collect()}
     assert got >= truth
     assert dc.find_leaks(a.limit(0), b).count() == 0
@@ -112,6 +113,34 @@ def test_short_items_among_common_words_are_found(spark):
     assert truth <= {(r.doc_id, r.i) for r in found.select("doc_id", F.explode("leaks.item_id").alias("i")).collect()}
 
 
+def test_items_of_few_words_are_found_where_they_stand_together(spark):
+    items = [(1, "quick"), (2, "Red  fox!"), (3, "one two three four"), (4, "none of it")]
+    docs = [(1, "the quick fox is red"), (2, "a red, FOX here " + "x " * 500 + "one two three four"), (3, "one two x three four none of"), (4, "x " * 70 + "quick " * 40 + "none of it")]
+    found = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.i) for r in found.select("doc_id", F.explode("leaks.item_id").alias("i")).collect()} == {(1, 1), (2, 2), (2, 3), (4, 1), (4, 4)}
+
+
+def test_nothing_is_lost_against_brute_force(spark):
+    """With 0, 20 and 35 % of the words replaced, at 30, 120 and 400 words: all that the rule finds at the planted place is found."""
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklmprtvz" for b in "aeiou" for c in ("n", "st", "r", "lm", "ck", "p", "s")]
+    weights = [1 / (i + 2) for i in range(len(vocabulary))]
+    text = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [(i, text(n)) for i, n in enumerate((30, 120, 400) * 12)]
+    docs, want = [], set()
+    for d, (i, t) in enumerate([x for x in items for _ in range(3)]):
+        w, body = list(t), text(rng.randrange(1, 600))
+        for k in rng.sample(range(len(w) - dc.ANSWER_WORDS), int((0, 0.2, 0.35)[d % 3] * (len(w) - dc.ANSWER_WORDS))):
+            w[k] = "other"
+        if dc.lcs(t, w) >= (dc.LIKELY) * len(t):
+            want.add((d, i))
+        at = rng.randrange(len(body) + 1)
+        docs.append((d, " ".join(body[:at] + w + body[at:])))
+    assert len(want) == len(docs)
+    found = dc.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
+    assert want <= {(r.doc_id, r.i) for r in found.select("doc_id", F.explode("leaks.item_id").alias("i")).collect()}
+
+
 def test_bounds_hold_for_any_place():
     rng = random.Random(6)
     share = np.array([1 / (i + 1) for i in range(40)])
@@ -129,5 +158,5 @@ def test_space_holds_every_item_of_a_pass(spark):
     words = [f"w{i}" for i in range(900)]
     items = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(900)], k=rng.choice([8, 60])))) for i in range(200)]
     docs = spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string")
-    space = dc.prepare(docs, spark.createDataFrame(items, "item_id long, text string"), "text", "item_id", "text", None)
+    space, = dc.prepare(docs, spark.createDataFrame(items, "item_id long, text string").collect(), "text", "item_id", "text", None)
     assert np.linalg.matrix_rank(space.latent, tol=1e-3) == 200
