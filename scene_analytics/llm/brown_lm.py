@@ -1,9 +1,10 @@
 """Language-model scoring with Brown's class-based bigrams.
 
-Exchange clustering gives the most frequent words their classes; every other word belongs to a class told by its form. A text's
-probability is the product of class transitions and word emissions, both smoothed. Words, their counts and all class transitions
-are counted over the whole training part. Workers know the most frequent words (a stated bound); the other tokens of a text meet
-their counts in one equi join, where no word can be hot, as the hot ones are among the known.
+Exchange clustering gives the most frequent words their classes. Every other word that occurs twice or more is then placed, on the
+executors, in the class that its left and right neighbours make likeliest by the same gain; words seen once, and unseen ones, share
+classes told by their form. A text's probability is the product of class transitions and word emissions, both smoothed. Words,
+contexts and transitions are counted over the whole training part. Workers know the most frequent words (a stated bound); the
+other tokens meet their counts and classes in equi joins.
 """
 
 from __future__ import annotations
@@ -14,19 +15,21 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, materialize_table, split_batches, table, utf8
+from .common import arrow_map, materialize_table, remove_table, split_batches, table, utf8
 
-#: Words that every worker knows; words whose classes are found by exchange; their classes; sweeps at most.
-KNOWN_WORDS, CLUSTERED_WORDS, CLASSES, SWEEPS = 300_000, 1024, 40, 12
+#: Words that every worker knows; words whose classes are found by exchange, which all others are placed among; sweeps at most.
+KNOWN_WORDS, CLUSTERED_WORDS, SWEEPS = 300_000, 1024, 12
+#: Classes: distinct words to this power, and no fewer than the least number.
+CLASS_POWER, LEAST_CLASSES = 0.3, 8
 SMOOTH = 0.5
 END = b" "  # a space: no word is one
-#: Distinct words that a task keeps before it hands its counts on.
-FLUSH = 400_000
+#: Distinct words, or codes of contexts, that a task keeps before it hands its counts on; rows of an Arrow batch.
+FLUSH, ROWS = 400_000, 50_000
 FORMS = 20
 
 
 def form(word: bytes) -> int:
-    """The class of a word outside the clustered ones, from its form: length, last character, whether it is all ASCII."""
+    """The class of a rare word, from its form: length, last character, whether it is all ASCII."""
     last = word[-1]
     return min(len(word) // 3, 4) * 4 + 2 * (last < 128 and not chr(last).isalnum()) + (not word.isascii())
 
@@ -110,7 +113,11 @@ def symbol_bigrams(docs: DataFrame, words: list[bytes], text: str = "text") -> n
     return matrix.reshape(size, size)
 
 
-def exchange(bigrams: np.ndarray, movable: int, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def exchange(bigrams: np.ndarray, movable: int, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     """Classes of the symbols of `bigrams`: the first `movable` ones are exchanged among `classes`, each other one has its own.
 
     A sweep moves each symbol to the class that raises the likelihood of the class bigrams most; ties go to the smaller class.
@@ -124,9 +131,6 @@ def exchange(bigrams: np.ndarray, movable: int, classes: int = CLASSES, sweeps:
     member[np.arange(size), of] = 1
     f = member.T @ n @ member
 
-    def xlogx(x):
-        return x * np.log(np.maximum(x, 1.0))
-
     for _ in range(sweeps if classes > 1 else 0):
         moved = 0
         for w in range(movable):
@@ -160,117 +164,355 @@ def exchange(bigrams: np.ndarray, movable: int, classes: int = CLASSES, sweeps:
     return of
 
 
-class BrownModel:
-    """What scoring needs: the known words with their counts and classes, class sizes and transitions, totals."""
+class Walker:
+    """What a worker knows of words: their numbers and, for each number, what it needs."""
 
-    def __init__(self, words: list[bytes], n: np.ndarray, of: np.ndarray, clustered: int, bigrams: np.ndarray, sizes: np.ndarray, kinds: np.ndarray, total: int, distinct: int, ends: int) -> None:
-        k = int(of.max()) + 1
-        member = np.zeros((len(of), k))
-        member[np.arange(len(of)), of] = 1
-        f = member.T @ bigrams.astype(np.float64) @ member
-        self.step = np.log10((f + SMOOTH) / (f.sum(1, keepdims=True) + SMOOTH * k))
-        self.form_class, self.end_class = of[clustered : clustered + FORMS].tolist(), int(of[-1])
-        self.width = np.log10(sizes + SMOOTH * (kinds + 1))  # of each class, what emissions are divided by
-        self.all = float(np.log10(total + SMOOTH * (distinct + 1)))
-        self.total, self.ends = total, ends
+    def __init__(self, words: list[bytes], cls: np.ndarray, end: int, forms: list[int], guess: bool = False) -> None:
         self.index = {w: i for i, w in enumerate(words)}
+        self.cls, self.end, self.forms, self.guess = cls, end, forms, guess
+
+    def rare(self, word: bytes) -> int:
+        """The class that a word has if it occurs at most once."""
+        return self.forms[form(word)]
+
+    def walk(self, data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """A text's words, their numbers (-1: not known) and the classes of end, words, end.
+
+        A word that isn't known has the class -1, or that of its form where the walker has to `guess`.
+        """
+        words = data.lower().split()
+        find = self.index.get
+        ids = np.array([find(w, -1) for w in words], np.int64)
+        cls = np.full(len(words) + 2, -1, np.int64)
+        cls[0] = cls[-1] = self.end
+        hit = ids >= 0
+        cls[1:-1][hit] = self.cls[ids[hit]]
+        if self.guess:
+            miss = np.flatnonzero(~hit)
+            cls[miss + 1] = [self.rare(words[i]) for i in miss.tolist()]
+        return words, ids, cls
+
+
+def contexts(docs: DataFrame, words: list[bytes], n: np.ndarray, clustered: int, of: np.ndarray, text: str = "text") -> DataFrame:
+    """(word binary, code int, n long): how often a word beyond the `clustered` ones has a neighbour of a class.
+
+    code: the class of the word on the left, or the number of classes plus that of the word on the right. Neighbours that aren't
+    clustered count by their form. Known words that occur once are left out.
+    """
+    import pyarrow as pa
+
+    k = int(of.max()) + 1
+    forms = of[clustered : clustered + FORMS].tolist()
+    cls = np.array([of[i] if i < clustered else forms[form(w)] for i, w in enumerate(words)], np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast((words, Walker(words, cls, int(of[-1]), forms, guess=True), n >= 2))
+
+    def run(batches):
+        words, walker, often = shared.value
+        spelt, often = pa.array(words, pa.binary()), often & (np.arange(len(words)) >= clustered)
+        codes, held = [], 0
+
+        def known():
+            code, count = np.unique(np.concatenate(codes), return_counts=True)
+            for s in range(0, len(code), ROWS):
+                c = code[s : s + ROWS]
+                yield pa.RecordBatch.from_arrays([spelt.take(pa.array(c // (2 * k))), pa.array(c % (2 * k), pa.int32()), pa.array(count[s : s + ROWS], pa.int64())], names=["word", "code", "n"])
+            codes.clear()
+
+        for batch in split_batches(batches, 0):
+            tail: list[bytes] = []
+            beside: list[np.ndarray] = []
+            for data in utf8(batch.column(0)):
+                found, ids, c = walker.walk(data)
+                at = np.flatnonzero(ids >= 0)
+                at = at[often[ids[at]]]
+                codes += [ids[at] * 2 * k + c[at], ids[at] * 2 * k + k + c[at + 2]]
+                held += 2 * len(at)
+                miss = np.flatnonzero(ids < 0)
+                tail += [found[i] for i in miss.tolist()]
+                beside += [c[miss], k + c[miss + 2]]
+            if tail:
+                rows = pa.array(tail, pa.binary())
+                for side in (0, 1):
+                    code = pa.array(np.concatenate(beside[side::2]), pa.int32())
+                    for s in range(0, len(tail), ROWS):
+                        part = code.slice(s, ROWS)
+                        yield pa.RecordBatch.from_arrays([rows.slice(s, ROWS), part, pa.array(np.ones(len(part), np.int64))], names=["word", "code", "n"])
+            if held >= 10 * FLUSH:
+                yield from known()
+                held = 0
+        if codes:
+            yield from known()
+
+    return arrow_map(docs.select(text), run, "word binary, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+
+
+def gains(start: np.ndarray, code: np.ndarray, n: np.ndarray, stats: np.ndarray, classes: int) -> np.ndarray:
+    """How much the likelihood of the class bigrams `stats` gains if a word joins each of the first `classes`: words x classes.
+
+    The rows of a word begin at `start`; a row has a code of `contexts` and its count. Counts of the word beside itself are taken
+    for counts beside its old class.
+    """
+    k = len(stats)
+    left = code < k
+    held = np.where(left[:, None], stats[np.where(left, code, 0), :classes], stats[:classes, np.where(left, 0, code - k)].T)
+    each = xlogx(held + n[:, None]) - xlogx(held)
+    whole = np.add.reduceat(np.where(left, n, 0), start).astype(np.float64)[:, None]
+    rows, cols = stats.sum(1)[:classes], stats.sum(0)[:classes]
+    return np.add.reduceat(each, start, axis=0) - (xlogx(rows + whole) - xlogx(rows)) - (xlogx(cols + whole) - xlogx(cols))
+
+
+def place(found: DataFrame, stats: np.ndarray, classes: int) -> DataFrame:
+    """(word, form, n, cls) for each word of `contexts`: the class of largest gain, ties to the smaller; null if it occurs once."""
+    import pyarrow as pa
+
+    k, shared = len(stats), found.sparkSession.sparkContext.broadcast(stats)
+
+    def run(batches):
+        stats, rest = shared.value, None
+
+        def placed(t):
+            spelt = t.column("word").combine_chunks()
+            same = spelt.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            start = np.concatenate([[0], np.flatnonzero(np.diff(same)) + 1])
+            code, n = t["code"].to_numpy(), t["n"].to_numpy()
+            whole = np.add.reduceat(np.where(code < k, n, 0), start)
+            best = gains(start, code, n, stats, classes).argmax(axis=1) if classes else np.zeros(len(start), np.int64)
+            spelt = spelt.take(pa.array(start))
+            return pa.RecordBatch.from_arrays([spelt, pa.array([form(w) for w in spelt.to_pylist()], pa.int32()), pa.array(whole, pa.int64()), pa.array(best, pa.int32(), mask=(whole < 2) | (classes == 0))], names=["word", "form", "n", "cls"])
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if not len(t):
+                continue
+            if rest is not None:
+                t = pa.concat_tables([rest, t])
+            # The last word may go on in the next batch.
+            words = t.column("word").combine_chunks()
+            at = np.flatnonzero(np.diff(words.dictionary_encode().indices.to_numpy(zero_copy_only=False)))
+            cut = int(at[-1]) + 1 if len(at) else 0
+            rest = t.slice(cut)
+            if cut:
+                yield placed(t.slice(0, cut).combine_chunks())
+        if rest is not None:
+            yield placed(rest.combine_chunks())
+
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, form int, n long, cls int")
+
+
+def tail_rows(words: list[bytes], ids: np.ndarray, cls: np.ndarray, rare) -> Counter:
+    """(word, own, second, own2, before, after) and how often: what a text's words that aren't known have beside them.
+
+    A row for each such word with its neighbours' classes (-1: not known, too), and one for each two of them side by side. own:
+    the class that a word has if it occurs at most once.
+    """
+    miss = np.flatnonzero(ids < 0)
+    rows = Counter((words[i], rare(words[i]), None, -1, x, y) for i, x, y in zip(miss.tolist(), cls[miss].tolist(), cls[miss + 2].tolist(), strict=True))
+    rows.update((words[i], rare(words[i]), words[i + 1], rare(words[i + 1]), -1, -1) for i in miss[np.flatnonzero(np.diff(miss) == 1)].tolist())
+    return rows
+
+
+TAIL = "word binary, own int, second binary, own2 int, before int, after int, n long"
+
+
+def tail_arrays(rows: list, n: list[int]) -> list:
+    """Arrow arrays of TAIL."""
+    import pyarrow as pa
+
+    kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
+    return [*(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), pa.array(n, pa.int64())]
+
+
+def with_classes(rows: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
+    """(`keys`, before, after, cls, seen, n): the rows of TAIL with a word, with classes and training counts.
+
+    cls and seen are those of the word; two words side by side have theirs as before and after, and cls -1. Words that `placed`
+    has no class for have that of their form. No key is hot: a frequent word is a known one, unless new texts are full of it.
+    """
+    listed = placed.select("word", F.col("n").alias("seen"), F.col("cls").alias("found"))
+    single = rows.where("word is not null and second is null").groupBy(*keys, "word", "own", "before", "after").agg(F.sum("n").alias("n"))
+    single = single.join(listed, "word", "left").select(*keys, "before", "after", F.coalesce("found", "own").alias("cls"), F.coalesce("seen", F.lit(0)).cast("long").alias("seen"), "n")
+    double = rows.where("second is not null").groupBy(*keys, "word", "own", "second", "own2").agg(F.sum("n").alias("n"))
+    second = listed.select(F.col("word").alias("second"), F.col("found").alias("found2"))
+    double = double.join(listed, "word", "left").join(second, "second", "left")
+    double = double.select(*keys, F.coalesce("found", "own").alias("before"), F.coalesce("found2", "own2").alias("after"), F.lit(-1).alias("cls"), F.lit(0).cast("long").alias("seen"), "n")
+    return single.unionByName(double)
+
+
+def class_bigrams(docs: DataFrame, walker: Walker, placed: DataFrame, k: int, text: str = "text") -> np.ndarray:
+    """Counts [previous class, next class] over all bigrams of `docs`; words that `walker` doesn't know have their class in `placed`."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(walker)
+    names = ["word", "own", "second", "own2", "before", "after", "n"]
+
+    def run(batches):
+        walker = shared.value
+        total = np.zeros(k * k, np.int64)
+
+        def out(counts):
+            rows = list(counts)
+            for s in range(0, len(rows), ROWS):
+                yield pa.RecordBatch.from_arrays(tail_arrays(rows[s : s + ROWS], [counts[r] for r in rows[s : s + ROWS]]), names=names)
+
+        counts: Counter = Counter()
+        for batch in split_batches(batches, 0):
+            for data in utf8(batch.column(0)):
+                words, ids, c = walker.walk(data)
+                a, b = c[:-1], c[1:]
+                both = (a >= 0) & (b >= 0)
+                total += np.bincount(a[both] * k + b[both], minlength=k * k)
+                counts.update(tail_rows(words, ids, c, walker.rare))
+                if len(counts) >= FLUSH:
+                    yield from out(counts)
+                    counts.clear()
+        yield from out(counts)
+        cells = np.flatnonzero(total)
+        yield from out({(None, -1, None, -1, int(c // k), int(c % k)): int(total[c]) for c in cells})
+
+    rows = materialize_table(arrow_map(docs.select(text), run, TAIL))
+    met = with_classes(rows, placed, [])
+    beside = F.when(F.col("cls") < 0, F.array(F.struct("before", "after"))).otherwise(F.array(F.struct("before", F.col("cls").alias("after")), F.struct(F.col("cls").alias("before"), "after")))
+    met = met.select("n", F.explode(beside).alias("c")).select("c.before", "c.after", "n").where("before >= 0 and after >= 0")
+    got = rows.where("word is null").select("before", "after", "n").unionByName(met).groupBy("before", "after").agg(F.sum("n").alias("n")).toArrow()
+    matrix = np.zeros((k, k))
+    matrix[got["before"].to_numpy(), got["after"].to_numpy()] = got["n"].to_numpy()
+    remove_table(rows)
+    return matrix
+
+
+class BrownModel(Walker):
+    """What scoring needs: the known words with their counts and classes, class sizes and transitions, totals.
+
+    A class emits its training words; a form's class also one unseen word, so that all chances sum to one. Classes without words
+    are never entered.
+    """
+
+    def __init__(self, words: list[bytes], n: np.ndarray, cls: np.ndarray, forms: list[int], end: int, bigrams: np.ndarray, sizes: np.ndarray, kinds: np.ndarray) -> None:
+        super().__init__(words, cls, end, forms)
+        live = kinds > 0
+        live[end] = True
+        spare = np.zeros(len(kinds))
+        spare[forms] = 1
+        live[forms] = True
+        with np.errstate(divide="ignore"):
+            self.step = np.log10((bigrams + SMOOTH * live) / (bigrams.sum(1, keepdims=True) + SMOOTH * live.sum()))
+            self.width = np.log10(np.where(live, sizes + SMOOTH * (kinds + spare), 1.0))  # of each class, what emissions are divided by
+        self.ends, self.total, self.distinct = int(sizes[end]), int(sizes.sum()), int(kinds.sum())
+        if not self.ends:  # nothing learnt: an end is the only thing that its class emits
+            self.width[end] = np.log10(SMOOTH)
+        self.all = float(np.log10(self.total + SMOOTH * (self.distinct + 1)))
         self.log_n = np.log10(n + SMOOTH)
-        self.cls = np.array([of[i] if i < clustered else self.form_class[form(w)] for i, w in enumerate(words)], np.int64)
 
 
-def train(docs: DataFrame, text: str = "text", known: int = KNOWN_WORDS, clustered: int = CLUSTERED_WORDS, classes: int = CLASSES) -> tuple[BrownModel, DataFrame]:
-    """The model of `docs`, and its table of word counts. Any table does, an empty one too."""
+def train(docs: DataFrame, text: str = "text", known: int = KNOWN_WORDS, clustered: int = CLUSTERED_WORDS, classes: int | None = None) -> tuple[BrownModel, DataFrame]:
+    """The model of `docs`, and a table (word, form, n, cls) of the words beyond the clustered ones.
+
+    Null texts are empty. Any table does: of an empty one, and of one without repeated words, every word has the class of its form.
+    Words of equal count are ordered by their bytes, ties between classes go to the smaller number.
+    """
     counts = materialize_table(word_counts(docs, text))
+    sums = counts.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    distinct = sum(r.v for r in sums if r.form >= 0)
     words, n = frequent_words(counts, known)
-    chosen = min(clustered, len(words))
+    chosen = min(clustered, int((n >= 2).sum()))
     bigrams = symbol_bigrams(docs, words[:chosen], text)
-    of = exchange(bigrams, chosen, classes)
+    of = exchange(bigrams, chosen, classes or max(LEAST_CLASSES, round(distinct**CLASS_POWER)))
     k = int(of.max()) + 1
-    sizes, kinds, ends = np.zeros(k), np.zeros(k), 0
-    for r in counts.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
-        if r.form < 0:
-            sizes[of[-1]], kinds[of[-1]], ends = r.n, 1, r.n
-        else:
-            sizes[of[chosen + r.form]] += r.n
-            kinds[of[chosen + r.form]] += r.v
-    total, distinct = int(sizes.sum()), int(kinds.sum())
-    for i in range(chosen):  # they leave the class of their form
-        a, b = of[chosen + form(words[i])], of[i]
-        sizes[[a, b]] += [-n[i], n[i]]
-        kinds[[a, b]] += [-1, 1]
-    return BrownModel(words, n, of, chosen, bigrams, sizes, kinds, total, distinct, ends), counts
-
-
-def score(docs: DataFrame, model: BrownModel, counts: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    member = np.zeros((len(of), k))
+    member[np.arange(len(of)), of] = 1
+    forms, end = of[chosen : chosen + FORMS].tolist(), int(of[-1])
+    placed = materialize_table(place(contexts(docs, words, n, chosen, of, text), member.T @ bigrams.astype(np.float64) @ member, k - FORMS - 1))
+    # The known words' classes come to the driver: whatever is as frequent as the rarest of them is one of them.
+    cls = np.array([of[i] if i < chosen else forms[form(w)] for i, w in enumerate(words)], np.int64)
+    index = {w: i for i, w in enumerate(words)}
+    got = placed.where(F.col("cls").isNotNull() & (F.col("n") >= int(n[-1]) if len(n) else F.lit(False))).select("word", "cls").toArrow()
+    cls[[index[w] for w in got["word"].to_pylist()]] = got["cls"].to_numpy()
+    # Class sizes: by form at first; placed and clustered words leave the class of their form.
+    sizes, kinds = np.zeros(k), np.zeros(k)
+    for r in sums:
+        at = end if r.form < 0 else forms[r.form]
+        sizes[at], kinds[at] = r.n, r.v
+    moves = [(r.form, r.cls, r.n, r.v) for r in placed.where("cls is not null").groupBy("form", "cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()]
+    for f, c, m, v in moves + [(form(words[i]), of[i], n[i], 1) for i in range(chosen)]:
+        sizes[[forms[f], c]] += [-m, m]
+        kinds[[forms[f], c]] += [-v, v]
+    remove_table(counts)
+    steps = class_bigrams(docs, Walker(words, cls, end, forms), placed, k, text)
+    return BrownModel(words, n, cls, forms, end, steps, sizes, kinds), placed
+
+
+def score(docs: DataFrame, model: BrownModel, placed: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score), a row for each row of `docs`.
 
     base_score: log10 probability by smoothed single words; score: by the class model. Null texts are empty and have one token,
     the end. Rows with null or repeated ids keep their own results; rows alike in id and text have the same. Other columns of
-    `docs` are not looked at.
+    `docs` are not looked at; an empty table gives an empty one.
     """
     import pyarrow as pa
     import xxhash
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = ["doc_id", "mark", "whole", "n_tokens", "n_known", "base", "cls", "word", "tf"]
     inputs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
     id_type = inputs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, mark long, whole int, n_tokens long, n_known long, base double, cls double, {TAIL}"
+    names = ["doc_id", "mark", "whole", "n_tokens", "n_known", "base", "cls", "word", "own", "second", "own2", "before", "after", "n"]
 
     def run(batches):
         m = shared.value
-        find, forms, end = m.index.get, m.form_class, m.end_class
         for batch in split_batches(batches, 1):
-            rows: list[list] = [[] for _ in names[1:]]
-            at = []
+            own: list[list] = [[] for _ in range(6)]
+            at, tails, n_tails = [], [], []
             for r, data in enumerate(utf8(batch.column(1))):
-                words = data.lower().split()
-                idx = np.array([find(w, -1) for w in words], np.int64)
-                hit = idx >= 0
-                cls = np.empty(len(words) + 2, np.int64)
-                cls[0] = cls[-1] = end
-                cls[1:-1][hit] = m.cls[idx[hit]]
-                miss = np.flatnonzero(~hit).tolist()
-                cls[1:-1][miss] = [forms[form(words[i])] for i in miss]
-                logs = m.log_n[idx[hit]].sum() + np.log10(m.ends + SMOOTH)
+                words, ids, c = m.walk(data)
+                hit = ids >= 0
+                a, b = c[:-1], c[1:]
+                both = (a >= 0) & (b >= 0)
+                logs = m.log_n[ids[hit]].sum() + np.log10(m.ends + SMOOTH)
                 n, mark = len(words) + 1, xxhash.xxh3_64_intdigest(data) - (1 << 63)
-                by_class = m.step[cls[:-1], cls[1:]].sum() - m.width[cls[1:]].sum()
-                one = (mark, 1, n, int(hit.sum()) + (m.ends > 0), logs - n * m.all, logs + by_class, b" %d" % mark, 0)
-                for column, value in zip(rows, one, strict=True):
+                by_class = m.step[a[both], b[both]].sum() - m.width[b[b >= 0]].sum()
+                tail = tail_rows(words, ids, c, m.rare)
+                at += [r] * (1 + len(tail))
+                tails += [(None, -1, None, -1, -1, -1), *tail]
+                n_tails += [0, *tail.values()]
+                rest = len(tail)
+                for column, value, none in zip(own, (mark, 1, n, int(hit.sum()) + (m.ends > 0), logs - n * m.all, logs + by_class), (mark, 0, 0, 0, 0.0, 0.0), strict=True):
                     column.append(value)
-                at.append(r)
-                if miss:
-                    tail = Counter([words[i] for i in miss])
-                    k = len(tail)
-                    for column, values in zip(rows, ([mark] * k, [0] * k, [0] * k, [0] * k, [0.0] * k, [0.0] * k, list(tail), list(tail.values())), strict=True):
-                        column += values
-                    at += [r] * k
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-            arrays = [batch.column(0).take(pa.array(at, pa.int32())), *[pa.array(x, t) for x, t in zip(rows, types, strict=True)]]
+                    column += [none] * rest
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            arrays = [batch.column(0).take(pa.array(at, pa.int32())), *[pa.array(x, t) for x, t in zip(own, types, strict=True)], *tail_arrays(tails, n_tails)]
             whole = pa.RecordBatch.from_arrays(arrays, names=names)
-            for s in range(0, whole.num_rows, 50_000):
-                yield whole.slice(s, 50_000)
+            for s in range(0, whole.num_rows, ROWS):
+                yield whole.slice(s, ROWS)
 
-    parts = arrow_map(inputs, run, f"doc_id {id_type}, mark long, whole int, n_tokens long, n_known long, base double, cls double, word binary, tf long")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    logs = F.col("tf") * F.log10(n + SMOOTH)
+    def rate(batches):
+        m = shared.value
+        for batch in batches:
+            before, after, cls, seen, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 7))
+            step = lambda a, b: np.where((a >= 0) & (b >= 0), m.step[a, b], 0.0)
+            logs = np.where(cls >= 0, np.log10(seen + SMOOTH), 0.0)
+            by_class = np.where(cls >= 0, logs - m.width[cls] + step(before, cls) + step(cls, after), step(before, after))
+            arrays = [batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in ((np.where((cls >= 0) & (seen > 0), n, 0), pa.int64()), (n * logs, pa.float64()), (n * by_class, pa.float64())))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "mark", "n_known", "base", "cls"])
+
+    rows = materialize_table(arrow_map(inputs, run, schema))
+    keys = ["doc_id", "mark"]
+    tail = with_classes(rows, placed, keys).mapInArrow(rate, f"doc_id {id_type}, mark long, n_known long, base double, cls double")
+    tail = tail.select(*keys, F.lit(0).alias("whole"), F.lit(0).cast("long").alias("n_tokens"), "n_known", "base", "cls")
     summed = (
-        parts.join(counts.select("word", "n"), "word", "left")
-        .groupBy("doc_id", "mark")
-        .agg(
-            F.sum("whole").alias("whole"),
-            F.sum("n_tokens").alias("n_tokens"),
-            F.sum(F.col("n_known") + F.when(n > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-            F.sum(F.col("base") + logs).alias("base_score"),
-            F.sum(F.col("cls") + logs).alias("score"),
-        )
+        rows.where("word is null")
+        .select(*tail.columns)
+        .unionByName(tail)
+        .groupBy(*keys)
+        .agg(F.sum("whole").alias("whole"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("cls").alias("score"))
     )
     each = [(F.col(c) / F.col("whole")).cast("long").alias(c) for c in ("n_tokens", "n_known")] + [(F.col(c) / F.col("whole")).alias(c) for c in ("base_score", "score")]
     return summed.select("doc_id", *each, F.explode(F.array_repeat(F.lit(0), F.col("whole").cast("int"))).alias("__copy")).drop("__copy")
 
 
 def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of documents; edge cases as in `train` and `score`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = held_out("doc_id", 5, 1)
-    model, counts = train(docs.where(~out))
-    scored = score(docs, model, counts)
+    model, placed = train(docs.where(~out))
+    scored = score(docs, model, placed)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -52,6 +52,92 @@ def test_class_model_sums_to_one_and_beats_single_words(spark):
     assert len(groups[0]) == len(groups[1]) == 1 and groups[0] != groups[1]
 
 
+def zipf(rng, n_words, n_docs, length):
+    words = ["".join(rng.choice("abcdeé1.") for _ in range(rng.randrange(1, 7))) for _ in range(n_words)]
+    weights = [1 / (i + 1) for i in range(n_words)]
+    return [" ".join(rng.choices(words, weights, k=rng.randrange(length))) for _ in range(n_docs)] + ["", None]
+
+
+def test_every_repeated_word_joins_the_class_of_largest_gain(spark):
+    """Contexts and gains by their definitions, for words beyond the clustered ones, known to workers or not."""
+    texts = zipf(random.Random(5), 400, 60, 60)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    seen = Counter(w for t in texts for w in (t or "").lower().encode().split())
+    for known in (500, 60):
+        words, n = lm.frequent_words(lm.word_counts(docs), known)
+        clustered = 20
+        bigrams = lm.symbol_bigrams(docs, words[:clustered])
+        of = lm.exchange(bigrams, clustered, 5)
+        k = int(of.max()) + 1
+        member = np.eye(k)[of]
+        stats = member.T @ bigrams @ member
+        got = {bytes(r.word): (r.n, r.cls) for r in lm.place(lm.contexts(docs, words, n, clustered, of), stats, 5).collect()}
+        place = {w: i for i, w in enumerate(words[:clustered])}
+        cls = lambda w: of[-1] if w is None else of[place[w]] if w in place else of[clustered + lm.form(w)]
+        beside = {}
+        for t in texts:
+            w = [None, *(t or "").lower().encode().split(), None]
+            for a, b, c in zip(w, w[1:], w[2:], strict=False):
+                beside.setdefault(b, []).append((cls(a), cls(c)))
+
+        g = lambda x: x * math.log(max(x, 1))
+
+        def likelihood(f):
+            return sum(g(x) for x in f.ravel()) - sum(map(g, f.sum(0))) - sum(map(g, f.sum(1)))
+
+        for w, around in beside.items():
+            if w in place or len(around) < 2:
+                assert w in place or w not in got or got[w] == (1, None)
+                continue
+            best = []
+            for b in range(5):
+                rows, cols = np.zeros(k), np.zeros(k)
+                for x, y in around:
+                    rows[y] += 1
+                    cols[x] += 1
+                own = sum(g(stats[b, c] + rows[c]) - g(stats[b, c]) + g(stats[c, b] + cols[c]) - g(stats[c, b]) for c in range(k))
+                best.append(own - g(stats[b].sum() + len(around)) + g(stats[b].sum()) - g(stats[:, b].sum() + len(around)) + g(stats[:, b].sum()))
+            assert got[w][0] == len(around) == seen[w] and best[got[w][1]] > max(best) - 1e-6
+
+
+def test_scores_are_brute_force(spark):
+    """Transitions and emissions counted anew from every word's class; with most words known to workers, and with few."""
+    rng = random.Random(8)
+    texts = zipf(rng, 500, 80, 80)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    new = [*texts[:20], "never seen words, é1é1é1 xyzzy", None, "a a a never never", texts[3] + " zz zz never"]
+    others = spark.createDataFrame(list(enumerate(new)), "doc_id long, text string")
+    split = lambda t: (t or "").lower().encode().split()
+    for known in (1000, 40):
+        model, placed = lm.train(docs, "text", known, 30, 6)
+        count = Counter(w for t in texts for w in split(t))
+        cls = {w: model.rare(w) for w in count} | {bytes(r.word): r.cls for r in placed.collect() if r.cls is not None} | {w: int(model.cls[i]) for w, i in model.index.items()}
+        assert all((cls[w] < 6) == (n >= 2) for w, n in count.items())
+        f = np.zeros((len(model.step), len(model.step)))
+        sizes, kinds = np.zeros(len(f)), np.zeros(len(f))
+        for t in texts:
+            c = [model.end, *(cls[w] for w in split(t)), model.end]
+            for a, b in zip(c, c[1:], strict=False):
+                f[a, b] += 1
+        for w, n in [*count.items(), (None, len(texts))]:
+            sizes[model.end if w is None else cls[w]] += n
+            kinds[model.end if w is None else cls[w]] += 1
+        live = np.array([c in model.forms or kinds[c] > 0 for c in range(len(f))])
+        step = (f + 0.5 * live) / (f.sum(1, keepdims=True) + 0.5 * live.sum())
+        assert np.allclose(10**model.step, step) and np.allclose(step.sum(1), 1)
+        emit = lambda w, c: (count[w] + 0.5) / (sizes[c] + 0.5 * (kinds[c] + (c in model.forms)))
+        # Each class's words, and an unseen one of a form's class, have chances that sum to one.
+        for c in range(len(f)):
+            if live[c] and c != model.end:
+                assert abs(sum(emit(w, c) for w in cls if cls[w] == c) + (emit(None, c) if c in model.forms else 0) - 1) < 1e-9
+        got = {r.doc_id: r.score for r in lm.score(others, model, placed).collect()}
+        for d, t in enumerate(new):
+            w = split(t)
+            c = [model.end, *(cls.get(x, model.rare(x)) for x in w), model.end]
+            want = sum(math.log10(step[a, b]) for a, b in zip(c, c[1:], strict=False)) + sum(math.log10(emit(x, y)) for x, y in zip(w, c[1:], strict=False))
+            assert abs(got[d] - want) < 1e-6, (known, d)
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(0)
     n = rng.integers(0, 50, (30, 30))
