@@ -10,6 +10,8 @@ other tokens meet their counts and classes in equi joins.
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,10 @@ SMOOTH = 0.5
 END = b" "  # a space: no word is one
 #: Distinct words, or codes of contexts, that a task keeps before it hands its counts on; rows of an Arrow batch.
 FLUSH, ROWS = 400_000, 50_000
+#: Lots that words are dealt into, for what is shuffled by word.
+PARTS = 1 << 14
+#: Counts of a context below this one take their gains from a table.
+SMALL = 5
 FORMS = 20
 
 
@@ -34,6 +40,19 @@ def form(word: bytes) -> int:
     return min(len(word) // 3, 4) * 4 + 2 * (last < 128 and not chr(last).isalnum()) + (not word.isascii())
 
 
+_MARK = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+
+
+def forms_of(words) -> np.ndarray:
+    """`form` of each word of an Arrow binary array."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    foreign = np.bitwise_or.reduceat(data[: ends[-1]], ends[:-1]) >= 128
+    return np.minimum(np.diff(ends) // 3, 4) * 4 + 2 * _MARK[data[ends[1:] - 1]] + foreign
+
+
 def held_out(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
@@ -81,6 +100,68 @@ def frequent_words(counts: DataFrame, most: int = KNOWN_WORDS) -> tuple[list[byt
     return [w for _, w in rows], np.array([n for n, _ in rows], np.int64)
 
 
+class Walker:
+    """What a worker knows of words: their numbers and, for each number, its class."""
+
+    def __init__(self, words: list[bytes], cls: np.ndarray, end: int, forms: list[int], guess: bool = False) -> None:
+        self.index = {w: i for i, w in enumerate(words)}
+        self.cls, self.end, self.forms, self.guess = cls, end, forms, guess
+
+    def rare(self, word: bytes) -> int:
+        """The class that a word has if it occurs at most once."""
+        return self.forms[form(word)]
+
+    def walk(self, texts: list[bytes]) -> Walk:
+        """The words of texts in a row. One that isn't known has the class -1, or that of its form where the walker has to `guess`."""
+        import pyarrow as pa
+
+        split = [data.lower().split() for data in texts]
+        size = np.fromiter(map(len, split), np.int64, len(split))
+        words = list(chain.from_iterable(split))
+        ids = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        text = np.repeat(np.arange(len(split)), size)
+        at = np.arange(len(words)) + text + 1
+        cls = np.full(len(words) + len(split) + 1, self.end, np.int64)
+        miss = np.flatnonzero(ids < 0)
+        tail = pa.array([words[i] for i in miss.tolist()], pa.binary())
+        rare = np.array(self.forms, np.int64)[forms_of(tail)]
+        cls[at] = self.cls[ids] if len(self.cls) else -1
+        cls[at[miss]] = rare if self.guess else -1
+        return Walk(ids, text, at, cls, size, miss, tail, rare)
+
+
+@dataclass
+class Walk:
+    """Texts in a row: an end, the first text's words, an end, the second's, and so on, and an end."""
+
+    ids: np.ndarray  # of each word, -1: not known
+    text: np.ndarray  # of each word
+    at: np.ndarray  # place of each word in the row
+    cls: np.ndarray  # of each place
+    size: np.ndarray  # words of each text
+    miss: np.ndarray  # the words that aren't known
+    tail: object  # their spelling, an Arrow array
+    rare: np.ndarray  # the class that they have if they occur at most once
+
+    def tail_rows(self) -> tuple[np.ndarray, list]:
+        """The texts of rows of TAIL, and the rows: what the words that aren't known have beside them.
+
+        A row for each such word with its neighbours' classes (-1: not known, too), and one for each two of them side by side.
+        """
+        import pyarrow as pa
+
+        at = self.at[self.miss]
+        first = np.flatnonzero(np.diff(at) == 1)
+        n, m = len(at), len(first)
+        none = np.full(m, -1)
+        word = pa.concat_arrays([self.tail, self.tail.take(pa.array(first))])
+        second = pa.concat_arrays([pa.nulls(n, pa.binary()), self.tail.take(pa.array(first + 1))])
+        numbers = (np.concatenate(x) for x in ((self.rare, self.rare[first]), (np.full(n, -1), self.rare[first + 1]), (self.cls[at - 1], none), (self.cls[at + 1], none)))
+        own, own2, before, after = (pa.array(x, pa.int32()) for x in numbers)
+        text = self.text[self.miss]
+        return np.concatenate([text, text[first]]), [word, own, second, own2, before, after, pa.array(np.ones(n + m, np.int64))]
+
+
 def symbol_bigrams(docs: DataFrame, words: list[bytes], text: str = "text") -> np.ndarray:
     """Counts [previous, next] over symbols: `words`, then a symbol for each form, then the end; a text starts after an end.
 
@@ -89,19 +170,13 @@ def symbol_bigrams(docs: DataFrame, words: list[bytes], text: str = "text") -> n
     import pyarrow as pa
 
     size = len(words) + FORMS + 1
-    known = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    known = docs.sparkSession.sparkContext.broadcast(Walker(words, np.arange(len(words)), size - 1, list(range(len(words), size - 1)), guess=True))
 
     def run(batches):
-        symbol = dict(known.value)
-        first, end = len(symbol), size - 1
         total = np.zeros(size * size, np.int64)
         for batch in split_batches(batches, 0):
-            ids = [end]
-            for data in utf8(batch.column(0)):
-                ids += [symbol[w] if w in symbol else first + form(w) for w in data.lower().split()]
-                ids.append(end)
-            a = np.array(ids, np.int64)
-            codes, n = np.unique(a[:-1] * size + a[1:], return_counts=True)
+            c = known.value.walk(utf8(batch.column(0))).cls
+            codes, n = np.unique(c[:-1] * size + c[1:], return_counts=True)
             total[codes] += n
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
@@ -164,86 +239,60 @@ def exchange(bigrams: np.ndarray, movable: int, classes: int, sweeps: int = SWEE
     return of
 
 
-class Walker:
-    """What a worker knows of words: their numbers and, for each number, what it needs."""
-
-    def __init__(self, words: list[bytes], cls: np.ndarray, end: int, forms: list[int], guess: bool = False) -> None:
-        self.index = {w: i for i, w in enumerate(words)}
-        self.cls, self.end, self.forms, self.guess = cls, end, forms, guess
-
-    def rare(self, word: bytes) -> int:
-        """The class that a word has if it occurs at most once."""
-        return self.forms[form(word)]
-
-    def walk(self, data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """A text's words, their numbers (-1: not known) and the classes of end, words, end.
-
-        A word that isn't known has the class -1, or that of its form where the walker has to `guess`.
-        """
-        words = data.lower().split()
-        find = self.index.get
-        ids = np.array([find(w, -1) for w in words], np.int64)
-        cls = np.full(len(words) + 2, -1, np.int64)
-        cls[0] = cls[-1] = self.end
-        hit = ids >= 0
-        cls[1:-1][hit] = self.cls[ids[hit]]
-        if self.guess:
-            miss = np.flatnonzero(~hit)
-            cls[miss + 1] = [self.rare(words[i]) for i in miss.tolist()]
-        return words, ids, cls
-
-
 def contexts(docs: DataFrame, words: list[bytes], n: np.ndarray, clustered: int, of: np.ndarray, text: str = "text") -> DataFrame:
-    """(word binary, code int, n long): how often a word beyond the `clustered` ones has a neighbour of a class.
+    """(part int, word binary, code long, packed binary): what classes stand beside the words beyond the `clustered` ones.
 
-    code: the class of the word on the left, or the number of classes plus that of the word on the right. Neighbours that aren't
-    clustered count by their form. Known words that occur once are left out.
+    A known word has no `word`. Its codes are its number times twice the classes, plus the class of the word on its left, or plus the
+    number of classes and the class of the word on its right; `packed` holds such codes and then their counts, as longs, once or a
+    few times for each task and part. Any other word has a row each time that it is found; its code is the left class times the
+    classes plus the right one. Neighbours that aren't clustered count by their form. Known words that occur once are left out. All
+    rows of a word have the same part, of PARTS.
     """
     import pyarrow as pa
+    import xxhash
 
     k = int(of.max()) + 1
     forms = of[clustered : clustered + FORMS].tolist()
     cls = np.array([of[i] if i < clustered else forms[form(w)] for i, w in enumerate(words)], np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((words, Walker(words, cls, int(of[-1]), forms, guess=True), n >= 2))
+    shared = docs.sparkSession.sparkContext.broadcast((Walker(words, cls, int(of[-1]), forms, guess=True), (n >= 2) & (np.arange(len(words)) >= clustered)))
+    names = ["part", "word", "code", "packed"]
 
     def run(batches):
-        words, walker, often = shared.value
-        spelt, often = pa.array(words, pa.binary()), often & (np.arange(len(words)) >= clustered)
+        walker, often = shared.value
         codes, held = [], 0
 
         def known():
             code, count = np.unique(np.concatenate(codes), return_counts=True)
-            for s in range(0, len(code), ROWS):
-                c = code[s : s + ROWS]
-                yield pa.RecordBatch.from_arrays([spelt.take(pa.array(c // (2 * k))), pa.array(c % (2 * k), pa.int32()), pa.array(count[s : s + ROWS], pa.int64())], names=["word", "code", "n"])
+            part = code // (2 * k) % PARTS
+            order = np.argsort(part, kind="stable")
+            code, count, part = code[order], count[order], part[order]
+            start = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1]) if len(part) else np.zeros(0, np.int64)
+            for s in range(0, len(start), 1000):
+                lots = [slice(a, b) for a, b in zip(start[s : s + 1000], [*start[s + 1 : s + 1000], start[s + 1000] if s + 1000 < len(start) else len(code)], strict=True)]
+                none = pa.nulls(len(lots), pa.binary()), pa.nulls(len(lots), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(part[start[s : s + 1000]], pa.int32()), *none, pa.array([code[x].tobytes() + count[x].tobytes() for x in lots], pa.binary())], names=names)
             codes.clear()
 
         for batch in split_batches(batches, 0):
-            tail: list[bytes] = []
-            beside: list[np.ndarray] = []
-            for data in utf8(batch.column(0)):
-                found, ids, c = walker.walk(data)
-                at = np.flatnonzero(ids >= 0)
-                at = at[often[ids[at]]]
-                codes += [ids[at] * 2 * k + c[at], ids[at] * 2 * k + k + c[at + 2]]
+            w = walker.walk(utf8(batch.column(0)))
+            if len(often):
+                mine = np.flatnonzero((w.ids >= 0) & often[w.ids])
+                base, at = w.ids[mine] * 2 * k, w.at[mine]
+                codes += [base + w.cls[at - 1], base + k + w.cls[at + 1]]
                 held += 2 * len(at)
-                miss = np.flatnonzero(ids < 0)
-                tail += [found[i] for i in miss.tolist()]
-                beside += [c[miss], k + c[miss + 2]]
-            if tail:
-                rows = pa.array(tail, pa.binary())
-                for side in (0, 1):
-                    code = pa.array(np.concatenate(beside[side::2]), pa.int32())
-                    for s in range(0, len(tail), ROWS):
-                        part = code.slice(s, ROWS)
-                        yield pa.RecordBatch.from_arrays([rows.slice(s, ROWS), part, pa.array(np.ones(len(part), np.int64))], names=["word", "code", "n"])
+            at = w.at[w.miss]
+            code = w.cls[at - 1] * k + w.cls[at + 1]
+            part = np.fromiter((xxhash.xxh32_intdigest(x) for x in w.tail.to_pylist()), np.int64, len(at)) % PARTS
+            for s in range(0, len(at), ROWS):
+                c = pa.array(code[s : s + ROWS], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(part[s : s + ROWS], pa.int32()), w.tail.slice(s, ROWS), c, pa.nulls(len(c), pa.binary())], names=names)
             if held >= 10 * FLUSH:
                 yield from known()
                 held = 0
         if codes:
             yield from known()
 
-    return arrow_map(docs.select(text), run, "word binary, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    return arrow_map(docs.select(text), run, "part int, word binary, code long, packed binary")
 
 
 def gains(start: np.ndarray, code: np.ndarray, n: np.ndarray, stats: np.ndarray, classes: int) -> np.ndarray:
@@ -254,86 +303,106 @@ def gains(start: np.ndarray, code: np.ndarray, n: np.ndarray, stats: np.ndarray,
     """
     k = len(stats)
     left = code < k
-    held = np.where(left[:, None], stats[np.where(left, code, 0), :classes], stats[:classes, np.where(left, 0, code - k)].T)
-    each = xlogx(held + n[:, None]) - xlogx(held)
+    beside = np.concatenate([stats[:, :classes], stats[:classes].T])  # of each code
+    each = np.empty((len(code), classes))
+    for count in range(1, SMALL):  # most counts: from a table
+        mine = np.flatnonzero(n == count)
+        if len(mine):
+            each[mine] = (xlogx(beside + count) - xlogx(beside))[code[mine]]
+    mine = np.flatnonzero(n >= SMALL)
+    held = beside[code[mine]]
+    each[mine] = xlogx(held + n[mine, None]) - xlogx(held)
     whole = np.add.reduceat(np.where(left, n, 0), start).astype(np.float64)[:, None]
     rows, cols = stats.sum(1)[:classes], stats.sum(0)[:classes]
     return np.add.reduceat(each, start, axis=0) - (xlogx(rows + whole) - xlogx(rows)) - (xlogx(cols + whole) - xlogx(cols))
 
 
-def place(found: DataFrame, stats: np.ndarray, classes: int) -> DataFrame:
-    """(word, form, n, cls) for each word of `contexts`: the class of largest gain, ties to the smaller; null if it occurs once."""
+def place(found: DataFrame, words: list[bytes], stats: np.ndarray, classes: int) -> DataFrame:
+    """(known boolean, word, form, n, cls) for each word of `contexts`: the class of largest gain, ties to the smaller; null if it
+    occurs once. Known words' counts are summed as they come; the others come sorted, and no more than a batch of them is held."""
     import pyarrow as pa
 
-    k, shared = len(stats), found.sparkSession.sparkContext.broadcast(stats)
+    k, shared = len(stats), found.sparkSession.sparkContext.broadcast((words, stats))
 
     def run(batches):
-        stats, rest = shared.value, None
+        (words, stats), rest = shared.value, None
+        sums, new, held = (np.zeros(0, np.int64), np.zeros(0, np.int64)), [], 0
 
-        def placed(t):
-            spelt = t.column("word").combine_chunks()
-            same = spelt.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-            start = np.concatenate([[0], np.flatnonzero(np.diff(same)) + 1])
-            code, n = t["code"].to_numpy(), t["n"].to_numpy()
+        def summed():
+            code, n = (np.concatenate(x) for x in zip(sums, *new, strict=True))
+            code, where = np.unique(code, return_inverse=True)
+            new.clear()
+            return code, np.bincount(where, weights=n).astype(np.int64) if len(code) else n
+
+        def best(start, code, n):
+            """Class and count of each word, with codes of one neighbour."""
             whole = np.add.reduceat(np.where(code < k, n, 0), start)
-            best = gains(start, code, n, stats, classes).argmax(axis=1) if classes else np.zeros(len(start), np.int64)
-            spelt = spelt.take(pa.array(start))
-            return pa.RecordBatch.from_arrays([spelt, pa.array([form(w) for w in spelt.to_pylist()], pa.int32()), pa.array(whole, pa.int64()), pa.array(best, pa.int32(), mask=(whole < 2) | (classes == 0))], names=["word", "form", "n", "cls"])
+            cls = np.concatenate([gains(start[a : a + 4000] - start[a], *(x[start[a] : start[a + 4000] if a + 4000 < len(start) else len(code)] for x in (code, n)), stats, classes).argmax(axis=1) for a in range(0, len(start), 4000)]) if classes else np.zeros(len(start), np.int64)
+            return whole, cls
+
+        def out(known, spelt, whole, cls):
+            for s in range(0, len(whole), ROWS):
+                w, c = whole[s : s + ROWS], cls[s : s + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), known)), spelt.slice(s, ROWS), pa.array(forms_of(spelt.slice(s, ROWS)), pa.int32()), pa.array(w, pa.int64()), pa.array(c, pa.int32(), mask=(w < 2) | (classes == 0))], names=["known", "word", "form", "n", "cls"])
+
+        def placed(spelt, code):
+            same = spelt.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            first = np.concatenate([[0], np.flatnonzero(np.diff(same)) + 1])
+            # Two codes for each row: the left neighbour's, the right neighbour's.
+            both = np.stack([code // k, k + code % k], axis=1).ravel()
+            whole, cls = best(*collapsed(2 * first, both))
+            yield from out(False, spelt.take(pa.array(first)), whole, cls)
+
+        def collapsed(start, code):
+            """Rows of equal word and code as one, with their number."""
+            word = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(code))))
+            pair, n = np.unique(word * 2 * k + code, return_counts=True)
+            return np.searchsorted(pair, np.arange(len(start)) * 2 * k), pair % (2 * k), n
 
         for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if not len(t):
+            spelt = batch.column(1)
+            nulls = spelt.null_count  # they come first
+            for packed in batch.column(3).slice(0, nulls).to_pylist():
+                new.append(np.frombuffer(packed, np.int64).reshape(2, -1))
+                held += new[-1].shape[1]
+                if held >= 5 * FLUSH:
+                    sums, held = summed(), 0
+            spelt, code = spelt.slice(nulls), batch.column(2).slice(nulls).to_numpy(zero_copy_only=False)
+            if not len(spelt):
                 continue
             if rest is not None:
-                t = pa.concat_tables([rest, t])
+                spelt, code = pa.concat_arrays([rest[0], spelt]), np.concatenate([rest[1], code])
             # The last word may go on in the next batch.
-            words = t.column("word").combine_chunks()
-            at = np.flatnonzero(np.diff(words.dictionary_encode().indices.to_numpy(zero_copy_only=False)))
+            at = np.flatnonzero(np.diff(spelt.dictionary_encode().indices.to_numpy(zero_copy_only=False)))
             cut = int(at[-1]) + 1 if len(at) else 0
-            rest = t.slice(cut)
+            rest = spelt.slice(cut), code[cut:]
             if cut:
-                yield placed(t.slice(0, cut).combine_chunks())
+                yield from placed(spelt.slice(0, cut), code[:cut])
         if rest is not None:
-            yield placed(rest.combine_chunks())
-
-    return found.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, form int, n long, cls int")
+            yield from placed(*rest)
+        code, n = summed()
+        if len(code):
+            ids = code // (2 * k)
+            start = np.concatenate([[0], np.flatnonzero(np.diff(ids)) + 1])
+            yield from out(True, pa.array([words[i] for i in ids[start].tolist()], pa.binary()), *best(start, code % (2 * k), n))
 
-
-def tail_rows(words: list[bytes], ids: np.ndarray, cls: np.ndarray, rare) -> Counter:
-    """(word, own, second, own2, before, after) and how often: what a text's words that aren't known have beside them.
-
-    A row for each such word with its neighbours' classes (-1: not known, too), and one for each two of them side by side. own:
-    the class that a word has if it occurs at most once.
-    """
-    miss = np.flatnonzero(ids < 0)
-    rows = Counter((words[i], rare(words[i]), None, -1, x, y) for i, x, y in zip(miss.tolist(), cls[miss].tolist(), cls[miss + 2].tolist(), strict=True))
-    rows.update((words[i], rare(words[i]), words[i + 1], rare(words[i + 1]), -1, -1) for i in miss[np.flatnonzero(np.diff(miss) == 1)].tolist())
-    return rows
+    return found.repartition("part").sortWithinPartitions("word").mapInArrow(run, "known boolean, word binary, form int, n long, cls int")
 
 
 TAIL = "word binary, own int, second binary, own2 int, before int, after int, n long"
 
 
-def tail_arrays(rows: list, n: list[int]) -> list:
-    """Arrow arrays of TAIL."""
-    import pyarrow as pa
-
-    kinds = (pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32())
-    return [*(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)), pa.array(n, pa.int64())]
-
-
 def with_classes(rows: DataFrame, placed: DataFrame, keys: list[str]) -> DataFrame:
     """(`keys`, before, after, cls, seen, n): the rows of TAIL with a word, with classes and training counts.
 
     cls and seen are those of the word; two words side by side have theirs as before and after, and cls -1. Words that `placed`
     has no class for have that of their form. No key is hot: a frequent word is a known one, unless new texts are full of it.
     """
-    listed = placed.select("word", F.col("n").alias("seen"), F.col("cls").alias("found"))
-    single = rows.where("word is not null and second is null").groupBy(*keys, "word", "own", "before", "after").agg(F.sum("n").alias("n"))
-    single = single.join(listed, "word", "left").select(*keys, "before", "after", F.coalesce("found", "own").alias("cls"), F.coalesce("seen", F.lit(0)).cast("long").alias("seen"), "n")
-    double = rows.where("second is not null").groupBy(*keys, "word", "own", "second", "own2").agg(F.sum("n").alias("n"))
+    listed = placed.where("not known").select("word", F.col("n").alias("seen"), F.col("cls").alias("found"))
+    single = rows.where("word is not null and second is null").join(listed, "word", "left")
+    single = single.select(*keys, "before", "after", F.coalesce("found", "own").alias("cls"), F.coalesce("seen", F.lit(0)).cast("long").alias("seen"), "n")
     second = listed.select(F.col("word").alias("second"), F.col("found").alias("found2"))
-    double = double.join(listed, "word", "left").join(second, "second", "left")
+    double = rows.where("second is not null").join(listed, "word", "left").join(second, "second", "left")
     double = double.select(*keys, F.coalesce("found", "own").alias("before"), F.coalesce("found2", "own2").alias("after"), F.lit(-1).alias("cls"), F.lit(0).cast("long").alias("seen"), "n")
     return single.unionByName(double)
 
@@ -346,28 +415,18 @@ def class_bigrams(docs: DataFrame, walker: Walker, placed: DataFrame, k: int, te
     names = ["word", "own", "second", "own2", "before", "after", "n"]
 
     def run(batches):
-        walker = shared.value
         total = np.zeros(k * k, np.int64)
-
-        def out(counts):
-            rows = list(counts)
-            for s in range(0, len(rows), ROWS):
-                yield pa.RecordBatch.from_arrays(tail_arrays(rows[s : s + ROWS], [counts[r] for r in rows[s : s + ROWS]]), names=names)
-
-        counts: Counter = Counter()
         for batch in split_batches(batches, 0):
-            for data in utf8(batch.column(0)):
-                words, ids, c = walker.walk(data)
-                a, b = c[:-1], c[1:]
-                both = (a >= 0) & (b >= 0)
-                total += np.bincount(a[both] * k + b[both], minlength=k * k)
-                counts.update(tail_rows(words, ids, c, walker.rare))
-                if len(counts) >= FLUSH:
-                    yield from out(counts)
-                    counts.clear()
-        yield from out(counts)
+            w = shared.value.walk(utf8(batch.column(0)))
+            a, b = w.cls[:-1], w.cls[1:]
+            both = (a >= 0) & (b >= 0)
+            total += np.bincount(a[both] * k + b[both], minlength=k * k)
+            rows = pa.RecordBatch.from_arrays(w.tail_rows()[1], names=names)
+            for s in range(0, rows.num_rows, ROWS):
+                yield rows.slice(s, ROWS)
         cells = np.flatnonzero(total)
-        yield from out({(None, -1, None, -1, int(c // k), int(c % k)): int(total[c]) for c in cells})
+        none, whole = pa.nulls(len(cells), pa.binary()), pa.array(np.full(len(cells), -1), pa.int32())
+        yield pa.RecordBatch.from_arrays([none, whole, none, whole, pa.array(cells // k, pa.int32()), pa.array(cells % k, pa.int32()), pa.array(total[cells], pa.int64())], names=names)
 
     rows = materialize_table(arrow_map(docs.select(text), run, TAIL))
     met = with_classes(rows, placed, [])
@@ -405,7 +464,7 @@ class BrownModel(Walker):
 
 
 def train(docs: DataFrame, text: str = "text", known: int = KNOWN_WORDS, clustered: int = CLUSTERED_WORDS, classes: int | None = None) -> tuple[BrownModel, DataFrame]:
-    """The model of `docs`, and a table (word, form, n, cls) of the words beyond the clustered ones.
+    """The model of `docs`, and a table (known, word, form, n, cls) of the words beyond the clustered ones.
 
     Null texts are empty. Any table does: of an empty one, and of one without repeated words, every word has the class of its form.
     Words of equal count are ordered by their bytes, ties between classes go to the smaller number.
@@ -421,11 +480,11 @@ def train(docs: DataFrame, text: str = "text", known: int = KNOWN_WORDS, cluster
     member = np.zeros((len(of), k))
     member[np.arange(len(of)), of] = 1
     forms, end = of[chosen : chosen + FORMS].tolist(), int(of[-1])
-    placed = materialize_table(place(contexts(docs, words, n, chosen, of, text), member.T @ bigrams.astype(np.float64) @ member, k - FORMS - 1))
-    # The known words' classes come to the driver: whatever is as frequent as the rarest of them is one of them.
+    placed = materialize_table(place(contexts(docs, words, n, chosen, of, text), words, member.T @ bigrams.astype(np.float64) @ member, k - FORMS - 1))
+    # The known words' classes come to the driver.
     cls = np.array([of[i] if i < chosen else forms[form(w)] for i, w in enumerate(words)], np.int64)
     index = {w: i for i, w in enumerate(words)}
-    got = placed.where(F.col("cls").isNotNull() & (F.col("n") >= int(n[-1]) if len(n) else F.lit(False))).select("word", "cls").toArrow()
+    got = placed.where("known and cls is not null").select("word", "cls").toArrow()
     cls[[index[w] for w in got["word"].to_pylist()]] = got["cls"].to_numpy()
     # Class sizes: by form at first; placed and clustered words leave the class of their form.
     sizes, kinds = np.zeros(k), np.zeros(k)
@@ -460,27 +519,24 @@ def score(docs: DataFrame, model: BrownModel, placed: DataFrame, text: str = "te
     def run(batches):
         m = shared.value
         for batch in split_batches(batches, 1):
-            own: list[list] = [[] for _ in range(6)]
-            at, tails, n_tails = [], [], []
-            for r, data in enumerate(utf8(batch.column(1))):
-                words, ids, c = m.walk(data)
-                hit = ids >= 0
-                a, b = c[:-1], c[1:]
-                both = (a >= 0) & (b >= 0)
-                logs = m.log_n[ids[hit]].sum() + np.log10(m.ends + SMOOTH)
-                n, mark = len(words) + 1, xxhash.xxh3_64_intdigest(data) - (1 << 63)
-                by_class = m.step[a[both], b[both]].sum() - m.width[b[b >= 0]].sum()
-                tail = tail_rows(words, ids, c, m.rare)
-                at += [r] * (1 + len(tail))
-                tails += [(None, -1, None, -1, -1, -1), *tail]
-                n_tails += [0, *tail.values()]
-                rest = len(tail)
-                for column, value, none in zip(own, (mark, 1, n, int(hit.sum()) + (m.ends > 0), logs - n * m.all, logs + by_class), (mark, 0, 0, 0, 0.0, 0.0), strict=True):
-                    column.append(value)
-                    column += [none] * rest
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            arrays = [batch.column(0).take(pa.array(at, pa.int32())), *[pa.array(x, t) for x, t in zip(own, types, strict=True)], *tail_arrays(tails, n_tails)]
-            whole = pa.RecordBatch.from_arrays(arrays, names=names)
+            texts = utf8(batch.column(1))
+            w, rows = m.walk(texts), len(texts)
+            hit = np.flatnonzero(w.ids >= 0)
+            logs = np.bincount(w.text[hit], m.log_n[w.ids[hit]], rows) + np.log10(m.ends + SMOOTH)
+            # A step belongs to the text of the place that it leads to.
+            a, b = w.cls[:-1], w.cls[1:]
+            text = np.searchsorted(np.cumsum(w.size + 1), np.arange(len(b)), side="right")
+            steps = np.where((a >= 0) & (b >= 0), m.step[a, b], 0.0) - np.where(b >= 0, m.width[b], 0.0)
+            n = w.size + 1
+            marks = np.array([xxhash.xxh3_64_intdigest(data) - (1 << 63) for data in texts], np.int64)
+            at, tail = w.tail_rows()
+            more = len(at)
+            full = lambda x, kind: pa.array(np.concatenate([x, np.zeros(more, x.dtype)]), kind)
+            own = [full(np.ones(rows, np.int32), pa.int32()), full(n, pa.int64()), full(np.bincount(w.text[hit], minlength=rows) + (m.ends > 0), pa.int64()), full(logs - n * m.all, pa.float64()), full(logs + np.bincount(text, steps, rows), pa.float64())]
+            blank = [pa.nulls(rows, pa.binary()), pa.array(np.full(rows, -1), pa.int32())]
+            tail = [pa.concat_arrays([blank[0] if pa.types.is_binary(x.type) else blank[1] if pa.types.is_int32(x.type) else pa.array(np.zeros(rows, np.int64)), x]) for x in tail]
+            order = np.concatenate([np.arange(rows), at])
+            whole = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(order)), pa.array(marks[order]), *own, *tail], names=names)
             for s in range(0, whole.num_rows, ROWS):
                 yield whole.slice(s, ROWS)
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from scene_analytics.llm import brown_lm as lm
 
@@ -71,7 +72,7 @@ def test_every_repeated_word_joins_the_class_of_largest_gain(spark):
         k = int(of.max()) + 1
         member = np.eye(k)[of]
         stats = member.T @ bigrams @ member
-        got = {bytes(r.word): (r.n, r.cls) for r in lm.place(lm.contexts(docs, words, n, clustered, of), stats, 5).collect()}
+        got = {bytes(r.word): (r.n, r.cls) for r in lm.place(lm.contexts(docs, words, n, clustered, of), words, stats, 5).collect()}
         place = {w: i for i, w in enumerate(words[:clustered])}
         cls = lambda w: of[-1] if w is None else of[place[w]] if w in place else of[clustered + lm.form(w)]
         beside = {}
@@ -138,6 +139,12 @@ def test_scores_are_brute_force(spark):
             assert abs(got[d] - want) < 1e-6, (known, d)
 
 
+def test_forms_of_arrays_are_those_of_words():
+    words = [b"a", "é".encode(), b"abc.", b"x" * 40, "straße".encode(), b"1", b"-", "…".encode(), b"ab\x85"]
+    assert lm.forms_of(pa.array(words, pa.binary())).tolist() == [lm.form(w) for w in words]
+    assert lm.forms_of(pa.array(words, pa.binary()).slice(2, 4)).tolist() == [lm.form(w) for w in words[2:6]] and not len(lm.forms_of(pa.array([], pa.binary())))
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(0)
     n = rng.integers(0, 50, (30, 30))
