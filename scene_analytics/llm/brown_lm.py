@@ -176,8 +176,7 @@ def symbol_bigrams(docs: DataFrame, words: list[bytes], text: str = "text") -> n
         total = np.zeros(size * size, np.int64)
         for batch in split_batches(batches, 0):
             c = known.value.walk(utf8(batch.column(0))).cls
-            codes, n = np.unique(c[:-1] * size + c[1:], return_counts=True)
-            total[codes] += n
+            total += np.bincount(c[:-1] * size + c[1:], minlength=size * size)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
 
@@ -415,15 +414,15 @@ def class_bigrams(docs: DataFrame, walker: Walker, placed: DataFrame, k: int, te
     names = ["word", "own", "second", "own2", "before", "after", "n"]
 
     def run(batches):
-        total = np.zeros(k * k, np.int64)
+        total = np.zeros((k + 1) ** 2, np.int64)  # what isn't known counts in the first row and column
         for batch in split_batches(batches, 0):
             w = shared.value.walk(utf8(batch.column(0)))
-            a, b = w.cls[:-1], w.cls[1:]
-            both = (a >= 0) & (b >= 0)
-            total += np.bincount(a[both] * k + b[both], minlength=k * k)
+            c = w.cls + 1
+            total += np.bincount(c[:-1] * (k + 1) + c[1:], minlength=len(total))
             rows = pa.RecordBatch.from_arrays(w.tail_rows()[1], names=names)
             for s in range(0, rows.num_rows, ROWS):
                 yield rows.slice(s, ROWS)
+        total = total.reshape(k + 1, k + 1)[1:, 1:].ravel()
         cells = np.flatnonzero(total)
         none, whole = pa.nulls(len(cells), pa.binary()), pa.array(np.full(len(cells), -1), pa.int32())
         yield pa.RecordBatch.from_arrays([none, whole, none, whole, pa.array(cells // k, pa.int32()), pa.array(cells % k, pa.int32()), pa.array(total[cells], pa.int64())], names=names)
@@ -459,6 +458,10 @@ class BrownModel(Walker):
         self.ends, self.total, self.distinct = int(sizes[end]), int(sizes.sum()), int(kinds.sum())
         if not self.ends:  # nothing learnt: an end is the only thing that its class emits
             self.width[end] = np.log10(SMOOTH)
+        # By previous and next class, each one up: the step and the next class's width, as far as they are known.
+        self.known_step = np.pad(self.step - self.width, ((1, 0), (1, 0)))
+        self.known_step[0, 1:] = -self.width
+        self.known_step = self.known_step.ravel()
         self.all = float(np.log10(self.total + SMOOTH * (self.distinct + 1)))
         self.log_n = np.log10(n + SMOOTH)
 
@@ -518,15 +521,16 @@ def score(docs: DataFrame, model: BrownModel, placed: DataFrame, text: str = "te
 
     def run(batches):
         m = shared.value
+        width = len(m.step) + 1
         for batch in split_batches(batches, 1):
             texts = utf8(batch.column(1))
             w, rows = m.walk(texts), len(texts)
             hit = np.flatnonzero(w.ids >= 0)
             logs = np.bincount(w.text[hit], m.log_n[w.ids[hit]], rows) + np.log10(m.ends + SMOOTH)
             # A step belongs to the text of the place that it leads to.
-            a, b = w.cls[:-1], w.cls[1:]
-            text = np.searchsorted(np.cumsum(w.size + 1), np.arange(len(b)), side="right")
-            steps = np.where((a >= 0) & (b >= 0), m.step[a, b], 0.0) - np.where(b >= 0, m.width[b], 0.0)
+            text = np.repeat(np.arange(rows), w.size + 1)
+            c = w.cls + 1
+            steps = m.known_step[c[:-1] * width + c[1:]]
             n = w.size + 1
             marks = np.array([xxhash.xxh3_64_intdigest(data) - (1 << 63) for data in texts], np.int64)
             at, tail = w.tail_rows()
