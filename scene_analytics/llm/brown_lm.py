@@ -9,9 +9,7 @@ other tokens meet their counts and classes in equi joins.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
-from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +51,19 @@ def forms_of(words) -> np.ndarray:
     return np.minimum(np.diff(ends) // 3, 4) * 4 + 2 * _MARK[data[ends[1:] - 1]] + foreign
 
 
+def words_of(texts) -> tuple:
+    """The words of an Arrow array of texts, as an Arrow binary array, and of each word its text. Null texts are empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if pa.types.is_large_string(texts.type):
+        texts = texts.cast(pa.string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, text = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(words), 0)
+    return words.filter(full).cast(pa.binary()), text.filter(full).to_numpy(zero_copy_only=False)
+
+
 def held_out(doc_id: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
@@ -62,23 +73,29 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        counts: Counter = Counter()
-        names = ["word", "form", "n"]
+        held, size, ends = [], 0, 0
 
         def out():
-            words = list(counts)
-            batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([-1 if w == END else form(w) for w in words], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=names)
-            counts.clear()
-            return batch
+            t = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).combine_chunks()
+            words, n = (t.column(c).combine_chunks() for c in ("word", "n_sum"))
+            for s in range(0, len(words), ROWS):
+                w = words.slice(s, ROWS)
+                yield pa.RecordBatch.from_arrays([w, pa.array(forms_of(w), pa.int32()), n.slice(s, ROWS)], names=["word", "form", "n"])
+            held.clear()
 
         for batch in split_batches(batches, 0):
-            for data in utf8(batch.column(0)):
-                counts.update(data.lower().split())
-            counts[END] += batch.num_rows
-            if len(counts) >= FLUSH:
-                yield out()
-        if counts:
-            yield out()
+            found = words_of(batch.column(0))[0].value_counts()
+            ends += batch.num_rows
+            if len(found):
+                held.append(pa.Table.from_arrays([found.field(0), found.field(1)], names=["word", "n"]))
+                size += len(found)
+            if size >= 5 * FLUSH:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([-1], pa.int32()), pa.array([ends], pa.int64())], names=["word", "form", "n"])
 
     found = arrow_map(docs.select(text), run, "word binary, form int, n long")
     return found.groupBy("word").agg(F.first("form").alias("form"), F.sum("n").alias("n"))
@@ -104,26 +121,35 @@ class Walker:
     """What a worker knows of words: their numbers and, for each number, its class."""
 
     def __init__(self, words: list[bytes], cls: np.ndarray, end: int, forms: list[int], guess: bool = False) -> None:
-        self.index = {w: i for i, w in enumerate(words)}
-        self.cls, self.end, self.forms, self.guess = cls, end, forms, guess
+        self.words, self.cls, self.end, self.forms, self.guess = words, cls, end, forms, guess
+        self._listed = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_listed": None}
+
+    @property
+    def index(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words)}
 
     def rare(self, word: bytes) -> int:
         """The class that a word has if it occurs at most once."""
         return self.forms[form(word)]
 
-    def walk(self, texts: list[bytes]) -> Walk:
-        """The words of texts in a row. One that isn't known has the class -1, or that of its form where the walker has to `guess`."""
+    def walk(self, texts) -> Walk:
+        """The words of an Arrow array of texts, in a row. One that isn't known has the class -1, or that of its form where the
+        walker has to `guess`."""
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        split = [data.lower().split() for data in texts]
-        size = np.fromiter(map(len, split), np.int64, len(split))
-        words = list(chain.from_iterable(split))
-        ids = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        text = np.repeat(np.arange(len(split)), size)
+        if self._listed is None:
+            self._listed = pa.array(self.words, pa.binary())
+        words, text = words_of(texts)
+        size = np.bincount(text, minlength=len(texts))
+        ids = pc.fill_null(pc.index_in(words, value_set=self._listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         at = np.arange(len(words)) + text + 1
-        cls = np.full(len(words) + len(split) + 1, self.end, np.int64)
+        cls = np.full(len(words) + len(texts) + 1, self.end, np.int64)
         miss = np.flatnonzero(ids < 0)
-        tail = pa.array([words[i] for i in miss.tolist()], pa.binary())
+        tail = words.take(pa.array(miss))
         rare = np.array(self.forms, np.int64)[forms_of(tail)]
         cls[at] = self.cls[ids] if len(self.cls) else -1
         cls[at[miss]] = rare if self.guess else -1
@@ -175,7 +201,7 @@ def symbol_bigrams(docs: DataFrame, words: list[bytes], text: str = "text") -> n
     def run(batches):
         total = np.zeros(size * size, np.int64)
         for batch in split_batches(batches, 0):
-            c = known.value.walk(utf8(batch.column(0))).cls
+            c = known.value.walk(batch.column(0)).cls
             total += np.bincount(c[:-1] * size + c[1:], minlength=size * size)
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
@@ -273,7 +299,7 @@ def contexts(docs: DataFrame, words: list[bytes], n: np.ndarray, clustered: int,
             codes.clear()
 
         for batch in split_batches(batches, 0):
-            w = walker.walk(utf8(batch.column(0)))
+            w = walker.walk(batch.column(0))
             if len(often):
                 mine = np.flatnonzero((w.ids >= 0) & often[w.ids])
                 base, at = w.ids[mine] * 2 * k, w.at[mine]
@@ -416,7 +442,7 @@ def class_bigrams(docs: DataFrame, walker: Walker, placed: DataFrame, k: int, te
     def run(batches):
         total = np.zeros((k + 1) ** 2, np.int64)  # what isn't known counts in the first row and column
         for batch in split_batches(batches, 0):
-            w = shared.value.walk(utf8(batch.column(0)))
+            w = shared.value.walk(batch.column(0))
             c = w.cls + 1
             total += np.bincount(c[:-1] * (k + 1) + c[1:], minlength=len(total))
             rows = pa.RecordBatch.from_arrays(w.tail_rows()[1], names=names)
@@ -524,7 +550,7 @@ def score(docs: DataFrame, model: BrownModel, placed: DataFrame, text: str = "te
         width = len(m.step) + 1
         for batch in split_batches(batches, 1):
             texts = utf8(batch.column(1))
-            w, rows = m.walk(texts), len(texts)
+            w, rows = m.walk(batch.column(1)), len(texts)
             hit = np.flatnonzero(w.ids >= 0)
             logs = np.bincount(w.text[hit], m.log_n[w.ids[hit]], rows) + np.log10(m.ends + SMOOTH)
             # A step belongs to the text of the place that it leads to.

@@ -139,6 +139,14 @@ def test_scores_are_brute_force(spark):
             assert abs(got[d] - want) < 1e-6, (known, d)
 
 
+def test_words_of_arrays_are_the_contract_s():
+    texts = ["", None, "A b", "\x85x\xa0y\u2003z ÄÖ\u0130", " lead  and trail \n", *(f"p{chr(c)}q{chr(c)}{chr(c)}R" for c in range(256))]
+    for kind in (pa.string(), pa.large_string()):
+        words, text = lm.words_of(pa.array(texts, kind))
+        assert [(t, w.decode()) for t, w in zip(text.tolist(), words.to_pylist(), strict=True)] == [(i, w) for i, t in enumerate(texts) for w in tokens(t)[:-1]]
+    assert len(lm.words_of(pa.array([], pa.string()))[0]) == 0
+
+
 def test_forms_of_arrays_are_those_of_words():
     words = [b"a", "é".encode(), b"abc.", b"x" * 40, "straße".encode(), b"1", b"-", "…".encode(), b"ab\x85"]
     assert lm.forms_of(pa.array(words, pa.binary())).tolist() == [lm.form(w) for w in words]
