@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, doubles, norm, scale
 from .errors import AnalysisError
+from .percentile import exact_percentile
 
 EPS = 1e-8
 
@@ -53,7 +54,7 @@ def representatives(dists: DataFrame) -> DataFrame:
 
 
 def outlier_threshold(dists: DataFrame, percentile: float = 95.0) -> DataFrame:
-    return dists.agg(F.percentile("dist", percentile / 100).alias("threshold"))
+    return exact_percentile(dists, "dist", percentile / 100, "threshold")
 
 
 def outliers(dists: DataFrame, percentile: float = 95.0) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import materialize
+from .lineage import materialize, numbered
 
 #: Graphs up to this many edges are solved in one group of one task; larger ones have to take a distributed form.
 ONE_TASK_EDGES = 2_000_000
@@ -110,11 +110,10 @@ def leiden_arrays(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resol
 
 def canonical(labels: DataFrame) -> DataFrame:
     """Numbers clusters by falling size, then by their smallest member."""
-    from pyspark.sql import Window as W
-
+    labels = materialize(labels)
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
-    ranked = sizes.withColumn("cluster_id", (F.row_number().over(W.orderBy(F.desc("n"), "first")) - 1).cast("int"))
-    return labels.join(ranked, "label").select("vec_id", "cluster_id")
+    ranked = numbered(sizes, "place", F.desc("n"), "first")
+    return labels.join(ranked, "label").select("vec_id", F.col("place").cast("int").alias("cluster_id"))
 
 
 def leiden(edges: DataFrame, nodes: DataFrame | None = None, resolution: float = 1.0, seed: int = 42) -> DataFrame:
@@ -124,6 +123,7 @@ def leiden(edges: DataFrame, nodes: DataFrame | None = None, resolution: float =
     """
     import pyarrow as pa
 
+    edges = materialize(edges.select("src", "dst", "weight"))
     if edges.count() > ONE_TASK_EDGES:
         raise ValueError(f"more than {ONE_TASK_EDGES} edges: use label_propagation or power_iteration")
 
@@ -135,6 +135,7 @@ def leiden(edges: DataFrame, nodes: DataFrame | None = None, resolution: float =
         return pa.table({"vec_id": pa.array(ids, pa.int64()), "label": pa.array(ids[[np.flatnonzero(of == c)[0] for c in of]], pa.int64())})
 
     solved = edges.select(F.lit(0).alias("g"), F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double")).groupBy("g").applyInArrow(run, "vec_id long, label long")
+    solved = materialize(solved)
     if nodes is not None:
         solved = solved.unionByName(nodes.select(F.col("vec_id").cast("long").alias("vec_id")).join(solved.select("vec_id"), "vec_id", "left_anti").withColumn("label", F.col("vec_id")))
     return canonical(solved)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, norm
 from .errors import AnalysisError
+from .percentile import exact_percentile
 
 BLOCK_ROWS = 2048
 
@@ -26,11 +27,12 @@ def top_k(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: int =
     if metric == "cosine" and not df.where(norm(doubles(F.col("embedding"))) == 0).limit(1).isEmpty():
         raise AnalysisError("a vector without length has no cosine distance")
     blocks = max(1, -(-df.count() // block_rows))
-    rows = df.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", doubles(F.col("embedding")).alias("v"))
+    rows = df.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", F.col("embedding").alias("v"))
+    kind = "<f4" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"  # as it is shipped; products are of doubles
 
     def pack(key, t):
         v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": [t["vec_id"].to_numpy().astype(np.int64).tobytes()], "v": [v.astype(np.float64).tobytes()]})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": [t["vec_id"].to_numpy().astype(np.int64).tobytes()], "v": [v.astype(kind).tobytes()]})
 
     packed = rows.groupBy("block").applyInArrow(pack, "block int, ids binary, v binary")
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
@@ -41,7 +43,7 @@ def top_k(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: int =
         for batch in batches:
             for r in batch.to_pylist():
                 ids, other = np.frombuffer(r["ids_a"], np.int64), np.frombuffer(r["ids_b"], np.int64)
-                x, y = np.frombuffer(r["va"]).reshape(len(ids), -1), np.frombuffer(r["vb"]).reshape(len(other), -1)
+                x, y = np.frombuffer(r["va"], kind).astype(float).reshape(len(ids), -1), np.frombuffer(r["vb"], kind).astype(float).reshape(len(other), -1)
                 if metric == "cosine":
                     d = 1 - (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)
                 else:
@@ -61,7 +63,7 @@ def similarities(neighbours: DataFrame, metric: str = "cosine") -> DataFrame:
     """(src, dst, similarity): 1 - distance, or a Gaussian whose width is the median of all neighbour distances."""
     if metric == "cosine":
         return neighbours.select("src", "dst", (1 - F.col("distance")).alias("similarity"))
-    width = F.broadcast(neighbours.agg(F.median("distance").alias("sigma")))
+    width = F.broadcast(exact_percentile(neighbours, "distance", 0.5, "sigma"))
     return neighbours.crossJoin(width).select("src", "dst", F.exp(-F.col("distance") * F.col("distance") / (2 * F.col("sigma") * F.col("sigma"))).alias("similarity"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -20,6 +21,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """`df` with `name` long, its place from 0 in the given order, which has to tell all rows apart; no task holds all rows.
+
+    Rows are sorted by range over the tasks; a row's number is its place in its task and the sizes of the tasks before.
+    """
+    spark = df.sparkSession
+    placed = materialize(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    task, at = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, sizes = 0, []
+    for r in placed.groupBy(task.alias("task")).count().orderBy("task").collect():
+        sizes.append((r["task"], before))
+        before += r["count"]
+    starts = F.broadcast(spark.createDataFrame(sizes, "__task long, __start long"))
+    return placed.join(starts, task == F.col("__task")).withColumn(name, at + F.col("__start")).drop("__at", "__task", "__start")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once, keep in reliable shared storage, cut the lineage."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -45,15 +45,19 @@ def pad_frames(frames: DataFrame, count: int, clip: str = "clip") -> DataFrame:
     return slots.withColumn("slot", F.explode(fill)).drop("__last")
 
 
-def strided(frames: DataFrame, step: int = 1, stop_at_failure: bool = True, failed: str = "failed") -> DataFrame:
-    """Every `step`-th frame. A video ends at its first undecodable frame; an image sequence skips unreadable ones."""
+def strided(frames: DataFrame, step: int = 1, stop_at_failure: bool = True, failed: str = "failed", video: str = "camera_id") -> DataFrame:
+    """Every `step`-th frame. A video ends at its first undecodable frame; an image sequence skips unreadable ones.
+
+    Videos are told apart by the column `video`; without it all rows are one. Rows whose video is null are one, too.
+    """
     taken = frames.where(F.col("frame_idx") % step == 0)
     if failed not in frames.columns:
         return taken
     if not stop_at_failure:
         return taken.where(~F.col(failed))
-    first = taken.where(F.col(failed)).agg(F.min("frame_idx").alias("__first"))
-    return taken.crossJoin(F.broadcast(first)).where("__first is null or frame_idx < __first").drop("__first")
+    own = F.col(video) if video in frames.columns else F.lit(0)
+    first = taken.where(F.col(failed)).groupBy(own.alias("__video")).agg(F.min("frame_idx").alias("__first"))
+    return taken.join(first, own.eqNullSafe(F.col("__video")), "left").where("__first is null or frame_idx < __first").drop("__video", "__first")
 
 
 def frame_at(frames: DataFrame, index: int) -> DataFrame:

@@ -380,9 +380,13 @@ def edge_mask(spark, sf_dir):
 
 
 def _morph_sql(source: str, steps: str, k: int, shape: str = "ellipse") -> tuple[str, str]:
-    """CTEs that dilate (d) and erode (e) step by step by a join with the kernel's places; the last one's name."""
-    places = ", ".join(f"({dy}, {dx})" for dy, dx in filters.kernel_offsets(k, shape))
-    sql, last = f"ker(dy, dx) AS (VALUES {places})", source
+    """CTEs that dilate (d) and erode (e) step by step by a join with the kernel's places; the last one's name.
+
+    The places are said here in SQL: those of a square, or in each row as far as an ellipse of k by k reaches, rounded half to even.
+    """
+    r = k // 2
+    inside = f"abs(dx) <= round_even(sqrt({r * r} - dy * dy), 0)" if shape == "ellipse" else "true"
+    sql, last = f"ker AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range({-r}, {r + 1})) AS i) a, (SELECT unnest(range({-r}, {r + 1})) AS i) b WHERE {inside.replace('dx', 'b.i').replace('dy', 'a.i')})", source
     for i, s in enumerate(steps):
         sql += f", st{i} AS (SELECT p.camera_id, p.y, p.x, {'max' if s == 'd' else 'min'}(q.mask) AS mask FROM {last} p, ker JOIN {last} q ON q.camera_id = p.camera_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY ALL)"
         last = f"st{i}"
@@ -606,10 +610,10 @@ def edge_mask_closed(spark, sf_dir):
     return vignetting.edge_mask(_bright(spark), margin=9)
 
 
-@query(f"WITH {P_SQL} SELECT camera_id, (y // 2)::INT AS y, (x // 2)::INT AS x, round(avg(light), 6) AS v FROM li WHERE frame_idx = 0 GROUP BY ALL")
+@query(f"WITH {P_SQL} SELECT camera_id, frame_idx, (y // 2)::INT AS y, (x // 2)::INT AS x, round(avg(light), 6) AS v FROM li GROUP BY ALL")
 def resized_half(spark, sf_dir):
-    first = pixels(spark).where("frame_idx = 0").select("camera_id", "y", "x", color.lightness(F.col("b"), F.col("g"), F.col("r")).cast("double").alias("v"))
-    return rounded(filters.resize(first, 0.5, ["camera_id"]), "v")
+    all_frames = pixels(spark).select("camera_id", "frame_idx", "y", "x", color.lightness(F.col("b"), F.col("g"), F.col("r")).cast("double").alias("v"))
+    return rounded(filters.resize(all_frames, 0.5, ["camera_id", "frame_idx"]), "v")
 
 
 FRAME_FILE = "'/d/s' || (vec_id % 9) || CASE WHEN vec_id % 2 = 0 THEN '/CMR_GT_Frame/' ELSE '/other/' END || vec_id || CASE WHEN vec_id % 5 = 0 THEN '.JPG' ELSE '.jpg' END"
@@ -646,9 +650,9 @@ def edited_mask(spark, sf_dir):
     return edits.apply_edits(blank, edits.live_edits(log))
 
 
-@query("SELECT 'c' || (vec_id % 10) AS clip, least(i.range, n - 1)::INT AS frame_idx, i.range::INT AS slot FROM (SELECT vec_id, (vec_id % 4 + 1) AS n FROM embeddings WHERE vec_id < 10), range(6) i")
+@query("SELECT 'c' || vec_id AS clip, least(i.range, n - 1)::INT AS frame_idx, i.range::INT AS slot FROM (SELECT vec_id, (vec_id % 4 + 1) AS n FROM embeddings), range(6) i")
 def padded_clips(spark, sf_dir):
-    clips = embeddings(spark, sf_dir).where("vec_id < 10").select(F.concat(F.lit("c"), (F.col("vec_id") % 10).cast("string")).alias("clip"), F.explode(F.sequence(F.lit(0), (F.col("vec_id") % 4).cast("int"))).alias("frame_idx"))
+    clips = embeddings(spark, sf_dir).select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("clip"), F.explode(F.sequence(F.lit(0), (F.col("vec_id") % 4).cast("int"))).alias("frame_idx"))
     return sampling.pad_frames(clips, 6)
 
 
@@ -663,6 +667,14 @@ def vignetting_mask(spark, sf_dir):
     return vignetting.detect(pixels(spark))[0]
 
 
-@query()
+_WIDE = ", ".join(f"({i - 16}, {float(w)!r}::DOUBLE)" for i, w in enumerate(filters.gaussian_kernel(4.0)))
+
+
+@query(f"""WITH {P_SQL}, gk(o, w) AS (VALUES {_WIDE}),
+bt AS (SELECT camera_id, y // 16 AS blk_y, x // 16 AS blk_x, least(50e0, 2 * quantile_cont(variance, 0.1)) AS threshold FROM va GROUP BY ALL),
+th AS (SELECT va.camera_id, y, x, variance, threshold FROM va JOIN bt ON bt.camera_id = va.camera_id AND blk_y = y // 16 AND blk_x = x // 16),
+g1 AS (SELECT p.camera_id, p.y, p.x, sum(q.threshold * w) AS v FROM th p, gk JOIN th q ON q.camera_id = p.camera_id AND q.x = p.x AND q.y = {_REFLECT.format(c='p.y', n=H)} GROUP BY ALL),
+g2 AS (SELECT p.camera_id, p.y, p.x, sum(q.v * w) AS v FROM g1 p, gk JOIN g1 q ON q.camera_id = p.camera_id AND q.y = p.y AND q.x = {_REFLECT.format(c='p.x', n=W_)} GROUP BY ALL)
+SELECT camera_id, y, x, CASE WHEN variance < v THEN 255 ELSE 0 END AS mask FROM g2 JOIN th USING (camera_id, y, x)""")
 def adaptive_mask(spark, sf_dir):
     return temporal.adaptive_static_mask(_var(spark), temporal.TemporalConfig(block_size=16))

@@ -52,7 +52,7 @@ def synthetic_rows(n: int = 500, dim: int = 1280, clusters: int = 10, noise: flo
     left, parts, labels = n, [], []
     for i in range(clusters):
         size = int(rng.integers(1, 3)) if i < 2 else int(rng.integers(10, 20)) if i < 4 else left // (clusters - i)
-        size = min(size, left)
+        size = left if i == clusters - 1 else min(size, left)  # the last one takes what is left over
         left -= size
         parts.append(unit(centres[i] + noise * rng.normal(size=(size, dim))))
         labels += [i] * size

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import IMAGE_TYPES, VIDEO_TYPES, extension, source_kind
+from ..operators.lineage import numbered
 
 PIXELS = "camera_id string, frame_idx int, y int, x int, b int, g int, r int"
 
@@ -17,7 +18,7 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
     """(frame_idx, path) of the images right in a folder, by path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(folder).select("path")
     images = files.where(extension(F.col("path")).isin(*IMAGE_TYPES))
-    return images.select((F.row_number().over(W.orderBy("path")) - 1).cast("int").alias("frame_idx"), "path")
+    return numbered(images, "at", "path").select(F.col("at").cast("int").alias("frame_idx"), "path")
 
 
 def read_images(spark: SparkSession, folder: str, camera_id: str = "camera") -> DataFrame:
@@ -26,7 +27,7 @@ def read_images(spark: SparkSession, folder: str, camera_id: str = "camera") ->
     Numbering needs only paths; images are decoded where they are read.
     """
     images = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*").where(extension(F.col("origin")).isin(*IMAGE_TYPES))
-    index = images.select("origin").select("origin", (F.row_number().over(W.orderBy("origin")) - 1).cast("int").alias("frame_idx"))
+    index = numbered(images.select("origin"), "at", "origin").select("origin", F.col("at").cast("int").alias("frame_idx"))
     return images.join(index, "origin").select(F.lit(camera_id).alias("camera_id"), "frame_idx", "height", "width", F.col("nChannels").alias("n_channels"), "data", F.lit(0.0).alias("timestamp_ms"))
 
 
