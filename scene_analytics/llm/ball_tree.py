@@ -62,12 +62,13 @@ class BallTree:
 
 
 def _scores(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers as int64; beyond the doubles' range by Python's own numbers."""
+    """Exact inner products of whole numbers as int64; beyond the doubles' range by Python's own numbers, at most what a long holds."""
     # Products of doubles are exact as long as no sum leaves their whole numbers.
     if queries.shape[1] * np.abs(queries).max(initial=0) * np.abs(points).max(initial=0) < EXACT:
         return (queries @ points.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
-    return (whole(queries) @ whole(points).T).astype(np.int64)
+    most = 2**63 - 1
+    return np.clip(whole(queries) @ whole(points).T, -most, most).astype(np.int64)
 
 
 def _narrow(points: np.ndarray) -> str:
@@ -76,11 +77,11 @@ def _narrow(points: np.ndarray) -> str:
     return "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
 
 
-def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search(tree: BallTree, ids: np.ndarray, rows_of: np.ndarray, queries: np.ndarray, query_rows: np.ndarray, floor: np.ndarray, k: int, first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, vec_id, score) of each query's k best rows in the tree that score `floor` or more, ties to smaller ids.
 
-    `first`: open only the best leaf of each query; what is found is then a lower bound of its k-th score. Rows with the query's
-    own id don't count. Nodes are visited level by level, leaves by falling bound, and each leaf serves all queries that need it.
+    `first`: open only the best leaf of each query; what is found is then a lower bound of its k-th score. The query's
+    own row doesn't count (`rows_of`, `query_rows`: the rows' numbers). Nodes are visited level by level, leaves by falling bound, and each leaf serves all queries that need it.
     """
     n = len(queries)
     bound = tree.bounds(queries)
@@ -91,7 +92,7 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
     def open_leaf(node: int, who: np.ndarray) -> None:
         rows = tree.order[tree.lo[node] : tree.hi[node]]
         scores = _scores(queries[who], tree.points[rows])
-        own = ids[rows][None, :] == query_ids[who][:, None]
+        own = rows_of[rows][None, :] == query_rows[who][:, None]
         scores[own] = np.iinfo(np.int64).min
         all_scores = np.concatenate([best[who], scores], axis=1)
         all_ids = np.concatenate([best_id[who], np.where(own, np.iinfo(np.int64).max, np.broadcast_to(ids[rows], scores.shape))], axis=1)
@@ -127,44 +128,45 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
 
 
 def whole_vectors(df: DataFrame, vector: str, vec_id: str, scale: float) -> DataFrame:
-    """(vec_id, v array<double>): floor(scale * x) of each component x as double; vectors that take no part are left out.
+    """(row, vec_id, v array<double>): floor(scale * x) of each component x as double, and a number of the row.
 
-    These are null ones, those that hold a null or non-finite component, and those without an id. Equal rows count once.
+    Vectors that take no part are left out: null ones, those with a null or (scaled) non-finite component, and those without an id.
+    Repeated rows and ids stay, each a row of its own. Numbers hold once the table is written, see `materialize_table`.
     """
     v = F.col(vector)
-    good = v.isNotNull() & F.col(vec_id).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    good = v.isNotNull() & F.col(vec_id).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(F.lit(float(scale)) * x.cast("double")) == float("inf")))
 
     def floor(x):  # whole already where a long could not hold it
         return F.when(F.abs(x) < 2.0**62, F.floor(x).cast("double")).otherwise(x)
 
     scaled = F.transform(v, lambda x: floor(F.lit(float(scale)) * x.cast("double")))
-    return df.where(good).select(F.col(vec_id).cast("long").alias("vec_id"), scaled.alias("v")).distinct()
+    return df.where(good).select(F.monotonically_increasing_id().alias("row"), F.col(vec_id).cast("long").alias("vec_id"), scaled.alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each row of `queries` with the rows of `vectors`.
 
-    Both have vec_id long and v array<double> of whole numbers. Rows with the query's own id don't count; ties go to smaller ids;
-    a query with fewer candidates has fewer rows. Vectors of unlike length don't meet; those without components score 0. Rows of
-    `queries` that share an id but not the vector have one list each. Empty tables give an empty one. Scores that a long can't
-    hold raise an error. A task holds one shard and one block of queries at a time.
+    Both have row long, vec_id long and v array<double> of whole numbers. A query's own row, the one of its number, doesn't count;
+    others of its id do. Ties go to smaller ids; a query with fewer candidates has fewer rows. Vectors of unlike length don't meet;
+    those without components score 0. Rows of `queries` that share an id have one list each. Empty tables give an empty one. Scores that a long can't
+    hold are its ends. A task holds one shard and one block of queries at a time.
     """
     import pyarrow as pa
 
     def packed(df: DataFrame, rows: int, name: str) -> tuple[DataFrame, DataFrame]:
         """A row for each part of at most about `rows` vectors, and the number of parts for each length of vectors."""
-        df = df.select("vec_id", "v", F.size("v").alias("dim"))
+        df = df.select("row", "vec_id", "v", F.size("v").alias("dim"))
         parts = F.ceil(F.count("*") / rows).cast("int").alias(f"{name}_parts")
         counts = small(materialize(df.groupBy("dim").agg(parts)))
-        dealt = df.join(counts, "dim").select("dim", F.pmod(F.xxhash64("vec_id", "v"), F.col(f"{name}_parts")).cast("int").alias("part"), "vec_id", "v")
+        dealt = df.join(counts, "dim").select("dim", F.pmod(F.xxhash64("row"), F.col(f"{name}_parts")).cast("int").alias("part"), "row", "vec_id", "v")
 
         def pack(key, t):
             t = t.sort_by("vec_id")
             points = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             points = points.astype(_narrow(points))
-            return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), f"{name}_part": pa.array([key[1].as_py()], pa.int32()), f"{name}_ids": [t["vec_id"].to_numpy().tobytes()], f"{name}_kind": [points.dtype.str], f"{name}_points": [points.tobytes()]})
+            return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), f"{name}_part": pa.array([key[1].as_py()], pa.int32()), f"{name}_ids": [t["vec_id"].to_numpy().tobytes()], f"{name}_rows": [t["row"].to_numpy().tobytes()], f"{name}_kind": [points.dtype.str], f"{name}_points": [points.tobytes()]})
 
-        return materialize_table(dealt.groupBy("dim", "part").applyInArrow(pack, f"dim int, {name}_part int, {name}_ids binary, {name}_kind string, {name}_points binary")), counts
+        return materialize_table(dealt.groupBy("dim", "part").applyInArrow(pack, f"dim int, {name}_part int, {name}_ids binary, {name}_rows binary, {name}_kind string, {name}_points binary")), counts
 
     shards, s_counts = packed(vectors, shard_rows, "s")
     blocks, q_counts = packed(queries, block_rows, "q")
@@ -184,12 +186,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHAR
                     points = np.frombuffer(row["s_points"], row["s_kind"]).astype(np.float64).reshape(len(ids), row["dim"])
                     if of != (row["dim"], row["s_part"]):
                         tree, of = BallTree(points), (row["dim"], row["s_part"])
-                    q_ids = np.frombuffer(row["q_ids"], np.int64)
+                    q_ids, rows, q_rows = (np.frombuffer(row[c], np.int64) for c in ("q_ids", "s_rows", "q_rows"))
                     q = np.frombuffer(row["q_points"], row["q_kind"]).astype(np.float64).reshape(len(q_ids), row["dim"])
                     floor = np.full(len(q_ids), -np.inf)
                     for f in row.get("floors") or ():
                         floor[f["at"]] = f["score"]
-                    at, vec, score = search(tree, ids, q, q_ids, floor, k, first)
+                    at, vec, score = search(tree, ids, rows, q, q_rows, floor, k, first)
                     keep = score >= floor[at]
                     at, vec, score = at[keep], vec[keep], score[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["dim"]), pa.int32()), pa.array(np.full(len(at), row["q_part"]), pa.int32()), pa.array(at, pa.int32()), pa.array(q_ids[at], pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], names=["dim", "q_part", "at", "query_id", "vec_id", "score"])
@@ -205,18 +207,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHAR
 
 
 def op1_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge cases as in `whole_vectors` and `top_k`."""
     vectors = materialize_table(whole_vectors(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", 64))
     return top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
 ORACLE_SQL = """
 WITH good AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-  FROM good q JOIN good c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM good q JOIN good c ON q.vec_id % 20 = 0 AND c.row <> q.row AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
