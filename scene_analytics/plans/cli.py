@@ -1,12 +1,15 @@
-"""python -m scene_analytics.plans.cli demo|curate|mask ..."""
+"""python -m scene_analytics.plans.cli demo|curate|mask|batch ..."""
 
 from __future__ import annotations
 
 import argparse
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import SparkSession
 
+from ..operators import cameras as cams
 from ..operators.clusters import AnalysisConfig
+from ..operators.errors import AnalysisError
 from ..sources import config, embeddings, frames
 from . import curation, mask_jobs
 
@@ -31,12 +34,55 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--samples", "-n", type=int, default=100)
     m.add_argument("--no-vignetting", action="store_true")
     m.add_argument("--save-intermediate", action="store_true")
+    b = jobs.add_parser("batch")
+    b.add_argument("--input-dir", required=True, help="folder of folders of images, one for each recording")
+    b.add_argument("--output", "-o", default="./output")
+    b.add_argument("--config", "-c")
+    b.add_argument("--threshold", "-t", type=float, default=50.0)
+    b.add_argument("--samples", "-n", type=int, default=100)
+    b.add_argument("--no-vignetting", action="store_true")
+    b.add_argument("--save-intermediate", action="store_true")
+    b.add_argument("--verbose", action="store_true")
     return p
 
 
+def run_batch(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Masks of every recording below a folder, each below its own name; 1 if there is none or one fails, else 0.
+
+    A recording's camera is the first configured one whose id is in its name, or else the first one. A recording that fails is
+    reported and counted, and the others go on.
+    """
+    try:
+        found = frames.image_folders(spark, a.input_dir)
+    except AnalysisException as e:
+        print(f"{a.input_dir} can't be read: {e.getCondition()}")
+        return 1
+    cameras, whole = config.load(spark, a.config)
+    matched = cams.with_fallback(cams.match(found, cameras), cameras).orderBy("file_path").collect()
+    if not matched:
+        print(f"no folder of images in {a.input_dir}")
+        return 1
+    failed = 0
+    for r in matched:
+        name = r.file_path.rstrip("/").rsplit("/", 1)[-1]
+        if a.verbose:
+            print(f"{name}: camera {r.camera_id}")
+        try:
+            source = frames.open_source(spark, r.file_path, True, camera_id=r.camera_id or name)
+            own = None if r.camera_id is None else cameras.where(cameras["camera_id"] == r.camera_id)
+            mask_jobs.save(mask_jobs.single(spark, source, own, whole, a.samples, a.threshold, not a.no_vignetting), f"{a.output}/{name}", a.save_intermediate)
+        except (AnalysisError, PySparkException, OSError) as e:
+            print(f"{name} failed: {e}")
+            failed += 1
+    print(f"{len(matched) - failed} done, {failed} failed")
+    return 1 if failed else 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    if a.job == "batch":
+        return run_batch(spark, a)
     if a.job == "mask":
         cameras, whole = config.load(spark, a.config)
         known = cameras.where(cameras["camera_id"] == a.camera)

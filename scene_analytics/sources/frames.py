@@ -21,6 +21,12 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
     return numbered(images, "at", "path").select(F.col("at").cast("int").alias("frame_idx"), "path")
 
 
+def image_folders(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path): the folders below `root`, and it itself, that have images right in them."""
+    images = paths(spark, root).where(extension(F.col("path")).isin(*IMAGE_TYPES))
+    return images.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("file_path")).distinct()
+
+
 def read_images(spark: SparkSession, folder: str, camera_id: str = "camera") -> DataFrame:
     """(camera_id, frame_idx, height, width, n_channels, data, timestamp_ms): unreadable images are left out, numbers close up.
 
