@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import lightness
 from . import filters
+from .lineage import materialize
 
 BINS = 100
 
@@ -95,7 +96,7 @@ def refine(mask: DataFrame, sigma: float = 5.0) -> DataFrame:
 
 def detect(pixels: DataFrame, cfg: VignettingConfig = VignettingConfig()) -> tuple[DataFrame, DataFrame]:
     """The refined mask, and (camera_id, radius): the radial model's, or 1 for the threshold model."""
-    bright = brightness_map(pixels)
+    bright = materialize(brightness_map(pixels))  # a map for each camera, used several times
     if cfg.use_radial_model:
         return refine(radial_mask(bright, cfg.brightness_threshold), cfg.smooth_sigma), radial_radius(bright, cfg.brightness_threshold)
     radius = bright.select("camera_id").distinct().withColumn("radius", F.lit(1.0))
@@ -103,4 +104,4 @@ def detect(pixels: DataFrame, cfg: VignettingConfig = VignettingConfig()) -> tup
 
 
 def detect_edges(pixels: DataFrame, cfg: VignettingConfig = VignettingConfig()) -> DataFrame:
-    return edge_mask(brightness_map(pixels), cfg.edge_margin, cfg.edge_threshold)
+    return edge_mask(materialize(brightness_map(pixels)), cfg.edge_margin, cfg.edge_threshold)
