@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,3 +64,8 @@ def cursor(log: DataFrame) -> DataFrame:
 def latest(log: DataFrame, n: int = HISTORY) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("mask_id").orderBy(F.desc("seq")))
     return log.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
+
+
+def to_image(px: Column, py: Column, scale: Column, left: Column, top: Column) -> Column:
+    """(x, y) of the image under a place on the screen, truncated; the image lies at (left, top), drawn at `scale`."""
+    return F.struct(((px - left) / scale).cast("int").alias("x"), ((py - top) / scale).cast("int").alias("y"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import filters, temporal, vignetting
+from .lineage import materialize
 
 PIXEL = ["camera_id", "y", "x"]
 
@@ -137,20 +138,26 @@ def export_levels(df: DataFrame, column: str) -> DataFrame:
 
 
 def generate(pixels: DataFrame, cameras: DataFrame | None = None, include_vignetting: bool = True, cfg: temporal.TemporalConfig = temporal.TemporalConfig(), refine_cfg: RefineConfig = RefineConfig(), vignetting_cfg: vignetting.VignettingConfig = vignetting.VignettingConfig()) -> dict[str, DataFrame]:
+    """`generate_from` the analysis of pixel rows; `tiles.analyze` is the one of whole recordings."""
+    return generate_from(materialize(temporal.analyze(pixels, cfg)), cameras, include_vignetting, refine_cfg, vignetting_cfg)
+
+
+def generate_from(found: DataFrame, cameras: DataFrame | None = None, include_vignetting: bool = True, refine_cfg: RefineConfig = RefineConfig(), vignetting_cfg: vignetting.VignettingConfig = vignetting.VignettingConfig()) -> dict[str, DataFrame]:
     """final, static, vignetting and confidence maps of every camera, all cameras at once.
 
-    `cameras` (camera_id, has_vignetting, regions) may be missing: then there are no hints, and vignetting is as asked. A camera
-    that has vignetting gets it in any case.
+    `found` (camera_id, y, x, brightness, mask, confidence) has a row for each pixel of an image and is read several times, so it
+    should be materialised. `cameras` (camera_id, has_vignetting, regions) may be missing: then there are no hints, and vignetting is
+    as asked. A camera that has vignetting gets it in any case.
     """
-    found = temporal.analyze(pixels, cfg)
     static = refine(found.select(*PIXEL, "mask"), refine_cfg)
     confidence = found.select(*PIXEL, "confidence")
+    wanted = found.select(*PIXEL, "brightness")
     if cameras is None:
-        wanted = pixels if include_vignetting else pixels.limit(0)
-    else:
-        flags = cameras.select("camera_id", "has_vignetting")
-        wanted = pixels if include_vignetting else pixels.join(F.broadcast(flags.where("has_vignetting")), "camera_id", "left_semi")
-    vignette, _ = vignetting.detect(wanted, vignetting_cfg)
+        wanted = wanted if include_vignetting else wanted.limit(0)
+    elif not include_vignetting:
+        flags = cameras.where("has_vignetting").select("camera_id")
+        wanted = wanted.join(F.broadcast(flags), "camera_id", "left_semi")
+    vignette, _ = vignetting.detect_on(wanted, vignetting_cfg)
     merged = union(static, vignette)
     if cameras is not None:
         regions = cameras.select("camera_id", F.explode("regions").alias("r")).select("camera_id", "r.x", "r.y", "r.width", "r.height")

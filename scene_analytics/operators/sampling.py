@@ -32,7 +32,7 @@ def sample_frames(frames: DataFrame, num: int, start_ratio: float = 0.0, end_rat
 
 def random_frames(frames: DataFrame, count: int, seed: int, clip: str = "clip") -> DataFrame:
     """`count` rows of each clip without replacement, by a seeded draw, in order of frame_idx within a clip."""
-    draw = F.row_number().over(W.partitionBy(clip).orderBy(F.xxhash64(F.lit(seed), clip, "frame_idx"), "frame_idx"))
+    draw = F.row_number().over(W.partitionBy(clip).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(clip), F.col("frame_idx"))), "frame_idx"))
     return frames.withColumn("__draw", draw).where(F.col("__draw") <= count).drop("__draw").orderBy(clip, "frame_idx")
 
 

@@ -37,7 +37,11 @@ def require_frames(pixels: DataFrame) -> DataFrame:
 def _variance(v: Column) -> Column:
     """Population variance of whole levels from exact sums."""
     v = v.cast("long")
-    n, s, q = F.count(v), F.sum(v), F.sum(v * v)
+    return spread(F.count(v), F.sum(v), F.sum(v * v))
+
+
+def spread(n: Column, s: Column, q: Column) -> Column:
+    """Population variance from the number, the sum and the sum of squares."""
     return (n * q - s * s) / (n * n)
 
 
@@ -74,12 +78,18 @@ def confidence(variances: DataFrame, threshold: float = 50.0) -> DataFrame:
 
 
 def analyze(pixels: DataFrame, cfg: TemporalConfig = TemporalConfig()) -> DataFrame:
-    """(camera_id, y, x, variance, mean channels, mask, confidence) in one aggregation."""
+    """(camera_id, y, x, variance, mean channels, brightness, mask, confidence) in one aggregation."""
     require_frames(pixels)
-    light = (lightness if cfg.use_lab else gray)(F.col("b"), F.col("g"), F.col("r"))
-    base = pixels.groupBy(*PIXEL).agg(_variance(light).alias("variance"), *[F.floor(F.avg(c)).cast("int").alias(f"mean_{c}") for c in ("b", "g", "r")])
+    channels = [F.col(c) for c in "bgr"]
+    lead = (lightness if cfg.use_lab else gray)(*channels)
+    means = [F.floor(F.avg(c)).cast("int").alias(f"mean_{c}") for c in "bgr"]
+    return decided(pixels.groupBy(*PIXEL).agg(_variance(lead).alias("variance"), *means, (F.avg(lightness(*channels)) / 255).alias("brightness")), cfg)
+
+
+def decided(found: DataFrame, cfg: TemporalConfig = TemporalConfig()) -> DataFrame:
+    """Adds mask and confidence to what has the variance."""
     t = cfg.variance_threshold
-    return base.withColumns({"mask": F.when(F.col("variance") < t, 255).otherwise(0), "confidence": confidence_of(F.col("variance"), t)})
+    return found.withColumns({"mask": F.when(F.col("variance") < t, 255).otherwise(0), "confidence": confidence_of(F.col("variance"), t)})
 
 
 def block_thresholds(variances: DataFrame, cfg: TemporalConfig = TemporalConfig()) -> DataFrame:

@@ -95,8 +95,12 @@ def refine(mask: DataFrame, sigma: float = 5.0) -> DataFrame:
 
 
 def detect(pixels: DataFrame, cfg: VignettingConfig = VignettingConfig()) -> tuple[DataFrame, DataFrame]:
+    """`detect_on` the pixels' brightness."""
+    return detect_on(materialize(brightness_map(pixels)), cfg)  # a map for each camera, used several times
+
+
+def detect_on(bright: DataFrame, cfg: VignettingConfig = VignettingConfig()) -> tuple[DataFrame, DataFrame]:
     """The refined mask, and (camera_id, radius): the radial model's, or 1 for the threshold model."""
-    bright = materialize(brightness_map(pixels))  # a map for each camera, used several times
     if cfg.use_radial_model:
         return refine(radial_mask(bright, cfg.brightness_threshold), cfg.smooth_sigma), radial_radius(bright, cfg.brightness_threshold)
     radius = bright.select("camera_id").distinct().withColumn("radius", F.lit(1.0))

@@ -76,6 +76,12 @@ def summarize(result: CurationResult) -> DataFrame:
     return captions.report(result.clusters, result.edge_cases)
 
 
+def tally(encoded: DataFrame) -> tuple[int, int]:
+    """How many rows are without and with an error."""
+    r = encoded.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).first()
+    return r[0], r[1]
+
+
 def worth_clustering(df: DataFrame, more_than: int = 10) -> bool:
     return df.limit(more_than + 1).count() > more_than
 

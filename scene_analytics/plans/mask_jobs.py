@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import masks, sampling, temporal
+from ..operators import masks, sampling, temporal, tiles
 from ..sources import frames as source
 from ..sources import png
 
@@ -22,18 +22,21 @@ def settings(whole: DataFrame | None, variance_threshold: float | None = None, k
 
 
 def single(spark: SparkSession, frames: DataFrame, cameras: DataFrame | None = None, whole: DataFrame | None = None, samples: int | None = None, threshold: float | None = None, include_vignetting: bool = True) -> dict[str, DataFrame]:
-    """Masks of one camera's frames (camera_id, frame_idx, height, width, n_channels, data)."""
+    """Masks of one camera's frames (camera_id, frame_idx, height, width, n_channels, data), by tiles."""
     n = samples or (whole.first().frame_sample_count if whole is not None else 100)
-    pixels = source.to_pixels(sampling.sample_frames(frames, n))
     t, r = settings(whole, threshold)
-    return masks.generate(pixels, cameras, include_vignetting, t, r)
+    found = tiles.analyze(source.to_tiles(sampling.sample_frames(frames, n)), t)
+    return masks.generate_from(found, cameras, include_vignetting, r)
 
 
-def save(found: dict[str, DataFrame], folder: str, intermediate: bool = False) -> None:
+def save(found: dict[str, DataFrame], folder: str, intermediate: bool = False, name: str | None = None) -> None:
+    """PNG files named by camera or, those of one source, by `name`."""
+    if name is not None:
+        found = {k: df.withColumn("camera_id", F.lit(name)) for k, df in found.items()}
     png.write_masks(found["final"], folder)
     if intermediate:
         png.write_masks(found["static"], folder, "static")
-        png.write_masks(found["vignetting"], folder, "vignette")
+        png.write_masks(found["vignetting"], folder, "vignetting")
         png.write_masks(masks.export_levels(found["confidence"].withColumnRenamed("confidence", "mask"), "mask"), folder, "confidence")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import IMAGE_TYPES, VIDEO_TYPES, extension, source_kind
+from ..operators import tiles
 from ..operators.lineage import numbered
 
 PIXELS = "camera_id string, frame_idx int, y int, x int, b int, g int, r int"
@@ -37,30 +39,61 @@ def read_images(spark: SparkSession, folder: str, camera_id: str = "camera") ->
     return images.join(index, "origin").select(F.lit(camera_id).alias("camera_id"), "frame_idx", "height", "width", F.col("nChannels").alias("n_channels"), "data", F.lit(0.0).alias("timestamp_ms"))
 
 
+def _image(r: dict):
+    """The image of a row with 1, 3 or 4 channels as (height, width, 3), blue first; grey fills all three."""
+    import numpy as np
+
+    a = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["n_channels"])
+    return np.repeat(a, 3, axis=2) if r["n_channels"] == 1 else a[:, :, :3]
+
+
+FRAME = ["camera_id", "frame_idx", "height", "width", "n_channels", "data"]
+
+
 def to_pixels(frames: DataFrame) -> DataFrame:
-    """Pixel rows of frames with 1, 3 or 4 channels, blue first; grey fills all three."""
+    """Pixel rows of frames."""
     import numpy as np
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                h, w, c = r["height"], r["width"], r["n_channels"]
-                a = np.frombuffer(r["data"], np.uint8).reshape(h, w, c)
-                a = np.repeat(a, 3, axis=2) if c == 1 else a[:, :, :3]
-                for y in range(0, h, 64):
-                    part = a[y : y + 64].reshape(-1, 3)
-                    ys, xs = np.divmod(np.arange(len(part)), w)
-                    yield pa.RecordBatch.from_arrays([pa.array([r["camera_id"]] * len(part)), pa.array(np.full(len(part), r["frame_idx"]), pa.int32()), pa.array(ys + y, pa.int32()), pa.array(xs, pa.int32()), *[pa.array(part[:, i], pa.int32()) for i in range(3)]], names=["camera_id", "frame_idx", "y", "x", "b", "g", "r"])
+        for r in tiles.rows(batches):
+            a = _image(r)
+            for y in range(0, r["height"], 64):
+                part = a[y : y + 64].reshape(-1, 3)
+                ys, xs = np.divmod(np.arange(len(part)), r["width"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["camera_id"]] * len(part)), pa.array(np.full(len(part), r["frame_idx"]), pa.int32()), pa.array(ys + y, pa.int32()), pa.array(xs, pa.int32()), *[pa.array(part[:, i], pa.int32()) for i in range(3)]], names=["camera_id", "frame_idx", "y", "x", "b", "g", "r"])
+
+    return frames.select(*FRAME).mapInArrow(run, PIXELS)
+
+
+def to_tiles(frames: DataFrame, size: int = tiles.SIZE) -> DataFrame:
+    """Tiles of frames, see `operators.tiles`."""
+    import pyarrow as pa
+
+    def run(batches):
+        for r in tiles.rows(batches):
+            for y, x, h, w, data in tiles.cut(_image(r), size):
+                yield pa.RecordBatch.from_arrays([pa.array([r["camera_id"]], pa.string()), *[pa.array([v], pa.int32()) for v in (r["frame_idx"], y, x, h, w, r["height"], r["width"])], pa.array([data], pa.binary())], names=["camera_id", "frame_idx", "ty", "tx", "h", "w", "height", "width", "data"])
+
+    return frames.select(*FRAME).mapInArrow(run, tiles.SCHEMA)
 
-    return frames.select("camera_id", "frame_idx", "height", "width", "n_channels", "data").mapInArrow(run, PIXELS)
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """`path` as the engine's own listings spell it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    return where.getFileSystem(conf).makeQualified(where).toString().rstrip("/")
 
 
 def paths(spark: SparkSession, root: str) -> DataFrame:
-    """All file paths below a folder; contents aren't read."""
+    """All file paths below a folder but those of empty files; contents aren't read."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
 
 
+def is_video(path: str) -> bool:
+    return path.rsplit("/", 1)[-1].rpartition(".")[2].lower() in VIDEO_TYPES
+
+
 def discover_videos(files: DataFrame) -> DataFrame:
     """Rows of files(path) that are videos, whatever the case of their type."""
     return files.where(extension(F.col("path")).isin(*VIDEO_TYPES))
@@ -74,9 +107,19 @@ def discover_batch(files: DataFrame, folder: str) -> DataFrame:
     return inside.withColumn("place", place).where("place is not null").orderBy("place", "path")
 
 
-def discover_frame_folders(files: DataFrame, name: str = "CMR_GT_Frame") -> DataFrame:
-    """(frame_dir) of all folders of that name that hold files, sorted."""
-    return files.select(F.regexp_extract("path", rf"^(.*/{name})/", 1).alias("frame_dir")).where("frame_dir <> ''").distinct().orderBy("frame_dir")
+def _glob(pattern: str) -> str:
+    """A glob over folder names as a regular expression: ** is any number of levels, * and ? stay in one."""
+    kinds = {"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "".join(kinds.get(p, re.escape(p)) for p in re.split(r"(\*\*/|\*\*|\*|\?)", pattern))
+
+
+def discover_frame_folders(files: DataFrame, pattern: str = "**/CMR_GT_Frame", base: str = "") -> DataFrame:
+    """(frame_dir), sorted: the folders below `base` with files in or below them whose path from there fits the glob."""
+    folder = F.split(F.regexp_extract("path", "^(.*)/[^/]*$", 1), "/")
+    folders = files.select(folder.alias("parts")).distinct()
+    above = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.array_join(F.slice("parts", 1, n), "/"))
+    found = folders.select(F.explode(above).alias("frame_dir")).where(F.col("frame_dir").rlike(f"^{re.escape(base.rstrip('/'))}/{_glob(pattern)}$"))
+    return found.distinct().orderBy("frame_dir")
 
 
 def frame_folder_images(files: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import store_of
+
 
 def png_bytes(a: np.ndarray) -> bytes:
     """An 8-bit grey (h, w) or RGB (h, w, 3) image."""
@@ -33,17 +35,21 @@ def encode_masks(masks: DataFrame, column: str = "mask", key: str = "camera_id")
 
 
 def write_masks(masks: DataFrame, folder: str, suffix: str = "mask", key: str = "camera_id") -> None:
-    """{key}_{suffix}.png in a folder that all machines share; a file appears whole or not at all."""
+    """{key}_{suffix}.png in a folder that all machines share, a path or the URI of a file system or object store.
+
+    A file appears whole or not at all, so a task that is run again does no harm.
+    """
 
     def put(rows) -> None:
-        import os
+        import uuid
 
-        os.makedirs(folder, exist_ok=True)
+        store, where = store_of(folder)
+        store.create_dir(where, recursive=True)
         for r in rows:
-            part = os.path.join(folder, f".{r[key]}_{suffix}.{os.getpid()}.part")
-            with open(part, "wb") as f:
-                f.write(r["png"])
-            os.replace(part, os.path.join(folder, f"{r[key]}_{suffix}.png"))
+            part = f"{where}/.{r[key]}_{suffix}.{uuid.uuid4().hex}.part"
+            with store.open_output_stream(part) as f:
+                f.write(bytes(r["png"]))
+            store.move(part, f"{where}/{r[key]}_{suffix}.png")
 
     encode_masks(masks, key=key).foreachPartition(put)
 

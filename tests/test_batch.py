@@ -46,4 +46,4 @@ def test_batch_without_recordings(spark, tmp_path, capsys):
     (tmp_path / "empty").mkdir()
     (tmp_path / "empty" / "note.txt").write_text("x")
     assert cli.main(["batch", "--input-dir", str(tmp_path / "empty")]) == 1
-    assert "no folder of images" in capsys.readouterr().out
+    assert "no folder of images and no video" in capsys.readouterr().out

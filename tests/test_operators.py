@@ -285,7 +285,7 @@ def test_png_round_trip_and_jobs(spark, tmp_path):
     px = frames.to_pixels(seq)
     assert px.where("frame_idx = 0 and y = 24 and x = 0").first()[4:] == tuple(int(v) for v in fixed[0, 0][::-1])
     assert cli.main(["mask", "-i", str(folder), "-o", str(tmp_path / "m"), "--camera", "cam", "--no-vignetting", "--save-intermediate", "-n", "5"]) == 0
-    assert {p.name for p in (tmp_path / "m").iterdir()} >= {"cam_mask.png", "cam_static.png", "cam_confidence.png"}
+    assert {p.name for p in (tmp_path / "m").iterdir()} >= {"frames_mask.png", "frames_static.png", "frames_confidence.png"}
     _, unknown = mask_jobs.batch(px, spark.createDataFrame([], config.SCHEMA))
     assert [r.camera_id for r in unknown.collect()] == ["cam"]
     files = frames.paths(spark, str(tmp_path))
