@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import struct
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import color, names, vectors
 from .operators import cameras as cams
-from .operators import captions, clusters, community, edits, filters, knn, masks, quality, sampling, temporal, vignetting
-from .plans import curation
-from .sources import config
+from .operators import captions, clusters, community, edits, filters, knn, lineage, masks, quality, sampling, temporal, tiles, vignetting
+from .plans import curation, mask_jobs
+from .sources import config, files, frames, png, video
+from .sources import embeddings as encoders
+from .streaming import variance as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -179,7 +184,15 @@ def pic_labels(spark, sf_dir):
     return community.power_iteration(curation.build_graph(embeddings(spark, sf_dir)))
 
 
-@query()
+def _votes(rounds: int) -> str:
+    sql = ", l0 AS (SELECT DISTINCT src AS vec_id, src AS label FROM w)"
+    for i in range(rounds):
+        sql += f", v{i} AS (SELECT src, label, sum(weight) AS n FROM w JOIN l{i} ON vec_id = dst GROUP BY ALL), l{i + 1} AS (SELECT src AS vec_id, arg_max(label, (n, -label)) AS label FROM v{i} GROUP BY ALL)"
+    return sql
+
+
+@query(f"""WITH {K_SQL.replace("w AS (", "w AS MATERIALIZED (")}{_votes(4)}, z AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, min(vec_id)) - 1 AS place FROM l4 GROUP BY label)
+SELECT vec_id, place::INT AS cluster_id FROM l4 JOIN z USING (label)""")
 def propagation_labels(spark, sf_dir):
     return community.label_propagation(curation.build_graph(embeddings(spark, sf_dir)), 4)
 
@@ -379,17 +392,17 @@ def edge_mask(spark, sf_dir):
     return vignetting.edge_mask(_bright(spark), margin=9, close=0)
 
 
-def _morph_sql(source: str, steps: str, k: int, shape: str = "ellipse") -> tuple[str, str]:
-    """CTEs that dilate (d) and erode (e) step by step by a join with the kernel's places; the last one's name.
+def _morph_sql(source: str, steps: str, k: int, shape: str = "ellipse", name: str = "st") -> tuple[str, str]:
+    """CTEs that dilate (d) and erode (e) step by step by giving each level to all places whose kernel covers it; the last one's name.
 
     The places are said here in SQL: those of a square, or in each row as far as an ellipse of k by k reaches, rounded half to even.
     """
     r = k // 2
     inside = f"abs(dx) <= round_even(sqrt({r * r} - dy * dy), 0)" if shape == "ellipse" else "true"
-    sql, last = f"ker AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range({-r}, {r + 1})) AS i) a, (SELECT unnest(range({-r}, {r + 1})) AS i) b WHERE {inside.replace('dx', 'b.i').replace('dy', 'a.i')})", source
+    sql, last = f"{name}_k AS (SELECT a.i AS dy, b.i AS dx FROM (SELECT unnest(range({-r}, {r + 1})) AS i) a, (SELECT unnest(range({-r}, {r + 1})) AS i) b WHERE {inside.replace('dx', 'b.i').replace('dy', 'a.i')})", source
     for i, s in enumerate(steps):
-        sql += f", st{i} AS (SELECT p.camera_id, p.y, p.x, {'max' if s == 'd' else 'min'}(q.mask) AS mask FROM {last} p, ker JOIN {last} q ON q.camera_id = p.camera_id AND q.y = p.y + dy AND q.x = p.x + dx GROUP BY ALL)"
-        last = f"st{i}"
+        sql += f", {name}{i} AS MATERIALIZED (SELECT camera_id, ty AS y, tx AS x, {'max' if s == 'd' else 'min'}(mask) AS mask FROM (SELECT camera_id, y - dy AS ty, x - dx AS tx, mask FROM {last}, {name}_k) WHERE ty BETWEEN 0 AND {H - 1} AND tx BETWEEN 0 AND {W_ - 1} GROUP BY ALL)"
+        last = f"{name}{i}"
     return sql, last
 
 
@@ -483,12 +496,67 @@ def remove_small_regions(spark, sf_dir):
     return masks.remove_small_regions(blobs(spark), 8)
 
 
-@query()
+def _smooth_sql(source: str, sigma: float, name: str) -> tuple[str, str]:
+    """CTEs of the mask's Gaussian over one half; the last one's name."""
+    kernel = filters.gaussian_kernel(sigma)
+    r = len(kernel) // 2
+    values = ", ".join(f"({i - r}, {float(w)!r}::DOUBLE)" for i, w in enumerate(kernel))
+    return f"""{name}_g(o, w) AS (VALUES {values}),
+{name}_y AS MATERIALIZED (SELECT t.camera_id, t.y, t.x, sum(q.mask / 255e0 * w) AS v FROM (SELECT p.*, w, {_REFLECT.format(c='p.y', n=H)} AS at FROM {source} p, {name}_g) t JOIN {source} q ON q.camera_id = t.camera_id AND q.x = t.x AND q.y = t.at GROUP BY ALL),
+{name}_x AS MATERIALIZED (SELECT t.camera_id, t.y, t.x, CASE WHEN sum(q.v * w) > 0.5 THEN 255 ELSE 0 END AS mask FROM (SELECT p.*, w, {_REFLECT.format(c='p.x', n=W_)} AS at FROM {name}_y p, {name}_g) t JOIN {name}_y q ON q.camera_id = t.camera_id AND q.y = t.y AND q.x = t.at GROUP BY ALL)""", f"{name}_x"
+
+
+def _refine_sql(source: str, least: int, name: str) -> tuple[str, str]:
+    """CTEs that close, open, fill holes, drop regions of fewer than `least` pixels and smooth; the last one's name."""
+    morph, last = _morph_sql(source, "ddeeeedd", 5, name=f"{name}_m")
+    smooth, end = _smooth_sql(f"{name}_s", 3.0, f"{name}_b")
+    return f"""{morph},
+{name}_r AS (SELECT camera_id, y, x FROM {last} WHERE mask = 0 AND (y IN (0, {H - 1}) OR x IN (0, {W_ - 1}))
+  UNION SELECT b.camera_id, b.y, b.x FROM {name}_r r JOIN {last} b ON b.camera_id = r.camera_id AND b.mask = 0 AND abs(b.y - r.y) + abs(b.x - r.x) = 1),
+{name}_f AS MATERIALIZED (SELECT camera_id, y, x FROM {last} ANTI JOIN {name}_r USING (camera_id, y, x)),
+{name}_l(camera_id, y, x, l) USING KEY (camera_id, y, x) AS (SELECT camera_id, y, x, y * {W_} + x FROM {name}_f
+  UNION SELECT b.camera_id, b.y, b.x, min(a.l) FROM {name}_l a JOIN recurring.{name}_l b ON a.camera_id = b.camera_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.l < b.l GROUP BY ALL),
+{name}_c AS MATERIALIZED (SELECT camera_id, y, x, count(*) OVER (PARTITION BY camera_id, l) AS area FROM {name}_l),
+{name}_s AS MATERIALIZED (SELECT p.camera_id, p.y, p.x, CASE WHEN area >= {least} THEN 255 ELSE 0 END AS mask FROM {source} p LEFT JOIN {name}_c USING (camera_id, y, x)),
+{smooth}""", end
+
+
+def _scaled_sql(s: int) -> str:
+    """CTEs of the confidence at 1/s of the size (s is 2 or 4) and of it brought back to size."""
+    inner = f"({s // 2 - 1}, {s // 2})"
+    at = lambda c, n: f"greatest(least(floor((p.{c} + 0.5e0) / {s} - 0.5e0) + {c}{c}, {n // s - 1}), 0)"
+    part = lambda c: f"CASE WHEN {c}{c} = 1 THEN ((p.{c} + 0.5e0) / {s} - 0.5e0) - floor((p.{c} + 0.5e0) / {s} - 0.5e0) ELSE 1 - ((p.{c} + 0.5e0) / {s} - 0.5e0) + floor((p.{c} + 0.5e0) / {s} - 0.5e0) END"
+    return f"""f{s} AS (SELECT camera_id, frame_idx, y // {s} AS y, x // {s} AS x, floor(avg(light) + 0.5e0) AS v FROM li WHERE y % {s} IN {inner} AND x % {s} IN {inner} GROUP BY ALL),
+c{s} AS MATERIALIZED (SELECT camera_id, y, x, 1 / (1 + exp((var_pop(v) - 50) / (50e0 / 3))) AS v FROM f{s} GROUP BY ALL),
+u{s} AS (SELECT p.camera_id, p.y, p.x, sum(q.v * ({part('y')}) * ({part('x')})) AS v FROM va p, (SELECT unnest([0, 1]) AS yy) dy, (SELECT unnest([0, 1]) AS xx) dx JOIN c{s} q ON q.camera_id = p.camera_id AND q.y = {at('y', H)} AND q.x = {at('x', W_)} GROUP BY ALL)"""
+
+
+@query(f"""WITH {P_SQL}, {_scaled_sql(2)}, {_scaled_sql(4)},
+al AS (SELECT camera_id, y, x, 1 / (1 + exp((variance - 50) / (50e0 / 3))) AS v FROM va UNION ALL SELECT * FROM u2 UNION ALL SELECT * FROM u4)
+SELECT camera_id, y, x, round(avg(v), 6) AS confidence, CASE WHEN avg(v) > 0.5 THEN 255 ELSE 0 END AS mask FROM al GROUP BY ALL""")
 def multiscale_confidence(spark, sf_dir):
     return rounded(temporal.multiscale(pixels(spark)), "confidence")
 
 
-@query()
+_RADIAL = "rm AS MATERIALIZED (SELECT camera_id, y, x, CASE WHEN d > radius THEN 255 ELSE 0 END AS mask FROM di JOIN ra USING (camera_id))"
+_VM, _VM_END = _morph_sql("rm", "deed", 15, name="vm")
+_VG, _VG_END = _smooth_sql(_VM_END, 5.0, "vg")
+_STATIC, _STATIC_END = _refine_sql("sm", 50, "sr")
+_FINAL, _FINAL_END = _refine_sql("un", 50, "fr")
+
+
+@query(f"WITH {R_SQL}, {_RADIAL}, {_VM}, {_VG} SELECT * FROM {_VG_END}")
+def vignetting_mask(spark, sf_dir):
+    return vignetting.detect(pixels(spark))[0]
+
+
+@query(f"WITH RECURSIVE {P_SQL}, {_STATIC} SELECT * FROM {_STATIC_END}")
+def refined_mask(spark, sf_dir):
+    return masks.refine(_static(spark), masks.RefineConfig(min_area=50))
+
+
+@query(f"""WITH RECURSIVE {R_SQL}, {_RADIAL}, {_VM}, {_VG}, {_STATIC},
+un AS MATERIALIZED (SELECT camera_id, y, x, greatest(a.mask, b.mask) AS mask FROM {_STATIC_END} a JOIN {_VG_END} b USING (camera_id, y, x)), {_FINAL} SELECT * FROM {_FINAL_END}""")
 def mask_generation(spark, sf_dir):
     return masks.generate(pixels(spark), refine_cfg=masks.RefineConfig(min_area=50))["final"]
 
@@ -564,8 +632,6 @@ def batch_unmatched(spark, sf_dir):
 
 @query(f"SELECT {VIDEO} AS path FROM embeddings WHERE vec_id % 3 < 2")
 def discovered_videos(spark, sf_dir):
-    from .sources import frames
-
     return frames.discover_videos(_videos(spark, sf_dir).withColumnRenamed("file_path", "path"))
 
 
@@ -621,8 +687,6 @@ FRAME_FILE = "'/d/s' || (vec_id % 9) || CASE WHEN vec_id % 2 = 0 THEN '/CMR_GT_F
 
 @query(f"SELECT DISTINCT regexp_extract({FRAME_FILE}, '^(.*/CMR_GT_Frame)/', 1) AS frame_dir FROM embeddings WHERE vec_id % 2 = 0")
 def frame_folders(spark, sf_dir):
-    from .sources import frames
-
     return frames.discover_frame_folders(embeddings(spark, sf_dir).select(F.expr(FRAME_FILE).alias("path")))
 
 
@@ -630,8 +694,6 @@ def frame_folders(spark, sf_dir):
 b AS (SELECT *, bool_or(low) OVER (PARTITION BY frame_dir) AS has FROM g)
 SELECT frame_dir, (row_number() OVER (PARTITION BY frame_dir ORDER BY path) - 1)::INT AS frame_idx, path FROM b WHERE low = has""")
 def frame_folder_images(spark, sf_dir):
-    from .sources import frames
-
     return frames.frame_folder_images(embeddings(spark, sf_dir).select(F.expr(FRAME_FILE).alias("path")))
 
 
@@ -656,17 +718,12 @@ def padded_clips(spark, sf_dir):
     return sampling.pad_frames(clips, 6)
 
 
-@query()
+@query("SELECT label AS clip, vec_id AS frame_idx FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || label || ':' || vec_id), vec_id) <= 5")
 def random_frames(spark, sf_dir):
     rows = embeddings(spark, sf_dir).select(F.col("label").alias("clip"), F.col("vec_id").alias("frame_idx"))
     return sampling.random_frames(rows, 5, seed=42)
 
 
-@query()
-def vignetting_mask(spark, sf_dir):
-    return vignetting.detect(pixels(spark))[0]
-
-
 _WIDE = ", ".join(f"({i - 16}, {float(w)!r}::DOUBLE)" for i, w in enumerate(filters.gaussian_kernel(4.0)))
 
 
@@ -678,3 +735,222 @@ g2 AS (SELECT p.camera_id, p.y, p.x, sum(q.v * w) AS v FROM g1 p, gk JOIN g1 q O
 SELECT camera_id, y, x, CASE WHEN variance < v THEN 255 ELSE 0 END AS mask FROM g2 JOIN th USING (camera_id, y, x)""")
 def adaptive_mask(spark, sf_dir):
     return temporal.adaptive_static_mask(_var(spark), temporal.TemporalConfig(block_size=16))
+
+
+# --- recordings made of a table: they grow with it ------------------------------------------------------------------------------------
+
+
+def _row_level(ch: int, mod: str) -> str:
+    return mod.format(f"CAST(floor(v * 1000e0) AS BIGINT) + {40 * ch}")
+
+
+def recording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel rows of 8 by 8 pixels for each row of embeddings; labels are the cameras."""
+    places = embeddings(spark, sf_dir).select("label", "vec_id", F.posexplode(vectors.doubles(F.col("embedding"))).alias("i", "v"))
+    return places.selectExpr("concat('cam', label) AS camera_id", "CAST(vec_id AS INT) AS frame_idx", "CAST(i DIV 8 AS INT) AS y", "i % 8 AS x", *[f"CAST({_row_level(n, 'pmod({}, 256)')} AS INT) AS {c}" for n, c in enumerate("bgr")])
+
+
+_ROW_LEVELS = ", ".join(f"CAST({_row_level(n, '(({}) % 256 + 256) % 256')} AS INT) AS {c}" for n, c in enumerate("bgr"))
+T_SQL = f"""px AS (SELECT 'cam' || label AS camera_id, vec_id::INT AS frame_idx, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x, {_ROW_LEVELS} FROM (SELECT label, vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+li AS {P_SQL[P_SQL.index("li AS ") + 6 : P_SQL.index("va AS")].rstrip().rstrip(",")}"""
+_ANALYSIS = """SELECT camera_id, y, x, round(variance, 6) AS variance, mean_b, mean_g, mean_r, round(brightness, 6) AS brightness, CASE WHEN variance < {t} THEN 255 ELSE 0 END AS mask, round(1 / (1 + exp((variance - {t}) / ({t} / 3e0))), 6) AS confidence
+FROM (SELECT camera_id, y, x, (count(*) * sum(light * light) - sum(light) * sum(light))::DOUBLE / (count(*) * count(*)) AS variance, floor(avg(b))::INT AS mean_b, floor(avg(g))::INT AS mean_g, floor(avg(r))::INT AS mean_r, avg(light) / 255 AS brightness FROM li GROUP BY ALL)"""
+
+
+@query(f"WITH {T_SQL} {_ANALYSIS.format(t=5000)}")
+def recording_analysis(spark, sf_dir):
+    return rounded(tiles.analyze(tiles.from_pixels(recording(spark, sf_dir), 4), temporal.TemporalConfig(variance_threshold=5000.0)), "variance", "brightness", "confidence")
+
+
+@query(f"WITH {T_SQL} SELECT camera_id, frame_idx, (y // 5 * 5)::INT AS ty, (x // 5 * 5)::INT AS tx, (max(y) - min(y) + 1)::INT AS h, (max(x) - min(x) + 1)::INT AS w, 8 AS height, 8 AS width, 3 * count(*) AS bytes FROM px GROUP BY ALL")
+def recording_tiles(spark, sf_dir):
+    cut = tiles.from_pixels(recording(spark, sf_dir), 5)
+    return cut.select(*[c for c in cut.columns if c != "data"], F.octet_length("data").cast("long").alias("bytes"))
+
+
+@query(f"WITH {P_SQL} {_ANALYSIS.format(t=50)}")
+def temporal_analysis(spark, sf_dir):
+    return rounded(temporal.analyze(pixels(spark)), "variance", "brightness", "confidence")
+
+
+@query(f"WITH {P_SQL} {_ANALYSIS.format(t=50)}")
+def tile_analysis(spark, sf_dir):
+    return rounded(tiles.analyze(tiles.from_pixels(pixels(spark), 16)), "variance", "brightness", "confidence")
+
+
+@query(ORACLES["edge_mask_closed"])
+def edge_detection(spark, sf_dir):
+    return vignetting.detect_edges(pixels(spark), vignetting.VignettingConfig(edge_margin=9))
+
+
+@query(f"WITH {P_SQL} SELECT camera_id, (y // 2)::INT AS y, (x // 2)::INT AS x, floor(avg(mask) + 0.5e0)::INT AS mask FROM sm GROUP BY ALL")
+def resized_mask(spark, sf_dir):
+    static = _static(spark)
+    shape = static.groupBy("camera_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    return masks.resize_mask(static, shape.select("camera_id", (F.col("h") / 2).alias("h"), (F.col("w") / 2).alias("w")))
+
+
+@query(f"WITH {T_SQL} SELECT camera_id, frame_idx, y, x, r AS c1, g AS c2, b AS c3 FROM px")
+def channel_order(spark, sf_dir):
+    df = color.reorder(recording(spark, sf_dir), "rgb")
+    return df.select(*df.columns[:4], *[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns[4:], 1)])
+
+
+def _failing(spark, sf_dir):
+    return embeddings(spark, sf_dir).selectExpr("concat('cam', label) AS camera_id", "vec_id AS frame_idx", "vec_id % 150 = 144 AS failed")
+
+
+_FAILING = "fr AS (SELECT 'cam' || label AS camera_id, vec_id AS frame_idx, vec_id % 150 = 144 AS failed FROM embeddings WHERE vec_id % 3 = 0)"
+
+
+@query(f"WITH {_FAILING}, st AS (SELECT camera_id, min(frame_idx) AS first FROM fr WHERE failed GROUP BY ALL) SELECT camera_id, frame_idx FROM fr LEFT JOIN st USING (camera_id) WHERE first IS NULL OR frame_idx < first")
+def strided_videos(spark, sf_dir):
+    return sampling.strided(_failing(spark, sf_dir), 3).select("camera_id", "frame_idx")
+
+
+@query(f"WITH {_FAILING} SELECT camera_id, frame_idx FROM fr WHERE NOT failed")
+def strided_images(spark, sf_dir):
+    return sampling.strided(_failing(spark, sf_dir), 3, stop_at_failure=False).select("camera_id", "frame_idx")
+
+
+@query(f"WITH {T_SQL} SELECT * FROM px WHERE frame_idx = 77")
+def frame_read(spark, sf_dir):
+    return sampling.frame_at(recording(spark, sf_dir), 77)
+
+
+@query("SELECT vec_id, greatest(0, least(2 * vec_id - 100, 300 - 1)) AS shown FROM embeddings")
+def frame_navigation(spark, sf_dir):
+    return embeddings(spark, sf_dir).select("vec_id", sampling.clamp_index(2 * F.col("vec_id") - 100, F.lit(300).cast("long")).alias("shown"))
+
+
+# --- files and jobs -------------------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder in the storage that all machines share."""
+    lineage.ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/query-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {P_SQL} SELECT * FROM sm")
+def masks_read_back(spark, sf_dir):
+    folder = _folder(spark)
+    png.write_masks(_static(spark), folder)
+    return png.read_mask(spark, f"{folder}/cam_plain_mask.png", "cam_plain").unionByName(png.read_mask(spark, f"{folder}/cam_vignette_mask.png", "cam_vignette"))
+
+
+@query(f"SELECT 'seq' AS camera_id, range::INT AS frame_idx, {H} AS height, {W_} AS width, 1 AS n_channels, 0e0 AS timestamp_ms FROM range(2)")
+def image_sequence(spark, sf_dir):
+    folder = _folder(spark)
+    png.write_masks(_static(spark), folder)
+    return frames.open_source(spark, folder, True, camera_id="seq").drop("data")
+
+
+@query("SELECT * FROM (VALUES ('a.avi', 75, 25e0, 640, 480, 3e0, true), ('b.avi', 12, 0e0, 320, 240, 0e0, true), ('c.avi', NULL, NULL, NULL, NULL, NULL, false)) t(name, frame_count, fps, width, height, duration, readable)")
+def video_headers(spark, sf_dir):
+    folder = _folder(spark)
+    store, where = files.store_of(folder)
+    store.create_dir(where, recursive=True)
+    for name, (apart, count, width, height) in {"a.avi": (40_000, 75, 640, 480), "b.avi": (0, 12, 320, 240), "c.avi": (0, 0, 0, 0)}.items():
+        with store.open_output_stream(f"{where}/{name}") as f:
+            f.write(b"no video" if name == "c.avi" else b"RIFF" + bytes(4) + b"AVI LIST" + bytes(4) + b"hdrlavih" + struct.pack("<11I", 56, apart, 0, 0, 0, count, 0, 1, 0, width, height))
+    found = video.metadata(frames.discover_videos(frames.paths(spark, folder)))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "frame_count", "fps", "width", "height", "duration", F.col("error").isNull().alias("readable"))
+
+
+@query(f"SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'image_sequence' WHEN vec_id % 3 < 2 THEN 'video' END AS kind FROM (SELECT vec_id, {VIDEO} AS p FROM embeddings)")
+def source_kinds(spark, sf_dir):
+    return embeddings(spark, sf_dir).select("vec_id", names.source_kind(F.expr(VIDEO), F.expr("vec_id % 5 = 0")).alias("kind"))
+
+
+@query(f"SELECT {VIDEO} AS path, 0 AS place FROM embeddings WHERE vec_id % 3 = 0")
+def batch_videos(spark, sf_dir):
+    return frames.discover_batch(_videos(spark, sf_dir).withColumnRenamed("file_path", "path"), "/v/")
+
+
+@query("SELECT * FROM (VALUES ('defaults', 100, 50e0, 5), ('file', 40, 50e0, 5), ('override', 40, 12.5e0, 7)) t(source, frame_sample_count, variance_threshold, kernel_size)")
+def global_settings(spark, sf_dir):
+    rows = []
+    whole = spark.createDataFrame([config.parse(YAML)[1]], config.GLOBAL_SCHEMA)
+    for source, df, over in (("defaults", config.load(spark, None)[1], ()), ("file", whole, ()), ("override", whole, (12.5, 7))):
+        t, r = mask_jobs.settings(df, *over)
+        rows.append((source, df.first().frame_sample_count, t.variance_threshold, r.kernel_size))
+    return spark.createDataFrame(rows, "source string, frame_sample_count int, variance_threshold double, kernel_size int")
+
+
+def _load_encoder():
+    """Tokens of whole numbers, so that their mean is exact; a row whose number is divisible by 11 fails."""
+
+    def encode(row):
+        if row[0] % 11 == 0:
+            raise ValueError("no such clip")
+        return np.floor(np.asarray(row[1], np.float64).reshape(2, -1) * 64)
+
+    return encode
+
+
+def _encoded(spark, sf_dir):
+    return encoders.encode(embeddings(spark, sf_dir).select("vec_id", F.col("embedding").alias("clip")), _load_encoder, ["vec_id", "clip"], normalize=False)
+
+
+@query("""WITH t AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda a: floor(64 * a)) AS v, len(embedding) // 2 AS n FROM embeddings)
+SELECT vec_id, CASE WHEN vec_id % 11 > 0 THEN list_transform(range(n), lambda i: (v[i + 1] + v[i + 1 + n]) / 2) END AS embedding, vec_id % 11 = 0 AS failed FROM t""")
+def encoded_clips(spark, sf_dir):
+    return _encoded(spark, sf_dir).select("vec_id", vectors.doubles(F.col("embedding")).alias("embedding"), F.col("error").isNotNull().alias("failed"))
+
+
+@query("SELECT count(*) FILTER (WHERE vec_id % 11 > 0) AS done, count(*) FILTER (WHERE vec_id % 11 = 0) AS failed, (count(*) > 10) AS clustered FROM embeddings")
+def encoding_tally(spark, sf_dir):
+    encoded = _encoded(spark, sf_dir)
+    return spark.createDataFrame([(*curation.tally(encoded), curation.worth_clustering(encoded))], "done long, failed long, clustered boolean")
+
+
+@query("SELECT vec_id, embedding::DOUBLE[] AS embedding FROM embeddings")
+def saved_embeddings(spark, sf_dir):
+    path = _folder(spark)
+    encoders.save(embeddings(spark, sf_dir).select("vec_id", "embedding"), path)
+    return spark.read.parquet(path).select("vec_id", vectors.doubles(F.col("embedding")).alias("embedding"))
+
+
+@query("SELECT 500 AS rows_in_clusters, 10 AS outliers, 12 AS clusters, true AS unit_length")
+def synthetic_embeddings(spark, sf_dir):
+    df = encoders.synthetic(spark, n=500, dim=32, clusters=12)
+    inside = F.col("label") < 12
+    return df.agg(F.count_if(inside).alias("rows_in_clusters"), F.count_if(~inside).alias("outliers"), F.count_distinct(F.when(inside, F.col("label"))).alias("clusters"), F.every(F.abs(vectors.norm(vectors.doubles(F.col("embedding"))) - 1) < 1e-5).alias("unit_length"))
+
+
+@query(f"WITH {T_SQL} SELECT camera_id, y, x, CASE WHEN (count(*) * sum(light * light) - sum(light) * sum(light))::DOUBLE / (count(*) * count(*)) < 5000 THEN 255 ELSE 0 END AS mask FROM li GROUP BY ALL")
+def streamed_mask(spark, sf_dir):
+    """The state of a stream of the recording's pixels after its last file."""
+    folder = _folder(spark)
+    recording(spark, sf_dir).repartition(4).write.parquet(f"{folder}/pixels")
+    name = f"streamed_{uuid.uuid4().hex}"
+    running = streaming.running_mask(streaming.stream_pixels(spark, f"{folder}/pixels"), 5000.0)
+    running.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    return spark.table(name)
+
+
+def _strokes(spark, sf_dir, *after: str) -> DataFrame:
+    """Each mask's strokes, then some other entries."""
+    log = embeddings(spark, sf_dir).select((F.col("vec_id") % 5).alias("mask_id"), F.col("vec_id").alias("seq"), F.lit("brush").alias("op"), *[F.lit(0).alias(c) for c in ("x1", "y1", "x2", "y2", "size")])
+    last = log.groupBy("mask_id").agg(F.max("seq").alias("last"))
+    entries = F.posexplode(F.array(*[F.lit(op) for op in after])).alias("i", "op")
+    return log.unionByName(last.select("mask_id", "last", entries).select("mask_id", (F.col("last") + 1 + F.col("i")).alias("seq"), "op", *[F.lit(0).alias(c) for c in ("x1", "y1", "x2", "y2", "size")]))
+
+
+@query("SELECT vec_id % 5 AS mask_id, count(*) - 2 AS strokes, max(vec_id) - 10 AS last_seq FROM embeddings GROUP BY ALL")
+def redone_strokes(spark, sf_dir):
+    """Three strokes are undone and one is made again."""
+    return edits.cursor(_strokes(spark, sf_dir, "undo", "undo", "undo", "redo"))
+
+
+@query("SELECT vec_id % 5 AS mask_id, count(*) - 49 AS strokes, max(vec_id) - 245 AS last_seq FROM embeddings GROUP BY ALL")
+def reset_strokes(spark, sf_dir):
+    """A reset goes back to the oldest of the fifty states that are kept."""
+    return edits.cursor(_strokes(spark, sf_dir, "reset"))
+
+
+@query("SELECT vec_id, trunc((vec_id - 20) / 1.5e0)::INT AS x, trunc((2 * vec_id - 10) / 1.5e0)::INT AS y FROM embeddings")
+def screen_places(spark, sf_dir):
+    at = edits.to_image(F.col("vec_id"), 2 * F.col("vec_id"), F.lit(1.5), F.lit(20), F.lit(10))
+    return embeddings(spark, sf_dir).select("vec_id", at.alias("at")).select("vec_id", "at.x", "at.y")
