@@ -60,3 +60,24 @@ def test_bounds_hold_and_prune():
     kth = np.sort(scores, axis=1)[:, -20]
     leaves = tree.leaves()
     assert (tree.bounds(q)[:, leaves] >= kth[:, None]).mean() < 0.5
+
+
+def test_packed_trees_and_far_shards(spark):
+    rng = np.random.default_rng(4)
+    points = np.floor(64 * rng.normal(size=(700, 3)))
+    tree = bt.BallTree(points, 50)
+    again = bt.BallTree.unpacked(points[tree.order], **tree.packed())
+    q = points[:9]
+    assert (again.bounds(q) == tree.bounds(q)).all() and again.leaves().tolist() == tree.leaves().tolist()
+    assert np.isinf(bt.upper_bounds(np.array([[1e200, 0.0]]), np.array([[-1e200, 0.0]]), np.array([1e200]))).all()
+    assert len(bt.fit_centres(np.zeros((40, 3)), 8)) == 1 and len(bt.fit_centres(points, 8)) == 8
+
+    # Far groups, one with over a third of all rows; queries of a group that has no shard, too.
+    centres = np.array([[900, 0, 0], [0, 900, 0], [0, 0, 900], [-900, 0, 0]])
+    rows = [(i, (centres[i % 4 if i % 3 else 0] + rng.integers(-9, 9, 3)).astype(float).tolist()) for i in range(400)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "row long, vec_id long, v array<double>")
+    got = sorted(tuple(r) for r in bt.top_k(df, df.where("vec_id % 20 = 0"), 5, shard_rows=30, block_rows=4).collect())
+    assert got == brute(rows, 5, 1)
+    other = spark.createDataFrame([(1000, 1000, [0.0, -900.0, 0.0]), (1020, 1020, [1.0])], df.schema)
+    want = sorted((-sum(a * b for a, b in zip(other.first().v, v, strict=True)), i) for i, v in rows)[:5]
+    assert [(r.vec_id, -r.score) for r in bt.top_k(df, other, 5, shard_rows=30).orderBy("rank").collect()] == [(i, s) for s, i in want]
