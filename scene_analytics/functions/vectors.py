@@ -30,3 +30,9 @@ def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
     """Unit length; a vector shorter than `eps` is divided by `eps` instead."""
     v = doubles(v)
     return scale(v, F.greatest(norm(v), F.lit(eps)))
+
+
+def rounded(x: Column, digits: int = 6) -> Column:
+    """Rounded in binary, halves away from zero, as SQL engines do with doubles; what becomes zero keeps its sign."""
+    r = F.round(x * 10.0**digits, 0) / 10.0**digits
+    return F.when(r == 0, x * 0.0).otherwise(r)

@@ -133,7 +133,7 @@ def analysis_summary(spark, sf_dir):
 
 @query(f"WITH {E_SQL} SELECT vec_id, list_transform(v, lambda a: round(a / greatest(sqrt(list_dot_product(v, v)), 1e-12), 6)) AS unit FROM e")
 def l2_normalize(spark, sf_dir):
-    return embeddings(spark, sf_dir).select("vec_id", F.transform(vectors.l2_normalize(F.col("embedding")), lambda a: F.round(a, 6)).alias("unit"))
+    return embeddings(spark, sf_dir).select("vec_id", F.transform(vectors.l2_normalize(F.col("embedding")), lambda a: vectors.rounded(a)).alias("unit"))
 
 
 K_SQL = f"""{E_SQL},
