@@ -9,35 +9,49 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, norm
 from .errors import AnalysisError
+from .lineage import stored
 from .percentile import exact_percentile
 
 BLOCK_ROWS = 2048
 
 
-def top_k(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _need_length(df: DataFrame) -> None:
+    if not df.where(norm(doubles(F.col("embedding"))) == 0).limit(1).isEmpty():
+        raise AnalysisError("a vector without length has no cosine distance")
+
+
+def _kind(df: DataFrame) -> str:
+    return "<f4" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"  # as it is shipped; products are of doubles
+
+
+def top_k(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: int = BLOCK_ROWS, sources: DataFrame | None = None) -> DataFrame:
     """(src, dst, distance, rank): the k nearest other rows of each row, ties to smaller ids; all others if there are fewer.
 
-    Rows are packed into blocks; each pair of blocks is one matrix product in a task, from which k rows of each source leave.
+    `sources` (vec_id) are the rows whose neighbours are asked for, all by default. Rows are packed into blocks; each pair of blocks is one matrix product in a task, from which k rows of each source leave.
     Vectors without length have no cosine and raise an error.
     """
     import pyarrow as pa
 
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric}")
-    if metric == "cosine" and not df.where(norm(doubles(F.col("embedding"))) == 0).limit(1).isEmpty():
-        raise AnalysisError("a vector without length has no cosine distance")
+    if metric == "cosine":
+        _need_length(df)
+    kind = _kind(df)
+    asked = df if sources is None else df.join(sources.select("vec_id"), "vec_id", "left_semi")
     blocks = max(1, -(-df.count() // block_rows))
-    rows = df.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", F.col("embedding").alias("v"))
-    kind = "<f4" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"  # as it is shipped; products are of doubles
+    strips = blocks if sources is None else max(1, -(-asked.count() // block_rows))
 
     def pack(key, t):
         v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": [t["vec_id"].to_numpy().astype(np.int64).tobytes()], "v": [v.astype(kind).tobytes()]})
 
-    packed = rows.groupBy("block").applyInArrow(pack, "block int, ids binary, v binary")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = packed.select(F.col("block").alias("a"), spread.alias("b"), F.col("ids").alias("ids_a"), F.col("v").alias("va"))
-    right = packed.select(spread.alias("a"), F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("v").alias("vb"))
+    def packed(rows, n):
+        rows = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), "vec_id", F.col("embedding").alias("v"))
+        return rows.groupBy("block").applyInArrow(pack, "block int, ids binary, v binary")
+
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = packed(asked, strips).select(F.col("block").alias("a"), spread(blocks).alias("b"), F.col("ids").alias("ids_a"), F.col("v").alias("va"))
+    right = packed(df, blocks).select(spread(strips).alias("a"), F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("v").alias("vb"))
 
     def nearest(batches):
         for batch in batches:
@@ -77,18 +91,69 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree"), F.sum("weight").alias("strength"))
 
 
-def top_k_lsh(df: DataFrame, k: int = 15, bucket: float = 1.0, tables: int = 8, reach: float = 1.2, seed: int = 42) -> DataFrame:
-    """Approximate top_k by random projections; rows with fewer than k neighbours within `reach` on the unit sphere get theirs from top_k."""
+def top_k_lsh(df: DataFrame, k: int = 15, bucket: float = 1.0, tables: int = 8, reach: float = 1.2, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Approximate top_k by random projections; rows with fewer than k neighbours within `reach` on the unit sphere get theirs from top_k.
+
+    Candidates share a bucket of one of the tables. Buckets are cut into blocks, and each pair of blocks is one matrix product; a
+    pair counts in its first common bucket. Where the buckets together hold more pairs than there are, all rows are one bucket and
+    each pair is looked at once.
+    """
+    import pyarrow as pa
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     from ..functions.vectors import l2_normalize
 
-    unit = df.select("vec_id", array_to_vector(l2_normalize(F.col("embedding"))).alias("v"))
+    _need_length(df)
+    kind = _kind(df)
+    unit = df.select("vec_id", "embedding", array_to_vector(l2_normalize(F.col("embedding"))).alias("v"))
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(unit)
-    pairs = model.approxSimilarityJoin(unit, unit, reach, "d").select(F.col("datasetA.vec_id").alias("src"), F.col("datasetB.vec_id").alias("dst"), (F.col("d") * F.col("d") / 2).alias("distance"))
+    codes = F.array(*[vector_to_array(F.element_at("h", i + 1))[0].cast("long") for i in range(tables)])
+    hashed = model.transform(unit).select("vec_id", "embedding", codes.alias("codes"))
+    sizes = stored(hashed.select(F.posexplode("codes").alias("t", "h")).groupBy("t", "h").agg(F.count("*").alias("n")))
+    pairs, times = sizes.agg(F.sum(F.col("n").cast("double") * F.col("n")), F.sum("n")).first()
+    n = (times or 0) // tables
+    if (pairs or 0) < n * n:
+        dealt = hashed.select("*", F.posexplode("codes").alias("t", "h")).join(sizes, ["t", "h"])
+    else:
+        dealt = hashed.select("*", F.lit(-1).alias("t"), F.lit(0).cast("long").alias("h"), F.lit(n).cast("long").alias("n"))
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
+    dealt = dealt.select("t", "h", "blocks", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "vec_id", "embedding", "codes")
+
+    def pack(key, t):
+        v = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
+        c = t["codes"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
+        at = {name: pa.array([x.as_py()], pa.int64()) for name, x in zip(("t", "h", "blocks", "block"), key, strict=True)}
+        return pa.table(at | {"ids": [t["vec_id"].to_numpy().astype(np.int64).tobytes()], "c": [c], "v": [v]})
+
+    packed = dealt.groupBy("t", "h", "blocks", "block").applyInArrow(pack, "t long, h long, blocks long, block long, ids binary, c binary, v binary")
+    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    side = lambda s, own, other: packed.select("t", "h", F.col("block").alias(own), spread.alias(other), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "c", "v")])
+
+    def units(r, s):
+        ids = np.frombuffer(r[f"ids_{s}"], np.int64)
+        x = np.frombuffer(r[f"v_{s}"], kind).astype(float).reshape(len(ids), -1)
+        return ids, np.frombuffer(r[f"c_{s}"], np.int64).reshape(len(ids), tables), x / np.linalg.norm(x, axis=1)[:, None]
+
+    def nearest(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                (ids, c, x), (other, e, y) = units(r, "a"), units(r, "b")
+                common = np.zeros((len(ids), len(other)), bool)
+                for j in range(tables if r["t"] < 0 else r["t"]):
+                    common |= c[:, j, None] == e[:, j]
+                d = 1 - x @ y.T
+                d[(common if r["t"] >= 0 else ~common) | (d >= reach * reach / 2) | (ids[:, None] == other)] = np.inf
+                m = min(k, d.shape[1])
+                cut = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
+                s, u = np.nonzero((d <= cut) & np.isfinite(d))  # with all that tie at the cut
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(other[u]), pa.array(d[s, u])], names=["src", "dst", "distance"])
+
     rank = F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))
-    found = pairs.where("src <> dst").withColumn("rank", rank).where(F.col("rank") <= k)
+    near = side("a", "p", "q").join(side("b", "q", "p"), ["t", "h", "p", "q"]).mapInArrow(nearest, "src long, dst long, distance double")
+    found = stored(near.withColumn("rank", rank).where(F.col("rank") <= k))
     full = found.where(F.col("rank") == k).select("src")
-    exact = top_k(df, k).join(full, "src", "left_anti").select(*found.columns)
-    return found.join(full, "src", "left_semi").select(*found.columns).unionByName(exact)
+    lacking = stored(df.select("vec_id").join(full.withColumnRenamed("src", "vec_id"), "vec_id", "left_anti"))
+    kept = found.join(full, "src", "left_semi").select(*found.columns)
+    return kept if lacking.isEmpty() else kept.unionByName(top_k(df, k, sources=lacking).select(*found.columns))
