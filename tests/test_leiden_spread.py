@@ -1,10 +1,12 @@
-"""Graphs beyond one task: whole, connected communities of nearly the same modularity."""
+"""Graphs beyond one task: whole, connected communities of nearly the same modularity, and curation with them."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scene_analytics.operators import community
+from scene_analytics.plans import curation
+from scene_analytics.sources import embeddings
 
 
 def _planted(groups=8, size=40, seed=1):
@@ -35,3 +37,12 @@ def test_edges_that_gain_nothing_and_parts_without_a_link(spark):
     edges = spark.createDataFrame(rows + [(b, a, w) for a, b, w in rows], "src long, dst long, weight double")
     of = {r.vec_id: r.cluster_id for r in community.leiden(edges, one_task=2).collect()}
     assert len(of) == 25 and of[100] == of[101] == of[102] != of[200] == of[201] and all(of[i] != of[i + 1] for i in range(0, 20, 2))
+
+
+def test_curation_of_a_graph_beyond_one_task(spark, monkeypatch):
+    df = embeddings.synthetic(spark, n=400, dim=16, clusters=12, noise=0.02)
+    monkeypatch.setattr(community, "ONE_TASK_EDGES", 500)
+    result = curation.run_from_embeddings(df.select("vec_id", "embedding"))
+    assert result.labels.count() == df.count() and result.clusters.agg(F.sum("size")).first()[0] == df.count()
+    assert curation.quality(result.labels, df.select("vec_id", "label")).first().nmi > 0.8
+    assert result.captions.count() == result.clusters.count()
