@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +15,8 @@ from .lineage import stored
 from .percentile import exact_percentile
 
 BLOCK_ROWS = 2048
+#: Blocks travel in groups of about so many bytes at most, or fewer where a task for each pair of groups would leave cores idle.
+GROUP_BYTES = 16_000_000
 
 
 def _need_length(df: DataFrame) -> None:
@@ -24,53 +28,89 @@ def _kind(df: DataFrame) -> str:
     return "<f4" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"  # as it is shipped; products are of doubles
 
 
-def top_k(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: int = BLOCK_ROWS, sources: DataFrame | None = None) -> DataFrame:
-    """(src, dst, distance, rank): the k nearest other rows of each row, ties to smaller ids; all others if there are fewer.
-
-    `sources` (vec_id) are the rows whose neighbours are asked for, all by default. Rows are packed into blocks; each pair of blocks is one matrix product in a task, from which k rows of each source leave.
-    Vectors without length have no cosine and raise an error.
-    """
+def _groups(df: DataFrame, block_rows: int, item: int) -> int:
+    """Into how many groups rows are dealt: few, as each group meets all groups and is shipped so many times; at most one for each block."""
+    n, dims = df.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(-(-n // block_rows), max(-(-n * dims * item // GROUP_BYTES), math.ceil(math.sqrt(6 * cores)))))
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, k: int, metric: str, block_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(src, dst, distance) of the k rows of y nearest to each row of x, block by block; `other` rises, so that ties go to smaller ids."""
+    x = x.astype(float)
+    s, t, d, reach = np.empty(0, int), np.empty(0, int), np.empty(0), np.full(len(ids), np.inf)
+    for j in range(0, len(other), block_rows):
+        z = y[j : j + block_rows].astype(float)
+        if metric == "cosine":
+            m = 1 - (x @ z.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(z, axis=1)
+        else:
+            m = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ z.T + (z**2).sum(1), 0))
+        m[ids[:, None] == other[j : j + block_rows]] = np.inf
+        near = m < reach[:, None]  # of those that tie with the k-th so far, its id is the smallest
+        if near.sum() > 4 * k * len(ids):
+            n = min(k, m.shape[1])
+            cut = np.partition(m, n - 1, axis=1)[:, n - 1 : n]
+            under, tied = m < cut, m == cut
+            near &= under | tied & (tied.cumsum(1) <= n - under.sum(1, keepdims=True))
+        a, b = np.nonzero(near)
+        s, t, d = np.concatenate([s, a]), np.concatenate([t, b + j]), np.concatenate([d, m[a, b]])
+        order = np.lexsort((t, d, s))
+        s, t, d = s[order], t[order], d[order]
+        place = np.arange(len(s)) - np.searchsorted(s, s)
+        s, t, d, place = (c[place < k] for c in (s, t, d, place))
+        reach[s[place == k - 1]] = d[place == k - 1]
+    return ids[s], other[t], d
+
+
+def candidates(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: int = BLOCK_ROWS, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst, distance): the k nearest other rows of each row in each group of rows; of all these k are the nearest."""
     import pyarrow as pa
 
-    if metric not in ("cosine", "euclidean"):
-        raise ValueError(f"unknown metric {metric}")
-    if metric == "cosine":
-        _need_length(df)
     kind = _kind(df)
     asked = df if sources is None else df.join(sources.select("vec_id"), "vec_id", "left_semi")
-    blocks = max(1, -(-df.count() // block_rows))
-    strips = blocks if sources is None else max(1, -(-asked.count() // block_rows))
+    groups = _groups(df, block_rows, np.dtype(kind).itemsize)
+    strips = groups if sources is None else _groups(asked, block_rows, np.dtype(kind).itemsize)
 
     def pack(key, t):
-        v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": [t["vec_id"].to_numpy().astype(np.int64).tobytes()], "v": [v.astype(kind).tobytes()]})
+        ids = t["vec_id"].to_numpy().astype(np.int64)
+        order = np.argsort(ids, kind="stable")
+        v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "ids": [ids[order].tobytes()], "v": [v[order].astype(kind).tobytes()]})
 
     def packed(rows, n):
-        rows = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("block"), "vec_id", F.col("embedding").alias("v"))
-        return rows.groupBy("block").applyInArrow(pack, "block int, ids binary, v binary")
+        rows = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("part"), "vec_id", F.col("embedding").alias("v"))
+        return rows.groupBy("part").applyInArrow(pack, "part int, ids binary, v binary")
 
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = packed(asked, strips).select(F.col("block").alias("a"), spread(blocks).alias("b"), F.col("ids").alias("ids_a"), F.col("v").alias("va"))
-    right = packed(df, blocks).select(spread(strips).alias("a"), F.col("block").alias("b"), F.col("ids").alias("ids_b"), F.col("v").alias("vb"))
+    left = packed(asked, strips).select(F.col("part").alias("a"), spread(groups).alias("b"), F.col("ids").alias("ids_a"), F.col("v").alias("va"))
+    right = packed(df, groups).select(spread(strips).alias("a"), F.col("part").alias("b"), F.col("ids").alias("ids_b"), F.col("v").alias("vb"))
 
     def nearest(batches):
         for batch in batches:
-            for r in batch.to_pylist():
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
                 ids, other = np.frombuffer(r["ids_a"], np.int64), np.frombuffer(r["ids_b"], np.int64)
-                x, y = np.frombuffer(r["va"], kind).astype(float).reshape(len(ids), -1), np.frombuffer(r["vb"], kind).astype(float).reshape(len(other), -1)
-                if metric == "cosine":
-                    d = 1 - (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)
-                else:
-                    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1), 0))
-                d[ids[:, None] == other] = np.inf
-                n = min(k, d.shape[1])
-                cut = np.partition(d, n - 1, axis=1)[:, n - 1 : n]
-                s, t = np.nonzero((d <= cut) & np.isfinite(d))  # with all that tie at the cut
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(other[t]), pa.array(d[s, t])], names=["src", "dst", "distance"])
-
-    found = left.join(right, ["a", "b"]).mapInArrow(nearest, "src long, dst long, distance double")
+                x, y = np.frombuffer(r["va"], kind).reshape(len(ids), -1), np.frombuffer(r["vb"], kind).reshape(len(other), -1)
+                for j in range(0, len(ids), block_rows):
+                    found = _nearest(ids[j : j + block_rows], x[j : j + block_rows], other, y, k, metric, block_rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["src", "dst", "distance"])
+
+    return left.join(right, ["a", "b"]).mapInArrow(nearest, "src long, dst long, distance double")
+
+
+def top_k(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: int = BLOCK_ROWS, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst, distance, rank): the k nearest other rows of each row, ties to smaller ids; all others if there are fewer.
+
+    `sources` (vec_id) are the rows whose neighbours are asked for, all by default. Rows are packed into groups of blocks; a task takes
+    a pair of groups, a matrix product for each pair of blocks, and k rows of each source leave it.
+    Vectors without length have no cosine and raise an error.
+    """
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError(f"unknown metric {metric}")
+    if metric == "cosine":
+        _need_length(df)
     rank = F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return candidates(df, k, metric, block_rows, sources).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def similarities(neighbours: DataFrame, metric: str = "cosine") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import captions, clusters, community, knn
+from ..operators.lineage import stored
 from ..sources import embeddings as sources
 
 
@@ -54,9 +55,9 @@ def run_from_embeddings(df: DataFrame, cfg: CurationConfig = CurationConfig(), c
     """`df` has vec_id, embedding and maybe path. Raises where it is empty."""
     clusters.require_rows(df)
     labels = fit_predict(df, cfg.clustering)
-    labelled = df.join(labels, "vec_id").persist(StorageLevel.MEMORY_AND_DISK)
+    labelled = stored(df.join(labels, "vec_id"))
     dists = clusters.distances(labelled)
-    info = clusters.cluster_info(labelled, cfg.analysis, df.select("vec_id", "path") if "path" in df.columns else None)
+    info = stored(clusters.cluster_info(labelled, cfg.analysis, labelled.select("vec_id", "path") if "path" in df.columns else None))
     made = None
     if with_captions:
         named = info.drop("representative_path").join(captions.representative_paths(info, fabricate_paths).withColumnRenamed("path", "representative_path"), "cluster_id")
