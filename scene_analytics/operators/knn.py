@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from .percentile import exact_percentile
 
 BLOCK_ROWS = 2048
 #: Blocks travel in groups of about so many bytes at most, or fewer where a task for each pair of groups would leave cores idle.
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 8_000_000
 
 
 def _need_length(df: DataFrame) -> None:
@@ -35,6 +36,14 @@ def _groups(df: DataFrame, block_rows: int, item: int) -> int:
     return max(1, min(-(-n // block_rows), max(-(-n * dims * item // GROUP_BYTES), math.ceil(math.sqrt(6 * cores)))))
 
 
+def _few_bytes_at_once(spark: SparkSession) -> None:
+    """An Arrow batch holds one pair of large groups, not as many as fit the session's limit; a smaller limit stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(re.sub("[^0-9-]", "", spark.conf.get(key)) or 0)
+    if not 0 < now <= GROUP_BYTES:
+        spark.conf.set(key, GROUP_BYTES)
+
+
 def _nearest(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, k: int, metric: str, block_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(src, dst, distance) of the k rows of y nearest to each row of x, block by block; `other` rises, so that ties go to smaller ids."""
     x = x.astype(float)
@@ -88,13 +97,14 @@ def candidates(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: i
     def nearest(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                ids, other = np.frombuffer(r["ids_a"], np.int64), np.frombuffer(r["ids_b"], np.int64)
-                x, y = np.frombuffer(r["va"], kind).reshape(len(ids), -1), np.frombuffer(r["vb"], kind).reshape(len(other), -1)
+                held = lambda c, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)  # noqa: B023, E731
+                ids, other = held("ids_a", np.int64), held("ids_b", np.int64)
+                x, y = held("va", kind).reshape(len(ids), -1), held("vb", kind).reshape(len(other), -1)
                 for j in range(0, len(ids), block_rows):
                     found = _nearest(ids[j : j + block_rows], x[j : j + block_rows], other, y, k, metric, block_rows)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["src", "dst", "distance"])
 
+    _few_bytes_at_once(df.sparkSession)
     return left.join(right, ["a", "b"]).mapInArrow(nearest, "src long, dst long, distance double")
 
 
