@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ball_tree, brown_lm, compression_quality, decontaminate, line_dedup, pieces, pii, secrets, simhash, url_filter
+from . import ball_tree, brown_lm, compression_quality, decontaminate, filter_audit, line_dedup, pieces, pii, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_ball_tree": ball_tree.op1_ball_tree,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_compression_quality": compression_quality.op9_compression_quality,
     "op10_brown_lm": brown_lm.op10_brown_lm,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
 ORACLES = {
     "op1_ball_tree": ball_tree.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
 }
