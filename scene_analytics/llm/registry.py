@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ball_tree, brown_lm, compression_quality, decontaminate, filter_audit, line_dedup, pieces, pii, secrets, simhash, url_filter
+from . import ball_tree, brown_lm, compression_quality, decontaminate, filter_audit, line_dedup, pieces, pii, secrets, simhash, suffix_repeats, url_filter, whitening
 
 QUERIES = {
     "op1_ball_tree": ball_tree.op1_ball_tree,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_compression_quality": compression_quality.op9_compression_quality,
     "op10_brown_lm": brown_lm.op10_brown_lm,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_suffix_repeats": suffix_repeats.op12_suffix_repeats,
+    "op13_whitening": whitening.op13_whitening,
 }
 ORACLES = {
     "op1_ball_tree": ball_tree.ORACLE_SQL,
