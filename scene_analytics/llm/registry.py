@@ -23,4 +23,5 @@ ORACLES = {
     "op1_ball_tree": ball_tree.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op12_suffix_repeats": suffix_repeats.ORACLE_SQL,
 }

@@ -460,3 +460,17 @@ def op12_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each row of documents; edge cases as in `drop_repeats`."""
     done = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, array_slice(b, i, i + {LENGTH - 1}) AS w FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - {LENGTH - 2})) AS i FROM d)),
+h AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
+n AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH}, true) AS new FROM h),
+g AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM n),
+s AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH - 1} AS z FROM g GROUP BY doc_id, g),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(z - a + 1)::BIGINT AS n_removed, list_concat([0], list(z ORDER BY a)) AS z, list(a ORDER BY a) AS a FROM s GROUP BY doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN c.doc_id IS NULL THEN b ELSE from_hex(array_to_string(list_transform(range(1, len(z) + 1), lambda k: hex(array_slice(b, z[k] + 1, coalesce(a[k], octet_length(b) + 1) - 1))), '')) END) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
