@@ -38,5 +38,6 @@ def batch(videos: DataFrame, cameras: DataFrame) -> tuple[DataFrame, DataFrame]:
     return videos.join(cameras, "camera_id"), videos.join(cameras, "camera_id", "left_anti")
 
 
-def vignetting_wanted(cameras: DataFrame, include: bool = True) -> DataFrame:
-    return cameras.select("camera_id", (F.col("has_vignetting") | F.lit(include)).alias("wanted"))
+def vignetting_wanted(cameras: DataFrame, include: bool = True, keys: list[str] | None = None) -> DataFrame:
+    """(`keys`, camera_id, wanted); `keys` tell configurations apart."""
+    return cameras.select(*(keys or []), "camera_id", (F.col("has_vignetting") | F.lit(include)).alias("wanted"))

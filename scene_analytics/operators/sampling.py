@@ -16,6 +16,15 @@ def uniform_indices(spark: SparkSession, n: int, num: int, start_ratio: float =
     return spark.range(k).select(F.col("id").alias("i"), F.floor(F.lit(float(lo)) + F.col("id") * F.lit((hi - lo) / k)).cast("long").alias("frame_idx"))
 
 
+def uniform_frames(videos: DataFrame, num: int, start_ratio: float = 0.0, end_ratio: float = 1.0) -> DataFrame:
+    """Adds i and frame_idx (long) to each row with its own frame_count: `uniform_indices` of all videos in one plan."""
+    count = F.col("frame_count").cast("double")
+    lo, hi = F.floor(count * start_ratio), F.floor(count * end_ratio)
+    k = F.least(F.lit(num).cast("long"), hi - lo)
+    steps = videos.withColumns({"__lo": lo, "__hi": hi, "__k": k}).where("__k > 0").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1)))
+    return steps.withColumn("frame_idx", F.floor(F.col("__lo") + F.col("i") * ((F.col("__hi") - F.col("__lo")) / F.col("__k"))).cast("long")).drop("__lo", "__hi", "__k")
+
+
 def clip_indices(videos: DataFrame, count: int = 16) -> DataFrame:
     """Adds i and frame_idx: `count` indices from the first to the last frame of each row's frame_count; short clips repeat some."""
     i = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))

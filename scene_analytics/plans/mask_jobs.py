@@ -21,6 +21,14 @@ def settings(whole: DataFrame | None, variance_threshold: float | None = None, k
     return replace(t, variance_threshold=float(threshold)), replace(r, kernel_size=int(kernel))
 
 
+def settings_of(wholes: DataFrame, variance_threshold: float | None = None, kernel_size: int | None = None) -> DataFrame:
+    """`settings` for many configurations at once: variance_threshold and kernel_size instead of the columns of global settings."""
+    first = lambda over, c, default: F.coalesce(F.lit(over), F.col(c), F.lit(default))
+    t = first(variance_threshold, "variance_threshold", temporal.TemporalConfig().variance_threshold).cast("double")
+    k = first(kernel_size, "morphology_kernel_size", masks.RefineConfig().kernel_size).cast("int")
+    return wholes.withColumns({"variance_threshold": t, "kernel_size": k}).drop("morphology_kernel_size")
+
+
 def single(spark: SparkSession, frames: DataFrame, cameras: DataFrame | None = None, whole: DataFrame | None = None, samples: int | None = None, threshold: float | None = None, include_vignetting: bool = True) -> dict[str, DataFrame]:
     """Masks of one camera's frames (camera_id, frame_idx, height, width, n_channels, data), by tiles."""
     n = samples or (whole.first().frame_sample_count if whole is not None else 100)

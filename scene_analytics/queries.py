@@ -260,15 +260,21 @@ def nmi(spark, sf_dir):
     return rounded(quality.normalized_mutual_information(_contingency(spark, sf_dir)), "nmi")
 
 
-# --- frames: generated alike in both engines ----------------------------------------------------------------------------------------
+# --- frames made of a table: twenty vectors are a frame, five frames a camera -----------------------------------------------------------
 
-H, W_, FRAMES = 48, 64, 12
-def _place_columns() -> list[str]:
+H, W_, PER_FRAME, PER_CAMERA = 40, 32, 20, 5
+#: The rows that the last frame lacks are the first ones of the table again.
+_SLOTS = f"explode(CASE WHEN vec_id + n < {PER_FRAME} * ceil(n / {PER_FRAME}e0) THEN array(vec_id, vec_id + n) ELSE array(vec_id) END)"
+
+
+def _place_columns(div: str, i: str) -> list[str]:
     return [
-        f"CASE WHEN id < {H * W_ * FRAMES} THEN 'cam_plain' ELSE 'cam_vignette' END AS camera_id",
-        f"CAST(floor((id % {H * W_ * FRAMES}) / {H * W_}e0) AS INT) AS frame_idx",
-        f"CAST(floor((id % {H * W_}) / {W_}e0) AS INT) AS y",
-        f"CAST(id % {W_} AS INT) AS x",
+        f"concat('cam', CAST(slot {div} {PER_FRAME * PER_CAMERA} AS VARCHAR(20))) AS camera_id",
+        f"CAST((slot {div} {PER_FRAME * PER_CAMERA}) % 2 AS INT) AS dim",
+        f"CAST((slot {div} {PER_FRAME}) % {PER_CAMERA} AS INT) AS frame_idx",
+        f"CAST((slot % {PER_FRAME}) * 2 + {i} {div} {W_} AS INT) AS y",
+        f"CAST({i} % {W_} AS INT) AS x",
+        "CAST(floor(v * 1000e0) AS BIGINT) AS n",
     ]
 
 
@@ -276,15 +282,18 @@ _RADIUS2 = f"((x - {W_ / 2}e0) * (x - {W_ / 2}e0) + (y - {H / 2}e0) * (y - {H /
 
 
 def _level(ch: int) -> str:
-    level = f"CASE WHEN y >= 36 THEN least(255, (x * 7 + y * 13 + {40 * ch}) % 256 + frame_idx % 2) ELSE (x * 7 + y * 13 + frame_idx * 29 + {40 * ch}) % 256 END"
-    return f"CAST(floor(({level}) * CASE WHEN camera_id = 'cam_vignette' THEN greatest(0e0, 1e0 - 0.6e0 * {_RADIUS2}) ELSE 1e0 END) AS INT)"
+    """Nearly still in the lower quarter, moving elsewhere; every other camera darkens towards its corners."""
+    level = f"CASE WHEN y >= 30 THEN least(255, (x * 7 + y * 13 + {40 * ch}) % 256 + (n % 2 + 2) % 2) ELSE ((x * 7 + y * 13 + n + {40 * ch}) % 256 + 256) % 256 END"
+    return f"CAST(floor(({level}) * CASE WHEN dim = 1 THEN greatest(0e0, 1e0 - 0.6e0 * {_RADIUS2}) ELSE 1e0 END) AS INT)"
 
 
 _LEVELS = ", ".join(f"{_level(i)} AS {c}" for i, c in enumerate("bgr"))
 
 
-def pixels(spark: SparkSession) -> DataFrame:
-    places = spark.range(2 * H * W_ * FRAMES).selectExpr(*_place_columns())
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    slots = df.crossJoin(F.broadcast(df.agg(F.count("*").alias("n")))).select(F.expr(_SLOTS).alias("slot"), vectors.doubles(F.col("embedding")).alias("v"))
+    places = slots.select("slot", F.posexplode("v").alias("i", "v")).selectExpr(*_place_columns("DIV", "i"))
     return places.selectExpr("camera_id", "frame_idx", "y", "x", *[f"{_level(i)} AS {c}" for i, c in enumerate("bgr")])
 
 
@@ -293,65 +302,67 @@ def _linear(c: str) -> str:
 
 
 _Y = f"(0.212671e0 * {_linear('r')} + 0.715160e0 * {_linear('g')} + 0.072169e0 * {_linear('b')})"
-P_SQL = f"""px AS (SELECT *, {_LEVELS} FROM (SELECT {', '.join(_place_columns())} FROM (SELECT range AS id FROM range({2 * H * W_ * FRAMES})))),
+_SLOTS_SQL = _SLOTS.replace("explode(", "unnest(").replace("array(vec_id, vec_id + n)", "[vec_id, vec_id + n]").replace("array(vec_id)", "[vec_id]").replace("ceil(", "CAST(ceil(").replace("e0) THEN", "e0) AS BIGINT) THEN")
+P_SQL = f"""sl AS (SELECT {_SLOTS_SQL} AS slot, embedding::DOUBLE[] AS v FROM embeddings, (SELECT count(*) AS n FROM embeddings)),
+px AS MATERIALIZED (SELECT camera_id, frame_idx, y, x, {_LEVELS} FROM (SELECT {', '.join(_place_columns('//', 'i'))} FROM (SELECT slot, unnest(v) AS v, generate_subscripts(v, 1) - 1 AS i FROM sl))),
 li AS (SELECT *, CAST(floor(0.299e0 * r + 0.587e0 * g + 0.114e0 * b + 0.5e0) AS INT) AS gray,
   CAST(floor((CASE WHEN yy > 0.008856e0 THEN 116 * cbrt(yy) - 16 ELSE 903.3e0 * yy END) * 255 / 100 + 0.5e0) AS INT) AS light FROM (SELECT *, {_Y} AS yy FROM px)),
-va AS (SELECT camera_id, y, x, (count(*) * sum(light * light) - sum(light) * sum(light))::DOUBLE / (count(*) * count(*)) AS variance, avg(light) / 255 AS brightness FROM li GROUP BY ALL),
+va AS MATERIALIZED (SELECT camera_id, y, x, (count(*) * sum(light * light) - sum(light) * sum(light))::DOUBLE / (count(*) * count(*)) AS variance, avg(light) / 255 AS brightness FROM li GROUP BY ALL),
 sm AS (SELECT camera_id, y, x, CASE WHEN variance < 50 THEN 255 ELSE 0 END AS mask FROM va)"""
 
 
-def _var(spark):
-    return temporal.variance(pixels(spark))
+def _var(spark, sf_dir):
+    return temporal.variance(pixels(spark, sf_dir))
 
 
 @query(f"WITH {P_SQL} SELECT camera_id, frame_idx, y, x, gray FROM li")
 def gray(spark, sf_dir):
-    return pixels(spark).select("camera_id", "frame_idx", "y", "x", color.gray(F.col("b"), F.col("g"), F.col("r")).alias("gray"))
+    return pixels(spark, sf_dir).select("camera_id", "frame_idx", "y", "x", color.gray(F.col("b"), F.col("g"), F.col("r")).alias("gray"))
 
 
 @query(f"WITH {P_SQL} SELECT camera_id, frame_idx, y, x, light FROM li")
 def lightness(spark, sf_dir):
-    return pixels(spark).select("camera_id", "frame_idx", "y", "x", color.lightness(F.col("b"), F.col("g"), F.col("r")).alias("light"))
+    return pixels(spark, sf_dir).select("camera_id", "frame_idx", "y", "x", color.lightness(F.col("b"), F.col("g"), F.col("r")).alias("light"))
 
 
 @query(f"WITH {P_SQL} SELECT camera_id, y, x, round(variance, 6) AS variance FROM va")
 def temporal_variance_lab(spark, sf_dir):
-    return rounded(_var(spark), "variance")
+    return rounded(_var(spark, sf_dir), "variance")
 
 
 @query(f"WITH {P_SQL} SELECT camera_id, y, x, round((count(*) * sum(gray * gray) - sum(gray) * sum(gray))::DOUBLE / (count(*) * count(*)), 6) AS variance FROM li GROUP BY ALL")
 def temporal_variance_gray(spark, sf_dir):
-    return rounded(temporal.variance(pixels(spark), "gray"), "variance")
+    return rounded(temporal.variance(pixels(spark, sf_dir), "gray"), "variance")
 
 
 @query(f"WITH {P_SQL} SELECT camera_id, y, x, round((var_pop(b) + var_pop(g) + var_pop(r)) / 3, 6) AS variance FROM px GROUP BY ALL")
 def temporal_variance_bgr(spark, sf_dir):
-    return rounded(temporal.variance(pixels(spark), "bgr"), "variance")
+    return rounded(temporal.variance(pixels(spark, sf_dir), "bgr"), "variance")
 
 
 @query(f"WITH {P_SQL} SELECT camera_id, y, x, floor(avg(b))::INT AS b, floor(avg(g))::INT AS g, floor(avg(r))::INT AS r FROM px GROUP BY ALL")
 def temporal_mean(spark, sf_dir):
-    return temporal.mean_frame(pixels(spark))
+    return temporal.mean_frame(pixels(spark, sf_dir))
 
 
 @query(f"WITH {P_SQL} SELECT * FROM sm")
 def static_mask(spark, sf_dir):
-    return temporal.static_mask(_var(spark))
+    return temporal.static_mask(_var(spark, sf_dir))
 
 
 @query(f"WITH {P_SQL} SELECT camera_id, y, x, round(1 / (1 + exp((variance - 50) / (50e0 / 3))), 6) AS confidence FROM va")
 def confidence(spark, sf_dir):
-    return rounded(temporal.confidence(_var(spark)), "confidence")
+    return rounded(temporal.confidence(_var(spark, sf_dir)), "confidence")
 
 
-@query(f"WITH {P_SQL} SELECT camera_id, (y // 16)::INT AS by, (x // 16)::INT AS bx, round(least(50e0, 2 * quantile_cont(variance, 0.1)), 6) AS threshold FROM va GROUP BY ALL")
+@query(f"WITH {P_SQL} SELECT camera_id, (y // 8)::INT AS by, (x // 8)::INT AS bx, round(least(50e0, 2 * quantile_cont(variance, 0.1)), 6) AS threshold FROM va GROUP BY ALL")
 def adaptive_threshold(spark, sf_dir):
-    return rounded(temporal.block_thresholds(_var(spark), temporal.TemporalConfig(block_size=16)), "threshold")
+    return rounded(temporal.block_thresholds(_var(spark, sf_dir), temporal.TemporalConfig(block_size=8)), "threshold")
 
 
 @query(f"WITH {P_SQL} SELECT camera_id, y, x, round(brightness, 6) AS brightness FROM va")
 def brightness_map(spark, sf_dir):
-    return rounded(vignetting.brightness_map(pixels(spark)), "brightness")
+    return rounded(vignetting.brightness_map(pixels(spark, sf_dir)), "brightness")
 
 
 R_SQL = f"""{P_SQL},
@@ -363,33 +374,33 @@ ra AS (SELECT camera_id, coalesce(max(radius) FILTER (WHERE brightness >= centre
 mi AS (SELECT camera_id, avg(brightness) AS centre FROM va WHERE y >= {H // 3} AND y < {2 * H // 3} AND x >= {W_ // 3} AND x < {2 * W_ // 3} GROUP BY ALL)"""
 
 
-def _bright(spark):
-    return vignetting.brightness_map(pixels(spark))
+def _bright(spark, sf_dir):
+    return vignetting.brightness_map(pixels(spark, sf_dir))
 
 
 @query(f"WITH {R_SQL} SELECT camera_id, bin, round(radius, 6) AS radius, round(brightness, 6) AS brightness FROM pr")
 def radial_profile(spark, sf_dir):
-    return rounded(vignetting.radial_profile(_bright(spark)), "radius", "brightness")
+    return rounded(vignetting.radial_profile(_bright(spark, sf_dir)), "radius", "brightness")
 
 
 @query(f"WITH {R_SQL} SELECT camera_id, round(radius, 6) AS radius FROM ra")
 def radial_radius(spark, sf_dir):
-    return rounded(vignetting.radial_radius(_bright(spark)), "radius")
+    return rounded(vignetting.radial_radius(_bright(spark, sf_dir)), "radius")
 
 
 @query(f"WITH {R_SQL} SELECT camera_id, y, x, CASE WHEN d > radius THEN 255 ELSE 0 END AS mask FROM di JOIN ra USING (camera_id)")
 def radial_mask(spark, sf_dir):
-    return vignetting.radial_mask(_bright(spark))
+    return vignetting.radial_mask(_bright(spark, sf_dir))
 
 
 @query(f"WITH {R_SQL} SELECT camera_id, y, x, CASE WHEN brightness < centre * 0.7e0 OR brightness < 0.3e0 THEN 255 ELSE 0 END AS mask FROM va JOIN mi USING (camera_id)")
 def threshold_mask(spark, sf_dir):
-    return vignetting.threshold_mask(_bright(spark))
+    return vignetting.threshold_mask(_bright(spark, sf_dir))
 
 
 @query(f"WITH {R_SQL} SELECT camera_id, y, x, CASE WHEN (y < 9 OR y >= {H - 9} OR x < 9 OR x >= {W_ - 9}) AND brightness < centre * 0.6e0 THEN 255 ELSE 0 END AS mask FROM va JOIN mi USING (camera_id)")
 def edge_mask(spark, sf_dir):
-    return vignetting.edge_mask(_bright(spark), margin=9, close=0)
+    return vignetting.edge_mask(_bright(spark, sf_dir), margin=9, close=0)
 
 
 def _morph_sql(source: str, steps: str, k: int, shape: str = "ellipse", name: str = "st") -> tuple[str, str]:
@@ -411,28 +422,28 @@ def _mask_query(steps: str, k: int = 5) -> str:
     return f"WITH {P_SQL}, {sql} SELECT * FROM {last}"
 
 
-def _static(spark):
-    return temporal.static_mask(_var(spark))
+def _static(spark, sf_dir):
+    return temporal.static_mask(_var(spark, sf_dir))
 
 
 @query(_mask_query("d"))
 def dilate(spark, sf_dir):
-    return filters.morphology_window(_static(spark), "dilate")
+    return filters.morphology_window(_static(spark, sf_dir), "dilate")
 
 
 @query(_mask_query("e"))
 def erode(spark, sf_dir):
-    return filters.morphology_window(_static(spark), "erode")
+    return filters.morphology_window(_static(spark, sf_dir), "erode")
 
 
 @query(_mask_query("ddee"))
 def mask_close(spark, sf_dir):
-    return filters.morphology(_static(spark), "close")
+    return filters.morphology(_static(spark, sf_dir), "close")
 
 
 @query(_mask_query("eedd"))
 def mask_open(spark, sf_dir):
-    return filters.morphology(_static(spark), "open")
+    return filters.morphology(_static(spark, sf_dir), "open")
 
 
 _KERNEL = ", ".join(f"({i - 12}, {w!r}e0)" if "e" not in repr(float(w)) else f"({i - 12}, {float(w)!r})" for i, w in enumerate(float(v) for v in filters.gaussian_kernel(3.0)))
@@ -444,56 +455,57 @@ g1 AS (SELECT p.camera_id, p.y, p.x, sum(q.mask / 255e0 * w) AS v FROM sm p, gk
 g2 AS (SELECT p.camera_id, p.y, p.x, sum(q.v * w) AS v FROM g1 p, gk JOIN g1 q ON q.camera_id = p.camera_id AND q.y = p.y AND q.x = {_REFLECT.format(c='p.x', n=W_)} GROUP BY ALL)
 SELECT camera_id, y, x, CASE WHEN v > 0.5 THEN 255 ELSE 0 END AS mask FROM g2""")
 def gaussian_smooth(spark, sf_dir):
-    return filters.smooth_boundary(_static(spark))
+    return filters.smooth_boundary(_static(spark, sf_dir))
 
 
 @query(f"WITH {R_SQL} SELECT camera_id, y, x, CASE WHEN d > radius OR variance < 50 THEN 255 ELSE 0 END AS mask FROM di JOIN ra USING (camera_id)")
 def mask_union(spark, sf_dir):
-    return masks.union(_static(spark), vignetting.radial_mask(_bright(spark)))
+    return masks.union(_static(spark, sf_dir), vignetting.radial_mask(_bright(spark, sf_dir)))
 
 
-REGIONS = [("cam_plain", 10, 20, 30, 10), ("cam_vignette", 50, 40, 40, 40), ("cam_vignette", 0, 0, 3, 3)]
+REGIONS = [(5, 15, 20, 10), (20, 32, 40, 40), (0, 0, 3, 3)]
 
 
-@query(f"""WITH {P_SQL}, ro(camera_id, rx, ry, rw, rh) AS (VALUES {", ".join(map(str, REGIONS))})
-SELECT camera_id, y, x, CASE WHEN 1 / (1 + exp((variance - 400) / (400e0 / 3))) > 0.3 AND EXISTS (SELECT 1 FROM ro WHERE ro.camera_id = va.camera_id AND x >= rx AND x < rx + rw AND y >= ry AND y < ry + rh) THEN 255 WHEN variance < 50 THEN 255 ELSE 0 END AS mask FROM va""")
+@query(f"""WITH {P_SQL}, ro(rx, ry, rw, rh) AS (VALUES {", ".join(map(str, REGIONS))})
+SELECT camera_id, y, x, CASE WHEN 1 / (1 + exp((variance - 400) / (400e0 / 3))) > 0.3 AND EXISTS (SELECT 1 FROM ro WHERE x >= rx AND x < rx + rw AND y >= ry AND y < ry + rh) THEN 255 WHEN variance < 50 THEN 255 ELSE 0 END AS mask FROM va""")
 def roi_hints(spark, sf_dir):
-    regions = spark.createDataFrame(REGIONS, "camera_id string, x int, y int, width int, height int")
-    v = _var(spark)
+    v = _var(spark, sf_dir)
+    box = F.explode(F.array(*[F.struct(*[F.lit(n).alias(c) for n, c in zip(r, ("x", "y", "width", "height"), strict=True)]) for r in REGIONS]))
+    regions = v.select("camera_id").distinct().select("camera_id", box.alias("r")).select("camera_id", "r.*")
     return masks.apply_roi_hints(temporal.static_mask(v), temporal.confidence(v, 400.0), regions)
 
 
 @query(f"WITH {P_SQL} SELECT px.camera_id, frame_idx, px.y, px.x, {', '.join(f'CASE WHEN mask > 127 THEN 7 ELSE {c} END AS {c}' for c in 'bgr')} FROM px JOIN sm USING (camera_id, y, x)")
 def apply_mask(spark, sf_dir):
-    return masks.apply_mask(pixels(spark), _static(spark), (7, 7, 7))
+    return masks.apply_mask(pixels(spark, sf_dir), _static(spark, sf_dir), (7, 7, 7))
 
 
 @query(f"WITH {P_SQL} SELECT px.camera_id, frame_idx, px.y, px.x, {', '.join(f'CASE WHEN mask > 127 THEN floor({v} * 0.5e0 + {c} * 0.5e0)::INT ELSE {c} END AS {c}' for c, v in zip('bgr', (0, 0, 255), strict=True))} FROM px JOIN sm USING (camera_id, y, x)")
 def overlay_blend(spark, sf_dir):
-    return masks.overlay(pixels(spark), _static(spark))
+    return masks.overlay(pixels(spark, sf_dir), _static(spark, sf_dir))
 
 
-BLOB = "CASE WHEN (x * x * 7 + y * 13 * x + y * y) % 11 < 4 THEN 255 ELSE 0 END AS mask"
-B_SQL = f"bl AS (SELECT 'm' AS camera_id, y::INT AS y, x::INT AS x, {BLOB} FROM (SELECT range // 40 AS y, range % 40 AS x FROM range(1200)))"
+BLOB = "CASE WHEN (x * x * 7 + y * 13 * x + y * y + s) % 11 < 4 THEN 255 ELSE 0 END AS mask"
+B_SQL = f"{P_SQL}, bl AS MATERIALIZED (SELECT camera_id, y, x, {BLOB} FROM (SELECT camera_id, y, x, sum(b) AS s FROM px GROUP BY ALL))"
 
 
-def blobs(spark: SparkSession) -> DataFrame:
-    return spark.range(1200).selectExpr("CAST(floor(id / 40e0) AS INT) AS y", "CAST(id % 40 AS INT) AS x").selectExpr("'m' AS camera_id", "y", "x", BLOB)
+def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels(spark, sf_dir).groupBy("camera_id", "y", "x").agg(F.sum("b").alias("s")).selectExpr("camera_id", "y", "x", BLOB)
 
 
-@query(f"""WITH RECURSIVE {B_SQL}, r AS (SELECT y, x FROM bl WHERE mask = 0 AND (y IN (0, 29) OR x IN (0, 39))
-UNION SELECT b.y, b.x FROM r JOIN bl b ON b.mask = 0 AND abs(b.y - r.y) + abs(b.x - r.x) = 1)
-SELECT camera_id, bl.y, bl.x, CASE WHEN mask = 0 AND r.y IS NULL THEN 255 ELSE mask END AS mask FROM bl LEFT JOIN r USING (y, x)""")
+@query(f"""WITH RECURSIVE {B_SQL}, r AS (SELECT camera_id, y, x FROM bl WHERE mask = 0 AND (y IN (0, {H - 1}) OR x IN (0, {W_ - 1}))
+UNION SELECT b.camera_id, b.y, b.x FROM r JOIN bl b ON b.camera_id = r.camera_id AND b.mask = 0 AND abs(b.y - r.y) + abs(b.x - r.x) = 1)
+SELECT bl.camera_id, bl.y, bl.x, CASE WHEN mask = 0 AND r.y IS NULL THEN 255 ELSE mask END AS mask FROM bl LEFT JOIN r USING (camera_id, y, x)""")
 def fill_holes(spark, sf_dir):
-    return masks.fill_holes(blobs(spark))
+    return masks.fill_holes(blobs(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {B_SQL}, r AS (SELECT y AS ry, x AS rx, y, x FROM bl WHERE mask = 255
-UNION SELECT ry, rx, b.y, b.x FROM r JOIN bl b ON b.mask = 255 AND abs(b.y - r.y) <= 1 AND abs(b.x - r.x) <= 1),
-s AS (SELECT ry AS y, rx AS x, count(*) AS area FROM r GROUP BY ALL)
-SELECT camera_id, bl.y, bl.x, CASE WHEN area >= 8 THEN 255 ELSE 0 END AS mask FROM bl LEFT JOIN s USING (y, x)""")
+@query(f"""WITH RECURSIVE {B_SQL}, r AS (SELECT camera_id, y AS ry, x AS rx, y, x FROM bl WHERE mask = 255
+UNION SELECT r.camera_id, ry, rx, b.y, b.x FROM r JOIN bl b ON b.camera_id = r.camera_id AND b.mask = 255 AND abs(b.y - r.y) <= 1 AND abs(b.x - r.x) <= 1),
+s AS (SELECT camera_id, ry AS y, rx AS x, count(*) AS area FROM r GROUP BY ALL)
+SELECT bl.camera_id, bl.y, bl.x, CASE WHEN area >= 8 THEN 255 ELSE 0 END AS mask FROM bl LEFT JOIN s USING (camera_id, y, x)""")
 def remove_small_regions(spark, sf_dir):
-    return masks.remove_small_regions(blobs(spark), 8)
+    return masks.remove_small_regions(blobs(spark, sf_dir), 8)
 
 
 def _smooth_sql(source: str, sigma: float, name: str) -> tuple[str, str]:
@@ -535,7 +547,7 @@ u{s} AS (SELECT p.camera_id, p.y, p.x, sum(q.v * ({part('y')}) * ({part('x')}))
 al AS (SELECT camera_id, y, x, 1 / (1 + exp((variance - 50) / (50e0 / 3))) AS v FROM va UNION ALL SELECT * FROM u2 UNION ALL SELECT * FROM u4)
 SELECT camera_id, y, x, round(avg(v), 6) AS confidence, CASE WHEN avg(v) > 0.5 THEN 255 ELSE 0 END AS mask FROM al GROUP BY ALL""")
 def multiscale_confidence(spark, sf_dir):
-    return rounded(temporal.multiscale(pixels(spark)), "confidence")
+    return rounded(temporal.multiscale(pixels(spark, sf_dir)), "confidence")
 
 
 _RADIAL = "rm AS MATERIALIZED (SELECT camera_id, y, x, CASE WHEN d > radius THEN 255 ELSE 0 END AS mask FROM di JOIN ra USING (camera_id))"
@@ -547,36 +559,41 @@ _FINAL, _FINAL_END = _refine_sql("un", 50, "fr")
 
 @query(f"WITH {R_SQL}, {_RADIAL}, {_VM}, {_VG} SELECT * FROM {_VG_END}")
 def vignetting_mask(spark, sf_dir):
-    return vignetting.detect(pixels(spark))[0]
+    return vignetting.detect(pixels(spark, sf_dir))[0]
 
 
 @query(f"WITH RECURSIVE {P_SQL}, {_STATIC} SELECT * FROM {_STATIC_END}")
 def refined_mask(spark, sf_dir):
-    return masks.refine(_static(spark), masks.RefineConfig(min_area=50))
+    return masks.refine(_static(spark, sf_dir), masks.RefineConfig(min_area=50))
 
 
 @query(f"""WITH RECURSIVE {R_SQL}, {_RADIAL}, {_VM}, {_VG}, {_STATIC},
 un AS MATERIALIZED (SELECT camera_id, y, x, greatest(a.mask, b.mask) AS mask FROM {_STATIC_END} a JOIN {_VG_END} b USING (camera_id, y, x)), {_FINAL} SELECT * FROM {_FINAL_END}""")
 def mask_generation(spark, sf_dir):
-    return masks.generate(pixels(spark), refine_cfg=masks.RefineConfig(min_area=50))["final"]
+    return masks.generate(pixels(spark, sf_dir), refine_cfg=masks.RefineConfig(min_area=50))["final"]
 
 
 # --- sampling -----------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT range AS i, floor(5 + range * (51e0 / 50))::BIGINT AS frame_idx FROM range(50)")
+def _lengths(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("n_chars").alias("frame_count"))
+
+
+@query("""WITH v AS (SELECT doc_id, n_chars AS frame_count, floor(n_chars * 0.1e0)::BIGINT AS lo, floor(n_chars * 0.98e0)::BIGINT AS hi FROM documents),
+k AS (SELECT *, unnest(range(greatest(0, least(50, hi - lo)))) AS i FROM v) SELECT doc_id, frame_count, i, floor(lo + i * ((hi - lo)::DOUBLE / least(50, hi - lo)))::BIGINT AS frame_idx FROM k""")
 def frame_sample_indices(spark, sf_dir):
-    return sampling.uniform_indices(spark, 58, 50, 0.1, 0.98)
+    return sampling.uniform_frames(_lengths(spark, sf_dir), 50, 0.1, 0.98)
 
 
-@query("SELECT n.range + 1 AS frame_count, i.range::INT AS i, floor(i.range * n.range / 15e0)::BIGINT AS frame_idx FROM range(100) n, range(16) i")
+@query("SELECT doc_id, i.range::INT AS i, floor(i.range * (n_chars - 1) / 15e0)::BIGINT AS frame_idx FROM documents, range(16) i WHERE n_chars > 0")
 def clip_sample_indices(spark, sf_dir):
-    return sampling.clip_indices(spark.range(1, 101).select(F.col("id").alias("frame_count"))).select("frame_count", "i", "frame_idx")
+    return sampling.clip_indices(_lengths(spark, sf_dir)).select("doc_id", "i", "frame_idx")
 
 
-@query(f"WITH {P_SQL} SELECT DISTINCT frame_idx FROM px WHERE frame_idx % 3 = 0")
+@query(f"WITH {P_SQL} SELECT DISTINCT camera_id, frame_idx FROM px WHERE frame_idx % 3 = 0")
 def strided_frames(spark, sf_dir):
-    return sampling.strided(pixels(spark), 3).select("frame_idx").distinct()
+    return sampling.strided(pixels(spark, sf_dir), 3).select("camera_id", "frame_idx").distinct()
 
 
 # --- cameras, discovery, edits ------------------------------------------------------------------------------------------------------
@@ -600,14 +617,31 @@ def _videos(spark, sf_dir):
     return embeddings(spark, sf_dir).select(F.expr(VIDEO).alias("file_path"))
 
 
-@query(f"WITH {_CAMS} SELECT camera_id, cfg_order, type, has_vignetting, regions AS n_regions FROM c")
+#: A configuration for each row: some are empty documents, some have no cameras.
+SITE = """CASE WHEN vec_id % 11 = 4 THEN '' WHEN vec_id % 7 = 5 THEN 'global: {frame_sample_count: 7}' ELSE concat('global: {variance_threshold: ', vec_id % 9 + 1, ', morphology_kernel_size: ', 2 * label + 1, '}
+cameras:
+  front_wide: {type: wide, has_vignetting: ', CASE WHEN vec_id % 3 = 0 THEN 'true' ELSE 'false' END, ', expected_ego_regions: [{name: hood, hint_roi: [0, ', vec_id % 100, ', 1920, 230]}]}
+  front: {expected_ego_regions: [{name: a, hint_roi: [1, 2]}, {name: b}]}
+  rear_wide: {type: wide, resolution: [640, 480], vignetting_config: {threshold: 0.6}}') END"""
+_SITES = f"{_CAMS}, s AS (SELECT vec_id AS site, c.camera_id, cfg_order, type, c.camera_id = 'front_wide' AND vec_id % 3 = 0 AS has_vignetting, regions AS n_regions FROM embeddings, c WHERE vec_id % 11 <> 4 AND vec_id % 7 <> 5)"
+
+
+def _sites(spark, sf_dir):
+    return config.read_documents(embeddings(spark, sf_dir).select(F.col("vec_id").alias("site"), F.expr(SITE).alias("text")))
+
+
+def _site_cameras(spark, sf_dir):
+    return config.cameras_of(_sites(spark, sf_dir))
+
+
+@query(f"WITH {_SITES} SELECT * FROM s")
 def cameras(spark, sf_dir):
-    return camera_table(spark).select("camera_id", "cfg_order", "type", "has_vignetting", F.size("regions").alias("n_regions"))
+    return _site_cameras(spark, sf_dir).select("site", "camera_id", "cfg_order", "type", "has_vignetting", F.size("regions").alias("n_regions"))
 
 
-@query(f"WITH {_CAMS} SELECT camera_id FROM c WHERE type = 'wide'")
+@query(f"WITH {_SITES} SELECT site, camera_id FROM s WHERE type = 'wide'")
 def wide_cameras(spark, sf_dir):
-    return cams.wide(camera_table(spark)).select("camera_id")
+    return cams.wide(_site_cameras(spark, sf_dir)).select("site", "camera_id")
 
 
 _MATCH = f"{_CAMS}, v AS (SELECT {VIDEO} AS file_path FROM embeddings), m AS (SELECT file_path, arg_min(camera_id, cfg_order) AS camera_id FROM v LEFT JOIN c ON contains(regexp_replace(regexp_extract(file_path, '[^/]+$'), '\\.[^.]*$', ''), camera_id) GROUP BY ALL)"
@@ -652,19 +686,19 @@ def edit_history(spark, sf_dir):
 # --- further operators --------------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_CAMS} SELECT camera_id FROM c WHERE type = 'narrow'")
+@query(f"WITH {_SITES} SELECT site, camera_id FROM s WHERE type = 'narrow'")
 def narrow_cameras(spark, sf_dir):
-    return cams.narrow(camera_table(spark)).select("camera_id")
+    return cams.narrow(_site_cameras(spark, sf_dir)).select("site", "camera_id")
 
 
-@query(f"WITH {_CAMS} SELECT camera_id, has_vignetting AS wanted FROM c")
+@query(f"WITH {_SITES} SELECT site, camera_id, has_vignetting AS wanted FROM s")
 def vignetting_wanted(spark, sf_dir):
-    return cams.vignetting_wanted(camera_table(spark), False)
+    return cams.vignetting_wanted(_site_cameras(spark, sf_dir), False, ["site"])
 
 
 @query(f"WITH {P_SQL} SELECT camera_id, y, x, floor(255 / (1 + exp((variance - 50) / (50e0 / 3))))::INT AS confidence FROM va")
 def confidence_levels(spark, sf_dir):
-    return masks.export_levels(temporal.confidence(_var(spark)), "confidence")
+    return masks.export_levels(temporal.confidence(_var(spark, sf_dir)), "confidence")
 
 
 _CLOSE, _CLOSED = _morph_sql("em", "de", 11, "rect")
@@ -673,12 +707,12 @@ _CLOSE, _CLOSED = _morph_sql("em", "de", 11, "rect")
 @query(f"""WITH {R_SQL}, em AS (SELECT camera_id, y, x, CASE WHEN (y < 9 OR y >= {H - 9} OR x < 9 OR x >= {W_ - 9}) AND brightness < centre * 0.6e0 THEN 255 ELSE 0 END AS mask FROM va JOIN mi USING (camera_id)),
 {_CLOSE} SELECT * FROM {_CLOSED}""")
 def edge_mask_closed(spark, sf_dir):
-    return vignetting.edge_mask(_bright(spark), margin=9)
+    return vignetting.edge_mask(_bright(spark, sf_dir), margin=9)
 
 
 @query(f"WITH {P_SQL} SELECT camera_id, frame_idx, (y // 2)::INT AS y, (x // 2)::INT AS x, round(avg(light), 6) AS v FROM li GROUP BY ALL")
 def resized_half(spark, sf_dir):
-    all_frames = pixels(spark).select("camera_id", "frame_idx", "y", "x", color.lightness(F.col("b"), F.col("g"), F.col("r")).cast("double").alias("v"))
+    all_frames = pixels(spark, sf_dir).select("camera_id", "frame_idx", "y", "x", color.lightness(F.col("b"), F.col("g"), F.col("r")).cast("double").alias("v"))
     return rounded(filters.resize(all_frames, 0.5, ["camera_id", "frame_idx"]), "v")
 
 
@@ -705,11 +739,23 @@ def report_lines(spark, sf_dir):
     return captions.report(clusters.cluster_info(df), clusters.edge_cases(clusters.distances(df)))
 
 
-@query("SELECT 'm' AS mask_id, (range // 20)::INT AS y, (range % 20)::INT AS x, CASE WHEN (x - 7) * (x - 7) + (y - 5) * (y - 5) <= 4 THEN 0 WHEN (x - 5) * (x - 5) + (y - 5) * (y - 5) <= 9 THEN 255 ELSE 0 END AS mask FROM range(400)")
+_STROKES = [
+    "label AS mask_id", "vec_id AS seq", "CASE WHEN vec_id % 3 = 0 THEN 'eraser' ELSE 'brush' END AS op", "CAST(vec_id % 17 AS INT) AS x1",
+    "CAST(vec_id * 7 % 20 AS INT) AS y1", "CAST(vec_id % 17 + 3 AS INT) AS x2", "CAST(vec_id * 7 % 20 AS INT) AS y2", "CAST(vec_id % 5 AS INT) AS size",
+]
+
+
+@query(f"""WITH l AS (SELECT {', '.join(_STROKES)} FROM embeddings), k AS (SELECT * FROM l QUALIFY seq < max(seq) OVER (PARTITION BY mask_id)),
+g AS (SELECT mask_id, (range // 20)::INT AS y, (range % 20)::INT AS x FROM (SELECT DISTINCT mask_id FROM l), range(400)),
+h AS (SELECT g.mask_id, y, x, arg_max(CASE WHEN op = 'brush' THEN 255 ELSE 0 END, seq) AS v FROM g JOIN k ON k.mask_id = g.mask_id
+  AND (x - least(greatest(x, x1), x2)) * (x - least(greatest(x, x1), x2)) + (y - y1) * (y - y1) <= (size // 2) * (size // 2) GROUP BY ALL)
+SELECT mask_id, y, x, coalesce(v, 0)::INT AS mask FROM g LEFT JOIN h USING (mask_id, y, x)""")
 def edited_mask(spark, sf_dir):
-    blank = spark.range(400).selectExpr("'m' AS mask_id", "CAST(floor(id / 20e0) AS INT) AS y", "CAST(id % 20 AS INT) AS x", "0 AS mask")
-    log = spark.createDataFrame([("m", 1, "brush", 5, 5, 5, 5, 6), ("m", 2, "eraser", 7, 5, 7, 5, 4), ("m", 3, "brush", 0, 0, 19, 19, 9), ("m", 4, "undo", 0, 0, 0, 0, 0)], "mask_id string, seq int, op string, x1 int, y1 int, x2 int, y2 int, size int")
-    return edits.apply_edits(blank, edits.live_edits(log))
+    """Each label's strokes on a mask of its own; the last one is undone."""
+    log = embeddings(spark, sf_dir).selectExpr(*_STROKES)
+    undo = log.groupBy("mask_id").agg((F.max("seq") + 1).alias("seq")).select("mask_id", "seq", F.lit("undo").alias("op"), *[F.lit(0).alias(c) for c in ("x1", "y1", "x2", "y2", "size")])
+    blank = log.select("mask_id").distinct().select("mask_id", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("i")).selectExpr("mask_id", "CAST(floor(i / 20e0) AS INT) AS y", "i % 20 AS x", "0 AS mask")
+    return edits.apply_edits(blank, edits.live_edits(log.unionByName(undo)))
 
 
 @query("SELECT 'c' || vec_id AS clip, least(i.range, n - 1)::INT AS frame_idx, i.range::INT AS slot FROM (SELECT vec_id, (vec_id % 4 + 1) AS n FROM embeddings), range(6) i")
@@ -724,17 +770,17 @@ def random_frames(spark, sf_dir):
     return sampling.random_frames(rows, 5, seed=42)
 
 
-_WIDE = ", ".join(f"({i - 16}, {float(w)!r}::DOUBLE)" for i, w in enumerate(filters.gaussian_kernel(4.0)))
+_WIDE = ", ".join(f"({i - 8}, {float(w)!r}::DOUBLE)" for i, w in enumerate(filters.gaussian_kernel(2.0)))
 
 
 @query(f"""WITH {P_SQL}, gk(o, w) AS (VALUES {_WIDE}),
-bt AS (SELECT camera_id, y // 16 AS blk_y, x // 16 AS blk_x, least(50e0, 2 * quantile_cont(variance, 0.1)) AS threshold FROM va GROUP BY ALL),
-th AS (SELECT va.camera_id, y, x, variance, threshold FROM va JOIN bt ON bt.camera_id = va.camera_id AND blk_y = y // 16 AND blk_x = x // 16),
+bt AS (SELECT camera_id, y // 8 AS blk_y, x // 8 AS blk_x, least(50e0, 2 * quantile_cont(variance, 0.1)) AS threshold FROM va GROUP BY ALL),
+th AS (SELECT va.camera_id, y, x, variance, threshold FROM va JOIN bt ON bt.camera_id = va.camera_id AND blk_y = y // 8 AND blk_x = x // 8),
 g1 AS (SELECT p.camera_id, p.y, p.x, sum(q.threshold * w) AS v FROM th p, gk JOIN th q ON q.camera_id = p.camera_id AND q.x = p.x AND q.y = {_REFLECT.format(c='p.y', n=H)} GROUP BY ALL),
 g2 AS (SELECT p.camera_id, p.y, p.x, sum(q.v * w) AS v FROM g1 p, gk JOIN g1 q ON q.camera_id = p.camera_id AND q.y = p.y AND q.x = {_REFLECT.format(c='p.x', n=W_)} GROUP BY ALL)
 SELECT camera_id, y, x, CASE WHEN variance < v THEN 255 ELSE 0 END AS mask FROM g2 JOIN th USING (camera_id, y, x)""")
 def adaptive_mask(spark, sf_dir):
-    return temporal.adaptive_static_mask(_var(spark), temporal.TemporalConfig(block_size=16))
+    return temporal.adaptive_static_mask(_var(spark, sf_dir), temporal.TemporalConfig(block_size=8))
 
 
 # --- recordings made of a table: they grow with it ------------------------------------------------------------------------------------
@@ -770,22 +816,22 @@ def recording_tiles(spark, sf_dir):
 
 @query(f"WITH {P_SQL} {_ANALYSIS.format(t=50)}")
 def temporal_analysis(spark, sf_dir):
-    return rounded(temporal.analyze(pixels(spark)), "variance", "brightness", "confidence")
+    return rounded(temporal.analyze(pixels(spark, sf_dir)), "variance", "brightness", "confidence")
 
 
 @query(f"WITH {P_SQL} {_ANALYSIS.format(t=50)}")
 def tile_analysis(spark, sf_dir):
-    return rounded(tiles.analyze(tiles.from_pixels(pixels(spark), 16)), "variance", "brightness", "confidence")
+    return rounded(tiles.analyze(tiles.from_pixels(pixels(spark, sf_dir), 16)), "variance", "brightness", "confidence")
 
 
 @query(ORACLES["edge_mask_closed"])
 def edge_detection(spark, sf_dir):
-    return vignetting.detect_edges(pixels(spark), vignetting.VignettingConfig(edge_margin=9))
+    return vignetting.detect_edges(pixels(spark, sf_dir), vignetting.VignettingConfig(edge_margin=9))
 
 
 @query(f"WITH {P_SQL} SELECT camera_id, (y // 2)::INT AS y, (x // 2)::INT AS x, floor(avg(mask) + 0.5e0)::INT AS mask FROM sm GROUP BY ALL")
 def resized_mask(spark, sf_dir):
-    static = _static(spark)
+    static = _static(spark, sf_dir)
     shape = static.groupBy("camera_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     return masks.resize_mask(static, shape.select("camera_id", (F.col("h") / 2).alias("h"), (F.col("w") / 2).alias("w")))
 
@@ -835,25 +881,31 @@ def _folder(spark: SparkSession) -> str:
 @query(f"WITH {P_SQL} SELECT * FROM sm")
 def masks_read_back(spark, sf_dir):
     folder = _folder(spark)
-    png.write_masks(_static(spark), folder)
-    return png.read_mask(spark, f"{folder}/cam_plain_mask.png", "cam_plain").unionByName(png.read_mask(spark, f"{folder}/cam_vignette_mask.png", "cam_vignette"))
+    png.write_masks(_static(spark, sf_dir), folder)
+    return png.read_masks(spark, folder)
 
 
-@query(f"SELECT 'seq' AS camera_id, range::INT AS frame_idx, {H} AS height, {W_} AS width, 1 AS n_channels, 0e0 AS timestamp_ms FROM range(2)")
+@query(f"WITH {P_SQL} SELECT 'seq' AS camera_id, unnest(range(count(DISTINCT camera_id)))::INT AS frame_idx, {H} AS height, {W_} AS width, 1 AS n_channels, 0e0 AS timestamp_ms FROM sm")
 def image_sequence(spark, sf_dir):
     folder = _folder(spark)
-    png.write_masks(_static(spark), folder)
+    png.write_masks(_static(spark, sf_dir), folder)
     return frames.open_source(spark, folder, True, camera_id="seq").drop("data")
 
 
-@query("SELECT * FROM (VALUES ('a.avi', 75, 25e0, 640, 480, 3e0, true), ('b.avi', 12, 0e0, 320, 240, 0e0, true), ('c.avi', NULL, NULL, NULL, NULL, NULL, false)) t(name, frame_count, fps, width, height, duration, readable)")
+@query("""SELECT vec_id || '.avi' AS name, CASE WHEN vec_id % 9 > 0 THEN label + 12 END AS frame_count, CASE WHEN vec_id % 9 > 0 THEN CASE WHEN vec_id % 4 > 0 THEN 1e6 / (vec_id % 4 * 10000) ELSE 0 END END AS fps,
+CASE WHEN vec_id % 9 > 0 THEN 640 + label END AS width, CASE WHEN vec_id % 9 > 0 THEN 480 END AS height, CASE WHEN vec_id % 9 > 0 THEN CASE WHEN vec_id % 4 > 0 THEN (label + 12) / (1e6 / (vec_id % 4 * 10000)) ELSE 0 END END AS duration, vec_id % 9 > 0 AS readable FROM embeddings""")
 def video_headers(spark, sf_dir):
     folder = _folder(spark)
-    store, where = files.store_of(folder)
-    store.create_dir(where, recursive=True)
-    for name, (apart, count, width, height) in {"a.avi": (40_000, 75, 640, 480), "b.avi": (0, 12, 320, 240), "c.avi": (0, 0, 0, 0)}.items():
-        with store.open_output_stream(f"{where}/{name}") as f:
-            f.write(b"no video" if name == "c.avi" else b"RIFF" + bytes(4) + b"AVI LIST" + bytes(4) + b"hdrlavih" + struct.pack("<11I", 56, apart, 0, 0, 0, count, 0, 1, 0, width, height))
+
+    def put(rows):
+        store, where = files.store_of(folder)
+        store.create_dir(where, recursive=True)
+        for r in rows:
+            with store.open_output_stream(f"{where}/{r.vec_id}.avi") as f:
+                head = struct.pack("<11I", 56, r.vec_id % 4 * 10_000, 0, 0, 0, r.label + 12, 0, 1, 0, 640 + r.label, 480)
+                f.write(b"RIFF" + bytes(4) + b"AVI LIST" + bytes(4) + b"hdrlavih" + head if r.vec_id % 9 else b"no video")
+
+    embeddings(spark, sf_dir).select("vec_id", "label").foreachPartition(put)
     found = video.metadata(frames.discover_videos(frames.paths(spark, folder)))
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "frame_count", "fps", "width", "height", "duration", F.col("error").isNull().alias("readable"))
 
@@ -868,14 +920,13 @@ def batch_videos(spark, sf_dir):
     return frames.discover_batch(_videos(spark, sf_dir).withColumnRenamed("file_path", "path"), "/v/")
 
 
-@query("SELECT * FROM (VALUES ('defaults', 100, 50e0, 5), ('file', 40, 50e0, 5), ('override', 40, 12.5e0, 7)) t(source, frame_sample_count, variance_threshold, kernel_size)")
+@query("""WITH s AS (SELECT vec_id AS site, vec_id % 7 = 5 AS bare, vec_id % 9 + 1 AS t, 2 * label + 1 AS k FROM embeddings WHERE vec_id % 11 <> 4)
+SELECT site, 'file' AS source, CASE WHEN bare THEN 7 ELSE 100 END AS frame_sample_count, CASE WHEN bare THEN 50 ELSE t END::DOUBLE AS variance_threshold, CASE WHEN bare THEN 5 ELSE k END::INT AS kernel_size FROM s
+UNION ALL SELECT site, 'override', CASE WHEN bare THEN 7 ELSE 100 END, 12.5, CASE WHEN bare THEN 5 ELSE k END::INT FROM s""")
 def global_settings(spark, sf_dir):
-    rows = []
-    whole = spark.createDataFrame([config.parse(YAML)[1]], config.GLOBAL_SCHEMA)
-    for source, df, over in (("defaults", config.load(spark, None)[1], ()), ("file", whole, ()), ("override", whole, (12.5, 7))):
-        t, r = mask_jobs.settings(df, *over)
-        rows.append((source, df.first().frame_sample_count, t.variance_threshold, r.kernel_size))
-    return spark.createDataFrame(rows, "source string, frame_sample_count int, variance_threshold double, kernel_size int")
+    whole = config.globals_of(_sites(spark, sf_dir))
+    rows = [mask_jobs.settings_of(whole, threshold).withColumn("source", F.lit(source)) for source, threshold in (("file", None), ("override", 12.5))]
+    return rows[0].unionByName(rows[1]).select("site", "source", "frame_sample_count", "variance_threshold", "kernel_size")
 
 
 def _load_encoder():
@@ -912,9 +963,10 @@ def saved_embeddings(spark, sf_dir):
     return spark.read.parquet(path).select("vec_id", vectors.doubles(F.col("embedding")).alias("embedding"))
 
 
-@query("SELECT 500 AS rows_in_clusters, 10 AS outliers, 12 AS clusters, true AS unit_length")
+@query("SELECT count(*) AS rows_in_clusters, greatest(5, count(*) // 50) AS outliers, 12 AS clusters, true AS unit_length FROM embeddings")
 def synthetic_embeddings(spark, sf_dir):
-    df = encoders.synthetic(spark, n=500, dim=32, clusters=12)
+    """As many rows as the table has, and outliers."""
+    df = encoders.synthetic(spark, n=embeddings(spark, sf_dir).count(), dim=32, clusters=12)
     inside = F.col("label") < 12
     return df.agg(F.count_if(inside).alias("rows_in_clusters"), F.count_if(~inside).alias("outliers"), F.count_distinct(F.when(inside, F.col("label"))).alias("clusters"), F.every(F.abs(vectors.norm(vectors.doubles(F.col("embedding"))) - 1) < 1e-5).alias("unit_length"))
 

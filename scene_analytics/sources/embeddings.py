@@ -44,24 +44,37 @@ def save(embeddings: DataFrame, path: str, mode: str = "overwrite") -> None:
     embeddings.write.mode(mode).parquet(path)
 
 
-def synthetic_rows(n: int = 500, dim: int = 1280, clusters: int = 10, noise: float = 0.3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors around unit centres and their labels: two tiny clusters, two small ones, the rest evenly, and some outliers."""
-    rng = np.random.default_rng(seed)
-    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
-    centres = unit(rng.normal(size=(clusters, dim)))
-    left, parts, labels = n, [], []
-    for i in range(clusters):
-        size = int(rng.integers(1, 3)) if i < 2 else int(rng.integers(10, 20)) if i < 4 else left // (clusters - i)
-        size = left if i == clusters - 1 else min(size, left)  # the last one takes what is left over
-        left -= size
-        parts.append(unit(centres[i] + noise * rng.normal(size=(size, dim))))
-        labels += [i] * size
-    extra = max(5, n // 50)
-    parts.append(unit(rng.normal(size=(extra, dim))))
-    return np.concatenate(parts), np.array(labels + [clusters] * extra)
-
-
-def synthetic(spark: SparkSession, **kw) -> DataFrame:
-    """(vec_id, embedding, label) of `synthetic_rows`."""
-    v, labels = synthetic_rows(**kw)
-    return spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, labels, strict=True))], "vec_id long, embedding array<float>, label int")
+def cluster_sizes(n: int, clusters: int, seed: int) -> list[int]:
+    """How `n` rows are dealt to clusters: two tiny ones of 1 or 2, two small ones of 10 to 19, the rest evenly, the last takes what is over."""
+    draw = np.random.default_rng(seed)
+    wanted = np.concatenate([draw.integers(1, 3, 2), draw.integers(10, 20, 2)])[:clusters]
+    wanted = np.minimum(wanted, np.maximum(n - np.cumsum(wanted) + wanted, 0))
+    even = np.arange(clusters - len(wanted))
+    rest = n - int(wanted.sum())
+    sizes = [*wanted.tolist(), *((rest * (even + 1)) // max(len(even), 1) - (rest * even) // max(len(even), 1)).tolist()]
+    sizes[-1] += n - sum(sizes)
+    return sizes
+
+
+def _normal(*keys):
+    """A standard normal number drawn by the hash of its keys, the same wherever it is computed."""
+    share = lambda salt: (F.shiftrightunsigned(F.xxhash64(*keys, F.lit(salt)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    return F.sqrt(-2 * F.log(share(1))) * F.cos(2 * np.pi * share(2))
+
+
+def synthetic(spark: SparkSession, n: int = 500, dim: int = 1280, clusters: int = 10, noise: float = 0.3, seed: int = 42) -> DataFrame:
+    """(vec_id, embedding, label): unit vectors around unit centres, sized by `cluster_sizes`, then max(5, n // 50) outliers.
+
+    Each row is made where it is; only the clusters' sizes come from the driver.
+    """
+    outliers = max(5, n // 50)
+    ends = np.cumsum([*cluster_sizes(n, clusters, seed), outliers]).tolist()
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    label = F.size(F.filter(F.array(*[F.lit(int(e)) for e in ends]), lambda e: e <= F.col("vec_id")))
+    rows = spark.range(n + outliers).withColumnRenamed("id", "vec_id").withColumn("label", label)
+    centre = l2_normalize(F.transform(places, lambda d: _normal(F.lit(seed), F.lit("centre"), F.col("label"), d)))
+    own = F.transform(places, lambda d: _normal(F.lit(seed), F.lit("row"), F.col("vec_id"), d))
+    centres = F.broadcast(spark.range(clusters).select(F.col("id").cast("int").alias("label")).withColumn("centre", centre))  # a row for each cluster
+    around = F.when(F.col("centre").isNull(), F.col("own")).otherwise(F.zip_with("centre", "own", lambda c, x: c + noise * x))
+    made = rows.withColumn("own", own).join(centres, "label", "left")
+    return made.select("vec_id", l2_normalize(around).cast("array<float>").alias("embedding"), F.col("label").cast("int").alias("label"))

@@ -60,3 +60,13 @@ def read_mask(spark: SparkSession, path: str, camera_id: str = "camera") -> Data
 
     image = spark.read.format("image").load(path).select(F.lit(camera_id).alias("camera_id"), F.lit(0).alias("frame_idx"), "image.height", "image.width", F.col("image.nChannels").alias("n_channels"), "image.data")
     return to_pixels(image).select("camera_id", "y", "x", F.col("b").alias("mask"))
+
+
+def read_masks(spark: SparkSession, folder: str, suffix: str = "mask") -> DataFrame:
+    """(camera_id, y, x, mask) of all that `write_masks` wrote with that suffix."""
+    from .frames import to_pixels
+
+    image = spark.read.format("image").option("pathGlobFilter", f"*_{suffix}.png").load(folder)
+    name = F.regexp_extract("image.origin", f"([^/]+)_{suffix}[.]png$", 1).alias("camera_id")
+    held = image.select(name, F.lit(0).alias("frame_idx"), "image.height", "image.width", F.col("image.nChannels").alias("n_channels"), "image.data")
+    return to_pixels(held).select("camera_id", "y", "x", F.col("b").alias("mask"))

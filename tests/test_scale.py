@@ -34,10 +34,19 @@ def test_each_video_ends_at_its_own_failure(spark):
     assert got == {(v, i) for v, n in (("a", 4), ("b", 8), (None, 8)) for i in range(0, n, 2)}
 
 
-def test_synthetic_rows_are_all_there():
+def test_synthetic_rows_are_all_there(spark):
     for clusters in (1, 2, 3, 4, 5, 12):
-        v, labels = embeddings.synthetic_rows(n=200, dim=8, clusters=clusters)
-        assert len(v) == len(labels) == 205 and (labels < clusters).sum() == 200
+        for n in (0, 3, 200):
+            sizes = embeddings.cluster_sizes(n, clusters, 42)
+            assert len(sizes) == clusters and sum(sizes) == n and min(sizes) >= 0
+        rows = embeddings.synthetic(spark, n=200, dim=8, clusters=clusters).collect()
+        assert sorted(r.vec_id for r in rows) == list(range(205)) and sum(r.label < clusters for r in rows) == 200
+    again = {r.vec_id: r for r in embeddings.synthetic(spark, n=200, dim=8, clusters=12).repartition(7).collect()}
+    assert all(list(r.embedding) == list(again[r.vec_id].embedding) for r in rows)
+    v = np.array([r.embedding for r in sorted(embeddings.synthetic(spark, n=900, dim=60, clusters=5, noise=0.05).collect())])
+    near = v @ v.T
+    labels = np.repeat(range(6), [*embeddings.cluster_sizes(900, 5, 42), 18])
+    assert near[labels == 4][:, labels == 4].min() > 0.5 and abs(near[labels == 5][:, labels == 5] - np.eye(18)).mean() < 0.15
 
 
 def _graph(seed=0, groups=6, size=25):
