@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import captions, clusters, community, knn
+from ..operators import captions, clusters, community, descent, knn
 from ..operators.lineage import stored
 from ..sources import embeddings as sources
 
@@ -17,6 +17,7 @@ from ..sources import embeddings as sources
 @dataclass(frozen=True)
 class ClusteringConfig:
     k_neighbors: int = 15
+    neighbours: str = "exact"  # or "descent": approximate, for the cosine, with work that isn't quadratic
     metric: str = "cosine"
     resolution: float = 1.0
     random_state: int = 42
@@ -40,7 +41,13 @@ class CurationResult:
 
 
 def build_graph(df: DataFrame, cfg: ClusteringConfig = ClusteringConfig()) -> DataFrame:
-    return knn.symmetric_edges(knn.similarities(knn.top_k(df, cfg.k_neighbors, cfg.metric), cfg.metric))
+    if cfg.neighbours == "descent" and cfg.metric == "cosine":
+        found = descent.top_k_descent(df, cfg.k_neighbors, seed=cfg.random_state)
+    elif cfg.neighbours == "exact":
+        found = knn.top_k(df, cfg.k_neighbors, cfg.metric)
+    else:
+        raise ValueError(f"no {cfg.neighbours} neighbours for {cfg.metric}")
+    return knn.symmetric_edges(knn.similarities(found, cfg.metric))
 
 
 def fit_predict(df: DataFrame, cfg: ClusteringConfig = ClusteringConfig()) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import color, names, vectors
 from .operators import cameras as cams
-from .operators import captions, clusters, community, edits, filters, knn, lineage, masks, quality, sampling, temporal, tiles, vignetting
+from .operators import captions, clusters, community, descent, edits, filters, knn, lineage, masks, quality, sampling, temporal, tiles, vignetting
 from .plans import curation, mask_jobs
 from .sources import config, files, frames, png, video
 from .sources import embeddings as encoders
@@ -174,6 +174,23 @@ def knn_lsh(spark, sf_dir):
     return rounded(knn.top_k_lsh(embeddings(spark, sf_dir)), "distance")
 
 
+@query("SELECT vec_id AS src, least(15, (SELECT count(*) FROM embeddings) - 1) AS n, true AS apart FROM embeddings")
+def knn_descent(spark, sf_dir):
+    """How many neighbours each row gets, and whether they are different ones, nearest first."""
+    found = descent.top_k_descent(embeddings(spark, sf_dir), leaf=64)
+    at = F.transform(F.array_sort(F.collect_list(F.struct("rank", "distance", "dst"))), lambda x: x["distance"])
+    apart = (F.count_distinct("dst") == F.count("*")) & F.every(F.col("src") != F.col("dst")) & (F.array_sort(at) == at)
+    return found.groupBy("src").agg(F.count("*").alias("n"), apart.alias("apart"))
+
+
+@query("SELECT count(*) AS rows, sum(least(15, (SELECT count(*) FROM embeddings) - 1))::BIGINT AS expected, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def knn_descent_recall(spark, sf_dir):
+    """Every 50th row's neighbours against the exact ones; nine of ten are enough."""
+    df = embeddings(spark, sf_dir)
+    exact = knn.top_k(df, sources=df.where("vec_id % 50 = 0"))
+    return descent.recall(descent.top_k_descent(df, leaf=64), exact).select("rows", "expected", (F.col("found") >= 0.9 * F.col("expected")).alias("enough"))
+
+
 @query()
 def leiden_labels(spark, sf_dir):
     return curation.fit_predict(embeddings(spark, sf_dir).select("vec_id", "embedding"))
