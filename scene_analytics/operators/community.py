@@ -1,4 +1,4 @@
-"""Communities of a weighted graph: Leiden, its large graphs contracted on executors; label propagation and power iteration."""
+"""Communities of a weighted graph: Leiden on arrays (on executors: `leiden`), label propagation and power iteration."""
 
 from __future__ import annotations
 
@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import materialize, numbered, stored
+from .errors import AnalysisError
+from .lineage import materialize, numbered
+
+#: Rounds after which labels that still change are an error.
+SETTLE_ROUNDS = 100
 
-#: Graphs up to this many edges are solved in one group of one task; larger ones are contracted on executors until they fit.
-ONE_TASK_EDGES = 2_000_000
-#: Turns of moves on executors go on while modularity rises by more.
-RISE = 1e-4
 
 
 def modularity(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, of: np.ndarray, resolution: float = 1.0) -> float:
@@ -82,11 +82,14 @@ def _split(start, index, n, of):
     return part
 
 
-def leiden_arrays(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = 42, rounds: int = 50) -> np.ndarray:
-    """Communities of nodes 0..n-1; edges in both directions. Moves, refines inside communities, aggregates, until nothing moves."""
+def leiden_arrays(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float = 1.0, seed: int = 42, rounds: int = 50, of: np.ndarray | None = None) -> np.ndarray:
+    """Communities of nodes 0..n-1; edges in both directions. Moves, refines inside communities, aggregates, until nothing moves.
+
+    `of` are communities (0 to n - 1) to begin with, by default each node's own.
+    """
     rng = np.random.default_rng(seed)
     node = np.arange(n)  # the current level's node of each original one
-    of = np.arange(n)
+    of = np.arange(n) if of is None else np.array(of)
     for _ in range(rounds):
         m = len(of)
         order = np.argsort(src, kind="stable")
@@ -118,154 +121,48 @@ def canonical(labels: DataFrame) -> DataFrame:
     return labels.join(ranked, "label").select("vec_id", F.col("place").cast("int").alias("cluster_id"))
 
 
-def _in_one_task(edges: DataFrame, solve) -> DataFrame:
-    """(vec_id, label) of a graph solved in one group; `solve` takes (n, src, dst, weight), a label is the smallest member's id."""
-    import pyarrow as pa
-
-    def run(key, t):
-        s, d, w = (t[c].to_numpy() for c in ("src", "dst", "weight"))
-        ids, at = np.unique(np.concatenate([s, d]), return_inverse=True)
-        order = np.lexsort((at[len(s) :], at[: len(s)]))  # whatever order the rows came in
-        of = solve(len(ids), at[: len(s)][order], at[len(s) :][order], w[order].astype(float))
-        _, first, inverse = np.unique(of, return_index=True, return_inverse=True)
-        return pa.table({"vec_id": pa.array(ids, pa.int64()), "label": pa.array(ids[first[inverse]], pa.int64())})
-
-    one = edges.select(F.lit(0).alias("g"), F.col("src").cast("long"), F.col("dst").cast("long"), F.col("weight").cast("double"))
-    return stored(one.groupBy("g").applyInArrow(run, "vec_id long, label long"))
-
-
-def _parts(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return _split(np.searchsorted(src, np.arange(n + 1)), dst, n, np.zeros(n, int))
-
-
-def _half(column: str, turn: int):
-    """0 or 1 for each id, drawn anew in each turn."""
-    return F.xxhash64(F.col(column), F.lit(turn)).bitwiseAND(F.lit(1))
-
+def label_propagation(edges: DataFrame, rounds: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(vec_id, cluster_id) by heaviest neighbouring label, all on executors.
 
-def _strengths(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("src").agg(F.sum("weight").alias("k"))
-
-
-def _stars(edges: DataFrame, turn: int, resolution: float, total: float) -> DataFrame:
-    """(at, label): nodes of one half join the node of the other half by which modularity gains most, if it gains at all."""
-    k = _strengths(edges)
-    across = edges.where((_half("src", turn) == 0) & (_half("dst", turn) == 1))
-    across = across.join(k, "src").join(k.select(F.col("src").alias("dst"), F.col("k").alias("host")), "dst")
-    gain = F.round(F.col("weight") - resolution * F.col("k") * F.col("host") / total, 9)
-    best = across.withColumn("gain", gain).where("gain > 0").groupBy("src").agg(F.max(F.struct("gain", (-F.col("dst")).alias("less"))).alias("b"))
-    return best.select(F.col("src").alias("at"), (-F.col("b.less")).alias("label"))
-
-
-def _contracted(edges: DataFrame, into: DataFrame) -> DataFrame:
-    """The graph after each node `at` became part of `label`: weights between the same two add up, those inside become a loop."""
-    e = edges
-    for c in ("src", "dst"):
-        e = e.join(into.select(F.col("at").alias(c), F.col("label").alias(f"{c}_to")), c, "left").withColumn(c, F.coalesce(f"{c}_to", c)).drop(f"{c}_to")
-    return e.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-
-
-def _moved(edges: DataFrame, labels: DataFrame, turn: int, resolution: float, total: float) -> tuple[DataFrame, float]:
-    """(vec_id, k, label) after the nodes of one half moved to the neighbouring community of largest gain; modularity before it."""
-    mass = stored(labels.groupBy("label").agg(F.sum("k").alias("mass")))
-    own = labels.join(mass, "label").select(F.col("vec_id").alias("src"), "k", F.col("label").alias("own"), F.col("mass").alias("own_mass"))
-    votes = edges.join(labels.select(F.col("vec_id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("src") != F.col("dst"), F.col("weight")).otherwise(0.0)).alias("links"))
-    here = F.col("label") == F.col("own")
-    gain = F.round(F.col("links") - resolution * F.col("k") * (F.col("mass") - F.when(here, F.col("k")).otherwise(0.0)) / total, 9)
-    best = votes.join(mass, "label").join(own, "src").withColumn("gain", gain).groupBy("src", "k", "own", "own_mass")
-    best = best.agg(F.max(F.struct("gain", (-F.col("label")).alias("less"))).alias("b"), F.max(F.when(here, F.col("gain"))).alias("here"), F.sum(F.when(here, F.col("all")).otherwise(0.0)).alias("inside"))
-    stay = F.coalesce("here", -resolution * F.col("k") * (F.col("own_mass") - F.col("k")) / total)
-    go = (F.col("b.gain") > stay + 1e-9) & (_half("src", turn // 2) == turn % 2)
-    new = stored(best.select(F.col("src").alias("vec_id"), "k", F.when(go, -F.col("b.less")).otherwise(F.col("own")).alias("label"), "inside"))
-    inside = new.agg(F.sum("inside")).first()[0]
-    return new.drop("inside"), (inside - resolution * mass.agg(F.sum(F.col("mass") * F.col("mass"))).first()[0] / total) / total
-
-
-def _spread(edges: DataFrame, solve, resolution: float, total: float, one_task: int, seed: int, moves: bool, turn: int = 0) -> DataFrame:
-    """(vec_id, label): nodes are drawn together in stars, again and again, until the graph fits one task, which solves it.
-
-    On the way back the nodes of each graph move, if asked for. Stars follow edges, so what was drawn together is connected. Where
-    all edges lose by being drawn together, each node is a label.
-    """
-    if edges.count() <= one_task:
-        return _in_one_task(edges, solve)
-    labels = edges.select(F.col("src").alias("vec_id")).distinct().withColumn("label", F.col("vec_id"))
-    for turn in range(turn, turn + 4):
-        into = stored(_stars(edges, seed * 1000 + turn, resolution, total))
-        if not into.isEmpty():
-            coarse = _contracted(edges, into)
-            coarse = stored(coarse if moves else coarse.where("src <> dst"))
-            solved = _spread(coarse, solve, resolution, total, one_task, seed, moves, turn + 1).select(F.col("vec_id").alias("at"), F.col("label").alias("of"))
-            at = labels.join(into.withColumnRenamed("at", "vec_id").withColumnRenamed("label", "to"), "vec_id", "left").select("vec_id", F.coalesce("to", "label").alias("at"))
-            labels = at.join(solved, "at", "left").select("vec_id", F.coalesce("of", "at").alias("label"))
-            break
-    return _settled(edges, labels, resolution, total) if moves else stored(labels)
-
-
-def _settled(edges: DataFrame, labels: DataFrame, resolution: float, total: float) -> DataFrame:
-    """`labels` after turns of moves, until modularity no longer rises; the best turn counts."""
-    labels = stored(_strengths(edges).withColumnRenamed("src", "vec_id").join(labels, "vec_id"))
-    best, kept, turn, since = -np.inf, labels, 0, 0
-    while since < 2:
-        new, reached = _moved(edges, labels, turn, resolution, total)
-        since = 0 if reached > best + RISE else since + 1
-        if reached > best:
-            best, kept = reached, labels
-        labels, turn = new, turn + 1
-    return kept.select("vec_id", "label")
-
-
-def _leiden_spread(edges: DataFrame, resolution: float, seed: int, one_task: int) -> DataFrame:
-    """(vec_id, label) of a graph too large for one task; at last connected parts get their own labels."""
-    total = max(edges.agg(F.sum("weight")).first()[0], 1e-12)
-    kept = _spread(edges, lambda n, s, d, w: leiden_arrays(n, s, d, w, resolution, seed), resolution, total, one_task, seed, True)
-    side = lambda c: kept.select(F.col("vec_id").alias(c), F.col("label").alias(f"{c}_of"))
-    inner = stored(edges.join(side("src"), "src").join(side("dst"), "dst").where("src_of = dst_of and src <> dst").select("src", "dst", F.lit(1.0).alias("weight")))
-    parts = _spread(inner, _parts, 0.0, 1.0, one_task, seed, False)
-    return stored(kept.select("vec_id").join(parts, "vec_id", "left").select("vec_id", F.coalesce("label", "vec_id").alias("label")))
-
-
-def leiden(edges: DataFrame, nodes: DataFrame | None = None, resolution: float = 1.0, seed: int = 42, one_task: int | None = None) -> DataFrame:
-    """(vec_id, cluster_id) from symmetric edges (src, dst, weight); `nodes` (vec_id) adds rows without an edge, each its own cluster.
-
-    A graph of at most `one_task` edges (ONE_TASK_EDGES by default) is solved in one group; larger ones are contracted on executors until they fit, and their
-    nodes then move on executors. The result doesn't depend on the order of the edges.
-    """
-    edges = stored(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight")))
-    one_task = ONE_TASK_EDGES if one_task is None else one_task
-    if edges.count() > one_task:
-        solved = _leiden_spread(edges, resolution, seed, one_task)
-    else:
-        solved = _in_one_task(edges, lambda n, s, d, w: leiden_arrays(n, s, d, w, resolution, seed))
-    if nodes is not None:
-        solved = solved.unionByName(nodes.select(F.col("vec_id").cast("long").alias("vec_id")).join(solved.select("vec_id"), "vec_id", "left_anti").withColumn("label", F.col("vec_id")))
-    return canonical(solved)
-
-
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(vec_id, cluster_id) by heaviest neighbouring label, all on executors: for graphs too large for one task.
-
-    Each round is one join and one aggregation; ties go to the smaller label. Rounds end when no label changes.
+    Each round is one join and one aggregation; ties go to the smaller label. With `rounds` so many at most; without, until no label
+    changes or labels go to and fro between two states, of which the first counts, and an error after SETTLE_ROUNDS. `nodes` (vec_id)
+    adds rows without an edge, each its own cluster.
     """
     edges = materialize(edges.select("src", "dst", "weight"))
-    labels = edges.select(F.col("src").alias("vec_id")).distinct().withColumn("label", F.col("vec_id"))
-    for _ in range(rounds):
+    labels, before = edges.select(F.col("src").alias("vec_id")).distinct().withColumn("label", F.col("vec_id")), None
+    for _ in range(SETTLE_ROUNDS if rounds is None else rounds):
         votes = edges.join(labels.withColumnRenamed("vec_id", "dst"), "dst").groupBy("src", "label").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("src").agg(F.max(F.struct("w", (-F.col("label")).alias("less"))).alias("b"))
         new = materialize(best.select(F.col("src").alias("vec_id"), (-F.col("b.less")).alias("label")))
-        changed = not new.join(labels.withColumnRenamed("label", "old"), "vec_id").where("label <> old").isEmpty()
-        labels = new
-        if not changed:
+        same = [not old.isEmpty() and new.join(old.withColumnRenamed("label", "old"), "vec_id").where("label <> old").isEmpty() for old in (labels, before) if old is not None]
+        before, labels = labels, new
+        if any(same):
             break
-    return canonical(labels)
+    else:
+        if rounds is None and not labels.isEmpty():
+            raise AnalysisError("labels did not settle")
+    return canonical(_with_alone(labels, nodes))
 
 
-def power_iteration(edges: DataFrame, k: int | None = None, rounds: int = 20) -> DataFrame:
-    """(vec_id, cluster_id) by power iteration clustering; k is the root of half the number of rows by default, at least 2."""
+def _with_alone(labels: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """labels (vec_id, label) and the rows of `nodes` that have none, each under its own id."""
+    if nodes is None:
+        return labels
+    alone = nodes.select(F.col("vec_id").cast("long").alias("vec_id")).distinct().join(labels.select("vec_id"), "vec_id", "left_anti")
+    return labels.select("vec_id", "label").unionByName(alone.withColumn("label", F.col("vec_id")))
+
+
+def power_iteration(edges: DataFrame, k: int | None = None, rounds: int = 20, nodes: DataFrame | None = None) -> DataFrame:
+    """(vec_id, cluster_id) by power iteration clustering; k is the root of half the number of rows by default, at least 2.
+
+    Rows of `nodes` (vec_id) and of edges that aren't positive have no place in it: each gets a cluster of its own behind the others.
+    """
     from pyspark.ml.clustering import PowerIterationClustering
 
     if k is None:
         k = max(2, int((edges.select("src").distinct().count() / 2) ** 0.5))
     once = edges.where("src < dst and weight > 0")
     found = PowerIterationClustering(k=k, maxIter=rounds, initMode="degree", srcCol="src", dstCol="dst", weightCol="weight").assignClusters(once)
-    return found.select(F.col("id").alias("vec_id"), F.col("cluster").alias("cluster_id"))
+    labels = found.select(F.col("id").alias("vec_id"), (-1 - F.col("cluster").cast("long")).alias("label"))
+    every = edges.select(F.col("src").alias("vec_id"))
+    return canonical(_with_alone(labels, every if nodes is None else every.unionByName(nodes.select("vec_id"))))

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import captions, clusters, community, descent, knn
+from ..operators import captions, clusters, community, descent, knn, leiden
 from ..operators.lineage import stored
 from ..sources import embeddings as sources
 
@@ -20,6 +20,7 @@ class ClusteringConfig:
     neighbours: str = "exact"  # or "descent": approximate, for the cosine, with work that isn't quadratic
     metric: str = "cosine"
     resolution: float = 1.0
+    n_iterations: int = -1  # runs of Leiden; -1: until one brings no rise
     random_state: int = 42
     method: str = "leiden"  # or "power_iteration", "label_propagation"
 
@@ -53,9 +54,10 @@ def build_graph(df: DataFrame, cfg: ClusteringConfig = ClusteringConfig()) -> Da
 def fit_predict(df: DataFrame, cfg: ClusteringConfig = ClusteringConfig()) -> DataFrame:
     """(vec_id, cluster_id)."""
     edges = build_graph(df, cfg)
+    nodes = df.select("vec_id")
     if cfg.method == "leiden":
-        return community.leiden(edges, df.select("vec_id"), cfg.resolution, cfg.random_state)
-    return {"power_iteration": community.power_iteration, "label_propagation": community.label_propagation}[cfg.method](edges)
+        return leiden.leiden(edges, nodes, cfg.resolution, cfg.random_state, cfg.n_iterations)
+    return {"power_iteration": community.power_iteration, "label_propagation": community.label_propagation}[cfg.method](edges, nodes=nodes)
 
 
 def run_from_embeddings(df: DataFrame, cfg: CurationConfig = CurationConfig(), captioner: Callable | None = None, with_captions: bool = True, fabricate_paths: bool = True) -> CurationResult:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import color, names, vectors
 from .operators import cameras as cams
-from .operators import captions, clusters, community, descent, edits, filters, knn, lineage, masks, quality, sampling, temporal, tiles, vignetting
+from .operators import captions, clusters, community, components, descent, edits, filters, knn, leiden, lineage, masks, quality, sampling, temporal, tiles, vignetting
 from .plans import curation, mask_jobs
 from .sources import config, files, frames, png, video
 from .sources import embeddings as encoders
@@ -191,9 +191,40 @@ def knn_descent_recall(spark, sf_dir):
     return descent.recall(descent.top_k_descent(df, leaf=64), exact).select("rows", "expected", (F.col("found") >= 0.9 * F.col("expected")).alias("enough"))
 
 
+ONE_RUN = curation.ClusteringConfig(n_iterations=1)
+
+
 @query()
 def leiden_labels(spark, sf_dir):
-    return curation.fit_predict(embeddings(spark, sf_dir).select("vec_id", "embedding"))
+    return curation.fit_predict(embeddings(spark, sf_dir).select("vec_id", "embedding"), ONE_RUN)
+
+
+@query("SELECT count(*) AS rows, true AS connected, true AS better FROM embeddings")
+def leiden_quality(spark, sf_dir):
+    """Whether the clusters are connected, and their modularity beats that of label propagation."""
+    df = embeddings(spark, sf_dir)
+    edges = lineage.stored(curation.build_graph(df))
+    found = lineage.stored(leiden.leiden(edges, df.select("vec_id"), n_iterations=1).withColumnRenamed("cluster_id", "label"))
+    side = lambda c: found.select(F.col("vec_id").alias(c), F.col("label").alias(f"{c}_of"))
+    inner = edges.join(side("src"), "src").join(side("dst"), "dst").where("src_of = dst_of").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    parts = components.connected_components(inner.unionByName(found.select(F.col("vec_id").alias("u"), F.col("vec_id").alias("v"))))
+    spread = community.label_propagation(edges, 4).withColumnRenamed("cluster_id", "label")
+    reached, other = (leiden.modularity(edges, labels).first()[0] for labels in (found, spread))
+    connected = F.count_distinct("root") == F.count_distinct("label")
+    return parts.join(found, F.col("node") == F.col("vec_id")).agg(F.count("*").alias("rows"), connected.alias("connected")).withColumn("better", F.lit(reached > other))
+
+
+CLIQUE = 20
+
+
+@query(f"WITH g AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY vec_id // {CLIQUE}) AS first, count(*) OVER (PARTITION BY vec_id // {CLIQUE}) AS n FROM embeddings) SELECT vec_id, (dense_rank() OVER (ORDER BY n DESC, first) - 1)::INT AS cluster_id FROM g")
+def leiden_cliques(spark, sf_dir):
+    """Twenty rows in a row all know each other, and weakly the next twenty: these twenties are the clusters."""
+    df = embeddings(spark, sf_dir).select("vec_id")
+    near = df.select("vec_id", F.explode(F.sequence(F.lit(1), F.lit(CLIQUE))).alias("by")).select(F.col("vec_id").alias("src"), (F.col("vec_id") + F.col("by")).alias("dst"))
+    near = near.join(df.withColumnRenamed("vec_id", "dst"), "dst").withColumn("weight", F.when(F.expr(f"src DIV {CLIQUE} = dst DIV {CLIQUE}"), 1.0).otherwise(0.02))
+    edges = near.select("src", "dst", "weight").unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return leiden.leiden(edges, df, resolution=4.0, n_iterations=1)
 
 
 @query()
@@ -216,7 +247,7 @@ def propagation_labels(spark, sf_dir):
 
 @query()
 def curation_run(spark, sf_dir):
-    r = curation.run_from_embeddings(embeddings(spark, sf_dir).select("vec_id", "embedding"))
+    r = curation.run_from_embeddings(embeddings(spark, sf_dir).select("vec_id", "embedding"), curation.CurationConfig(clustering=ONE_RUN))
     return r.clusters.join(r.captions.drop("representative_path"), "cluster_id", "left").select("cluster_id", "size", "representative_idx", "is_micro_cluster", "is_low_density", "caption")
 
 

@@ -6,7 +6,7 @@ from hypothesis.extra.numpy import arrays
 from pyspark.sql import functions as F
 
 from scene_analytics.functions import names
-from scene_analytics.operators import cameras, captions, clusters, community, edits, filters, knn, masks, quality, sampling, temporal, vignetting
+from scene_analytics.operators import cameras, captions, clusters, community, edits, filters, knn, leiden, masks, quality, sampling, temporal, vignetting
 from scene_analytics.operators.errors import AnalysisError
 from scene_analytics.plans import cli, curation, mask_jobs
 from scene_analytics.sources import config, embeddings, frames, png
@@ -191,8 +191,8 @@ def test_leiden_finds_planted_groups_and_is_stable(spark):
     n, s, d, of = planted()
     edges = spark.createDataFrame([(int(a), int(b), 1.0) for a, b in zip(s, d, strict=True)], "src long, dst long, weight double")
     nodes = spark.range(n + 2).withColumnRenamed("id", "vec_id")
-    labels = community.leiden(edges, nodes)
-    again = community.leiden(edges.orderBy(F.rand(5)), nodes)
+    labels = leiden.leiden(edges, nodes)
+    again = leiden.leiden(edges.orderBy(F.rand(5)), nodes)
     assert sorted(map(tuple, labels.collect())) == sorted(map(tuple, again.collect()))
     truth = spark.createDataFrame([(i, int(c)) for i, c in enumerate(of)], "vec_id long, label int")
     r = curation.quality(labels, truth).first()

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from scene_analytics.operators import community, sampling
+from scene_analytics.operators import community, leiden, sampling
 from scene_analytics.operators.lineage import numbered
 from scene_analytics.operators.percentile import exact_percentile
 from scene_analytics.sources import embeddings
@@ -70,7 +70,7 @@ def test_communities_reach_the_planted_modularity(spark):
     n, size, edges = _graph()
     df = spark.createDataFrame([(a, b, 1.0) for a, b in edges] + [(b, a, 1.0) for a, b in edges], "src long, dst long, weight double")
     planted = _modularity(edges, {i: i // size for i in range(n)})
-    for solve, share in ((community.leiden, 0.99), (community.label_propagation, 0.8), (lambda e: community.power_iteration(e, 6), 0.5)):
+    for solve, share in ((leiden.leiden, 0.99), (community.label_propagation, 0.8), (lambda e: community.power_iteration(e, 6), 0.5)):
         of = {r.vec_id: r.cluster_id for r in solve(df).collect()}
         assert len(of) == n and _modularity(edges, of) >= share * planted
     assert sorted(set(of.values())) == list(range(len(set(of.values()))))
