@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import captions, clusters, community, descent, knn, leiden
+from ..operators import captions, clusters, community, descent, knn, leiden, spectral
 from ..operators.lineage import stored
 from ..sources import embeddings as sources
 
@@ -22,7 +22,7 @@ class ClusteringConfig:
     resolution: float = 1.0
     n_iterations: int = -1  # runs of Leiden; -1: until one brings no rise
     random_state: int = 42
-    method: str = "leiden"  # or "power_iteration", "label_propagation"
+    method: str = "leiden"  # or "spectral", "power_iteration", "label_propagation"
 
 
 @dataclass(frozen=True)
@@ -57,6 +57,8 @@ def fit_predict(df: DataFrame, cfg: ClusteringConfig = ClusteringConfig()) -> Da
     nodes = df.select("vec_id")
     if cfg.method == "leiden":
         return leiden.leiden(edges, nodes, cfg.resolution, cfg.random_state, cfg.n_iterations)
+    if cfg.method == "spectral":
+        return spectral.spectral(edges, nodes=nodes, seed=cfg.random_state)
     return {"power_iteration": community.power_iteration, "label_propagation": community.label_propagation}[cfg.method](edges, nodes=nodes)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import color, names, vectors
 from .operators import cameras as cams
-from .operators import captions, clusters, community, components, descent, edits, filters, knn, leiden, lineage, masks, quality, sampling, temporal, tiles, vignetting
+from .operators import captions, clusters, community, components, descent, edits, filters, knn, leiden, lineage, masks, quality, sampling, spectral, temporal, tiles, vignetting
 from .plans import curation, mask_jobs
 from .sources import config, files, frames, png, video
 from .sources import embeddings as encoders
@@ -219,12 +219,31 @@ CLIQUE = 20
 
 @query(f"WITH g AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY vec_id // {CLIQUE}) AS first, count(*) OVER (PARTITION BY vec_id // {CLIQUE}) AS n FROM embeddings) SELECT vec_id, (dense_rank() OVER (ORDER BY n DESC, first) - 1)::INT AS cluster_id FROM g")
 def leiden_cliques(spark, sf_dir):
-    """Twenty rows in a row all know each other, and weakly the next twenty: these twenties are the clusters."""
+    """The twenties of `_cliques` are the clusters."""
+    df, edges = _cliques(spark, sf_dir)
+    return leiden.leiden(edges, df, resolution=4.0, n_iterations=1)
+
+
+def _cliques(spark, sf_dir):
+    """Twenty rows in a row all know each other, and weakly the next twenty."""
     df = embeddings(spark, sf_dir).select("vec_id")
     near = df.select("vec_id", F.explode(F.sequence(F.lit(1), F.lit(CLIQUE))).alias("by")).select(F.col("vec_id").alias("src"), (F.col("vec_id") + F.col("by")).alias("dst"))
     near = near.join(df.withColumnRenamed("vec_id", "dst"), "dst").withColumn("weight", F.when(F.expr(f"src DIV {CLIQUE} = dst DIV {CLIQUE}"), 1.0).otherwise(0.02))
-    edges = near.select("src", "dst", "weight").unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    return leiden.leiden(edges, df, resolution=4.0, n_iterations=1)
+    return df, near.select("src", "dst", "weight").unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+@query(ORACLES["leiden_cliques"])
+def spectral_cliques(spark, sf_dir):
+    df, edges = _cliques(spark, sf_dir)
+    return spectral.spectral(edges, -(-df.count() // CLIQUE), df)
+
+
+@query("SELECT unnest(range(1, 9))::INT AS component, true AS falling, true AS settled FROM (SELECT count(*) AS n FROM embeddings) WHERE n >= 8")
+def spectral_residuals(spark, sf_dir):
+    """Whether the eight largest eigenvalues of the neighbours' graph fall, from one, and A x is as near to e x as it has to be."""
+    _, values, residual = spectral.eigenvectors(curation.build_graph(embeddings(spark, sf_dir)), 8)
+    falls = [abs(values[0] - 1) < 1e-9, *(bool(a >= b) for a, b in zip(values, values[1:], strict=False))]
+    return spark.createDataFrame([(i, f, bool(r <= spectral.TOLERANCE)) for i, (f, r) in enumerate(zip(falls, residual, strict=True), 1)], "component int, falling boolean, settled boolean")
 
 
 @query()
