@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are TF-IDF vectors over the benchmark's terms, weighted by how many passages of the corpus hold them. A distributed
-randomised SVD of the benchmark's passages gives a latent space with a dimension for each item. An exact bound leaves out windows of
-a document that cannot hold an item; the others are projected into the space and taken by falling cosine with the item, whatever it
-is. The longest common subsequence of words and a check of the item's answer settle them.
+randomised SVD of the benchmark's passages gives a latent space of far fewer dimensions than there are passages: what a document's
+window has in common with them remains in it, the words around hardly do. Windows whose cosine with a passage reaches a floor are
+candidates for its item; the longest common subsequence of words and a check of the item's answer settle them, by falling cosine.
+Items that the space hardly holds, or that are shorter than half a window, are found by an exact bound on counts of words.
 """
 
 from __future__ import annotations
@@ -24,8 +25,14 @@ COMMON, RAREST = 0.05, 8
 #: An item is found where its words' longest common subsequence with the place reaches SURE of them, or LIKELY with the answer; one
 #: of fewer than MIN_WORDS words where all of them stand together.
 SURE, LIKELY, ANSWER_WORDS, MIN_WORDS = 0.8, 0.6, 4, 5
-#: Items of one space, about, and so its rank; spaces whose words are counted, and which are searched, in one pass over the documents.
+#: Items of one space, about; spaces whose words are counted, and which are searched, in one pass over the documents.
 ITEMS, SPACES = 256, 16
+#: Dimensions of a space at most, and passages for each dimension at least.
+RANK, PER_DIMENSION = 96, 2
+#: A window is a candidate where its cosine with a passage reaches FLOOR and its part along it PART of the passage's own length.
+FLOOR, PART = 0.65, 0.2
+#: Items of fewer words than a block, or with a passage of which the space holds a smaller share than HELD, are found by the exact bound.
+HELD = 0.1
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 
@@ -65,15 +72,18 @@ class Items:
     texts: list[list[int]]
     answers: list[list[int]]
     basis: np.ndarray  # terms x rank, weighted; zero rows for terms that don't count
-    latent: np.ndarray  # items x rank, unit length
-    counted: np.ndarray  # terms x items, 0 or 1: terms of the item whose words are counted; all its others are taken for found
-    need: np.ndarray  # of each item: counted words that a place must hold to be LIKELY
+    latent: np.ndarray  # passages x rank, unit length
+    length: np.ndarray  # of each passage in the space
+    of: np.ndarray  # the item of each passage
+    exact: np.ndarray  # items that are found by the bound
+    counted: np.ndarray  # terms x exact items, 0 or 1: terms of the item whose words are counted; all its others are taken for found
+    need: np.ndarray  # of each exact item: counted words that a place must hold to be LIKELY
 
     def __post_init__(self) -> None:
         self.members = [frozenset(t) for t in self.texts]
         # Eight items' counts side by side in a number: a block's are at most BLOCK.
-        self.packed = np.pad(self.counted, ((0, 0), (0, -len(self.texts) % 8))).view(np.uint64)
-        self.reach = np.array([-(-len(t) // BLOCK) for t in self.texts], np.int64)
+        self.packed = np.pad(self.counted, ((0, 0), (0, -len(self.exact) % 8))).view(np.uint64)
+        self.reach = np.array([-(-len(self.texts[i]) // BLOCK) for i in self.exact], np.int64)
         self.least = [least_words(len(t)) for t in self.texts]
 
 
@@ -190,24 +200,98 @@ def prepare(docs: DataFrame, rows: list, text: str, item_id: str, item_text: str
     return spaces
 
 
+def passages_of(t: list[int]) -> list[list[int]]:
+    """Half-overlapping stretches of two blocks of an item's words; a short item is one."""
+    return [t[i : i + 2 * BLOCK] for i in range(0, max(len(t) - BLOCK, 1), BLOCK)]
+
+
 def space(spark: SparkSession, ids: list, terms: dict[bytes, int], texts: list[list[int]], answers: list[list[int]], df: np.ndarray, total: int) -> Items:
-    """The latent space of some items; `df` of `total` passages of the corpus hold each term."""
+    """The latent space of some items' passages; `df` of `total` passages of the corpus hold each term."""
+    import pyarrow as pa
+
     idf = np.log((1 + total) / (1 + df)) + 1e-3
     counts = np.zeros(len(terms), bool)
     counts[df <= COMMON * max(total, 1)] = True
     for t in texts:
         counts[sorted(set(t), key=lambda x: (-idf[x], x))[:RAREST]] = True
     idf[~counts] = 0
-    rarest = [(sorted(set(t)), t) for t in texts]
-    passages = [([x for x in s if idf[x]], [float(idf[x] * t.count(x)) for x in s if idf[x]]) for s, t in rarest]
-    basis = randomised_svd(spark.createDataFrame(passages, "term array<int>, weight array<double>"), len(terms), max(1, len(texts))) * idf[:, None]
-    latent = np.array([sum((basis[x] for x in t), np.zeros(basis.shape[1])) for t in texts]).reshape(len(texts), basis.shape[1])
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
-    return Items(ids, terms, texts, answers, basis.astype(np.float32), latent.astype(np.float32), *bounds(texts, df / max(total, 1)))
+    cut = [(i, p) for i, t in enumerate(texts) for p in passages_of(t)]
+    of = np.array([i for i, _ in cut], np.int64)
+
+    def weighted(batches):
+        for b in batches:
+            rows = [np.unique([x for x in p if idf[x]], return_counts=True) for t in b.column(0).to_pylist() for p in passages_of(t)]
+            yield pa.RecordBatch.from_pydict({"term": pa.array([t.tolist() for t, _ in rows], pa.list_(pa.int32())), "weight": pa.array([(n * idf[t.astype(int)]).tolist() for t, n in rows], pa.list_(pa.float64()))})
+
+    words = spark.createDataFrame([(t,) for t in texts], "words array<int>")
+    rank = max(1, min(RANK, len(cut) // PER_DIMENSION))
+    basis = randomised_svd(words.mapInArrow(weighted, "term array<int>, weight array<double>"), len(terms), rank) * idf[:, None]
+    latent = np.array([basis[p].sum(0) for _, p in cut]).reshape(len(cut), -1)
+    length = np.linalg.norm(latent, axis=1)
+    whole = np.array([np.sqrt((np.bincount(p, minlength=1)[list(set(p))] ** 2 * idf[list(set(p))] ** 2).sum()) for _, p in cut])
+    held = np.ones(len(texts))
+    np.minimum.at(held, of, length / np.maximum(whole, 1e-12))
+    exact = np.array([i for i, t in enumerate(texts) if held[i] < HELD or len(t) < BLOCK], np.int64)
+    latent = latent / np.maximum(length[:, None], 1e-12)
+    return Items(ids, terms, texts, answers, basis.astype(np.float32), latent.astype(np.float32), length.astype(np.float32), of, exact, *bounds([texts[i] for i in exact], df / max(total, 1)))
+
+
+def _counted(items: Items, block: np.ndarray, term: np.ndarray, a: int, b: int, n_blocks: int) -> np.ndarray:
+    """(windows a to b) x (exact items): whether the blocks that a place's region touches hold as many words as the item needs.
+
+    Words of a neighbouring text do no harm.
+    """
+    halo = int(items.reach.max()) + 2
+    a0, b0 = max(0, a - halo), min(n_blocks, b + halo)
+    lo, hi = np.searchsorted(block, [a0, b0])
+    possible = np.zeros((b - a, len(items.exact)), bool)
+    if hi == lo:
+        return possible
+    held = np.zeros((b0 - a0 + 1, len(items.exact)), np.int32)
+    at, first = np.unique(block[lo:hi], return_index=True)
+    held[at - a0 + 1] = np.add.reduceat(items.packed[term[lo:hi]], first, axis=0).view(np.uint8)[:, : len(items.exact)]
+    held = np.cumsum(held, axis=0, dtype=np.int32)
+    for r in np.unique(items.reach):
+        own, w = np.flatnonzero(items.reach == r), np.arange(a, b)
+        mine = np.ascontiguousarray(held[:, own])
+        possible[:, own] = mine[np.minimum(w + 2 + r, b0) - a0] - mine[np.maximum(w - r, a0) - a0] >= items.need[own]
+    return possible
+
+
+def _candidates(items: Items, term: np.ndarray, block: np.ndarray, c_term: np.ndarray, c_block: np.ndarray, starts: np.ndarray, last: np.ndarray, n_blocks: int, chunk: int) -> dict[tuple[int, int], list[tuple[float, int]]]:
+    """For each (text, item) the windows to be looked at: cosine and word."""
+    near: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    for a in range(0, n_blocks, chunk):
+        b = min(n_blocks, a + chunk)
+        sums = np.zeros((b + 1 - a, items.basis.shape[1]), np.float32)
+        lo, hi = np.searchsorted(block, [a, b + 1])
+        if hi > lo:
+            at, first = np.unique(block[lo:hi], return_index=True)
+            sums[at - a] = np.add.reduceat(items.basis[term[lo:hi]], first, axis=0)
+        window = sums[:-1] + np.where(last[a:b, None], 0, sums[1:])
+        size = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-6)
+        along = window @ items.latent.T
+        at_window, passage = np.nonzero(along >= np.maximum(FLOOR * size[:, None], PART * items.length[None]))
+        cosines = along[at_window, passage] / size[at_window]
+        pairs: dict[tuple[int, int], float] = {}
+        for w, i, cosine in zip(at_window.tolist(), items.of[passage].tolist(), np.round(cosines.astype(float), 4).tolist(), strict=True):
+            pairs[w, i] = max(cosine, pairs.get((w, i), -1.0))
+        if len(items.exact):
+            for w, e in np.argwhere(_counted(items, c_block, c_term, a, b, n_blocks)).tolist():
+                i = int(items.exact[e])
+                if (w, i) not in pairs:
+                    pairs[w, i] = round(float((along[w, items.of == i] / size[w]).max(initial=-1.0)), 4)
+        docs_at = np.searchsorted(starts, [a + w for w, _ in pairs], side="right") - 1
+        for ((w, i), cosine), doc in zip(pairs.items(), docs_at.tolist(), strict=True):
+            near.setdefault((doc, i), []).append((cosine, (a + w - int(starts[doc])) * BLOCK))
+    return near
 
 
 def search(items: Items, texts: list[bytes], chunk: int = 4096) -> list[list[dict]]:
-    """For each text the items found in it: item_id, similarity (share of the item's words in sequence), cosine, word (place)."""
+    """For each text the items found in it: item_id, similarity (share of the item's words in sequence), cosine, word (place).
+
+    Of several places that match, the one of largest cosine, to four digits, counts, and of these the first.
+    """
     find = items.terms.get
     ids, blocks, starts, n_blocks = [], [], [], 0
     for data in texts:
@@ -223,46 +307,13 @@ def search(items: Items, texts: list[bytes], chunk: int = 4096) -> list[list[dic
     term, block = term[term >= 0], block[term >= 0]
     counts = items.counted.any(axis=1)[term]
     c_term, c_block = term[counts], block[counts]
+    weighs = np.any(items.basis, axis=1)[term]
+    term, block = term[weighs], block[weighs]
     starts = np.array(starts)
     last = np.zeros(n_blocks, bool)
     last[[s + -(-len(x) // BLOCK) - 1 for s, x in zip(starts, ids, strict=True) if len(x)]] = True
-    near: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    near = _candidates(items, term, block, c_term, c_block, starts, last, n_blocks, chunk)
     lists: dict[int, list[int]] = {}
-    halo = int(items.reach.max()) + 2
-    for a in range(0, n_blocks, chunk):
-        b = min(n_blocks, a + chunk)
-        # A place may hold an item if the blocks that its region touches have the words; those of a neighbouring text do no harm.
-        a0, b0 = max(0, a - halo), min(n_blocks, b + halo)
-        lo, hi = np.searchsorted(c_block, [a0, b0])
-        if hi == lo:
-            continue
-        held = np.zeros((b0 - a0 + 1, len(items.texts)), np.int32)
-        at, first = np.unique(c_block[lo:hi], return_index=True)
-        held[at - a0 + 1] = np.add.reduceat(items.packed[c_term[lo:hi]], first, axis=0).view(np.uint8)[:, : len(items.texts)]
-        held = np.cumsum(held, axis=0, dtype=np.int32)
-        possible = np.zeros((b - a, len(items.texts)), bool)
-        for r in np.unique(items.reach):
-            own, w = np.flatnonzero(items.reach == r), np.arange(a, b)
-            mine = np.ascontiguousarray(held[:, own])
-            possible[:, own] = mine[np.minimum(w + 2 + r, b0) - a0] - mine[np.maximum(w - r, a0) - a0] >= items.need[own]
-        at_window, at_item = np.nonzero(possible)
-        if not len(at_window):
-            continue
-        live, row = np.unique(at_window, return_inverse=True)
-        sums = np.zeros((b + 1 - a, items.basis.shape[1]), np.float32)
-        wanted = np.zeros(b + 1 - a, bool)
-        wanted[live] = wanted[live + 1] = True
-        lo, hi = np.searchsorted(block, [a, b + 1])
-        mine = wanted[block[lo:hi] - a]
-        if mine.any():
-            at, first = np.unique(block[lo:hi][mine], return_index=True)
-            sums[at - a] = np.add.reduceat(items.basis[term[lo:hi][mine]], first, axis=0)
-        window = sums[live] + np.where(last[a + live][:, None], 0, sums[live + 1])
-        size = np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-6)
-        cosines = np.einsum("ij,ij->i", window[row], items.latent[at_item]) / size[row] if len(row) < 20_000 else ((window / size[:, None]) @ items.latent.T)[row, at_item]
-        docs_at = np.searchsorted(starts, a + at_window, side="right") - 1
-        for doc, i, cosine, at in zip(docs_at.tolist(), at_item.tolist(), cosines.tolist(), ((a + at_window - starts[docs_at]) * BLOCK).tolist(), strict=True):
-            near.setdefault((doc, i), []).append((cosine, at))
     for (doc, i), places in near.items():
         t, best, n, least = items.texts[i], None, len(items.texts[i]), items.least[i]
         held, spare = items.members[i], n - len(items.members[i])
@@ -279,7 +330,7 @@ def search(items: Items, texts: list[bytes], chunk: int = 4096) -> list[list[dic
                 runs.append([])
             runs[-1].append(place)
         places = [p for run in runs if len(run) == 1 or may_reach(run[0][1] - n, run[-1][1] + 2 * BLOCK + n) for p in run]
-        for cosine, at in sorted(places, reverse=True):
+        for cosine, at in sorted(places, key=lambda p: (-p[0], p[1])):
             lo, hi = max(0, at - n), at + 2 * BLOCK + n
             if not may_reach(lo, hi):
                 continue

@@ -153,10 +153,49 @@ def test_bounds_hold_for_any_place():
             assert counted[place, i].sum(dtype=int) >= need[i]
 
 
-def test_space_holds_every_item_of_a_pass(spark):
-    rng = random.Random(8)
-    words = [f"w{i}" for i in range(900)]
-    items = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(900)], k=rng.choice([8, 60])))) for i in range(200)]
-    docs = spark.createDataFrame([(i, t) for i, t in items], "doc_id long, text string")
-    space, = dc.prepare(docs, spark.createDataFrame(items, "item_id long, text string").collect(), "text", "item_id", "text", None)
-    assert np.linalg.matrix_rank(space.latent, tol=1e-3) == 200
+def paraphrases():
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}{c}{e}" for a in "bdfgklmprtvz" for b in "aeiou" for c in ("n", "st", "r", "lm", "ck", "p", "s") for e in "aeiou"]
+    weights = [1 / (i + 2) for i in range(len(vocabulary))]
+    text = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [(i, text(n)) for i, n in enumerate((8, 30, 60, 120) * 25)]
+    docs, want = [], set()
+    for j, (i, t) in enumerate([x for x in items for _ in range(3)]):
+        w, body = list(t), text(rng.randrange(1, 500))
+        for k in rng.sample(range(len(w) - dc.ANSWER_WORDS), int((0, 0.2, 0.35)[j % 3] * (len(w) - dc.ANSWER_WORDS))):
+            w[k] = rng.choice(vocabulary)
+        at = rng.randrange(len(body) + 1)
+        docs.append((j, " ".join(body[:at] + w + body[at:])))
+        if dc.lcs(t, w) >= dc.LIKELY * len(t):
+            want.add((j, i))
+    return [(i, " ".join(t)) for i, t in items], docs, want
+
+
+def test_the_space_selects(spark, monkeypatch):
+    """Of far fewer dimensions than passages, it finds nearly all; another basis of as many loses matches, none finds short items only."""
+    items, docs, want = paraphrases()
+    a = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = spark.createDataFrame(items, "item_id long, text string").collect()
+    texts, real = [t.encode() for _, t in docs], dc.randomised_svd
+
+    def found(basis):
+        monkeypatch.setattr(dc, "randomised_svd", basis)
+        (space,) = dc.prepare(a, rows, "text", "item_id", "text", None)
+        return space, {(j, x["item_id"]) for j, hits in enumerate(dc.search(space, texts)) for x in hits}
+
+    space, got = found(real)
+    assert space.basis.shape[1] <= dc.RANK < len(space.of) / 2 and {len(space.texts[i]) for i in space.exact} == {8}
+    assert len(got & want) >= 0.98 * len(want)
+    _, other = found(lambda p, n, rank, seed=7: np.linalg.qr(np.random.default_rng(3).normal(size=(n, rank)))[0])
+    assert len(other & want) < 0.95 * len(want)
+    monkeypatch.setattr(dc, "HELD", 0.0)
+    _, none = found(lambda p, n, rank, seed=7: np.zeros((n, rank)))
+    assert {len(rows[i].text.split()) for _, i in none} == {8}
+
+
+def test_of_equal_places_the_first_counts(spark):
+    items, _, _ = planted()
+    w = items[5][1]
+    found = dc.find_leaks(spark.createDataFrame([(1, f"{'ban ' * 64}{w} {'ban ' * 256}")] + [(2, f"{'ban ' * 64}{(w + ' ban' * (128 - len(w.split())) + ' ') * 4}")], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    places = {r.doc_id: r.leaks[0]["word"] for r in found.collect()}
+    assert places[1] == places[2] and abs(places[1] - 64) <= 2 * dc.BLOCK
