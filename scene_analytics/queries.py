@@ -242,7 +242,7 @@ def spectral_cliques(spark, sf_dir):
 def spectral_residuals(spark, sf_dir):
     """Whether the eight largest eigenvalues of the neighbours' graph fall, from one, and A x is as near to e x as it has to be."""
     _, values, residual = spectral.eigenvectors(curation.build_graph(embeddings(spark, sf_dir)), 8)
-    falls = [abs(values[0] - 1) < 1e-9, *(bool(a >= b) for a, b in zip(values, values[1:], strict=False))]
+    falls = [bool(abs(values[0] - 1) < 1e-9), *(bool(a >= b) for a, b in zip(values, values[1:], strict=False))]
     return spark.createDataFrame([(i, f, bool(r <= spectral.TOLERANCE)) for i, (f, r) in enumerate(zip(falls, residual, strict=True), 1)], "component int, falling boolean, settled boolean")
 
 
