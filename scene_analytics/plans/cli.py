@@ -75,8 +75,9 @@ def run_mask(spark: SparkSession, a: argparse.Namespace) -> int:
         seen = video.metadata(spark.createDataFrame([(a.input,)], "path string")).first() if frames.is_video(a.input) else None
         if a.verbose and seen is not None and seen.error is None:
             print(f"{stem_of(a.input)}: {seen.frame_count} frames of {seen.width} x {seen.height}")
-        source = frames.open_source(spark, a.input, not frames.is_video(a.input), plugged(a.decoder), camera_id=a.camera)
-        found = mask_jobs.single(spark, source, None if known.isEmpty() else known, whole, a.samples, a.threshold, not a.no_vignetting)
+        n = mask_jobs.sample_count(whole, a.samples)
+        source = frames.sampled_source(spark, a.input, not frames.is_video(a.input), n, plugged(a.decoder), a.camera)
+        found = mask_jobs.single(spark, source, None if known.isEmpty() else known, whole, n, a.threshold, not a.no_vignetting, sampled=True)
         mask_jobs.save(found, a.output, a.save_intermediate, stem_of(a.input))
         return 0
     except (AnalysisError, config.ConfigError, PySparkException, RuntimeError, OSError) as e:
@@ -109,9 +110,10 @@ def run_batch(spark: SparkSession, a: argparse.Namespace, progress: Callable[[in
         if a.verbose:
             print(f"{name}: camera {r.camera_id}")
         try:
-            source = frames.open_source(spark, r.file_path, not frames.is_video(r.file_path), plugged(a.decoder), camera_id=r.camera_id or name)
+            n = mask_jobs.sample_count(whole, a.samples)
+            source = frames.sampled_source(spark, r.file_path, not frames.is_video(r.file_path), n, plugged(a.decoder), r.camera_id or name)
             own = None if r.camera_id is None else cameras.where(cameras["camera_id"] == r.camera_id)
-            mask_jobs.save(mask_jobs.single(spark, source, own, whole, a.samples, a.threshold, not a.no_vignetting), f"{a.output}/{name}", a.save_intermediate)
+            mask_jobs.save(mask_jobs.single(spark, source, own, whole, n, a.threshold, not a.no_vignetting, sampled=True), f"{a.output}/{name}", a.save_intermediate)
         except (AnalysisError, PySparkException, RuntimeError, OSError) as e:
             print(f"{name} failed: {e}")
             failed += 1

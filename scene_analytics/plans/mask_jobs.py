@@ -29,11 +29,14 @@ def settings_of(wholes: DataFrame, variance_threshold: float | None = None, kern
     return wholes.withColumns({"variance_threshold": t, "kernel_size": k}).drop("morphology_kernel_size")
 
 
-def single(spark: SparkSession, frames: DataFrame, cameras: DataFrame | None = None, whole: DataFrame | None = None, samples: int | None = None, threshold: float | None = None, include_vignetting: bool = True) -> dict[str, DataFrame]:
-    """Masks of one camera's frames (camera_id, frame_idx, height, width, n_channels, data), by tiles."""
-    n = samples or (whole.first().frame_sample_count if whole is not None else 100)
+def sample_count(whole: DataFrame | None, samples: int | None = None) -> int:
+    return samples or (whole.first().frame_sample_count if whole is not None else 100)
+
+
+def single(spark: SparkSession, frames: DataFrame, cameras: DataFrame | None = None, whole: DataFrame | None = None, samples: int | None = None, threshold: float | None = None, include_vignetting: bool = True, sampled: bool = False) -> dict[str, DataFrame]:
+    """Masks of one camera's frames (camera_id, frame_idx, height, width, n_channels, data), by tiles; `sampled` frames are taken all."""
     t, r = settings(whole, threshold)
-    found = tiles.analyze(source.to_tiles(sampling.sample_frames(frames, n)), t)
+    found = tiles.analyze(source.to_tiles(frames if sampled else sampling.sample_frames(frames, sample_count(whole, samples))), t)
     return masks.generate_from(found, cameras, include_vignetting, r)
 
 
