@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import color, names, vectors
 from .operators import cameras as cams
-from .operators import captions, clusters, community, components, descent, edits, filters, knn, leiden, lineage, masks, quality, sampling, spectral, temporal, tiles, vignetting
+from .operators import captions, clusters, community, components, descent, edits, filters, halo, knn, leiden, lineage, masks, quality, regions, sampling, spectral, temporal, tiles, vignetting
 from .plans import curation, mask_jobs
 from .sources import config, files, frames, png, video
 from .sources import embeddings as encoders
@@ -640,6 +640,34 @@ def mask_generation(spark, sf_dir):
     return masks.generate(pixels(spark, sf_dir), refine_cfg=masks.RefineConfig(min_area=50))["final"]
 
 
+# --- the same over tiles: no group holds an image ------------------------------------------------------------------------------------------
+
+
+@query(ORACLES["fill_holes"])
+def fill_holes_tiled(spark, sf_dir):
+    return regions.fill_holes(blobs(spark, sf_dir), 16)
+
+
+@query(ORACLES["remove_small_regions"])
+def remove_small_tiled(spark, sf_dir):
+    return regions.remove_small(blobs(spark, sf_dir), 8, 16)
+
+
+@query(ORACLES["mask_close"])
+def mask_close_tiled(spark, sf_dir):
+    return halo.morphology(_static(spark, sf_dir), "close", size=16)
+
+
+@query(ORACLES["gaussian_smooth"])
+def gaussian_smooth_tiled(spark, sf_dir):
+    return halo.smooth_boundary(_static(spark, sf_dir), size=16)
+
+
+@query(ORACLES["refined_mask"])
+def refined_mask_tiled(spark, sf_dir):
+    return halo.refine(lineage.stored(_static(spark, sf_dir)), masks.RefineConfig(min_area=50), 16)
+
+
 # --- sampling -----------------------------------------------------------------------------------------------------------------------
 
 
