@@ -16,6 +16,7 @@ from .operators import captions, clusters, community, components, descent, edits
 from .plans import curation, mask_jobs
 from .sources import config, files, frames, png, video
 from .sources import embeddings as encoders
+from .streaming import tile_state
 from .streaming import variance as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1071,10 +1072,21 @@ def streamed_mask(spark, sf_dir):
     """The state of a stream of the recording's pixels after its last file."""
     folder = _folder(spark)
     recording(spark, sf_dir).repartition(4).write.parquet(f"{folder}/pixels")
-    name = f"streamed_{uuid.uuid4().hex}"
     running = streaming.running_mask(streaming.stream_pixels(spark, f"{folder}/pixels"), 5000.0)
-    running.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
-    return spark.table(name)
+    put = lambda df, batch: df.write.mode("overwrite").parquet(f"{folder}/mask")  # noqa: E731 - the state so far, in shared storage
+    running.writeStream.outputMode("complete").foreachBatch(put).trigger(availableNow=True).option("checkpointLocation", f"{folder}/state").start().awaitTermination()
+    return spark.read.parquet(f"{folder}/mask")
+
+
+@query(ORACLES["streamed_mask"])
+def streamed_tiles(spark, sf_dir):
+    """The same mask from a stream of tiles with keyed state and a file sink."""
+    folder = _folder(spark)
+    cut = tiles.from_pixels(recording(spark, sf_dir), 4).withColumn("at", F.timestamp_seconds("frame_idx"))
+    cut.repartition(4).write.parquet(f"{folder}/tiles")
+    sums = tile_state.running_sums(tile_state.stream_tiles(spark, f"{folder}/tiles"), "1000 days")
+    tile_state.write_sums(sums, f"{folder}/sums", f"{folder}/state", available_now=True).awaitTermination()
+    return tile_state.masks_of(tile_state.latest(spark, f"{folder}/sums"), 5000.0)
 
 
 def _strokes(spark, sf_dir, *after: str) -> DataFrame:
