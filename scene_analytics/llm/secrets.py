@@ -30,6 +30,8 @@ TRAILING, LEAST = ".,;:)]}>", 8
 #: Whole words, or parts of names joined by marks.
 CUES = r"(?i)(?<![a-z])(pass(word|wd|phrase)?|pwd|secret|token|api_?key|api|key|auth|bearer|credentials?|private|access|(api|auth|access|secret)_?(key|token))(?![a-z])"
 HARMLESS = r"(?i)(?<![a-z])(sha(1|256|384)?|md5|hash|commit|digest|checksum|etag|integrity|uuid|guid|request|order|invoice|card|phone|isbn|version|build|file|image|asset|example|sample|dummy|placeholder)(?![a-z])"
+#: What is an address and not a word beside the candidate.
+ADDRESS = r"[^\s\"'<>]+@[^\s\"'<>]+|[A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>]+|www\.[^\s\"'<>]+"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|specs?|examples?|samples?|mocks?|fixtures?|docs?|demos?)([/_.-]|$)"
 CONFIG_PATH = r"(?i)(\.env|\.ya?ml|\.properties|\.ini|\.toml|\.tfvars|config|settings|deploy|secrets?|credentials)"
 #: English words of identifiers, known beside the corpus's own.
@@ -114,6 +116,7 @@ def features(lexicon: Lexicon) -> dict[str, Column]:
     """FEATURES of rows (token, before, after, path, covered); before, after: the words around the candidate."""
     token = F.col("token")
     before, after, path = (F.coalesce(c, F.lit("")) for c in ("before", "after", "path"))
+    beside = F.regexp_replace(before, ADDRESS, " ")
     n = F.greatest(F.length(token), F.lit(1))
     share = lambda pattern: F.length(F.regexp_replace(token, pattern, "")) / n
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[^A-Za-z0-9]", "-"), "[0-9]", "0"), "[A-Z]", "A"), "[a-z]", "a")
@@ -139,10 +142,10 @@ def features(lexicon: Lexicon) -> dict[str, Column]:
         "testing": flag(path.rlike(TEST_PATH)),
         "configured": flag(path.rlike(CONFIG_PATH)),
         "depth": F.least(F.regexp_count(path, F.lit("/")), F.lit(8)).cast("double"),
-        "cue": flag(before.rlike(CUES)),
+        "cue": flag(beside.rlike(CUES)),
         "assigned": flag(before.rlike(r"[=:]\s*[\"']?$")),
         "quoted": flag(before.rlike("[\"']$") & after.rlike("^[\"']")),
-        "harmless": flag(before.rlike(HARMLESS)),
+        "harmless": flag(beside.rlike(HARMLESS)),
     }
 
 

@@ -99,6 +99,17 @@ def test_forest_on_findings_written_by_hand(spark, forest):
     assert len(wrong) <= 0.15 * len(BY_HAND), wrong
 
 
+def test_addresses_are_no_neighbouring_words(spark, forest):
+    """A host called example, or a key in a link, says nothing of the token beside it; the words themselves do."""
+    near = ["mail jo.doe@example.com token ", "see https://sample.org/api/key?x=1 or ", "ask <hash@commit.io> about ", "www.example.net says ", "an example token ", "the commit "]
+    rows = spark.createDataFrame([("k3f9x2m8q1z7w5v4b6n0", b, "", "src1", 0) for b in near], "token string, before string, after string, path string, covered int")
+    made = secrets.features(forest.lexicon)
+    got = [(r.cue, r.harmless) for r in rows.select(made["cue"].alias("cue"), made["harmless"].alias("harmless")).collect()]
+    assert got == [(1, 0), (0, 0), (0, 0), (0, 0), (1, 1), (0, 1)]
+    lost = spark.createDataFrame([("k3f9x2m8q1z7w5v4b6n0", f"write to {w}@example.com token = ", "", "src1") for w in ("ana", "bo", "cy")], "token string, before string, after string, path string")
+    assert all(r.score >= secrets.KEEP_FROM for r in forest.scored(lost).collect())
+
+
 def test_without_a_family_the_forest_is_worse(spark, forest):
     """Accuracy on findings that no forest has seen, with all features and without path and neighbours, or without the token's own."""
     unseen = secrets.labelled_findings(spark, 3 * secrets.TRAINING_ROWS, forest.lexicon.words)
