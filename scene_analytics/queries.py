@@ -1006,6 +1006,32 @@ def video_headers(spark, sf_dir):
     return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "frame_count", "fps", "width", "height", "duration", F.col("error").isNull().alias("readable"))
 
 
+@query("""WITH v AS (SELECT vec_id, unnest(range(label + 2)) AS i FROM embeddings WHERE vec_id % 9 > 0), z AS (SELECT *, 4 + (vec_id + i) % 3 * 2 AS size FROM v)
+SELECT vec_id || '.avi' AS name, i::INT AS frame_idx, (100 + sum(8 + size) OVER (PARTITION BY vec_id ORDER BY i) - size)::BIGINT AS "offset", size, (i // 4 * 4)::INT AS key_frame, i * 40e0 AS timestamp_ms, true AS readable FROM z
+UNION ALL SELECT vec_id || '.avi', NULL, NULL, NULL, NULL, NULL, false FROM embeddings WHERE vec_id % 9 = 0""")
+def video_samples(spark, sf_dir):
+    """Where the frames lie in a video for each row of the table, some of them broken."""
+    folder = _folder(spark)
+
+    def put(rows):
+        store, where = files.store_of(folder)
+        store.create_dir(where, recursive=True)
+        for r in rows:
+            body, index = b"movi", b""
+            for i in range(r.label + 2):
+                size = 4 + (r.vec_id + i) % 3 * 2
+                index += b"00dc" + struct.pack("<III", 0x10 if i % 4 == 0 else 0, len(body), size)
+                body += b"00dc" + struct.pack("<I", size) + bytes(size)
+            head = b"LIST" + struct.pack("<I", 68) + b"hdrlavih" + struct.pack("<II", 56, 40_000) + bytes(52)
+            rest = head + b"LIST" + struct.pack("<I", len(body)) + body + b"idx1" + struct.pack("<I", len(index)) + index
+            with store.open_output_stream(f"{where}/{r.vec_id}.avi") as f:
+                f.write(b"RIFF" + struct.pack("<I", 4 + len(rest)) + b"AVI " + rest if r.vec_id % 9 else b"no video")
+
+    embeddings(spark, sf_dir).select("vec_id", "label").foreachPartition(put)
+    found = video.samples(frames.discover_videos(frames.paths(spark, folder)))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "frame_idx", "offset", "size", "key_frame", "timestamp_ms", F.col("error").isNull().alias("readable"))
+
+
 @query(f"SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'image_sequence' WHEN vec_id % 3 < 2 THEN 'video' END AS kind FROM (SELECT vec_id, {VIDEO} AS p FROM embeddings)")
 def source_kinds(spark, sf_dir):
     return embeddings(spark, sf_dir).select("vec_id", names.source_kind(F.expr(VIDEO), F.expr("vec_id % 5 = 0")).alias("kind"))
