@@ -18,6 +18,7 @@ from ..operators.errors import AnalysisError
 from ..operators.lineage import numbered
 from ..sources import config, embeddings, frames, video
 from . import curation, mask_jobs
+from .progress import Job
 
 
 def parser() -> argparse.ArgumentParser:
@@ -85,12 +86,12 @@ def run_mask(spark: SparkSession, a: argparse.Namespace) -> int:
         return 1
 
 
-def run_batch(spark: SparkSession, a: argparse.Namespace, progress: Callable[[int, int, str], None] | None = None) -> int:
+def run_batch(spark: SparkSession, a: argparse.Namespace, progress: Callable[[int, int, str], None] | None = None, job: Job | None = None) -> int:
     """Masks of every recording in a folder, each below its own name; 1 if there is none or one fails, else 0.
 
     Recordings are the videos right in the folder and the folders of images below it. A recording's camera is the first configured
     one whose id is in its name, or else the first one. A recording that fails is reported and counted, and the others go on.
-    `progress` hears (done, all, name) after each.
+    `progress` hears (done, all, name) after each. A cancelled `job` ends the batch: recordings that aren't done are counted as failed.
     """
     try:
         files = frames.paths(spark, a.input_dir)
@@ -106,6 +107,10 @@ def run_batch(spark: SparkSession, a: argparse.Namespace, progress: Callable[[in
         return 1
     failed = 0
     for done, r in enumerate(matched, 1):
+        if job is not None and job.cancelled:
+            print(f"cancelled before {r.file_path}")
+            failed += len(matched) - done + 1
+            break
         name = stem_of(r.file_path) if frames.is_video(r.file_path) else PurePosixPath(r.file_path).name
         if a.verbose:
             print(f"{name}: camera {r.camera_id}")
