@@ -1,7 +1,8 @@
 """URL filtering: rules first, then a naive Bayes score of segmented host and path words.
 
 Host names run words together. A unigram Viterbi search splits them, with word counts of the crawled pages themselves; multinomial
-naive Bayes, trained on labelled URLs, scores the words of host and path.
+naive Bayes scores the words of host and path. It learns from the pages whose URLs a rule judges, by what the rule doesn't look at, and
+from labelled example URLs as a prior.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ KNOWN_WORDS = 300_000
 #: Splitting: log10 chance of an unknown stretch, and of each of its characters. Deciding: the log odds over which a URL is blocked.
 UNKNOWN, UNKNOWN_CHAR = -3.0, -2.0
 BLOCK_ODDS = 0.0
+#: Of the URLs that rules judge, one in so many is held out; words of fewer of the others than LEAST_URLS say nothing.
+HELD_OUT, LEAST_URLS = 5, 3
 #: Host names seen lately whose words a worker keeps.
 KEPT_HOSTS = 50_000
 
@@ -107,6 +110,15 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return (F.lit(None).cast("string"),) * 2 if rule is None else (rule, verdict)
 
 
+def beyond_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
+    """What of host and path the fitting rule doesn't look at; null where none fits."""
+    h_length = p_length = F.lit(None).cast("int")
+    for h, p, _ in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
+        fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
+        h_length, p_length = F.when(fits, F.lit(len(h))).otherwise(h_length), F.when(fits, F.lit(len(p))).otherwise(p_length)
+    return F.substring(host, F.lit(1), F.length(host) - h_length), F.substring(path, p_length + 1, F.length(path))
+
+
 _TAG = re.compile(rb"<(?:(script|style)\b)?", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _PIECE = re.compile(r"[^\W\d_]+|[0-9]+")
@@ -159,25 +171,41 @@ def host_and_path(url: str) -> tuple[str, str]:
 
 
 class UrlModel:
-    """Splits run-together names and scores their words by multinomial naive Bayes."""
+    """Splits run-together names and scores their words by multinomial naive Bayes.
 
-    def __init__(self, counts: dict[str, int], labelled=LABELLED_URLS) -> None:
+    `labelled` are (url, 1 for block or 0) pairs; `learned` adds for each word how many other allowed and blocked URLs have it, and
+    `urls` how many these are in all. Single letters and a host's last label, its public suffix, say nothing.
+    """
+
+    def __init__(self, counts: dict[str, int], labelled=LABELLED_URLS, learned: dict[str, tuple[int, int]] | None = None, urls: tuple[int, int] = (0, 0)) -> None:
         total = sum(counts.values())
-        urls = [(*host_and_path(url.lower()), y) for url, y in labelled]
+        split = [(*host_and_path(url.lower()), y) for url, y in labelled]
         # Words that marks set apart in the paths of labelled URLs count as if the pages had them, too: each time like a
         # hundred-thousandth of all words. Only then can the run-together names of their hosts be split.
-        apart = Counter(w for _, path, _ in urls for w in _WORD.findall(path))
+        apart = Counter(w for _, path, _ in split for w in _WORD.findall(path))
         weight = {**counts, **{w: counts.get(w, 0) + n * max(1.0, total / 1e5) for w, n in apart.items()}}
         whole = sum(weight.values()) or 1
         self.log = {w: math.log10(n / whole) for w, n in weight.items()}
         self.lengths = sorted({len(w) for w in self.log}, reverse=True)
-        by = [Counter(w for host, path, y in urls if y == c for w in self.words(host) + self.words(path)) for c in (0, 1)]
-        known = set(by[0]) | set(by[1])
+        by = [Counter(w for host, path, y in split if y == c for w in self.telling(self.words(host), self.suffix(host)) + self.telling(self.words(path), 0)) for c in (0, 1)]
+        for w, n in (learned or {}).items():
+            for c in (0, 1):
+                by[c][w] += n[c]
+        known = {w for c in by for w, n in c.items() if n}
         sums = [sum(c.values()) for c in by]
         self.odds = {w: math.log((by[1][w] + 1) / (sums[1] + len(known))) - math.log((by[0][w] + 1) / (sums[0] + len(known))) for w in known}
-        urls_of = [sum(y == c for _, _, y in urls) for c in (0, 1)]
+        urls_of = [sum(y == c for _, _, y in split) + urls[c] for c in (0, 1)]
         self.prior = math.log((urls_of[1] + 1) / (urls_of[0] + 1))
 
+    def suffix(self, host: str) -> int:
+        """How many of a host's words its last label is."""
+        return len(self.words(host.rpartition(".")[2]))
+
+    @staticmethod
+    def telling(words: list[str], suffix: int) -> list[str]:
+        """The words that may say something: no single letters, and not the `suffix` last ones."""
+        return [w for w in words[: len(words) - suffix] if len(w) > 1]
+
     def segment(self, name: str) -> list[str]:
         """The likeliest words of a run of letters; ties go to longer last words. A stretch is known or not, however long."""
         n = len(name)
@@ -204,17 +232,72 @@ class UrlModel:
         return [w for run in _PIECE.findall(text) for w in ([run] if run[0].isdigit() else self.segment(run))]
 
     def score(self, words: list[str]) -> float:
-        """Log odds of block; words that no labelled URL has say nothing."""
+        """Log odds of block by `telling` words; those that no labelled URL has say nothing."""
         return self.prior + sum(self.odds.get(w, 0.0) for w in words)
 
 
-def train(pages: DataFrame, html: str = "html", labelled=LABELLED_URLS) -> UrlModel:
-    """Word counts come from all pages; the vocabulary is the KNOWN_WORDS most frequent. An empty table leaves the labelled URLs.
+def _judged(pages: DataFrame, rules, url: str, held_out: bool) -> DataFrame:
+    """(host, path, y): what rules don't look at in the URLs that they judge, and 1 for block; the fifth that is held out, or the others."""
+    host, path = url_parts(F.col(url))
+    rule, verdict = fitting_rule(host, path, rules)
+    rest_host, rest_path = beyond_rule(host, path, rules)
+    mine = F.pmod(F.crc32(F.col(url).cast("binary")), F.lit(HELD_OUT)) == 0
+    judged = pages.where(rule.isNotNull() & (mine if held_out else ~mine))
+    return judged.select(rest_host.alias("host"), F.lower(rest_path).alias("path"), (verdict == "block").cast("int").alias("y"))
+
+
+def learn(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url") -> tuple[dict[str, tuple[int, int]], tuple[int, int]]:
+    """(for each word how many allowed and blocked URLs have it, how many these are), of all URLs that rules judge but those held out.
+
+    Words that both a rule looks at and stand elsewhere count where they stand elsewhere. At most KNOWN_WORDS words, by falling count.
+    """
+    import pyarrow as pa
+
+    shared = pages.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m, counts = shared.value, Counter()
+        for batch in batches:
+            for h, p, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                counts["", y] += 1
+                for w in {*m.telling(m.words(h), 0), *m.telling(m.words(p), 0)}:
+                    counts[w, y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "y", "n"])
+
+    each = arrow_map(_judged(pages, rules, url, False), run, "word string, y int, n long")
+    count = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
+    sums = materialize_table(each.groupBy("word").agg(count(0).alias("allowed"), count(1).alias("blocked")))
+    top = sums.where("word <> '' and allowed + blocked >= %d" % LEAST_URLS).orderBy(F.desc(F.col("allowed") + F.col("blocked")), "word").limit(KNOWN_WORDS)
+    whole = sums.where("word = ''").first()
+    return {r["word"]: (r["allowed"], r["blocked"]) for r in top.collect()}, (0, 0) if whole is None else (whole["allowed"], whole["blocked"])
+
+
+def held_out_rates(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url") -> DataFrame:
+    """(y, urls, right): of the URLs that rules judge and that no model learned from, how many it judges alike without what the rules look at."""
+    import pyarrow as pa
+
+    shared = pages.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            odds = [m.score(m.telling(m.words(h), 0) + m.telling(m.words(p), 0)) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([int(o > BLOCK_ODDS) for o in odds], pa.int32())], names=["y", "said"])
+
+    return arrow_map(_judged(pages, rules, url, True), run, "y int, said int").groupBy("y").agg(F.count("*").alias("urls"), F.count_if(F.col("y") == F.col("said")).alias("right"))
+
+
+def train(pages: DataFrame, html: str = "html", labelled=LABELLED_URLS, rules=RULES, url: str = "url") -> UrlModel:
+    """Word counts come from all pages; the vocabulary is the KNOWN_WORDS most frequent. Words of the URLs that `rules` judge are learned.
 
-    `labelled`: (url, 1 for block or 0) pairs; without any, no URL is blocked but by rules.
+    `labelled`: (url, 1 for block or 0) pairs, a prior. An empty table leaves them only; without any of both, no URL is blocked but by rules.
     """
     words, n = frequent_words(materialize_table(page_word_counts(pages, html)), KNOWN_WORDS)
-    return UrlModel({w.decode(): int(c) for w, c in zip(words, n, strict=True)}, labelled)
+    counts = {w.decode(): int(c) for w, c in zip(words, n, strict=True)}
+    plain = UrlModel(counts, labelled)
+    if url not in pages.columns:
+        return plain
+    return UrlModel(counts, labelled, *learn(pages, plain, rules, url))
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -235,19 +318,19 @@ def judge(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url", keep
 
     def run(batches):
         m = shared.value
-        hosts: dict[str, list[str]] = {}
+        hosts: dict[str, tuple[list[str], list[str]]] = {}
         for batch in split_batches(batches, at + 1):
             words, odds = [], []
             for h, p in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True):
-                w = hosts.get(h)
-                if w is None:
+                kept = hosts.get(h)
+                if kept is None:
                     w = m.words(h)
                     if len(hosts) >= KEPT_HOSTS:
                         hosts.clear()
-                    hosts[h] = w
-                w = w + m.words(p.lower())
-                words.append(w)
-                odds.append(m.score(w))
+                    kept = hosts[h] = (w, m.telling(w, m.suffix(h)))
+                w = m.words(p.lower())
+                words.append(kept[0] + w)
+                odds.append(m.score(kept[1] + m.telling(w, 0)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.list_(pa.string())), pa.array(odds, pa.float64())], names=[*keep, "host", "path", "words", "odds"])
 
     scored = arrow_map(parts, run, schema)

@@ -17,21 +17,49 @@ def brute(url):
     return host, path, max(fits)[1:] if fits else (None, None)
 
 
-def brute_odds(labelled, split, words):
-    """Multinomial naive Bayes, add-one smoothed, by its definition."""
+def telling(split, host, path, whole=True):
+    """Words that may say something: of two characters at least, without the host's last label."""
+    return [w for w in (split(host.rpartition(".")[0]) if whole else split(host)) + split(path.lower()) if len(w) > 1]
+
+
+def brute_odds(labelled, pages, split, host, path):
+    """Multinomial naive Bayes, add-one smoothed, by its definition, of labelled URLs and of those that a rule judges."""
     seen = {0: [], 1: []}
     urls = Counter(y for _, y in labelled)
     for url, y in labelled:
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url.lower())
-        seen[y] += split(m[1]) + split(m[2])
+        seen[y] += telling(split, m[1], m[2])
+    learned = []
+    for url in pages:
+        h, p, (rule, verdict) = brute(url)
+        if rule is not None and zlib.crc32(url.encode()) % uf.HELD_OUT:
+            end = rule.index("/")
+            learned.append((set(telling(split, h[: len(h) - end], p[len(rule) - end :], False)), int(verdict == "block")))
+    urls.update(y for _, y in learned)
+    many = Counter(w for words, _ in learned for w in words)
+    for words, y in learned:
+        seen[y] += [w for w in words if many[w] >= uf.LEAST_URLS]
     size = len({*seen[0], *seen[1]})
     odds = math.log((urls[1] + 1) / (urls[0] + 1))
-    for w in words:
+    for w in telling(split, host, path):
         if w in seen[0] or w in seen[1]:
             odds += math.log((seen[1].count(w) + 1) / (len(seen[1]) + size)) - math.log((seen[0].count(w) + 1) / (len(seen[0]) + size))
     return odds
 
 
+def test_rules_teach_what_they_do_not_look_at(spark):
+    """Words beside the rules' own decide the URLs of other hosts, and the held-out ones; letters, suffixes and rare words don't."""
+    good, bad = ["garden", "river", "museum"], ["poker", "bonus", "jackpot"]
+    urls = [f"http://{good[i % 3]}{i}.m.com/{good[i % 2]}/{i}" for i in range(90)] + [f"http://{bad[i % 3]}{i}.m.net/{'es' if i % 2 else 'fr'}/{bad[i % 2]}/{i}" for i in range(90)]
+    pages = spark.createDataFrame([(i, u, "garden river museum poker bonus jackpot " * 3) for i, u in enumerate(urls + ["http://gardenriver.org/x", "http://pokerbonus.org/x", "http://m.org/es/", None])], "page_id long, url string, html string")
+    model = uf.train(pages, labelled=())
+    assert {"garden", "poker"} <= set(model.odds) and not {"m", "com", "net", "es", "fr", "org"} & set(model.odds)
+    by = {r.page_id: r for r in uf.judge(pages, model).collect()}
+    assert [by[i].verdict for i in (180, 181)] == ["allow", "block"] and by[182].odds == model.prior
+    rates = {r.y: (r.right, r.urls) for r in uf.held_out_rates(pages, model).collect()}
+    assert set(rates) == {0, 1} and all(right == n > 5 for right, n in rates.values())
+
+
 def test_held_out_accuracy(spark):
     """Each of four parts of the labelled URLs is judged by a model of the other three."""
     part = lambda url: zlib.crc32(url.encode()) % 4
@@ -41,7 +69,7 @@ def test_held_out_accuracy(spark):
         for url, y in uf.LABELLED_URLS:
             if part(url) == k:
                 host, path = uf.host_and_path(url)
-                right[y].append((model.score(model.words(host) + model.words(path)) > uf.BLOCK_ODDS) == (y == 1))
+                right[y].append((model.score(telling(model.words, host, path)) > uf.BLOCK_ODDS) == (y == 1))
     shares = {y: sum(x) / len(x) for y, x in right.items()}
     assert len(set(uf.LABELLED_URLS)) == len(uf.LABELLED_URLS) == sum(map(len, right.values()))
     assert shares[0] > 0.75 and shares[1] > 0.75, shares
@@ -77,7 +105,7 @@ def test_query(spark, tmp_path):
             assert (by[i].host, by[i].path, by[i].rule) == (host, path, rule)
             assert by[i].verdict == (verdict or ("block" if by[i].odds > 0 else "allow"))
             words = (by[i].words or "").split(" ") if by[i].words else []
-            assert abs(by[i].odds - brute_odds(uf.LABELLED_URLS, model.words, words)) < 1e-6
+            assert abs(by[i].odds - brute_odds(uf.LABELLED_URLS, [r[1] for r in pages], model.words, host, path)) < 1e-6
             assert "".join(words) == "".join(re.findall(r"[^\W\d_]+|[0-9]+", host + "/" + path.lower()))
     assert [by[i].verdict for i in (16, 19, 20, 21, 22)] == ["block", "block", "block", "allow", "block"]
     assert by[16].words.split()[:2] == ["casino", "win"] and by[21].words.split()[:2] == ["city", "weather"]
