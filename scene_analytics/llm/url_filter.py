@@ -173,11 +173,12 @@ def host_and_path(url: str) -> tuple[str, str]:
 class UrlModel:
     """Splits run-together names and scores their words by multinomial naive Bayes.
 
-    `labelled` are (url, 1 for block or 0) pairs; `learned` adds for each word how many other allowed and blocked URLs have it, and
-    `urls` how many these are in all. Single letters and a host's last label, its public suffix, say nothing.
+    `labelled` are (url, 1 for block or 0) pairs; `learned` adds for each word how many other allowed and blocked URLs have it. Only
+    the first give the classes' shares: how many URLs a list of rules blocks says nothing of others. Single letters and a host's last
+    label, its public suffix, say nothing.
     """
 
-    def __init__(self, counts: dict[str, int], labelled=LABELLED_URLS, learned: dict[str, tuple[int, int]] | None = None, urls: tuple[int, int] = (0, 0)) -> None:
+    def __init__(self, counts: dict[str, int], labelled=LABELLED_URLS, learned: dict[str, tuple[int, int]] | None = None) -> None:
         total = sum(counts.values())
         split = [(*host_and_path(url.lower()), y) for url, y in labelled]
         # Words that marks set apart in the paths of labelled URLs count as if the pages had them, too: each time like a
@@ -194,7 +195,7 @@ class UrlModel:
         known = {w for c in by for w, n in c.items() if n}
         sums = [sum(c.values()) for c in by]
         self.odds = {w: math.log((by[1][w] + 1) / (sums[1] + len(known))) - math.log((by[0][w] + 1) / (sums[0] + len(known))) for w in known}
-        urls_of = [sum(y == c for _, _, y in split) + urls[c] for c in (0, 1)]
+        urls_of = [sum(y == c for _, _, y in split) for c in (0, 1)]
         self.prior = math.log((urls_of[1] + 1) / (urls_of[0] + 1))
 
     def suffix(self, host: str) -> int:
@@ -246,10 +247,10 @@ def _judged(pages: DataFrame, rules, url: str, held_out: bool) -> DataFrame:
     return judged.select(rest_host.alias("host"), F.lower(rest_path).alias("path"), (verdict == "block").cast("int").alias("y"))
 
 
-def learn(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url") -> tuple[dict[str, tuple[int, int]], tuple[int, int]]:
-    """(for each word how many allowed and blocked URLs have it, how many these are), of all URLs that rules judge but those held out.
+def learn(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url") -> dict[str, tuple[int, int]]:
+    """For each word how many allowed and blocked URLs have it, of all URLs that rules judge but those held out.
 
-    Words that both a rule looks at and stand elsewhere count where they stand elsewhere. At most KNOWN_WORDS words, by falling count.
+    Words that any rule looks at are left out wherever they stand. At most KNOWN_WORDS words, by falling count.
     """
     import pyarrow as pa
 
@@ -257,19 +258,18 @@ def learn(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url") -> t
 
     def run(batches):
         m, counts = shared.value, Counter()
+        looked = {w for h, p, _ in rules for w in m.words(h) + m.words(p.lower())}
         for batch in batches:
             for h, p, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                counts["", y] += 1
-                for w in {*m.telling(m.words(h), 0), *m.telling(m.words(p), 0)}:
+                for w in {*m.telling(m.words(h), 0), *m.telling(m.words(p), 0)} - looked:
                     counts[w, y] += 1
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["word", "y", "n"])
 
     each = arrow_map(_judged(pages, rules, url, False), run, "word string, y int, n long")
     count = lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0))
     sums = materialize_table(each.groupBy("word").agg(count(0).alias("allowed"), count(1).alias("blocked")))
-    top = sums.where("word <> '' and allowed + blocked >= %d" % LEAST_URLS).orderBy(F.desc(F.col("allowed") + F.col("blocked")), "word").limit(KNOWN_WORDS)
-    whole = sums.where("word = ''").first()
-    return {r["word"]: (r["allowed"], r["blocked"]) for r in top.collect()}, (0, 0) if whole is None else (whole["allowed"], whole["blocked"])
+    top = sums.where(F.col("allowed") + F.col("blocked") >= LEAST_URLS).orderBy(F.desc(F.col("allowed") + F.col("blocked")), "word").limit(KNOWN_WORDS)
+    return {r["word"]: (r["allowed"], r["blocked"]) for r in top.collect()}
 
 
 def held_out_rates(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url") -> DataFrame:
@@ -297,7 +297,7 @@ def train(pages: DataFrame, html: str = "html", labelled=LABELLED_URLS, rules=RU
     plain = UrlModel(counts, labelled)
     if url not in pages.columns:
         return plain
-    return UrlModel(counts, labelled, *learn(pages, plain, rules, url))
+    return UrlModel(counts, labelled, learn(pages, plain, rules, url))
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:

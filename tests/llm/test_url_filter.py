@@ -34,8 +34,8 @@ def brute_odds(labelled, pages, split, host, path):
         h, p, (rule, verdict) = brute(url)
         if rule is not None and zlib.crc32(url.encode()) % uf.HELD_OUT:
             end = rule.index("/")
-            learned.append((set(telling(split, h[: len(h) - end], p[len(rule) - end :], False)), int(verdict == "block")))
-    urls.update(y for _, y in learned)
+            looked = {w for x, y, _ in uf.RULES for w in split(x) + split(y)}
+            learned.append((set(telling(split, h[: len(h) - end], p[len(rule) - end :], False)) - looked, int(verdict == "block")))
     many = Counter(w for words, _ in learned for w in words)
     for words, y in learned:
         seen[y] += [w for w in words if many[w] >= uf.LEAST_URLS]
