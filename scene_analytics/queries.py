@@ -14,7 +14,7 @@ from .functions import color, names, vectors
 from .operators import cameras as cams
 from .operators import captions, clusters, community, components, descent, edits, filters, halo, knn, leiden, lineage, masks, quality, regions, sampling, spectral, temporal, tiles, vignetting
 from .plans import curation, mask_jobs
-from .sources import config, files, frames, png, video
+from .sources import config, files, frames, png, tensors, video
 from .sources import embeddings as encoders
 from .streaming import tile_state
 from .streaming import variance as streaming
@@ -955,6 +955,19 @@ def strided_images(spark, sf_dir):
     return sampling.strided(_failing(spark, sf_dir), 3, stop_at_failure=False).select("camera_id", "frame_idx")
 
 
+_NORMAL = ", ".join(f"({i}, '{c}', {m}e0, {d}e0)" for i, (c, m, d) in enumerate(zip("rgb", tensors.MEAN, tensors.STD, strict=True)))
+
+
+@query(f"""WITH {T_SQL}, k(channel, name, m, d) AS (VALUES {_NORMAL}),
+l AS (SELECT camera_id, frame_idx, y, x, unnest(['r', 'g', 'b']) AS name, unnest([r, g, b]) AS v FROM px)
+SELECT camera_id, frame_idx, (channel * 64 + y * 8 + x)::INT AS place, round((v / 255e0 - m) / d, 4) AS value FROM l JOIN k USING (name)""")
+def frame_tensors(spark, sf_dir):
+    """Each frame of the recording as normalised planes, red first."""
+    whole = tiles.from_pixels(recording(spark, sf_dir), 8).select("camera_id", "frame_idx", F.col("h").alias("height"), F.col("w").alias("width"), F.lit(3).alias("n_channels"), "data")
+    made = tensors.prepare(whole, ["camera_id", "frame_idx"], 8).select("camera_id", "frame_idx", F.posexplode("tensor").alias("place", "value"))
+    return made.withColumn("value", F.round(F.col("value").cast("double"), 4))
+
+
 @query(f"WITH {T_SQL} SELECT * FROM px WHERE frame_idx = 77")
 def frame_read(spark, sf_dir):
     return sampling.frame_at(recording(spark, sf_dir), 77)
