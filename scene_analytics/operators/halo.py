@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import filters, masks, regions
+from . import filters, masks, regions, temporal
 from .lineage import stored
 
 SIZE = 256
@@ -73,3 +73,26 @@ def refine(mask: DataFrame, cfg: masks.RefineConfig = masks.RefineConfig(), size
     filled = regions.fill_holes(closed, size) if cfg.fill_holes else closed
     kept = regions.remove_small(stored(filled), cfg.min_area, size)
     return smooth_boundary(kept, cfg.sigma, size) if cfg.smooth else kept
+
+
+def block_thresholds_array(a: np.ndarray, cfg: temporal.TemporalConfig) -> np.ndarray:
+    """For each pixel of a map of variances the base threshold or twice its block's low percentile, whichever is less."""
+    out, n = np.empty(a.shape), cfg.block_size
+    for y in range(0, a.shape[0], n):
+        for x in range(0, a.shape[1], n):
+            block = a[y : y + n, x : x + n]
+            out[y : y + n, x : x + n] = min(cfg.variance_threshold, 2 * np.percentile(block, cfg.percentile))
+    return out
+
+
+def adaptive_static_mask(variances: DataFrame, cfg: temporal.TemporalConfig = temporal.TemporalConfig(), size: int = SIZE) -> DataFrame:
+    """As `temporal.adaptive_static_mask`, without a join on pixels: a tile of whole blocks comes with the blocks that its smoothing reaches."""
+    n = cfg.block_size
+    reach = len(filters.gaussian_kernel(n / 4)) // 2
+    halo, tile = -(-reach // n) * n, -(-size // n) * n  # whole blocks, so that an array's blocks are the image's
+
+    def run(a):
+        return np.where(a < filters.gaussian_array(block_thresholds_array(a, cfg), n / 4), 255.0, 0.0)
+
+    found = on_tiles(variances, "variance", run, halo, tile, "mask", "double")
+    return found.withColumn("mask", F.col("mask").cast("int"))

@@ -879,6 +879,11 @@ def adaptive_mask(spark, sf_dir):
     return temporal.adaptive_static_mask(_var(spark, sf_dir), temporal.TemporalConfig(block_size=8))
 
 
+@query(ORACLES["adaptive_mask"])
+def adaptive_mask_tiled(spark, sf_dir):
+    return halo.adaptive_static_mask(_var(spark, sf_dir), temporal.TemporalConfig(block_size=8), 16)
+
+
 # --- recordings made of a table: they grow with it ------------------------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from scene_analytics.operators import filters, halo, masks, regions
+from scene_analytics.operators import filters, halo, masks, regions, temporal
 
 
 def table(spark, maps):
@@ -56,3 +56,12 @@ def test_refined_mask(spark, maps):
     cfg = masks.RefineConfig(min_area=30, sigma=1.5)
     got = grids(halo.refine(table(spark, maps), cfg, 16), maps)
     assert all((got[c] == masks.refine_array(a, cfg)).all() for c, a in maps.items())
+
+
+def test_adaptive_mask(spark):
+    rng = np.random.default_rng(3)
+    a = rng.random((37, 50)) * np.linspace(5, 200, 50)
+    df = spark.createDataFrame([("c", y, x, float(a[y, x])) for y in range(37) for x in range(50)], "camera_id string, y int, x int, variance double")
+    cfg = temporal.TemporalConfig(block_size=8)
+    got, want = (grids(df2, {"c": a})["c"] for df2 in (halo.adaptive_static_mask(df, cfg, 16), temporal.adaptive_static_mask(df, cfg)))
+    assert (got == want).all() and {0, 255} == set(np.unique(got))
