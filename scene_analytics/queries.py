@@ -233,10 +233,19 @@ def _cliques(spark, sf_dir):
     return df, near.select("src", "dst", "weight").unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
-@query(ORACLES["leiden_cliques"])
-def spectral_cliques(spark, sf_dir):
-    df, edges = _cliques(spark, sf_dir)
-    return spectral.spectral(edges, -(-df.count() // CLIQUE), df)
+GROUPS = 16
+
+
+@query(f"WITH g AS (SELECT vec_id, min(vec_id) OVER (PARTITION BY vec_id % {GROUPS}) AS first, count(*) OVER (PARTITION BY vec_id % {GROUPS}) AS n FROM embeddings) SELECT vec_id, (dense_rank() OVER (ORDER BY n DESC, first) - 1)::INT AS cluster_id FROM g")
+def spectral_groups(spark, sf_dir):
+    """Sixteen groups whose rows know six others of their group drawn by hash, and weakly the next row: these groups are the clusters."""
+    df = embeddings(spark, sf_dir).select("vec_id")
+    n = df.count()
+    drawn = (F.pmod(F.xxhash64("vec_id", "j"), F.lit(max(n, 1))) / GROUPS).cast("long") * GROUPS + F.col("vec_id") % GROUPS
+    near = df.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("j")).select(F.col("vec_id").alias("src"), F.when(F.col("j") > 0, drawn).otherwise(F.col("vec_id") + 1).alias("dst"), F.when(F.col("j") > 0, 1.0).otherwise(0.01).alias("weight"))
+    near = near.where(f"src <> dst and dst < {n}")
+    edges = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return spectral.spectral(edges, GROUPS, df)
 
 
 @query("SELECT unnest(range(1, 9))::INT AS component, true AS falling, true AS settled FROM (SELECT count(*) AS n FROM embeddings) WHERE n >= 8")
