@@ -60,7 +60,7 @@ def test_no_frames_and_unlike_sizes_raise(spark):
 
 
 def test_masks_of_both_layouts(spark):
-    pixels = library.pixels(spark)
+    pixels = library.pixels(spark, "/root/testdata/sf0.001")
     cfg = masks.RefineConfig(min_area=50)
     want, got = masks.generate(pixels, refine_cfg=cfg), masks.generate_from(tiles.analyze(tiles.from_pixels(pixels, 16)), refine_cfg=cfg)
     for name in want:

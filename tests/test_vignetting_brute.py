@@ -33,7 +33,7 @@ def smooth(a, sigma):
 
 
 def test_refined_mask(spark):
-    pixels = library.pixels(spark)
+    pixels = library.pixels(spark, "/root/testdata/sf0.001")
     bright = vignetting.brightness_map(pixels).toPandas()
     got = vignetting.detect(pixels)[0].toPandas()
     seen = 0
