@@ -123,31 +123,58 @@ def morphology_window(mask: DataFrame, op: str, k: int = 5, shape: str = "ellips
     return rows.withColumn("__m", many(*terms)).select("camera_id", "y", "x", F.col("__m").alias("mask"))
 
 
-def _taps(df: DataFrame, target: DataFrame, key: list[str], whole: bool) -> DataFrame:
-    """Bilinear values of df(key, y, x, v) at target(key, y, x, sy, sx); source places beyond the edge are the edge."""
-    corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    at = target.withColumn("c", corner)
-    fy, fx = F.col("sy") - F.floor("sy"), F.col("sx") - F.floor("sx")
-    at = at.select(*key, F.col("y").alias("ty"), F.col("x").alias("tx"), F.greatest(F.least(F.floor("sy") + F.col("c.a"), F.col("sh") - 1), F.lit(0)).cast("int").alias("y"), F.greatest(F.least(F.floor("sx") + F.col("c.b"), F.col("sw") - 1), F.lit(0)).cast("int").alias("x"), (F.when(F.col("c.a") == 1, fy).otherwise(1 - fy) * F.when(F.col("c.b") == 1, fx).otherwise(1 - fx)).alias("weight"))
-    v = F.sum(F.col("v") * F.col("weight"))
-    found = at.join(df, [*key, "y", "x"]).groupBy(*key, "ty", "tx").agg((F.floor(v + 0.5) if whole else v).cast("double").alias("v"))
-    return found.select(*key, F.col("ty").alias("y"), F.col("tx").alias("x"), "v")
+def resize_array(a: np.ndarray, held: np.ndarray, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """`a` at h by w, bilinear with matched pixel centres, and where any of the four places is `held`; beyond the edge is the edge."""
+    at, part = [], []
+    for n, to in zip(a.shape, (h, w), strict=True):
+        s = (np.arange(to) + 0.5) * n / to - 0.5
+        low = np.floor(s)
+        at.append([np.clip(low + c, 0, n - 1).astype(int) for c in (0, 1)])
+        part.append([1 - (s - low), s - low])
+    v, any_held = np.zeros((h, w)), np.zeros((h, w), bool)
+    for i in (0, 1):
+        for j in (0, 1):
+            place = np.ix_(at[0][i], at[1][j])
+            v += a[place] * (part[0][i][:, None] * part[1][j])
+            any_held |= held[place]
+    return v, any_held
+
+
+def _resized(key, t, to, names: list[str], whole: bool):
+    """The map `t` (y, x, v) at the size that `to` gives for its own."""
+    import pyarrow as pa
+
+    y, x = t["y"].to_numpy(), t["x"].to_numpy()
+    a = np.zeros((int(y.max()) + 1, int(x.max()) + 1))
+    held = np.zeros(a.shape, bool)
+    a[y, x], held[y, x] = t["v"].to_numpy(), True
+    v, kept = resize_array(a, held, *to(*a.shape))
+    y, x = np.nonzero(kept)
+    v = np.floor(v[y, x] + 0.5) if whole else v[y, x]
+    return pa.table({c: pa.repeat(k, len(y)) for c, k in zip(names, key, strict=True)} | {"y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "v": v})
 
 
-def _grid(shape: DataFrame, key: list[str]) -> DataFrame:
-    """Target places of shape(key, h, w, sh, sw), with where they lie in the source: pixel centres are matched."""
-    rows = shape.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
-    return rows.withColumns({"sy": (F.col("y") + 0.5) * F.col("sh") / F.col("h") - 0.5, "sx": (F.col("x") + 0.5) * F.col("sw") / F.col("w") - 0.5})
+def _maps(df: DataFrame, key: list[str]) -> tuple[DataFrame, str]:
+    """df(key, y, x, v) with plain types, and the schema of what is made of it."""
+    rows = df.select(*key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+    return rows, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
 
 
 def resize(df: DataFrame, scale: float, key: list[str], whole: bool = False) -> DataFrame:
-    """df(key, y, x, v) at `scale`, bilinear; sizes are truncated, at least 1."""
-    size = df.groupBy(*key).agg((F.max("y") + 1).cast("int").alias("sh"), (F.max("x") + 1).cast("int").alias("sw"))
-    to = lambda c: F.greatest(F.floor(F.col(c) * scale), F.lit(1)).cast("int")
-    return _taps(df, _grid(size.withColumns({"h": to("sh"), "w": to("sw")}), key), key, whole)
+    """df(key, y, x, v) at `scale`, bilinear; sizes are truncated, at least 1. A map is one group of bounded size, without a join on pixels."""
+    rows, schema = _maps(df, key)
+    to = lambda h, w: (max(int(h * scale), 1), max(int(w * scale), 1))
+    return rows.groupBy(*key).applyInArrow(lambda k, t: _resized(k, t, to, key, whole), schema)
 
 
 def resize_to(df: DataFrame, shape: DataFrame, key: list[str]) -> DataFrame:
     """df(key, y, x, v) brought to the sizes shape(key, h, w)."""
-    size = df.groupBy(*key).agg((F.max("y") + 1).cast("int").alias("sh"), (F.max("x") + 1).cast("int").alias("sw"))
-    return _taps(df, _grid(size.join(shape, key).withColumns({"h": F.col("h").cast("int"), "w": F.col("w").cast("int")}), key), key, False)
+    rows, schema = _maps(df, key)
+    shape = shape.select(*[F.col(c).alias(f"to_{c}") for c in key], F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"))
+
+    def run(k, t, to):
+        if not t.num_rows or not to.num_rows:
+            return t.slice(0, 0)
+        return _resized(k, t, lambda *_: (to["h"][0].as_py(), to["w"][0].as_py()), key, False)
+
+    return rows.groupBy(*key).cogroup(shape.groupBy(*[f"to_{c}" for c in key])).applyInArrow(run, schema)

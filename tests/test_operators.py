@@ -346,3 +346,22 @@ def test_stream_equals_table(spark, tmp_path):
     q = streaming.running_mask(streaming.stream_pixels(spark, str(tmp_path / "in")), 2000.0).writeStream.outputMode("complete").format("memory").queryName("masks").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("masks").collect())) == sorted(map(tuple, temporal.static_mask(temporal.variance(df), 2000.0).collect()))
+
+
+def test_resize_joins_no_pixels(spark):
+    """A join on pixels was broadcast by a size that the planner took for small."""
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 256, (9, 7)).astype(float)
+    df = table(spark, a).withColumnRenamed("mask", "v")
+    shape = spark.createDataFrame([("m", 4, 11)], "camera_id string, h int, w int")
+    for found, (h, w) in ((filters.resize(df, 0.6, ["camera_id"]), (5, 4)), (filters.resize_to(df, shape, ["camera_id"]), (4, 11))):
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        want = np.zeros((h, w))
+        for y in range(h):
+            for x in range(w):
+                sy, sx = (y + 0.5) * 9 / h - 0.5, (x + 0.5) * 7 / w - 0.5
+                y0, x0 = int(np.floor(sy)), int(np.floor(sx))
+                for i, p in ((y0, 1 - sy + y0), (y0 + 1, sy - y0)):
+                    for j, q in ((x0, 1 - sx + x0), (x0 + 1, sx - x0)):
+                        want[y, x] += a[min(max(i, 0), 8), min(max(j, 0), 6)] * p * q
+        assert np.allclose(grid(found, want.shape, "v"), want)
