@@ -18,6 +18,8 @@ from .percentile import exact_percentile
 BLOCK_ROWS = 2048
 #: Blocks travel in groups of about so many bytes at most, or fewer where a task for each pair of groups would leave cores idle.
 GROUP_BYTES = 8_000_000
+#: Pairs that are measured at a time.
+PAIRS = 1 << 14
 
 
 def _need_length(df: DataFrame) -> None:
@@ -44,31 +46,98 @@ def _few_bytes_at_once(spark: SparkSession) -> None:
         spark.conf.set(key, GROUP_BYTES)
 
 
-def _nearest(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, k: int, metric: str, block_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(src, dst, distance) of the k rows of y nearest to each row of x, block by block; `other` rises, so that ties go to smaller ids."""
+def _similar(x: np.ndarray, metric: str, first: bool, kind) -> np.ndarray:
+    """Rows whose products, one side's `first`, are the cosine or minus half the squared distance."""
     x = x.astype(float)
-    s, t, d, reach = np.empty(0, int), np.empty(0, int), np.empty(0), np.full(len(ids), np.inf)
-    for j in range(0, len(other), block_rows):
-        z = y[j : j + block_rows].astype(float)
+    if metric == "cosine":
+        return (x / np.linalg.norm(x, axis=1)[:, None]).astype(kind)
+    half, one = -(x**2).sum(1)[:, None] / 2, np.ones((len(x), 1))
+    return np.hstack([x, half, one] if first else [x, one, half]).astype(kind)
+
+
+def _exact(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the rows a of x and b of y, in doubles, so many pairs at a time."""
+    d = np.empty(len(a))
+    for i in range(0, len(a), PAIRS):
+        v, w = x[a[i : i + PAIRS]].astype(float), y[b[i : i + PAIRS]].astype(float)
         if metric == "cosine":
-            m = 1 - (x @ z.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(z, axis=1)
+            d[i : i + PAIRS] = 1 - (v * w).sum(1) / np.sqrt((v * v).sum(1)) / np.sqrt((w * w).sum(1))
         else:
-            m = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ z.T + (z**2).sum(1), 0))
-        m[ids[:, None] == other[j : j + block_rows]] = np.inf
-        near = m < reach[:, None]  # of those that tie with the k-th so far, its id is the smallest
-        if near.sum() > 4 * k * len(ids):
-            n = min(k, m.shape[1])
-            cut = np.partition(m, n - 1, axis=1)[:, n - 1 : n]
-            under, tied = m < cut, m == cut
-            near &= under | tied & (tied.cumsum(1) <= n - under.sum(1, keepdims=True))
-        a, b = np.nonzero(near)
-        s, t, d = np.concatenate([s, a]), np.concatenate([t, b + j]), np.concatenate([d, m[a, b]])
-        order = np.lexsort((t, d, s))
-        s, t, d = s[order], t[order], d[order]
-        place = np.arange(len(s)) - np.searchsorted(s, s)
-        s, t, d, place = (c[place < k] for c in (s, t, d, place))
-        reach[s[place == k - 1]] = d[place == k - 1]
-    return ids[s], other[t], d
+            d[i : i + PAIRS] = np.sqrt(((v - w) ** 2).sum(1))
+    return d
+
+
+class _Lists:
+    """The k nearest so far of each of `n` rows, ties to smaller ids; `limit`: what isn't nearer than it doesn't count."""
+
+    def __init__(self, n: int, k: int, limit: float):
+        self.k, self.limit = k, limit
+        self.d, self.to = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
+
+    def reach(self, cut: slice) -> np.ndarray:
+        return np.minimum(self.d[cut, -1], self.limit)
+
+    def add(self, row: np.ndarray, to: np.ndarray, d: np.ndarray) -> None:
+        near = (d <= self.d[row, -1]) & (d < self.limit)
+        row, to, d = row[near], to[near], d[near]
+        if not len(row):
+            return
+        some = np.unique(row)
+        s = np.concatenate([np.repeat(some, self.k), row])
+        t, e = np.concatenate([self.to[some].ravel(), to]), np.concatenate([self.d[some].ravel(), d])
+        order = np.lexsort((t, e, s))
+        order = order[np.arange(len(s)) - np.searchsorted(s[order], s[order]) < self.k]
+        self.d[some], self.to[some] = e[order].reshape(-1, self.k), t[order].reshape(-1, self.k)
+
+    def found(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.isfinite(self.d)
+        return np.repeat(ids, at.sum(1)), self.to[at], self.d[at]
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, k: int, metric: str, block_rows: int, both: bool = False, limit: float = np.inf, allowed=None):
+    """(src, dst, distance): for each row of x the k nearest of y and, with `both`, for each of y the k nearest of x, block by block.
+
+    A product of floats, right to `slack`, leaves out what surely is farther than the k-th so far; the rest is measured in doubles.
+    `ids` and `other` rise. `allowed` (rows of x, rows of y) says which pairs count; pairs of a row with itself don't.
+    """
+    small = x.dtype.itemsize == 4 and (metric == "cosine" or max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) < 1e15)
+    kind = np.float32 if small else np.float64
+    a, b = _similar(x, metric, True, kind), _similar(y, metric, False, kind)
+    size = 1.0 if metric == "cosine" else float(max((x.astype(float) ** 2).sum(1).max(initial=0), (y.astype(float) ** 2).sum(1).max(initial=0))) * 2
+    slack = (x.shape[1] + 16) * 2 * float(np.finfo(kind).eps) * size
+    least = (lambda d: 1 - d - slack) if metric == "cosine" else (lambda d: -d * d / 2 - slack)
+    same = both and x is y
+    rows, columns = _Lists(len(x), k, limit), _Lists(len(y), k, limit) if both and not same else None
+    columns = rows if same else columns
+    for i in range(0, len(x), block_rows):
+        own = slice(i, i + block_rows)
+        for j in range(i if same else 0, len(y), block_rows):
+            their = slice(j, j + block_rows)
+            m = a[own] @ b[their].T
+            sides = [(rows, own, False)] + ([(columns, their, True)] if both and not (same and i == j) else [])
+            for lists, mine, turned in sides:
+                bound = np.nextafter(least(lists.reach(mine)).astype(kind), kind(-np.inf))
+                near = m >= (bound if turned else bound[:, None])
+                if np.count_nonzero(near) > 4 * k * len(bound):
+                    near &= ids[own][:, None] != other[their]
+                    if allowed is not None:
+                        near &= allowed(own, their)
+                    held = np.where(near, m, kind(-np.inf))
+                    held = np.ascontiguousarray(held.T) if turned else held
+                    at = held.shape[1] - min(k, held.shape[1])
+                    cut = np.partition(held, at, axis=1)[:, at] - kind(2 * slack)
+                    near &= m >= (cut if turned else cut[:, None])
+                g, h = np.divmod(np.flatnonzero(near), near.shape[1])  # places in x's and in y's block
+                keep = ids[own][g] != other[their][h]
+                if allowed is not None and len(g):
+                    keep &= allowed(own, their, g, h)
+                g, h = g[keep], h[keep]
+                p, to = (h, ids[own][g]) if turned else (g, other[their][h])
+                for c in range(0, len(g), 64 * PAIRS):  # copies may all be equally near
+                    cut = slice(c, c + 64 * PAIRS)
+                    lists.add(p[cut] + mine.start, to[cut], _exact(x[own], y[their], g[cut], h[cut], metric))
+    found = [rows.found(ids)] + ([columns.found(other)] if both and not same else [])
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def candidates(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: int = BLOCK_ROWS, sources: DataFrame | None = None) -> DataFrame:
@@ -90,9 +159,10 @@ def candidates(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: i
         rows = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("part"), "vec_id", F.col("embedding").alias("v"))
         return rows.groupBy("part").applyInArrow(pack, "part int, ids binary, v binary")
 
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = packed(asked, strips).select(F.col("part").alias("a"), spread(groups).alias("b"), F.col("ids").alias("ids_a"), F.col("v").alias("va"))
-    right = packed(df, groups).select(spread(strips).alias("a"), F.col("part").alias("b"), F.col("ids").alias("ids_b"), F.col("v").alias("vb"))
+    both = sources is None  # then a pair of groups meets once, and each gets its neighbours in the other
+    spread = lambda first, n: F.explode(F.sequence(first, F.lit(n - 1)))
+    left = packed(asked, strips).select(F.col("part").alias("a"), spread(F.col("part") if both else F.lit(0), groups).alias("b"), F.col("ids").alias("ids_a"), F.col("v").alias("va"))
+    right = packed(df, groups).select(F.explode(F.sequence(F.lit(0), F.col("part"))).alias("a") if both else spread(F.lit(0), strips).alias("a"), F.col("part").alias("b"), F.col("ids").alias("ids_b"), F.col("v").alias("vb"))
 
     def nearest(batches):
         for batch in batches:
@@ -100,9 +170,10 @@ def candidates(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: i
                 held = lambda c, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)  # noqa: B023, E731
                 ids, other = held("ids_a", np.int64), held("ids_b", np.int64)
                 x, y = held("va", kind).reshape(len(ids), -1), held("vb", kind).reshape(len(other), -1)
-                for j in range(0, len(ids), block_rows):
-                    found = _nearest(ids[j : j + block_rows], x[j : j + block_rows], other, y, k, metric, block_rows)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["src", "dst", "distance"])
+                if both and batch.column("a")[i] == batch.column("b")[i]:
+                    y = x
+                found = _nearest(ids, x, other, y, k, metric, block_rows, both)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["src", "dst", "distance"])
 
     _few_bytes_at_once(df.sparkSession)
     return left.join(right, ["a", "b"]).mapInArrow(nearest, "src long, dst long, distance double")
@@ -112,7 +183,7 @@ def top_k(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: int =
     """(src, dst, distance, rank): the k nearest other rows of each row, ties to smaller ids; all others if there are fewer.
 
     `sources` (vec_id) are the rows whose neighbours are asked for, all by default. Rows are packed into groups of blocks; a task takes
-    a pair of groups, a matrix product for each pair of blocks, and k rows of each source leave it.
+    a pair of groups, a matrix product for each pair of blocks, and k rows of each source leave it. All rows' groups meet once.
     Vectors without length have no cosine and raise an error.
     """
     if metric not in ("cosine", "euclidean"):
@@ -144,8 +215,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def top_k_lsh(df: DataFrame, k: int = 15, bucket: float = 1.0, tables: int = 8, reach: float = 1.2, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Approximate top_k by random projections; rows with fewer than k neighbours within `reach` on the unit sphere get theirs from top_k.
 
-    Candidates share a bucket of one of the tables. Buckets are cut into blocks, and each pair of blocks is one matrix product; a
-    pair counts in its first common bucket. Where the buckets together hold more pairs than there are, all rows are one bucket and
+    Candidates share a bucket of one of the tables. Buckets are cut into groups of blocks, which meet as in `top_k`; a pair counts in its first common bucket. Where the buckets together hold more pairs than there are, all rows are one bucket and
     each pair is looked at once.
     """
     import pyarrow as pa
@@ -167,41 +237,47 @@ def top_k_lsh(df: DataFrame, k: int = 15, bucket: float = 1.0, tables: int = 8,
         dealt = hashed.select("*", F.posexplode("codes").alias("t", "h")).join(sizes, ["t", "h"])
     else:
         dealt = hashed.select("*", F.lit(-1).alias("t"), F.lit(0).cast("long").alias("h"), F.lit(n).cast("long").alias("n"))
-    dealt = dealt.withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
+    # A bucket's groups are large, as each is shipped to all of them; small buckets are one.
+    width = df.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()[0] * np.dtype(kind).itemsize + 8 * tables
+    share = F.ceil(F.col("n") * math.sqrt(6 * df.sparkSession.sparkContext.defaultParallelism) / max(n, 1))
+    blocks = F.least(F.ceil(F.col("n") / block_rows), F.greatest(F.ceil(F.col("n") * width / GROUP_BYTES), share))
+    dealt = dealt.withColumn("blocks", blocks.cast("int"))
     dealt = dealt.select("t", "h", "blocks", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "vec_id", "embedding", "codes")
 
     def pack(key, t):
-        v = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes()
-        c = t["codes"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()
+        v = t["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).tobytes()
+        c = t["codes"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).tobytes()
         at = {name: pa.array([x.as_py()], pa.int64()) for name, x in zip(("t", "h", "blocks", "block"), key, strict=True)}
         return pa.table(at | {"ids": [t["vec_id"].to_numpy().astype(np.int64).tobytes()], "c": [c], "v": [v]})
 
     packed = dealt.groupBy("t", "h", "blocks", "block").applyInArrow(pack, "t long, h long, blocks long, block long, ids binary, c binary, v binary")
-    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    side = lambda s, own, other: packed.select("t", "h", F.col("block").alias(own), spread.alias(other), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "c", "v")])
-
-    def units(r, s):
-        ids = np.frombuffer(r[f"ids_{s}"], np.int64)
-        x = np.frombuffer(r[f"v_{s}"], kind).astype(float).reshape(len(ids), -1)
-        return ids, np.frombuffer(r[f"c_{s}"], np.int64).reshape(len(ids), tables), x / np.linalg.norm(x, axis=1)[:, None]
+    first = F.explode(F.sequence(F.col("block"), F.col("blocks") - 1))
+    last = F.explode(F.sequence(F.lit(0).cast("long"), F.col("block")))
+    side = lambda s, own, other, spread: packed.select("t", "h", F.col("block").alias(own), spread.alias(other), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "c", "v")])
 
     def nearest(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                (ids, c, x), (other, e, y) = units(r, "a"), units(r, "b")
-                common = np.zeros((len(ids), len(other)), bool)
-                for j in range(tables if r["t"] < 0 else r["t"]):
-                    common |= c[:, j, None] == e[:, j]
-                d = 1 - x @ y.T
-                d[(common if r["t"] >= 0 else ~common) | (d >= reach * reach / 2) | (ids[:, None] == other)] = np.inf
-                m = min(k, d.shape[1])
-                cut = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
-                s, u = np.nonzero((d <= cut) & np.isfinite(d))  # with all that tie at the cut
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(other[u]), pa.array(d[s, u])], names=["src", "dst", "distance"])
+                held = lambda c, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)  # noqa: B023, E731
+                (ids, c, x), (other, e, y) = ((n, held(f"c_{s}", np.int64).reshape(len(n), tables), held(f"v_{s}", kind).reshape(len(n), -1)) for s in "ab" for n in [held(f"ids_{s}", np.int64)])
+                t = batch.column("t")[i].as_py()
+                if batch.column("p")[i] == batch.column("q")[i]:
+                    y = x
+
+                def allowed(mine, far, g=None, h=None):
+                    """Whether rows share a bucket of any table or, in one table's bucket, none of a table before."""
+                    one, two = (c[mine][:, None], e[far]) if g is None else (c[mine][g], e[far][h])  # noqa: B023
+                    common = np.zeros(np.broadcast_shapes(one.shape, two.shape)[:-1], bool)
+                    for j in range(tables if t < 0 else t):  # noqa: B023
+                        common |= one[..., j] == two[..., j]
+                    return common if t < 0 else ~common  # noqa: B023
+
+                found = _nearest(ids, x, other, y, k, "cosine", block_rows, True, reach * reach / 2, allowed)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["src", "dst", "distance"])
 
+    _few_bytes_at_once(df.sparkSession)
     rank = F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))
-    near = side("a", "p", "q").join(side("b", "q", "p"), ["t", "h", "p", "q"]).mapInArrow(nearest, "src long, dst long, distance double")
+    near = side("a", "p", "q", first).join(side("b", "q", "p", last), ["t", "h", "p", "q"]).mapInArrow(nearest, "src long, dst long, distance double")
     found = stored(near.withColumn("rank", rank).where(F.col("rank") <= k))
     full = found.where(F.col("rank") == k).select("src")
     lacking = stored(df.select("vec_id").join(full.withColumnRenamed("src", "vec_id"), "vec_id", "left_anti"))

@@ -39,3 +39,24 @@ def test_curation_makes_cluster_figures_once(spark):
     assert "Aggregate" not in result.clusters._jdf.queryExecution().toString() and "Aggregate" not in result.captions._jdf.queryExecution().toString()
     assert result.clusters.where("representative_path <> concat('p', representative_idx)").isEmpty()
     assert result.clusters.agg(F.sum("size")).first()[0] == 60 and result.captions.count() == result.clusters.count()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_one_product_gives_both_sides(metric):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 12)).astype(np.float32)
+    x[5:25] = x[60]
+    ids = np.sort(rng.choice(1000, 90, replace=False))
+    d = 1 - x.astype(float) @ x.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1) if metric == "cosine" else np.sqrt(((x[:, None].astype(float) - x) ** 2).sum(2))
+
+    def want(rows, far):
+        return {(int(ids[a]), int(ids[b])) for a in rows for b in sorted((b for b in far if b != a), key=lambda b: (round(d[a, b], 6), ids[b]))[:6]}
+
+    def got(found):
+        assert len(found[0]) == len(set(zip(*(c.tolist() for c in found[:2]), strict=True)))
+        return set(zip(*(c.tolist() for c in found[:2]), strict=True))
+
+    one, two = range(40), range(40, 90)
+    assert got(knn._nearest(ids[:40], x[:40], ids[40:], x[40:], 6, metric, 16, True)) == want(one, two) | want(two, one)
+    assert got(knn._nearest(ids, x, ids, x, 6, metric, 16, True)) == want(range(90), range(90))
+    assert got(knn._nearest(ids[:40], x[:40], ids, x, 6, metric, 16)) == want(one, range(90))
