@@ -14,8 +14,12 @@ from .community import _with_alone, canonical
 from .errors import AnalysisError
 from .lineage import drop_stored, stored
 
-#: Columns beyond those asked for, steps of the filter in a round, and rounds at most.
-MORE, STEPS, ROUNDS = 6, 8, 20
+#: Columns beyond those asked for, steps of the filter in the first round and in any at most, and rounds at most.
+MORE, STEPS, MOST_STEPS, ROUNDS = 6, 8, 48, 60
+#: A round's filter may stretch the largest eigenvalue's vector by so many powers of e more than the last one's.
+STRETCH = 14.0
+#: While a residual is longer, products take floats.
+ROUGH = 1e-3
 #: An eigenvector is found when its residual is at most so long.
 TOLERANCE = 1e-6
 LOT_NODES = 2048
@@ -25,9 +29,21 @@ BROADCAST_BYTES = 16 << 20
 CENTRE_ROWS, TURNS = 4096, 30
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, kind=float) -> np.ndarray:
     held = column.to_pylist()
-    return np.frombuffer(b"".join(held), float).reshape(len(held), -1)
+    return np.frombuffer(b"".join(held), kind).reshape(len(held), -1)
+
+
+def _floats(block: DataFrame) -> DataFrame:
+    """(vec_id, x of floats)."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_binary(_matrix(b.column(1)).astype(np.float32)), pa.binary())], names=["vec_id", "x"])
+
+    return block.select("vec_id", "x").mapInArrow(run, "vec_id long, x binary")
 
 
 def _binary(rows: np.ndarray) -> list[bytes]:
@@ -51,12 +67,13 @@ class _Graph:
     def _lot(self, c: str):
         return F.pmod(F.xxhash64(c), F.lit(self.lots)).cast("int")
 
-    def step(self, block: DataFrame, now_by: float, own_by: float, before_by: float) -> DataFrame:
-        """(vec_id, x, before): now_by * A x + own_by * x + before_by * before; what was x is before."""
+    def step(self, block: DataFrame, now_by: float, own_by: float, before_by: float, rough: bool = False) -> DataFrame:
+        """(vec_id, x, before): now_by * A x + own_by * x + before_by * before; what was x is before. `rough`: neighbours send floats."""
         import pyarrow as pa
 
-        there = block.select(F.col("vec_id").alias("dst"), F.col("x").alias("y"))
-        there = F.broadcast(there) if self.n * self.columns * 8 <= BROADCAST_BYTES else there
+        kind = np.float32 if rough else float
+        there = (_floats(block) if rough else block).select(F.col("vec_id").alias("dst"), F.col("x").alias("y"))
+        there = F.broadcast(there) if self.n * self.columns * np.dtype(kind).itemsize <= BROADCAST_BYTES else there
         around = self.edges.join(there, "dst").select("here", "src", "weight", "y")
 
         def run(left, right):
@@ -66,7 +83,7 @@ class _Graph:
             total = np.zeros_like(x)
             if right.num_rows:
                 at = order[np.searchsorted(ids, right["src"].to_numpy(), sorter=order)]
-                np.add.at(total, at, right["weight"].to_numpy()[:, None] * _matrix(right["y"]))
+                np.add.at(total, at, right["weight"].to_numpy()[:, None] * _matrix(right["y"], kind))
             return pa.table({"vec_id": left["vec_id"], "x": pa.array(_binary(now_by * total + own_by * x + before_by * before), pa.binary()), "before": pa.array(left["x"].to_pylist(), pa.binary())})
 
         rows = block.withColumn("lot", self._lot("vec_id"))
@@ -109,9 +126,17 @@ def _times(block: DataFrame, by: dict[str, np.ndarray]) -> DataFrame:
 
 def _basis(gram: np.ndarray) -> np.ndarray:
     """A matrix that makes columns with these inner products orthonormal; directions without length are left out."""
-    e, v = np.linalg.eigh(gram)
+    scale = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))  # the filter stretches columns unlike
+    e, v = np.linalg.eigh(gram * scale * scale[:, None])
     kept = e > e[-1] * 1e-14
-    return v[:, kept] / np.sqrt(e[kept])
+    return scale[:, None] * v[:, kept] / np.sqrt(e[kept])
+
+
+def _steps(values: np.ndarray, k: int, low: float, worst: float) -> int:
+    """How many steps of a filter that damps what is below `low` bring the residual `worst` of k vectors below TOLERANCE, as far as a round may go."""
+    grow = np.arccosh(np.maximum((values[[0, k - 1]] - (low - 1) / 2) / ((low + 1) / 2), 1 + 1e-12))
+    wanted = np.arccosh(max(4 * worst / TOLERANCE, 1.0)) / max(grow[1], 1e-6)
+    return int(np.clip(np.ceil(wanted), 2, max(2, min(MOST_STEPS, STRETCH // max(grow[0] - grow[1], 1e-6)))))
 
 
 def eigenvectors(edges: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -135,15 +160,17 @@ def eigenvectors(edges: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, n
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_binary(np.array(rows).reshape(-1, wide)), pa.binary())], names=["vec_id", "x"])
 
     block = stored(d.select("vec_id").mapInArrow(drawn, "vec_id long, x binary").withColumn("before", F.col("x")))
-    low = 0.0  # below it, eigenvalues are damped
+    low, steps, rough = 0.0, STEPS, True  # below it, eigenvalues are damped
     for _ in range(ROUNDS):
         centre, half = (low - 1) / 2, (low + 1) / 2
-        filtered = graph.step(block, 1 / half, -centre / half, 0.0)
-        for _ in range(STEPS - 1):
-            filtered = stored(graph.step(filtered, 2 / half, -2 * centre / half, -1.0))
+        filtered = stored(graph.step(block, 1 / half, -centre / half, 0.0, rough))
+        for _ in range(steps - 1):
+            last, filtered = filtered, stored(graph.step(filtered, 2 / half, -2 * centre / half, -1.0, rough))
+            drop_stored(last)
         for _ in range(2):  # a second time for what rounding leaves
             basis = _basis(_products(filtered, ("x", "x"))[0])
-            filtered = stored(_times(filtered, {"x": basis}))
+            last, filtered = filtered, stored(_times(filtered, {"x": basis}))
+            drop_stored(last)
         graph.columns = basis.shape[1]
         image = stored(graph.step(filtered.withColumn("before", F.col("x")), 1.0, 0.0, 0.0))  # x: the image, before: the vectors
         h, square = _products(image, ("before", "x"), ("x", "x"))
@@ -157,7 +184,8 @@ def eigenvectors(edges: DataFrame, k: int, seed: int = 42) -> tuple[DataFrame, n
             raise AnalysisError("fewer directions than eigenvectors asked for")
         if residual[:k].max(initial=0.0) <= TOLERANCE:
             break
-        low = float(np.clip(values[-1], -0.5, 0.999))
+        low, worst = float(np.clip(values[-1], -0.5, 0.999)), float(residual[:k].max())
+        steps, rough = _steps(values, k, low, worst), worst > ROUGH
     else:
         raise AnalysisError("eigenvectors did not settle")
     cut = F.substring("x", 1, 8 * k)

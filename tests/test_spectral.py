@@ -54,3 +54,15 @@ def test_curation_by_choice(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
     found = curation.fit_predict(df, curation.ClusteringConfig(method="spectral", k_neighbors=8))
     assert found.count() == 120 and found.where("vec_id < 30").join(found.where("vec_id >= 30"), "cluster_id").isEmpty()
+
+
+def test_unlike_columns_keep_their_directions():
+    """A filter stretches the columns by powers of ten: before, short ones were taken for rounding and left out."""
+    x = np.linalg.qr(np.random.default_rng(8).normal(size=(60, 5)))[0] * 10.0 ** np.array([9, 6, 3, 0, -2])
+    found = x @ spectral._basis(x.T @ x)
+    assert found.shape == (60, 5) and np.allclose(found.T @ found, np.eye(5), atol=1e-6)
+
+
+def test_steps_follow_the_gap():
+    near, far = np.array([1.0, 0.97, 0.8]), np.array([1.0, 0.99, 0.2])
+    assert 8 < spectral._steps(near, 2, 0.95, 1e-1) <= spectral.MOST_STEPS and spectral._steps(far, 2, 0.2, 1e-5) < 8
