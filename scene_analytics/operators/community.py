@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .errors import AnalysisError
-from .lineage import materialize, numbered
+from .lineage import drop_stored, materialize, numbered, stored
 
 #: Rounds after which labels that still change are an error.
 SETTLE_ROUNDS = 100
@@ -156,13 +156,17 @@ def power_iteration(edges: DataFrame, k: int | None = None, rounds: int = 20, no
     """(vec_id, cluster_id) by power iteration clustering; k is the root of half the number of rows by default, at least 2.
 
     Rows of `nodes` (vec_id) and of edges that aren't positive have no place in it: each gets a cluster of its own behind the others.
+    Edges are read several times and computed once.
     """
     from pyspark.ml.clustering import PowerIterationClustering
 
+    edges = stored(edges.select("src", "dst", "weight"))
     if k is None:
         k = max(2, int((edges.select("src").distinct().count() / 2) ** 0.5))
     once = edges.where("src < dst and weight > 0")
     found = PowerIterationClustering(k=k, maxIter=rounds, initMode="degree", srcCol="src", dstCol="dst", weightCol="weight").assignClusters(once)
     labels = found.select(F.col("id").alias("vec_id"), (-1 - F.col("cluster").cast("long")).alias("label"))
     every = edges.select(F.col("src").alias("vec_id"))
-    return canonical(_with_alone(labels, every if nodes is None else every.unionByName(nodes.select("vec_id"))))
+    done = canonical(_with_alone(labels, every if nodes is None else every.unionByName(nodes.select("vec_id"))))
+    drop_stored(edges)
+    return done

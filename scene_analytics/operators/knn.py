@@ -18,6 +18,8 @@ from .percentile import exact_percentile
 BLOCK_ROWS = 2048
 #: Blocks travel in groups of about so many bytes at most, or fewer where a task for each pair of groups would leave cores idle.
 GROUP_BYTES = 8_000_000
+#: Pairs of groups are dealt to four times as many tasks, as long as these are no more, so that few tasks get several.
+SPREAD = 1000
 #: Pairs that are measured at a time.
 PAIRS = 1 << 14
 
@@ -55,15 +57,17 @@ def _similar(x: np.ndarray, metric: str, first: bool, kind) -> np.ndarray:
     return np.hstack([x, half, one] if first else [x, one, half]).astype(kind)
 
 
-def _exact(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x.astype(float) ** 2).sum(1))
+
+
+def _exact(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, metric: str, lengths: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Distances of the rows a of x and b of y, in doubles, so many pairs at a time."""
     d = np.empty(len(a))
     for i in range(0, len(a), PAIRS):
-        v, w = x[a[i : i + PAIRS]].astype(float), y[b[i : i + PAIRS]].astype(float)
-        if metric == "cosine":
-            d[i : i + PAIRS] = 1 - (v * w).sum(1) / np.sqrt((v * v).sum(1)) / np.sqrt((w * w).sum(1))
-        else:
-            d[i : i + PAIRS] = np.sqrt(((v - w) ** 2).sum(1))
+        p, q = a[i : i + PAIRS], b[i : i + PAIRS]
+        v, w = x[p].astype(float), y[q].astype(float)
+        d[i : i + PAIRS] = 1 - (v * w).sum(1) / lengths[0][p] / lengths[1][q] if metric == "cosine" else np.sqrt(((v - w) ** 2).sum(1))
     return d
 
 
@@ -83,19 +87,43 @@ class _Lists:
         if not len(row):
             return
         some = np.unique(row)
-        s = np.concatenate([np.repeat(some, self.k), row])
-        t, e = np.concatenate([self.to[some].ravel(), to]), np.concatenate([self.d[some].ravel(), d])
+        held = np.isfinite(self.d[some])
+        s = np.concatenate([np.repeat(some, held.sum(1)), row])
+        t, e = np.concatenate([self.to[some][held], to]), np.concatenate([self.d[some][held], d])
         order = np.lexsort((t, e, s))
-        order = order[np.arange(len(s)) - np.searchsorted(s[order], s[order]) < self.k]
-        self.d[some], self.to[some] = e[order].reshape(-1, self.k), t[order].reshape(-1, self.k)
+        s = s[order]
+        place = np.arange(len(s)) - np.searchsorted(s, s)
+        near = place < self.k
+        order = order[near]
+        self.d[s[near], place[near]], self.to[s[near], place[near]] = e[order], t[order]
 
     def found(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.isfinite(self.d)
         return np.repeat(ids, at.sum(1)), self.to[at], self.d[at]
 
 
+def _kth(m: np.ndarray, k: int) -> np.ndarray:
+    """For each row a value that at least k of its entries reach, all if there are fewer: near the k-th largest one."""
+    wide = max(1, m.shape[1] // (16 * k))
+    many = m.shape[1] // wide
+    top = m[:, :many].copy()
+    for i in range(1, wide):  # the largest of every `wide` entries, which are different ones
+        np.fmax(top, m[:, i * many : (i + 1) * many], out=top)
+    at = many - min(k, many)
+    return np.partition(top, at, axis=1)[:, at]
+
+
+def _places(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of what is true, which is little: eight entries are looked at together."""
+    flat = near.ravel()
+    whole = len(flat) // 8 * 8
+    some = (np.flatnonzero(flat[:whole].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    some = np.concatenate([some[flat[some]], whole + np.flatnonzero(flat[whole:])])
+    return np.divmod(some, near.shape[1])
+
+
 def _nearest(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, k: int, metric: str, block_rows: int, both: bool = False, limit: float = np.inf, allowed=None):
-    """(src, dst, distance): for each row of x the k nearest of y and, with `both`, for each of y the k nearest of x, block by block.
+    """(src, dst, distance): for each row of x the k nearest of y and, with `both`, for each of y the k nearest of x.
 
     A product of floats, right to `slack`, leaves out what surely is farther than the k-th so far; the rest is measured in doubles.
     `ids` and `other` rise. `allowed` (rows of x, rows of y) says which pairs count; pairs of a row with itself don't.
@@ -106,37 +134,40 @@ def _nearest(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, k
     size = 1.0 if metric == "cosine" else float(max((x.astype(float) ** 2).sum(1).max(initial=0), (y.astype(float) ** 2).sum(1).max(initial=0))) * 2
     slack = (x.shape[1] + 16) * 2 * float(np.finfo(kind).eps) * size
     least = (lambda d: 1 - d - slack) if metric == "cosine" else (lambda d: -d * d / 2 - slack)
-    same = both and x is y
-    rows, columns = _Lists(len(x), k, limit), _Lists(len(y), k, limit) if both and not same else None
-    columns = rows if same else columns
-    for i in range(0, len(x), block_rows):
-        own = slice(i, i + block_rows)
-        for j in range(i if same else 0, len(y), block_rows):
-            their = slice(j, j + block_rows)
-            m = a[own] @ b[their].T
-            sides = [(rows, own, False)] + ([(columns, their, True)] if both and not (same and i == j) else [])
-            for lists, mine, turned in sides:
-                bound = np.nextafter(least(lists.reach(mine)).astype(kind), kind(-np.inf))
-                near = m >= (bound if turned else bound[:, None])
-                if np.count_nonzero(near) > 4 * k * len(bound):
-                    near &= ids[own][:, None] != other[their]
-                    if allowed is not None:
-                        near &= allowed(own, their)
-                    held = np.where(near, m, kind(-np.inf))
-                    held = np.ascontiguousarray(held.T) if turned else held
-                    at = held.shape[1] - min(k, held.shape[1])
-                    cut = np.partition(held, at, axis=1)[:, at] - kind(2 * slack)
-                    near &= m >= (cut if turned else cut[:, None])
-                g, h = np.divmod(np.flatnonzero(near), near.shape[1])  # places in x's and in y's block
-                keep = ids[own][g] != other[their][h]
-                if allowed is not None and len(g):
-                    keep &= allowed(own, their, g, h)
+    lengths = _lengths(x), _lengths(y)
+    sides = [(ids, x, a, lengths, other, y, b, allowed)]
+    if both and x is not y:
+        turned = allowed and (lambda own, their, g=None, h=None: allowed(their, own).T if g is None else allowed(their, own, h, g))
+        sides.append((other, y, b, lengths[::-1], ids, x, a, turned))
+    found = []
+    for own_ids, u, own_rows, norms, their_ids, v, their_rows, may in sides:
+        lists = _Lists(len(u), k, limit)
+        # A strip of rows meets all others at once, in a product of at most a block's size; where pairs have to be allowed, block by block.
+        width = max(1, len(v) if may is None else block_rows)
+        high = max(1, block_rows * block_rows // width)
+        for i in range(0, len(u), high):
+            for j in range(0, len(v), width):
+                own, their = slice(i, i + high), slice(j, j + width)
+                m = own_rows[own] @ their_rows[their].T
+                at = np.searchsorted(their_ids[their], own_ids[own])
+                self_at = np.flatnonzero(at < m.shape[1])
+                self_at = self_at[their_ids[their][at[self_at]] == own_ids[own][self_at]]
+                m[self_at, at[self_at]] = -np.inf
+                bound = np.nextafter(least(lists.reach(own)).astype(kind), kind(-np.inf))
+                near = m >= bound[:, None] if j or limit < np.inf else None
+                if near is None or np.count_nonzero(near) > 4 * k * len(bound):
+                    if may is not None:
+                        m[~may(own, their)] = -np.inf
+                    near = m >= np.maximum(bound, _kth(m, k) - kind(2 * slack))[:, None]
+                g, h = _places(near)  # places in the strip and in the block
+                keep = own_ids[own][g] != their_ids[their][h]
+                if may is not None and len(g):
+                    keep &= may(own, their, g, h)
                 g, h = g[keep], h[keep]
-                p, to = (h, ids[own][g]) if turned else (g, other[their][h])
                 for c in range(0, len(g), 64 * PAIRS):  # copies may all be equally near
                     cut = slice(c, c + 64 * PAIRS)
-                    lists.add(p[cut] + mine.start, to[cut], _exact(x[own], y[their], g[cut], h[cut], metric))
-    found = [rows.found(ids)] + ([columns.found(other)] if both and not same else [])
+                    lists.add(g[cut] + i, their_ids[their][h[cut]], _exact(u, v, g[cut] + i, h[cut] + j, metric, norms))
+        found.append(lists.found(own_ids))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -176,7 +207,10 @@ def candidates(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: i
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["src", "dst", "distance"])
 
     _few_bytes_at_once(df.sparkSession)
-    return left.join(right, ["a", "b"]).mapInArrow(nearest, "src long, dst long, distance double")
+    pairs = groups * (groups + 1) // 2 if both else strips * groups
+    tasks = max(pairs, min(4 * pairs, SPREAD), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # with fewer the join deals anew
+    deal = lambda rows: rows.repartition(tasks, "a", "b")
+    return deal(left).join(deal(right), ["a", "b"]).mapInArrow(nearest, "src long, dst long, distance double")
 
 
 def top_k(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: int = BLOCK_ROWS, sources: DataFrame | None = None) -> DataFrame:
