@@ -25,8 +25,8 @@ POOL, MEET = 4, 24
 TREES, LEAF, FIT_ROWS = 3, 512, 8192
 #: Rounds end when fewer than this share of all neighbours are new, or after so many.
 SETTLED, ROUNDS = 0.02, 16
-#: Rows whose lists, and rows whose meetings, are one group.
-LOT_ROWS, MEET_ROWS = 2048, 512
+#: Rows whose lists are one group, and rows whose meetings are one group at most.
+LOT_ROWS, MEET_ROWS = 2048, 32768
 
 STATE = "vec_id long, code binary, scale float, ids binary, sims binary, fresh binary, least float"
 FOUND = "src long, dst long, sim float"
@@ -203,26 +203,35 @@ def _chosen(state: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _meetings(told: DataFrame, who: DataFrame, n: int) -> DataFrame:
-    """(src, dst, sim): of rows that meet, at least one of them fresh, those nearer than the other's farthest neighbour."""
-    lots = max(1, n // MEET_ROWS)
+    """(src, dst, sim): of rows that meet, at least one of them fresh, those nearer than the other's farthest neighbour.
+
+    A row travels once to each group that it meets others in, so groups are as few as keep the cores at work.
+    """
+    lots = max(1, -(-n // MEET_ROWS), min(2 * told.sparkSession.sparkContext.defaultParallelism, n // LOT_ROWS))
     there = told.select(F.col("vec_id").alias("member"), "code", "scale", "least")
-    rows = who.join(there, "member").withColumn("lot", F.pmod(F.xxhash64("center"), F.lit(lots)))
+    asked = who.withColumn("lot", F.pmod(F.xxhash64("center"), F.lit(lots)))
+    asked = asked.groupBy("member", "lot").agg(F.collect_list("center").alias("centers"), F.collect_list("fresh").alias("news"))
+    rows = asked.join(there, "member").repartition(4 * lots, "lot")
 
     def run(t):
-        center, member, fresh, least = (t[c].to_numpy() for c in ("center", "member", "fresh", "least"))
-        order = np.lexsort((~fresh.astype(bool), member, center))
-        center, member, fresh, least = center[order], member[order], fresh[order].astype(bool), least[order]
+        times = t["centers"].combine_chunks().value_lengths().to_numpy()
+        flat = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        code, scale = _rows(t["code"], np.int8), t["scale"].to_numpy().astype(np.float32)
+        at = np.repeat(np.arange(t.num_rows), times)
+        center, fresh, member, least = flat("centers"), flat("news").astype(bool), t["member"].to_numpy()[at], t["least"].to_numpy()[at]
+        order = np.lexsort((~fresh, member, center))
+        center, member, fresh, least, at = center[order], member[order], fresh[order], least[order], at[order]
         once = np.ones(len(order), bool)
         once[1:] = (center[1:] != center[:-1]) | (member[1:] != member[:-1])
-        x = _units(t)[order[once]]
-        center, member, fresh, least = center[once], member[once], fresh[once], least[once]
+        center, member, fresh, least, at = center[once], member[once], fresh[once], least[once], at[once]
         out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]]
         cuts = np.flatnonzero(np.concatenate([[True], center[1:] != center[:-1], [True]]))
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             new = np.flatnonzero(fresh[i:j]) + i
             if not len(new):
                 continue
-            s = x[new] @ x[i:j].T
+            x = code[at[i:j]].astype(np.float32) * scale[at[i:j]][:, None]
+            s = x[new - i] @ x.T
             s[new[:, None] == np.arange(i, j)[None]] = NOTHING
             for near, swap in ((s > least[new][:, None], False), (s > least[i:j][None], True)):
                 a, b = np.nonzero(near)
