@@ -22,6 +22,10 @@ GROUP_BYTES = 8_000_000
 SPREAD = 1000
 #: Pairs that are measured at a time.
 PAIRS = 1 << 14
+#: From so many blocks on, groups first meet themselves and tell the others how near is near enough.
+BOUND_BLOCKS = 16
+#: Lists of rows whose neighbours in all groups come together: so many at most.
+LISTS = 80_000
 
 
 def _need_length(df: DataFrame) -> None:
@@ -33,11 +37,11 @@ def _kind(df: DataFrame) -> str:
     return "<f4" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"  # as it is shipped; products are of doubles
 
 
-def _groups(df: DataFrame, block_rows: int, item: int) -> int:
-    """Into how many groups rows are dealt: few, as each group meets all groups and is shipped so many times; at most one for each block."""
+def _groups(df: DataFrame, block_rows: int, item: int) -> tuple[int, int]:
+    """(number of rows, into how many groups they are dealt): few, as each group meets all groups and is shipped so many times; at most one for each block."""
     n, dims = df.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(1, min(-(-n // block_rows), max(-(-n * dims * item // GROUP_BYTES), math.ceil(math.sqrt(6 * cores)))))
+    return n, max(1, min(-(-n // block_rows), max(-(-n * dims * item // GROUP_BYTES), math.ceil(math.sqrt(6 * cores)))))
 
 
 def _few_bytes_at_once(spark: SparkSession) -> None:
@@ -72,17 +76,17 @@ def _exact(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, metric: s
 
 
 class _Lists:
-    """The k nearest so far of each of `n` rows, ties to smaller ids; `limit`: what isn't nearer than it doesn't count."""
+    """The k nearest so far of each of `n` rows, ties to smaller ids; `limit`, one or one for each row: what isn't nearer than it doesn't count."""
 
-    def __init__(self, n: int, k: int, limit: float):
-        self.k, self.limit = k, limit
+    def __init__(self, n: int, k: int, limit: float | np.ndarray):
+        self.k, self.limit = k, np.broadcast_to(limit, n)
         self.d, self.to = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
 
     def reach(self, cut: slice) -> np.ndarray:
-        return np.minimum(self.d[cut, -1], self.limit)
+        return np.minimum(self.d[cut, -1], self.limit[cut])
 
     def add(self, row: np.ndarray, to: np.ndarray, d: np.ndarray) -> None:
-        near = (d <= self.d[row, -1]) & (d < self.limit)
+        near = (d <= self.d[row, -1]) & (d < self.limit[row])
         row, to, d = row[near], to[near], d[near]
         if not len(row):
             return
@@ -109,6 +113,7 @@ def _kth(m: np.ndarray, k: int) -> np.ndarray:
     top = m[:, :many].copy()
     for i in range(1, wide):  # the largest of every `wide` entries, which are different ones
         np.fmax(top, m[:, i * many : (i + 1) * many], out=top)
+    top = np.fmax(top, top.dtype.type(-np.inf))  # what isn't a number is reached by none
     at = many - min(k, many)
     return np.partition(top, at, axis=1)[:, at]
 
@@ -122,18 +127,60 @@ def _places(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.divmod(some, near.shape[1])
 
 
+def _screen(x: np.ndarray, y: np.ndarray, metric: str):
+    """(type, rows of x, rows of y, slack, least): a product of these rows is right to `slack`; `least` is what one of a distance reaches."""
+    small = x.dtype.itemsize == 4 and (metric == "cosine" or max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) < 1e15)
+    kind = np.float32 if small else np.float64
+    size = 1.0 if metric == "cosine" else float(max((x.astype(float) ** 2).sum(1).max(initial=0), (y.astype(float) ** 2).sum(1).max(initial=0))) * 2
+    slack = (x.shape[1] + 16) * 2 * float(np.finfo(kind).eps) * size
+    least = (lambda d: 1 - d - slack) if metric == "cosine" else (lambda d: -d * d / 2 - slack)
+    return kind, _similar(x, metric, True, kind), _similar(y, metric, False, kind), slack, least
+
+
+def _within(x: np.ndarray, ids: np.ndarray, reach: np.ndarray, y: np.ndarray, other: np.ndarray, far: np.ndarray, k: int, metric: str, block_rows: int) -> tuple[_Lists, _Lists]:
+    """For rows of x the k nearest of y that are no farther than `reach`, and for rows of y those of x no farther than `far`.
+
+    One product serves both sides. No row is in both.
+    """
+    kind, a, b, slack, least = _screen(x, y, metric)
+    lengths = _lengths(x), _lengths(y)
+    one, two = (_Lists(len(r), k, np.nextafter(r, np.inf)) for r in (reach, far))
+    bound = lambda lists: np.nextafter(least(lists.reach(slice(None))).astype(kind), kind(-np.inf))
+    high, low, least_far, waiting, many = max(1, block_rows // 4), bound(one), bound(two), [], 0
+
+    def measure():
+        for lists, side, u, v, names, norms in ((one, 0, x, y, other, lengths), (two, 1, y, x, ids, lengths[::-1])):
+            row, to = (np.concatenate([w[2 * side + c] for w in waiting]) for c in (0, 1))
+            lists.add(row, names[to], _exact(u, v, row, to, metric, norms))
+        waiting.clear()
+
+    for i in range(0, len(x), high):
+        for j in range(0, len(y), block_rows):
+            m = a[i : i + high] @ b[j : j + block_rows].T
+            near, back = m >= low[i : i + high, None], m >= least_far[None, j : j + block_rows]
+            if np.count_nonzero(near) > 4 * k * m.shape[0]:
+                near &= m >= (_kth(m, k) - kind(2 * slack))[:, None]
+            if np.count_nonzero(back) > 4 * k * m.shape[1]:
+                back &= m >= (_kth(m.T, k) - kind(2 * slack))[None]
+            g, h = _places(near | back)
+            hit, met = near[g, h], back[g, h]
+            waiting.append((g[hit] + i, h[hit] + j, h[met] + j, g[met] + i))
+            many += len(g)
+            if many > 64 * PAIRS:  # copies may all be equally near
+                measure()
+                low, least_far, many = bound(one), bound(two), 0
+    if waiting:
+        measure()
+    return one, two
+
+
 def _nearest(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, k: int, metric: str, block_rows: int, both: bool = False, limit: float = np.inf, allowed=None):
     """(src, dst, distance): for each row of x the k nearest of y and, with `both`, for each of y the k nearest of x.
 
     A product of floats, right to `slack`, leaves out what surely is farther than the k-th so far; the rest is measured in doubles.
     `ids` and `other` rise. `allowed` (rows of x, rows of y) says which pairs count; pairs of a row with itself don't.
     """
-    small = x.dtype.itemsize == 4 and (metric == "cosine" or max(np.abs(x).max(initial=0), np.abs(y).max(initial=0)) < 1e15)
-    kind = np.float32 if small else np.float64
-    a, b = _similar(x, metric, True, kind), _similar(y, metric, False, kind)
-    size = 1.0 if metric == "cosine" else float(max((x.astype(float) ** 2).sum(1).max(initial=0), (y.astype(float) ** 2).sum(1).max(initial=0))) * 2
-    slack = (x.shape[1] + 16) * 2 * float(np.finfo(kind).eps) * size
-    least = (lambda d: 1 - d - slack) if metric == "cosine" else (lambda d: -d * d / 2 - slack)
+    kind, a, b, slack, least = _screen(x, y, metric)
     lengths = _lengths(x), _lengths(y)
     sides = [(ids, x, a, lengths, other, y, b, allowed)]
     if both and x is not y:
@@ -171,14 +218,119 @@ def _nearest(ids: np.ndarray, x: np.ndarray, other: np.ndarray, y: np.ndarray, k
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+LISTED = "part int, strip int, src binary, dst binary, distance binary"
+FOUND = "src long, dst long, distance double"
+
+
+def _bounded(df: DataFrame, k: int, metric: str, block_rows: int, groups: int) -> DataFrame:
+    """(part, strip, src, dst, distance): packed lists of neighbours, for each strip of a group those in each group.
+
+    Groups first meet themselves. A row's k-th neighbour there bounds its neighbours in other groups, so that little of a product is
+    looked at, and one product serves both groups. A strip's lists are LISTS at most, times k.
+    """
+    import pyarrow as pa
+
+    kind, high = _kind(df), max(1, LISTS // groups)
+
+    def pack(key, t):
+        ids = t["vec_id"].to_numpy().astype(np.int64)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        v = t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)[order].astype(kind)
+        src, dst, d = _nearest(ids, v, ids, v, k, metric, block_rows, True)
+        first, last = np.searchsorted(src, ids), np.searchsorted(src, ids, "right")
+        reach = np.full(len(ids), np.inf)
+        full = last - first == k
+        reach[full] = d[last[full] - 1]
+        held = {"ids": ids, "v": v, "reach": reach, "src": src, "dst": dst, "distance": d}
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32())} | {c: pa.array([a.tobytes()], pa.binary()) for c, a in held.items()})
+
+    rows = df.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part"), "vec_id", F.col("embedding").alias("v"))
+    dealt = rows.repartition(min(4 * groups, SPREAD), "part").groupBy("part")
+    packed = stored(dealt.applyInArrow(pack, "part int, ids binary, v binary, reach binary, src binary, dst binary, distance binary"))
+
+    def strips(part: int, ids: np.ndarray, src: np.ndarray, dst: np.ndarray, d: np.ndarray):
+        cuts = np.searchsorted(src, ids[::high]).tolist() + [len(src)]
+        some = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        held = [pa.array([c[a:b].tobytes() for _, a, b in some], pa.binary()) for c in (src, dst, d)]
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array([i for i, _, _ in some], pa.int32()), *held], names=["part", "strip", "src", "dst", "distance"])
+
+    def column(batch, c, i, t=np.int64):
+        return np.frombuffer(batch.column(c)[i].as_buffer(), t)
+
+    def own(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield strips(b.column("part")[i].as_py(), column(b, "ids", i), column(b, "src", i), column(b, "dst", i), column(b, "distance", i, float))
+
+    def meet(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (p, ids, x, reach), (q, other, y, far) = (
+                    (batch.column(s)[i].as_py(), n, column(batch, f"v_{s}", i, kind).reshape(len(n), -1), column(batch, f"reach_{s}", i, float)) for s in "ab" for n in [column(batch, f"ids_{s}", i)]
+                )
+                one, two = _within(x, ids, reach, y, other, far, k, metric, block_rows)
+                yield strips(p, ids, *one.found(ids))
+                yield strips(q, other, *two.found(other))
+
+    _few_bytes_at_once(df.sparkSession)
+    pairs = groups * (groups - 1) // 2
+    tasks = max(pairs, min(4 * pairs, SPREAD), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # with fewer the join deals anew
+    after, before = F.explode(F.sequence(F.col("part") + 1, F.lit(groups - 1))), F.explode(F.sequence(F.lit(0), F.col("part") - 1))
+    side = lambda s, a, b: packed.where(F.col("part") < groups - 1 if s == "a" else F.col("part") > 0).select(a.alias("a"), b.alias("b"), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "v", "reach")]).repartition(tasks, "a", "b")
+    met = side("a", F.col("part"), after).join(side("b", before, F.col("part")), ["a", "b"]).mapInArrow(meet, LISTED)
+    return packed.select("part", "ids", "src", "dst", "distance").mapInArrow(own, LISTED).unionByName(met)
+
+
+def _unpacked(t) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(x.as_buffer() for x in t[c] if x.is_valid), kind) for c, kind in (("src", np.int64), ("dst", np.int64), ("distance", float))]
+
+
+def _listed(lists: DataFrame) -> DataFrame:
+    """(src, dst, distance) of packed lists."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unpacked(pa.table(b.columns, names=b.schema.names))], names=["src", "dst", "distance"])
+
+    return lists.mapInArrow(run, FOUND)
+
+
+def _merged(lists: DataFrame, k: int) -> DataFrame:
+    """(src, dst, distance, rank): of packed lists each row's k nearest, ties to smaller ids."""
+    import pyarrow as pa
+
+    def run(t):
+        src, dst, d = _unpacked(t)
+        order = np.lexsort((dst, d, src))
+        src, dst, d = src[order], dst[order], d[order]
+        rank = np.arange(len(src)) - np.searchsorted(src, src) + 1
+        near = rank <= k
+        return pa.table({"src": src[near], "dst": dst[near], "distance": d[near], "rank": pa.array(rank[near], pa.int32())})
+
+    return lists.groupBy("part", "strip").applyInArrow(run, FOUND + ", rank int")
+
+
 def candidates(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: int = BLOCK_ROWS, sources: DataFrame | None = None) -> DataFrame:
-    """(src, dst, distance): the k nearest other rows of each row in each group of rows; of all these k are the nearest."""
+    """(src, dst, distance): near other rows of each row in each group of rows, at most k; of all these k are the nearest."""
+    n, groups = _groups(df, block_rows, np.dtype(_kind(df)).itemsize)
+    if sources is None and _many(n, groups, block_rows):
+        return _listed(_bounded(df, k, metric, block_rows, groups))
+    return _paired(df, k, metric, block_rows, sources, groups)
+
+
+def _many(n: int, groups: int, block_rows: int) -> bool:
+    return groups > 1 and n >= BOUND_BLOCKS * block_rows
+
+
+def _paired(df: DataFrame, k: int, metric: str, block_rows: int, sources: DataFrame | None, groups: int) -> DataFrame:
+    """`candidates` without bounds: every pair of groups leaves k rows of each source."""
     import pyarrow as pa
 
     kind = _kind(df)
     asked = df if sources is None else df.join(sources.select("vec_id"), "vec_id", "left_semi")
-    groups = _groups(df, block_rows, np.dtype(kind).itemsize)
-    strips = groups if sources is None else _groups(asked, block_rows, np.dtype(kind).itemsize)
+    strips = groups if sources is None else _groups(asked, block_rows, np.dtype(kind).itemsize)[1]
 
     def pack(key, t):
         ids = t["vec_id"].to_numpy().astype(np.int64)
@@ -224,8 +376,11 @@ def top_k(df: DataFrame, k: int = 15, metric: str = "cosine", block_rows: int =
         raise ValueError(f"unknown metric {metric}")
     if metric == "cosine":
         _need_length(df)
+    n, groups = _groups(df, block_rows, np.dtype(_kind(df)).itemsize)
+    if sources is None and _many(n, groups, block_rows):
+        return _merged(_bounded(df, k, metric, block_rows, groups), k)
     rank = F.row_number().over(W.partitionBy("src").orderBy("distance", "dst"))
-    return candidates(df, k, metric, block_rows, sources).withColumn("rank", rank).where(F.col("rank") <= k)
+    return _paired(df, k, metric, block_rows, sources, groups).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def similarities(neighbours: DataFrame, metric: str = "cosine") -> DataFrame:
