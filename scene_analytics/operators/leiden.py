@@ -102,6 +102,16 @@ def _walk(n: dict, e: dict, resolution: float, total: float, active: np.ndarray)
     return np.array(label, np.int64)
 
 
+def _around(edges: DataFrame, weighed: DataFrame, turn: int, lots: int, seed: int) -> DataFrame:
+    """(here, src, dst, weight, label, mass): each lot's edges with what the other end belongs to. Of nodes that stay this turn only
+    the edges inside their community count, for the modularity."""
+    moves = F.lit(True) if lots == 1 else F.pmod(F.shiftright(_hash("vec_id", turn // 2, seed), 7), F.lit(2)) == turn % 2
+    there = weighed.select(F.col("vec_id").alias("dst"), F.col("label").alias("of"), F.col("mass").alias("weighs"))
+    where = weighed.select(F.col("vec_id").alias("src"), F.col("lot").alias("here"), F.col("label").alias("own"), moves.alias("moves"))
+    met = edges.join(where, "src").join(there, "dst").where("moves or own = of")
+    return met.select("here", "src", "dst", "weight", F.col("of").alias("label"), F.col("weighs").alias("mass"))
+
+
 def _turn(edges: DataFrame, labels: DataFrame, turn: int, resolution: float, total: float, lots: int, seed: int) -> tuple[DataFrame, float]:
     """(labels after the moves of one turn, modularity before it).
 
@@ -111,9 +121,7 @@ def _turn(edges: DataFrame, labels: DataFrame, turn: int, resolution: float, tot
 
     weighed = stored(_dealt(_weighed(labels), "label", lots))
     nodes = weighed.select("vec_id", "k", "label", "mass", "lot", _hash("vec_id", turn // 2, seed).alias("draw"))
-    there = weighed.select(F.col("vec_id").alias("dst"), F.col("label").alias("of"), F.col("mass").alias("weighs"))
-    where = weighed.select(F.col("vec_id").alias("src"), F.col("lot").alias("here"))
-    around = edges.join(where, "src").join(there, "dst").select("here", "src", "dst", "weight", F.col("of").alias("label"), F.col("weighs").alias("mass"))
+    around = _around(edges, weighed, turn, lots, seed)
 
     def run(left, right):
         n, e = _sorted(left, right)
